@@ -89,3 +89,79 @@ def q_route_broadcast(spark, sf_dir):
     fan = routing.route_broadcast(msgs, region_targets(spark, sf_dir).select("target"))
     return fan.groupBy("target").agg(F.count(F.lit(1)).alias("messages"),
                                      F.sum(F.octet_length("message")).cast("bigint").alias("bytes"))
+
+
+# ------------------------------------------------------------------ rotation / retention / sinks
+from eventloom.functions import curves as CV  # noqa: E402
+from eventloom.operators import rotation  # noqa: E402
+from eventloom.sources import sinks  # noqa: E402
+
+ROT_ORIGIN = "2024-01-01 00:00:00"
+ROT_INTERVAL = 86400.0          # one file per day
+ROT_SIZE = 65536                # 64 KiB files
+MAX_FILES = 10
+
+
+def routed_events(spark, sf_dir):
+    msgs = rendered_events(spark, sf_dir)
+    r = routing.route_weighted(msgs, region_targets(spark, sf_dir), seq="seq", weight="weight", order="target_idx")
+    return r.withColumn("nbytes", F.octet_length(fm.frame_lf(F.col("message"))).cast("bigint")) \
+            .withColumn("t", CV.seconds_since(F.col("ts"), ROT_ORIGIN))
+
+
+ROUTED_SQL = (
+    f"SELECT k.seq, k.ts, k.message, s.target, CAST(strlen(k.message) + 1 AS BIGINT) AS nbytes, "
+    f"{CV.sql_seconds_since('k.ts', ROT_ORIGIN)} AS t FROM ({SQL_RENDERED}) k JOIN ({_slots_sql(True)}) s "
+    "ON (k.seq - 1) % s.total >= s.lo AND (k.seq - 1) % s.total < s.lo + s.w")
+
+ROT_INTERVAL_SQL = (f"SELECT target, CAST(floor(t / {ROT_INTERVAL!r}) AS BIGINT) AS segment, count(*) AS messages, "
+                    f"CAST(sum(nbytes) AS BIGINT) AS bytes FROM ({ROUTED_SQL}) r GROUP BY ALL")
+
+
+@register("rotate_interval", ROT_INTERVAL_SQL)
+def rotate_interval(spark, sf_dir):
+    """Daily files per target: messages and bytes per (target, file)."""
+    r = routed_events(spark, sf_dir).withColumn("segment", rotation.interval_segment(F.col("t"), ROT_INTERVAL))
+    return rotation.file_summary(r, "target", "segment", "nbytes")
+
+
+@register("rotate_size_approx",
+          f"SELECT target, CAST(floor((cum - nbytes) / {ROT_SIZE}) AS BIGINT) AS segment, count(*) AS messages, "
+          f"CAST(sum(nbytes) AS BIGINT) AS bytes FROM (SELECT *, sum(nbytes) OVER (PARTITION BY target ORDER BY seq "
+          f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM ({ROUTED_SQL}) r) x GROUP BY ALL")
+def rotate_size_approx(spark, sf_dir):
+    """64 KiB size rotation, parallel form (file = bytes-before div limit) per target."""
+    r = routed_events(spark, sf_dir)
+    s = rotation.size_segments(r, "target", "seq", "nbytes", ROT_SIZE)
+    return rotation.file_summary(s, "target", "segment", "nbytes")
+
+
+@register("retention",
+          f"SELECT target, segment, row_number() OVER (PARTITION BY target ORDER BY segment DESC) AS rank_newest, "
+          f"CASE WHEN row_number() OVER (PARTITION BY target ORDER BY segment DESC) <= {MAX_FILES - 1} THEN 'keep' ELSE 'delete' END AS action "
+          f"FROM ({ROT_INTERVAL_SQL}) f")
+def retention_q(spark, sf_dir):
+    """Keep the newest max_files-1 (9) daily files per target, mark the rest for deletion."""
+    files = rotate_interval(spark, sf_dir).select("target", "segment")
+    return rotation.retention(files, "target", ["segment"], MAX_FILES)
+
+
+@register("topic_frame",
+          f"SELECT 'logs-' || lower(target) AS topic, CAST(NULL AS BLOB) AS key, encode(message) AS value FROM ({ROUTED_SQL}) r")
+def topic_frame_q(spark, sf_dir):
+    """Topic records per routed message: topic by target, null key, message bytes as value."""
+    r = routed_events(spark, sf_dir)
+    return sinks.topic_frame(r, F.concat(F.lit("logs-"), F.lower("target")))
+
+
+@register("sink_fanout",
+          f"SELECT target, count(*) AS messages, CAST(sum(strlen(message) + 1) AS BIGINT) AS bytes FROM ({ROUTED_SQL}) r GROUP BY target")
+def sink_fanout(spark, sf_dir):
+    """Write routed messages as LF line files, one folder per target, then read them back
+    and count lines and bytes per target folder (round trip through the file sink)."""
+    r = routed_events(spark, sf_dir)
+    path = sinks.scratch_path(spark, "fanout")
+    sinks.write_lines(r, path, "message", partition_by="target")
+    back = sinks.read_lines(spark, path)
+    return back.groupBy("target").agg(F.count(F.lit(1)).alias("messages"),
+                                      F.sum(F.octet_length("message") + 1).cast("bigint").alias("bytes"))

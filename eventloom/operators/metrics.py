@@ -56,17 +56,11 @@ def histogram_quantile(hist: DataFrame, labels: Sequence[str], q: float) -> Data
 
     rank = q * total; pick the first bucket whose cumulative count >= rank; interpolate
     linearly inside it (lower bound 0 for the first bucket); if it is ``+Inf`` return the
-    highest finite bound. Works per label group on the (tiny) bucket rows.
+    highest finite bound. Each label group holds only its bucket rows (a fixed, small number).
     """
-    finite = hist.filter(F.col("le") != "+Inf")
-    tot = hist.filter(F.col("le") == "+Inf").select(*labels, F.col("bucket_count").alias("_total"))
-    b = finite.join(tot, list(labels), "inner") if labels else finite.crossJoin(tot)
-    rank = F.lit(float(q)) * F.col("_total")
-    # previous bucket (bound, count) for every finite bucket, by self-join on order
-    ordered = b.select(*labels, "le_value", "bucket_count", "_total")
-    arr = ordered.groupBy(*labels).agg(
-        F.array_sort(F.collect_list(F.struct("le_value", "bucket_count"))).alias("_bs"),
-        F.first("_total").alias("_total"))
+    arr = hist.groupBy(*labels).agg(
+        F.array_sort(F.collect_list(F.when(F.col("le") != "+Inf", F.struct("le_value", "bucket_count")))).alias("_bs"),
+        F.max(F.when(F.col("le") == "+Inf", F.col("bucket_count"))).alias("_total"))
     return arr.select(*labels, _quantile_from_buckets(F.col("_bs"), F.col("_total"), q).alias("quantile"))
 
 
