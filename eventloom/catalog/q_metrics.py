@@ -90,7 +90,7 @@ def _anom_sql():
             continue
         m = CV.sql_anomaly_multiplier("t", [a])
         parts.append(f"SELECT 'applied' AS kind, '{a['type']}' AS rule, count(*) AS value FROM ({EVT_SQL}) e "
-                     f"WHERE abs({m} - 1.0) > 1e-12")
+                     f"WHERE abs({m} - 1.0) > 1e-12 HAVING count(*) > 0")
     lost = loss.sql_is_lost(SEED, "seq", [a["loss_percent"] for a in ANOMALIES if a["type"] == "packet-loss"])
     parts.append(f"SELECT 'dropped' AS kind, 'packet-loss' AS rule, count(*) AS value FROM ({EVT_SQL}) e WHERE {lost}")
     return " UNION ALL ".join(parts)
