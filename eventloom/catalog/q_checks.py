@@ -1 +1,146 @@
-"""(filled in below)"""
+"""Rule checks: the profile model (profiles, targets, phases built from nation, supplier and
+part) and ordinary tables (lineitem, orders), all through one check operator."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from eventloom.catalog import register, table
+from eventloom.operators.checks import (PHASE_RULES, PROFILE_RULES, TARGET_RULES, Rule, check, numbered_report,
+                                        sql_check)
+
+# Stand-in profile rows: each expression is valid in Spark SQL and DuckDB alike.
+TARGET_EXPRS = [
+    "s_nationkey AS profile_id", "s_suppkey AS idx",
+    "CASE WHEN s_suppkey % 13 = 0 THEN '  ' ELSE s_name END AS address",
+    "CASE s_suppkey % 6 WHEN 0 THEN 'tcp' WHEN 1 THEN 'udp' WHEN 2 THEN 'tls' WHEN 3 THEN 'file' WHEN 4 THEN 'kafka' ELSE 'http' END AS transport",
+    "CASE s_suppkey % 5 WHEN 0 THEN 'non-transparent' WHEN 1 THEN 'octet-counting' WHEN 2 THEN 'octet' WHEN 3 THEN 'octet_counting' ELSE 'lf' END AS framing",
+    "CAST(s_suppkey % 4 AS INT) AS connections", "CAST(s_suppkey % 3 AS INT) AS weight",
+    "CASE s_suppkey % 4 WHEN 0 THEN '1.2' WHEN 1 THEN '1.3' WHEN 2 THEN '1.1' ELSE NULL END AS tls_min_protocol_version",
+    "s_suppkey % 11 = 0 AS tls_insecure",
+    "CAST(s_suppkey % 5 AS BIGINT) AS file_rotation_size_mb",
+    "CAST(CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE s_suppkey % 3 END AS BIGINT) AS file_rotation_interval_secs",
+    "CAST(s_suppkey % 7 AS INT) AS file_rotation_max_files",
+    "CAST((s_suppkey % 7) * 100 AS BIGINT) AS reconnect_initial_backoff_ms",
+    "CAST((s_suppkey % 5) * 100 AS BIGINT) AS reconnect_max_backoff_ms",
+    "round(s_acctbal / 1000.0, 3) AS reconnect_multiplier",
+    "CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'logs' END AS kafka_topic",
+    "CASE s_suppkey % 4 WHEN 0 THEN 'gzip' WHEN 1 THEN 'brotli' WHEN 2 THEN 'ZSTD' ELSE NULL END AS kafka_compression",
+    "CASE s_suppkey % 5 WHEN 0 THEN '0' WHEN 1 THEN ' all ' WHEN 2 THEN '2' ELSE '1' END AS kafka_acks",
+]
+PHASE_EXPRS = [
+    "p_partkey % 25 AS profile_id", "p_partkey AS idx",
+    "CASE WHEN p_size % 10 = 0 THEN ' ' ELSE p_name END AS name",
+    "CASE p_partkey % 8 WHEN 0 THEN 'rfc5424' WHEN 1 THEN 'rfc3164' WHEN 2 THEN 'raw' WHEN 3 THEN 'protobuf' "
+    "WHEN 4 THEN 'cef' WHEN 5 THEN 'leef' WHEN 6 THEN 'json_lines' ELSE 'xml' END AS format",
+    "CAST(p_size % 4 AS INT) AS n_templates",
+    "CASE WHEN p_partkey % 3 = 0 THEN 'templates.txt' END AS templates_file",
+    "CAST(NULL AS STRING) AS schema_file",
+    "CAST(p_size % 5 AS BIGINT) AS duration_secs",
+    "CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size * 10 AS BIGINT) END AS total_messages",
+    "CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size % 3 AS INT) END AS n_template_weights",
+    "CASE WHEN p_partkey % 7 = 0 THEN round(p_retailprice - 1500.0, 2) END AS min_template_weight",
+    "CASE WHEN p_partkey % 9 = 0 THEN CAST(p_size % 3 AS INT) END AS pad_to_bytes",
+    "CAST(p_size AS INT) AS facility", "CAST(p_partkey % 10 AS INT) AS severity",
+    "CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN '' ELSE p_brand END AS cef_vendor",
+    "CAST(p_size % 12 AS INT) AS cef_severity",
+    "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS leef_vendor",
+    "round(p_retailprice - 1000.0, 2) AS shape_rate",
+    "CAST(p_size % 6 AS DOUBLE) AS shape_period",
+    "CAST(p_size % 4 AS DOUBLE) - 1.0 AS burst_multiplier",
+    "CAST(p_size % 3 AS DOUBLE) AS drip_divisor",
+    "CAST(p_size * 3 AS DOUBLE) AS loss_percent",
+]
+PROFILE_EXPRS = [
+    "n_nationkey AS profile_id",
+    "CASE n_nationkey % 4 WHEN 0 THEN 'round-robin' WHEN 1 THEN 'broadcast' WHEN 2 THEN 'weighted' ELSE 'random' END AS distribution",
+    "CASE n_nationkey % 3 WHEN 0 THEN 'drain' WHEN 1 THEN 'immediate' ELSE 'later' END AS shutdown_mode",
+]
+
+
+def _duck(exprs):
+    return [e.replace("AS STRING", "AS VARCHAR") for e in exprs]
+
+
+T_SQL = f"SELECT {', '.join(_duck(TARGET_EXPRS))} FROM supplier"
+P_SQL = f"SELECT {', '.join(_duck(PHASE_EXPRS))} FROM part"
+PR_SQL = (f"SELECT p.*, coalesce(t.n_targets, 0) AS n_targets, t.max_weight, coalesce(ph.n_phases, 0) AS n_phases "
+          f"FROM (SELECT {', '.join(PROFILE_EXPRS)} FROM nation) p "
+          f"LEFT JOIN (SELECT profile_id, count(*) AS n_targets, max(weight) AS max_weight FROM ({T_SQL}) x GROUP BY profile_id) t USING (profile_id) "
+          f"LEFT JOIN (SELECT profile_id, count(*) AS n_phases FROM ({P_SQL}) y GROUP BY profile_id) ph USING (profile_id)")
+
+IDX = "CAST(profile_id AS VARCHAR) || ':' || CAST(idx AS VARCHAR)"
+
+
+def profile_tables(spark, sf_dir):
+    targets = table(spark, sf_dir, "supplier").selectExpr(*TARGET_EXPRS)
+    phases = table(spark, sf_dir, "part").selectExpr(*PHASE_EXPRS)
+    tcount = targets.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n_targets"), F.max("weight").alias("max_weight"))
+    pcount = phases.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n_phases"))
+    profiles = (table(spark, sf_dir, "nation").selectExpr(*PROFILE_EXPRS)
+                .join(tcount, "profile_id", "left").join(pcount, "profile_id", "left")
+                .fillna({"n_targets": 0, "n_phases": 0}))
+    return profiles, targets, phases
+
+
+def profile_violations(spark, sf_dir):
+    profiles, targets, phases = profile_tables(spark, sf_dir)
+    idx = F.concat_ws(":", F.col("profile_id").cast("string"), F.col("idx").cast("string"))
+    return (check(profiles, "profile", "profile_id", PROFILE_RULES)
+            .unionByName(check(targets, "target", idx, TARGET_RULES))
+            .unionByName(check(phases, "phase", idx, PHASE_RULES)))
+
+
+PROFILE_CHECKS_SQL = " UNION ALL ".join([
+    sql_check(PR_SQL, "profile", "profile_id", PROFILE_RULES),
+    sql_check(T_SQL, "target", IDX, TARGET_RULES),
+    sql_check(P_SQL, "phase", IDX, PHASE_RULES)])
+
+
+@register("profile_checks", PROFILE_CHECKS_SQL)
+def profile_checks(spark, sf_dir):
+    """Every rule violation at profile, target and phase level (collect-all)."""
+    return profile_violations(spark, sf_dir)
+
+
+@register("profile_report",
+          "SELECT profile, string_agg(line, chr(10) ORDER BY n) AS report, count(*) AS errors FROM ("
+          "SELECT profile, n, CAST(n AS VARCHAR) || '. ' || subject || '[' || index || ']: ' || rule || "
+          "CASE WHEN value IS NOT NULL THEN ' (' || value || ')' ELSE '' END AS line FROM ("
+          "SELECT *, split_part(index, ':', 1) AS profile, row_number() OVER (PARTITION BY split_part(index, ':', 1) "
+          f"ORDER BY subject, index, rule) AS n FROM ({PROFILE_CHECKS_SQL}) v) x) y GROUP BY profile")
+def profile_report(spark, sf_dir):
+    """Numbered error list per profile."""
+    v = profile_violations(spark, sf_dir).withColumn("profile", F.split_part(F.col("index"), F.lit(":"), F.lit(1)))
+    return numbered_report(v, "profile", ["subject", "index", "rule"])
+
+
+# ---- fixed table rules ------------------------------------------------------------------------
+LINEITEM_RULES = [
+    Rule("quantity_out_of_range", "l_quantity <= 0 OR l_quantity > 50", "l_quantity"),
+    Rule("discount_out_of_range", "l_discount < 0 OR l_discount > 0.1", "l_discount"),
+    Rule("tax_negative", "l_tax < 0", "l_tax"),
+    Rule("price_not_positive", "l_extendedprice <= 0", "l_extendedprice"),
+    Rule("bad_returnflag", "l_returnflag NOT IN ('A', 'N', 'R')", "l_returnflag"),
+    Rule("bad_linestatus", "l_linestatus NOT IN ('O', 'F')", "l_linestatus"),
+    Rule("missing_shipdate", "l_shipdate IS NULL", "l_shipdate"),
+    Rule("linenumber_out_of_range", "l_linenumber < 1 OR l_linenumber > 7", "l_linenumber"),
+]
+ORDERS_RULES = [
+    Rule("price_not_positive", "o_totalprice <= 0", "o_totalprice"),
+    Rule("bad_status", "o_orderstatus NOT IN ('F', 'O', 'P')", "o_orderstatus"),
+    Rule("bad_priority", "substr(o_orderpriority, 2, 1) <> '-'", "o_orderpriority"),
+    Rule("missing_date", "o_orderdate IS NULL", "o_orderkey"),
+    Rule("price_over_500k", "o_totalprice > 500000", "o_totalprice"),
+]
+
+
+@register("table_checks",
+          sql_check("SELECT * FROM lineitem", "lineitem", "CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR)",
+                    LINEITEM_RULES) + " UNION ALL " + sql_check("SELECT * FROM orders", "orders", "o_orderkey", ORDERS_RULES))
+def table_checks(spark, sf_dir):
+    """The same collect-all check operator over lineitem and orders."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders")
+    idx = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return check(li, "lineitem", idx, LINEITEM_RULES).unionByName(check(o, "orders", "o_orderkey", ORDERS_RULES))

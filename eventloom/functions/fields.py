@@ -47,30 +47,44 @@ def int_field(seed: int, key, name: str, lo: int | None = None, hi: int | None =
     return D.int_from_unit(_u(seed, key, name), lo, hi)
 
 
+def _block_hex(seed: int, keys: list[Column], salt: str, b) -> Column:
+    b = b if isinstance(b, Column) else F.lit(str(int(b)))
+    return F.md5(F.concat_ws(":", F.lit(str(int(seed))), *[c.cast("string") for c in keys], F.lit(salt),
+                             b.cast("string")))
+
+
+def _char_at(cs: Column, k: float, h: Column, start) -> Column:
+    v = F.conv(F.substring(h, start, _HEX_PER_CHAR), 16, 10).cast("bigint")
+    return F.substring(cs, (F.lit(1) + F.floor(v * F.lit(k) / F.lit(65536.0))).cast("int"), 1)
+
+
 def keyed_text(seed: int, key, salt: str, length, charset: str) -> Column:
     """Random text of ``length`` characters (Column or int) from ``charset``.
 
-    One MD5 per 8 characters: the hashes for blocks ``0..ceil(n/8)-1`` are joined into
-    a hex string and every character reads its own 4 hex digits.
+    One MD5 per 8 characters: character i reads 4 hex digits (16 bits) of the hash of
+    block ``i div 8``. A literal length is unrolled into plain expressions (codegen, one
+    hash per block shared by common-subexpression elimination); a per-row length uses
+    higher-order functions over the blocks.
     """
-    n = length if isinstance(length, Column) else F.lit(int(length))
-    n = n.cast("int")
     cs = F.lit(charset)
     k = float(len(charset))
     keys = D._keys(key)
+    if not isinstance(length, Column):
+        n = int(length)
+        if n <= 0:
+            return F.lit("")
+        hs = [_block_hex(seed, keys, salt, b) for b in range((n + _CHARS_PER_HASH - 1) // _CHARS_PER_HASH)]
+        return F.concat(*[_char_at(cs, k, hs[i // _CHARS_PER_HASH], (i % _CHARS_PER_HASH) * _HEX_PER_CHAR + 1)
+                          for i in range(n)])
+    n = length.cast("int")
     nblocks = F.greatest(F.ceil(n / F.lit(float(_CHARS_PER_HASH))).cast("int"), F.lit(1))
-    blocks = F.transform(
-        F.sequence(F.lit(0), nblocks - 1),
-        lambda b: F.md5(F.concat_ws(":", F.lit(str(int(seed))), *[c.cast("string") for c in keys],
-                                    F.lit(salt), b.cast("string"))))
+    blocks = F.transform(F.sequence(F.lit(0), nblocks - 1), lambda b: _block_hex(seed, keys, salt, b))
     hexall = F.array_join(blocks, "")
 
     def chars(h):
         return F.array_join(F.transform(
             F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-            lambda i: F.substring(cs, (F.lit(1) + F.floor(
-                F.conv(F.substring(h, i * _HEX_PER_CHAR + 1, _HEX_PER_CHAR), 16, 10).cast("bigint")
-                * F.lit(k) / F.lit(65536.0))).cast("int"), 1)), "")
+            lambda i: _char_at(cs, k, h, i * _HEX_PER_CHAR + 1)), "")
 
     text = F.element_at(F.transform(F.array(hexall), chars), 1)
     return F.when(n > 0, text).otherwise(F.lit(""))
@@ -100,10 +114,24 @@ def enum_index(seed: int, key, name: str, n: int, distribution: str | None = "un
     if not cum or cum[-1] <= 0:
         return F.lit(0).cast("bigint")
     x = u * F.lit(float(cum[-1]))
-    idx = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cum]), lambda c: c <= x))
+    if len(cum) <= CASE_TREE_MAX:
+        idx = _search_tree(x, cum, 0, len(cum))
+    else:
+        idx = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cum]), lambda c: c <= x))
     return F.least(idx, F.lit(n - 1)).cast("bigint")
 
 
+CASE_TREE_MAX = 4096
+
+
+def _search_tree(x: Column, cum: list, lo: int, hi: int) -> Column:
+    """Number of ``cum`` entries <= x, as a balanced tree of comparisons (codegen, log n)."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(x < F.lit(float(cum[mid])), _search_tree(x, cum, lo, mid)).otherwise(_search_tree(x, cum, mid + 1, hi))
+
+
 def cumulative_weights(n: int, distribution: str | None, weights=None, zipf_exponent=None):
     """Driver-side cumulative weights, or ``None`` for uniform selection.
 

@@ -16,6 +16,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     * AQE on, with partition coalescing and skew-join splitting, so shuffle sizes adapt
       at run time instead of being hand-tuned per scale factor.
     * Spark UI off (no server is opened).
+    * ``hugeMethodLimit`` 8000: wide event projections stay JIT-compiled.
     * ``spark.checkpoint.dir`` is only set when the cluster has not set it (tests).
     """
     b = SparkSession.builder.appName(app_name)
@@ -27,7 +28,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          # Generated methods above HotSpot's 8000-byte JIT limit would run interpreted;
+          # wide rendering projections are faster split out of whole-stage codegen.
+          .config("spark.sql.codegen.hugeMethodLimit", "8000"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
