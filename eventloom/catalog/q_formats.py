@@ -228,3 +228,24 @@ def unframe_octet(spark, sf_dir):
     blobs = d.select("doc_id", F.array_join(F.transform(F.split(F.col("text"), "\n", -1), lambda l: fm.frame_octet(l)), "")
                      .alias("stream"))
     return framed.decode_octet(blobs, "doc_id", "stream")
+
+
+# ---------------------------------------------------------------- protobuf
+from eventloom.functions.protobuf import encode_protobuf  # noqa: E402
+
+# ---- fixed spec: one field of each wire kind ----------------------------------------------
+PB_SPEC = {"id": "1:uint:{{vec_id}}", "label": "2:sint:{{label_delta}}", "norm": "3:double:{{norm}}",
+           "first": "4:float:{{first}}", "tag": "5:str:vec-{{vec_id}}/{{label}}", "ok": "6:bool:{{ok}}",
+           "n": "7:int:{{dims}}", "raw": "plain {{label}}"}
+
+
+@register("protobuf_encode")
+def protobuf_encode(spec_spark, sf_dir):
+    """Protobuf messages from embeddings: uint id, zigzag label delta, double L2 norm,
+    float first component, string tag, bool, int dimension count, auto-numbered string."""
+    e = table(spec_spark, sf_dir, "embeddings")
+    norm = F.sqrt(F.aggregate(F.col("embedding"), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    vals = {"vec_id": F.col("vec_id"), "label": F.col("label"), "label_delta": F.col("label") - 5,
+            "norm": norm, "first": F.element_at("embedding", 1), "ok": (F.col("label") % 2 == 0).cast("string"),
+            "dims": F.size("embedding")}
+    return e.select("vec_id", encode_protobuf(PB_SPEC, vals).alias("message"))
