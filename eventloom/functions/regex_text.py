@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import re
-import unicodedata
 
 from pyspark.sql import Column, functions as F
 
@@ -78,23 +77,21 @@ def _complement(ranges):
 
 @functools.lru_cache(maxsize=None)
 def _category_ranges(cat: str):
-    """Unicode digit / word / space sets as code-point ranges (built once per process)."""
-    test = {
-        "digit": lambda ch: unicodedata.category(ch) == "Nd",
-        "word": lambda ch: ch.isalnum() or ch == "_" or unicodedata.category(ch) in ("Mn", "Mc", "Me", "Pc"),
-        "space": lambda ch: ch.isspace(),
-    }[cat]
-    out, start = [], None
-    for cp in range(MAX_CODE_POINT + 1):
-        ok = not (SURROGATES[0] <= cp <= SURROGATES[1]) and test(chr(cp))
-        if ok and start is None:
-            start = cp
-        elif not ok and start is not None:
-            out.append((start, cp - 1))
-            start = None
-    if start is not None:
-        out.append((start, MAX_CODE_POINT))
-    return tuple(out)
+    """Unicode digit / word / space sets (Unicode TR18 definitions, as the ``regex`` module
+    implements them) as code-point ranges, built once per process."""
+    pattern = {"digit": r"\d+", "word": r"\w+", "space": r"\s+"}[cat]
+    chars = "".join(chr(c) for c in range(MAX_CODE_POINT + 1) if not SURROGATES[0] <= c <= SURROGATES[1])
+    try:
+        import regex as _rx
+        spans = [(m.start(), m.end() - 1) for m in _rx.finditer(pattern, chars, flags=_rx.V1)]
+    except ImportError:  # pragma: no cover
+        spans = [(m.start(), m.end() - 1) for m in re.finditer(pattern, chars)]
+    out = []
+    for lo, hi in spans:  # positions → code points (the surrogate gap shifts later positions)
+        def cp(i):
+            return i if i < SURROGATES[0] else i + (SURROGATES[1] - SURROGATES[0] + 1)
+        out.append((cp(lo), cp(hi)))
+    return tuple(_minus_surrogates(_merge(out)))
 
 
 _CATS = {
