@@ -100,7 +100,7 @@ def pad_to_bytes(body: Column, target: int | None, seed: int, key) -> Column:
         return body
     n = int(target)
     blen = F.octet_length(body)
-    fill = FL.keyed_text(seed, key, "pad", F.lit(n - 1) - blen, FL.LOWER_ALNUM)
+    fill = FL.keyed_base36(seed, key, "pad", F.lit(n - 1) - blen)
     return F.when(blen < n, F.concat(body, F.lit(" "), fill)).otherwise(body)
 
 
@@ -122,5 +122,5 @@ def sql_render_template(text: str, values: Mapping[str, str], seed: int | None =
 
 def sql_pad_to_bytes(body_sql: str, target: int, seed: int, key_sql: str) -> str:
     n = int(target)
-    fill = FL.sql_keyed_text(seed, key_sql, "pad", f"({n - 1} - strlen({body_sql}))", FL.LOWER_ALNUM)
+    fill = FL.sql_keyed_base36(seed, key_sql, "pad", f"({n - 1} - strlen({body_sql}))")
     return f"(CASE WHEN strlen({body_sql}) < {n} THEN {body_sql} || ' ' || {fill} ELSE {body_sql} END)"

@@ -79,29 +79,43 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFram
                       F.element_at("_vals", (F.col("k") - F.col("below") + 1).cast("int")).alias("rank_value"))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], **kw) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], *,
+                    final_max: int = DEFAULT_FINAL_MAX, **kw) -> DataFrame:
     """Exact continuous quantiles (linear interpolation between closest ranks, like
-    ``percentile``/``quantile_cont``): one column ``q_<pct>`` per requested q."""
+    ``percentile``/``quantile_cont``): one column ``q_<pct>`` per requested q.
+
+    One stats pass gives every group's size. When the largest group is within
+    ``final_max`` (a checked bound), each group's values are sorted in one aggregation;
+    otherwise the ranks go through :func:`select_ranks` narrowing.
+    """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))) \
-        .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    clean = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    biggest = counts.agg(F.max("_n")).first()[0] or 0  # one scalar
+    def pos(q):
+        return F.lit(float(q)) * (F.col("_n") - 1).cast("double")
+    if biggest <= final_max:
+        arr = clean.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_a"), F.count(F.lit(1)).alias("_n"))
+        outs = []
+        for q in qs:
+            lo = F.element_at("_a", (F.floor(pos(q)) + 1).cast("int"))
+            hi = F.element_at("_a", (F.ceil(pos(q)) + 1).cast("int"))
+            outs.append((lo + (hi - lo) * (pos(q) - F.floor(pos(q)))).alias(_qname(q)))
+        return arr.select(*keys, *outs)
     rows = []
     for i, q in enumerate(qs):
-        pos = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
-        rows.append(counts.select(*keys, F.lit(f"{i}_lo").alias("rank_id"), F.floor(pos).cast("bigint").alias("k")))
-        rows.append(counts.select(*keys, F.lit(f"{i}_hi").alias("rank_id"), F.ceil(pos).cast("bigint").alias("k")))
+        rows.append(counts.select(*keys, F.lit(f"{i}_lo").alias("rank_id"), F.floor(pos(q)).cast("bigint").alias("k")))
+        rows.append(counts.select(*keys, F.lit(f"{i}_hi").alias("rank_id"), F.ceil(pos(q)).cast("bigint").alias("k")))
     ranks = rows[0]
     for r in rows[1:]:
         ranks = ranks.unionByName(r)
-    ranks = ranks.dropDuplicates([*keys, "rank_id"])
-    sel = select_ranks(df, keys, value, ranks, **kw)
+    sel = select_ranks(clean, keys, "_v", ranks, final_max=final_max, **kw)
     wide = sel.groupBy(*keys).agg(*[F.first(F.when(F.col("rank_id") == rid, F.col("rank_value")), ignorenulls=True).alias(rid)
                                     for i in range(len(qs)) for rid in (f"{i}_lo", f"{i}_hi")])
     wide = wide.join(counts, keys, "inner")
     outs = []
     for i, q in enumerate(qs):
-        pos = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
-        frac = pos - F.floor(pos)
+        frac = pos(q) - F.floor(pos(q))
         lo, hi = F.col(f"{i}_lo"), F.col(f"{i}_hi")
         outs.append((lo + (hi - lo) * frac).alias(_qname(q)))
     return wide.select(*keys, *outs)

@@ -67,3 +67,13 @@ def test_template_rules(spark):
     df = spark.range(1)
     got = df.select(TP.render_template("x{{a}}{{n}}{{zz}}{{}} {{open", vals).alias("m")).first().m
     assert got == "x{{zz}}{{}} {{open".replace("x", "xA", 1)
+
+
+def test_exact_quantiles_both_paths_agree_with_percentile(spark):
+    from eventloom.operators.quantiles import exact_quantiles
+    df = spark.range(0, 30000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 10007 / 3.0).alias("v"))
+    ref = {r.g: (r.a, r.b) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.95).alias("b")).collect()}
+    for fm in (50_000, 500):   # sorted-array path, then rank narrowing (groups of 10 000 > 500)
+        got = {r.g: (r.q50, r.q95) for r in exact_quantiles(df, ["g"], "v", [0.5, 0.95], final_max=fm, bins=16).collect()}
+        for g in ref:
+            assert abs(got[g][0] - ref[g][0]) < 1e-9 and abs(got[g][1] - ref[g][1]) < 1e-9
