@@ -363,3 +363,25 @@ def achieved_vs_target(spark, sf_dir):
     m = measures(spark, sf_dir).groupBy("workload_id").agg(F.avg("achieved_msg_per_sec").alias("achieved"))
     return m.join(F.broadcast(wl), "workload_id", "inner").select("workload_id", "achieved",
                                                                   F.col("target_msg_per_sec").alias("target"))
+
+
+TOP_N = 20
+
+
+@register("top_improvements",
+          f"WITH c AS ({COMPARE_SQL}), i AS (SELECT label, delta_pct, row_number() OVER (ORDER BY delta_pct, label) AS rnk "
+          "FROM c WHERE verdict = 'IMPROVE') "
+          f"SELECT rnk, label, delta_pct, CAST(NULL AS VARCHAR) AS note FROM i WHERE rnk <= {TOP_N} UNION ALL "
+          f"SELECT CAST({TOP_N + 1} AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), "
+          f"'... and ' || CAST(count(*) - {TOP_N} AS VARCHAR) || ' more' FROM i HAVING count(*) > {TOP_N}")
+def top_improvements(spark, sf_dir):
+    """The first 20 improvements by delta (a top-k report) and an '… and N more' line."""
+    imp = _compare(spark, sf_dir).filter(F.col("verdict") == "IMPROVE").select("label", "delta_pct")
+    top = imp.orderBy("delta_pct", "label").limit(TOP_N)
+    from pyspark.sql import Window
+    top = top.withColumn("rnk", F.row_number().over(Window.orderBy("delta_pct", "label")).cast("bigint"))
+    more = imp.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TOP_N).select(
+        F.lit(TOP_N + 1).cast("bigint").alias("rnk"), F.lit(None).cast("string").alias("label"),
+        F.lit(None).cast("double").alias("delta_pct"),
+        F.concat(F.lit("... and "), (F.col("n") - TOP_N).cast("string"), F.lit(" more")).alias("note"))
+    return top.withColumn("note", F.lit(None).cast("string")).select("rnk", "label", "delta_pct", "note").unionByName(more)

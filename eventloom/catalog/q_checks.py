@@ -144,3 +144,59 @@ def table_checks(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     idx = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     return check(li, "lineitem", idx, LINEITEM_RULES).unionByName(check(o, "orders", "o_orderkey", ORDERS_RULES))
+
+
+# ---------------------------------------------------------------- workload spec agreement
+# ---- fixed values: the four benchmark workload specs and the length tolerance ----------------
+WORKLOAD_SPECS = [
+    ("udp_100rps_256b", "udp", 100, 256, "datagram"),
+    ("tcp_10krps_1kb", "tcp", 10000, 1024, "octet-counting"),
+    ("tls_5krps_1kb", "tls", 5000, 1024, "octet-counting"),
+    ("kafka_50krps_256b", "kafka", 50000, 256, "kafka-protocol"),
+]
+TEMPLATE_SIZE_TOLERANCE = 2
+HEADER_OVERHEAD = 60
+# -----------------------------------------------------------------------------------------------
+
+WORKLOAD_EXPRS = [
+    "page_id AS idx",
+    "CASE page_id % 4 WHEN 0 THEN 'udp_100rps_256b' WHEN 1 THEN 'tcp_10krps_1kb' WHEN 2 THEN 'tls_5krps_1kb' "
+    "ELSE 'kafka_50krps_256b' END AS workload_id",
+    "html AS template",
+    f"CAST({HEADER_OVERHEAD} AS INT) AS header_overhead_bytes",
+    "CAST(page_id % 3 AS INT) * 60 AS duration_secs",
+    "page_id % 7 = 0 AS swap_transport", "page_id % 5 = 0 AS double_rate", "page_id % 6 = 0 AS lf_framing",
+    "page_id % 10 = 3 AS no_topic",
+]
+WORKLOAD_RULES = [
+    Rule("transport_mismatch", "cfg_transport <> transport", "cfg_transport"),
+    Rule("rate_mismatch", "cfg_rate <> rate", "cfg_rate"),
+    Rule("framing_mismatch", "cfg_framing <> framing", "cfg_framing"),
+    Rule("duration_not_positive", "duration_secs <= 0", "duration_secs"),
+    Rule("target_framing_not_octet", "transport IN ('tcp', 'tls') AND cfg_framing <> 'octet-counting'", "cfg_framing"),
+    Rule("topic_missing", "transport = 'kafka' AND coalesce(topic, '') = ''", "topic"),
+    Rule("template_length", f"abs(length(template) - (size - header_overhead_bytes)) > {TEMPLATE_SIZE_TOLERANCE}",
+         "length(template)"),
+]
+_CFG_EXPRS = [
+    "idx", "workload_id", "template", "header_overhead_bytes", "duration_secs", "transport", "rate", "size", "framing",
+    "CASE WHEN swap_transport THEN 'udp' ELSE transport END AS cfg_transport",
+    "CASE WHEN double_rate THEN rate * 2 ELSE rate END AS cfg_rate",
+    "CASE WHEN lf_framing THEN 'lf' ELSE framing END AS cfg_framing",
+    "CASE WHEN no_topic THEN '' ELSE 'logs' END AS topic",
+]
+_SPEC_SQL = "(VALUES " + ", ".join(f"('{w}', '{t}', {r}, {s}, '{f}')" for w, t, r, s, f in WORKLOAD_SPECS) + \
+    ") spec(workload_id, transport, rate, size, framing)"
+WORKLOAD_SQL = (f"SELECT {', '.join(_CFG_EXPRS)} FROM (SELECT {', '.join(_duck(WORKLOAD_EXPRS))} FROM pages) c "
+                f"JOIN {_SPEC_SQL} USING (workload_id)")
+
+
+@register("workload_checks", sql_check(WORKLOAD_SQL, "workload", "idx", WORKLOAD_RULES))
+def workload_checks(spark, sf_dir):
+    """Benchmark workload configs (one per page; the page body is the template) checked
+    against the fixed workload specs: transport, rate, framing, duration, topic and
+    template length within ±2 of size − header."""
+    spec = spark.createDataFrame(WORKLOAD_SPECS, "workload_id string, transport string, rate int, size int, framing string")
+    cfg = table(spark, sf_dir, "pages").selectExpr(*WORKLOAD_EXPRS).join(F.broadcast(spec), "workload_id", "inner") \
+        .selectExpr(*_CFG_EXPRS)
+    return check(cfg, "workload", "idx", WORKLOAD_RULES)

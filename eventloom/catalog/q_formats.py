@@ -249,3 +249,47 @@ def protobuf_encode(spec_spark, sf_dir):
             "norm": norm, "first": F.element_at("embedding", 1), "ok": (F.col("label") % 2 == 0).cast("string"),
             "dims": F.size("embedding")}
     return e.select("vec_id", encode_protobuf(PB_SPEC, vals).alias("message"))
+
+
+# ---------------------------------------------------------------- header fields from templates
+from eventloom.catalog.q_fields import HTTP_SCHEMA, _HTTP_SQL  # noqa: E402
+from eventloom.functions import fields as FL  # noqa: E402
+from eventloom.functions import templates as TP  # noqa: E402
+
+# ---- fixed header templates ------------------------------------------------------------------
+HEADER_TEMPLATES = {"hostname": "{{faker.hostname}}", "app_name": "{{real_app}}-svc", "procid": "{{pid}}",
+                    "msgid": "{{method}}_{{status}}", "structured_data": '[http status="{{status}}" path="{{path}}"]'}
+BODY_TEMPLATE = "{{method}} {{path}} {{status}} {{bytes}}"
+
+
+@register("fmt_header_templates", None)
+def fmt_header_templates(spark, sf_dir):
+    """RFC 5424 whose header fields are themselves templates over the event's values."""
+    e = table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("seq"), "ts", "event_type")
+    e = FL.with_fields(e, HTTP_SCHEMA, SEED, "seq", ts="ts")
+    vals = {n: F.col(n) for n in HTTP_SCHEMA}
+    vals.update(TP.default_values(SEED, "seq", F.col("seq"), F.col("ts"), F.col("event_type")))
+    hdr = {k: TP.render_template(t, vals, SEED, "seq") for k, t in HEADER_TEMPLATES.items()}
+    body = TP.render_template(BODY_TEMPLATE, vals, SEED, "seq")
+    return e.select("seq", fm.rfc5424(body, ts=F.col("ts"), facility=16, severity=6, **hdr).alias("message"))
+
+
+def _hdr_sql():
+    from eventloom.functions import draws as D
+    vals = dict(_HTTP_SQL)
+    vals.update({"sequence": "CAST(seq AS VARCHAR)", "timestamp": "(strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z')",
+                 "pid": f"CAST({D.sql_int_from_unit(D.sql_draw(SEED, 'seq', 'pid'), 1, 65535)} AS VARCHAR)",
+                 "hostname": "'localhost'", "real_hostname": "'localhost'", "real_command": "'echo ok'",
+                 "real_app": "event_type", "app_name": "event_type"})
+    h = {k: TP.sql_render_template(t, vals, SEED, "seq") for k, t in HEADER_TEMPLATES.items()}
+    body = TP.sql_render_template(BODY_TEMPLATE, vals, SEED, "seq")
+    msg = sf.rfc5424(body, "ts", "16", "6", h["hostname"], h["app_name"], h["procid"], h["msgid"], h["structured_data"])
+    return f"SELECT seq, {msg} AS message FROM (SELECT event_id + 1 AS seq, ts, event_type FROM events) e"
+
+
+def _late_hdr():
+    from eventloom.catalog import ORACLE_SQL
+    ORACLE_SQL["fmt_header_templates"] = _hdr_sql()
+
+
+_late_hdr()

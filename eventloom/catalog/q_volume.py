@@ -186,3 +186,16 @@ def _late():
 
 
 _late()
+
+
+# ---- fixed stop rule of the stop-predicate query -------------------------------------------
+STOP_TOTAL = 5000
+STOP_DURATION_SECS = 15 * 86400.0
+
+
+@register("stop_predicates",
+          f"SELECT seq, t FROM ({EVT_SQL}) e WHERE seq <= {STOP_TOTAL} AND t < {STOP_DURATION_SECS!r}")
+def stop_predicates(spark, sf_dir):
+    """Bounded source: messages until seq reaches the total or the deadline passes."""
+    e = _ev_t(spark, sf_dir)
+    return e.filter(schedule.stop_condition(F.col("seq"), F.col("t"), STOP_TOTAL, STOP_DURATION_SECS))

@@ -106,3 +106,14 @@ def multi_phase_source(phases: DataFrame, order: str, total: str = "total_messag
     p = phases.withColumn("_start", F.coalesce(F.sum(dur).over(w), F.lit(0.0)))
     m = expand_counts(p, total, "seq")
     return m.withColumn("t", F.col("_start") + (F.col("seq") - 1).cast("double") / F.col(rate).cast("double")).drop("_start")
+
+
+def stop_condition(seq: Column, t: Column, total: int | None, duration_secs: float | None) -> Column:
+    """Keep while ``seq <= total`` and ``t < duration`` (each only when set; a duration of
+    0 with a total means "total only")."""
+    cond = F.lit(True)
+    if total is not None:
+        cond = cond & (seq <= F.lit(int(total)))
+    if duration_secs:
+        cond = cond & (t < F.lit(float(duration_secs)))
+    return cond
