@@ -72,11 +72,15 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFram
                        pick["bc"].alias("cnt"), (F.col("below") + pick["upto"] - pick["bc"]).alias("below"))
         state = done.unionByName(nxt)
     state = _cut_lineage(state)
-    fin = v.join(maybe_broadcast(state, STATE_BROADCAST_ROWS), keys, "inner").filter(
+    # an interval holding one distinct value answers directly, whatever its count
+    flat = state.filter(F.col("hi") == F.col("lo")).select(*keys, "rank_id", "k", F.col("lo").alias("rank_value"))
+    rest = state.filter(F.col("hi") > F.col("lo"))
+    fin = v.join(maybe_broadcast(rest, STATE_BROADCAST_ROWS), keys, "inner").filter(
         (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
     sel = fin.groupBy(*keys, "rank_id", "k", "below").agg(F.array_sort(F.collect_list("_v")).alias("_vals"))
-    return sel.select(*keys, "rank_id", "k",
-                      F.element_at("_vals", (F.col("k") - F.col("below") + 1).cast("int")).alias("rank_value"))
+    picked = sel.select(*keys, "rank_id", "k",
+                        F.element_at("_vals", (F.col("k") - F.col("below") + 1).cast("int")).alias("rank_value"))
+    return picked.unionByName(flat)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], *,

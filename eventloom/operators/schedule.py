@@ -40,20 +40,27 @@ def expand_counts(df: DataFrame, n_col: str, seq_name: str = "seq", block: int =
 
 
 def prefix_sum(df: DataFrame, part: Sequence[str], order: str, value: str, out: str,
-               block: int = PREFIX_BLOCK) -> DataFrame:
+               block: int = PREFIX_BLOCK, depth: int = 0, max_depth: int = 3) -> DataFrame:
     """Running sum of ``value`` by ``order`` within ``part`` (integral ``order``).
 
-    Two levels, so no window partition ever holds more than ``block`` rows plus one row
-    per block: block totals → exclusive prefix over blocks → within-block running sum.
+    Rows are cut into blocks of ``block`` consecutive ``order`` values; block totals get
+    their own (exclusive) running sum — recursively, up to ``max_depth`` levels — and each
+    row adds the within-block running sum. No window partition ever holds more than one
+    block of rows: three levels of 10 000 cover 10^12 rows per partition key.
     """
     part = list(part)
-    b = df.withColumn("_pb", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
-    totals = b.groupBy(*part, "_pb").agg(F.sum(value).alias("_bs"))
-    w_blocks = Window.partitionBy(*part).orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_bs").over(w_blocks), F.lit(0))).drop("_bs")
-    j = b.join(maybe_broadcast(totals, 5_000_000), part + ["_pb"], "inner")
-    w_in = Window.partitionBy(*part, "_pb").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return j.withColumn(out, F.col("_before") + F.sum(value).over(w_in)).drop("_pb", "_before")
+    pb = f"_pb{depth}"
+    b = df.withColumn(pb, F.floor(F.col(order) / F.lit(block)).cast("bigint"))
+    totals = b.groupBy(*part, pb).agg(F.sum(value).alias("_bs"))
+    if depth + 1 < max_depth:
+        totals = prefix_sum(totals, part, pb, "_bs", "_incl", block, depth + 1, max_depth) \
+            .withColumn("_before", F.col("_incl") - F.col("_bs")).drop("_incl", "_bs")
+    else:
+        w_blocks = Window.partitionBy(*part).orderBy(pb).rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.withColumn("_before", F.coalesce(F.sum("_bs").over(w_blocks), F.lit(0))).drop("_bs")
+    j = b.join(maybe_broadcast(totals, 5_000_000), part + [pb], "inner")
+    w_in = Window.partitionBy(*part, pb).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return j.withColumn(out, F.col("_before") + F.sum(value).over(w_in)).drop(pb, "_before")
 
 
 def phase_ticks(phases: DataFrame, tick_secs: float = 1.0, shape=None, anomalies=None,
@@ -80,7 +87,8 @@ def arrival_schedule(phases: DataFrame, phase: str = "phase", tick_secs: float =
     """
     d = float(tick_secs)
     ticks = phase_ticks(phases, tick_secs, **kw).select(phase, "tick", "lam")
-    c = prefix_sum(ticks, [phase], "tick", "lam", "_C")
+    # ticks per phase are duration / Δ: two levels (10^8 ticks per phase) are plenty
+    c = prefix_sum(ticks, [phase], "tick", "lam", "_C", max_depth=2)
     c = (c.withColumn("_s0", F.floor((F.col("_C") - F.col("lam")) / F.lit(MICRO)).cast("bigint"))
           .withColumn("_n", F.floor(F.col("_C") / F.lit(MICRO)).cast("bigint") - F.col("_s0")))
     a = expand_counts(c.select(phase, "tick", "_s0", "_n"), "_n", "_j")
