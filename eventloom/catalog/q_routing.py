@@ -165,3 +165,28 @@ def sink_fanout(spark, sf_dir):
     back = sinks.read_lines(spark, path)
     return back.groupBy("target").agg(F.count(F.lit(1)).alias("messages"),
                                       F.sum(F.octet_length("message") + 1).cast("bigint").alias("bytes"))
+
+
+EXACT_CHUNK = 2048   # small chunks so every target spans several chunks even at small scale
+
+
+def _exact_sql() -> str:
+    return (
+        f"WITH RECURSIVE x AS (SELECT target, seq, nbytes, row_number() OVER (PARTITION BY target ORDER BY seq) AS rn "
+        f"FROM ({ROUTED_SQL}) r), "
+        "w AS (SELECT target, rn, nbytes, nbytes AS acc, CAST(0 AS BIGINT) AS segment FROM x WHERE rn = 1 "
+        "UNION ALL SELECT x.target, x.rn, x.nbytes, "
+        f"CASE WHEN w.acc >= {ROT_SIZE} THEN x.nbytes ELSE w.acc + x.nbytes END, "
+        f"CASE WHEN w.acc >= {ROT_SIZE} THEN w.segment + 1 ELSE w.segment END "
+        "FROM w JOIN x ON x.target = w.target AND x.rn = w.rn + 1) "
+        "SELECT target, segment, count(*) AS messages, CAST(sum(nbytes) AS BIGINT) AS bytes FROM w GROUP BY target, segment")
+
+
+@register("rotate_size_exact", _exact_sql())
+def rotate_size_exact(spark, sf_dir):
+    """Exact greedy 64 KiB rotation per target (rotate after the write that reaches the limit;
+    counter restarts at 0), computed chunk-parallel with a driver fold over chunk summaries."""
+    r = routed_events(spark, sf_dir)
+    s = rotation.size_segments_exact(r.select("seq", "target", "nbytes"), "target", "seq", "nbytes", ROT_SIZE,
+                                     chunk_span=EXACT_CHUNK)
+    return rotation.file_summary(s, "target", "segment", "nbytes")

@@ -124,3 +124,8 @@ def sql_pad_to_bytes(body_sql: str, target: int, seed: int, key_sql: str) -> str
     n = int(target)
     fill = FL.sql_keyed_base36(seed, key_sql, "pad", f"({n - 1} - strlen({body_sql}))")
     return f"(CASE WHEN strlen({body_sql}) < {n} THEN {body_sql} || ' ' || {fill} ELSE {body_sql} END)"
+
+
+def placeholder_names(template: Column) -> Column:
+    """Distinct placeholder names of a template column (templates stored in a table)."""
+    return F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{\{(.+?)\}\}"), 1))

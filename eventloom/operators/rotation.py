@@ -52,3 +52,156 @@ def retention(files: DataFrame, target: str, order_desc: Sequence[str], max_file
     w = Window.partitionBy(target).orderBy(*[F.col(c).desc() for c in order_desc])
     r = files.withColumn("rank_newest", F.row_number().over(w))
     return r.withColumn("action", F.when(F.col("rank_newest") <= keep_n, "keep").otherwise("delete"))
+
+
+# ------------------------------------------------------------------ exact greedy size rotation
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+EXACT_CHUNK_SPAN = 1 << 20
+
+
+def _chunk_summary(sizes: np.ndarray, limit: int):
+    """Transfer table of one chunk for the greedy writer.
+
+    For an entry carry c (bytes already in the open file, 0 <= c < limit) the chunk's first
+    rotation happens after message j(c) = first j with c + P[j] >= limit; from there on the
+    run is fixed. Returns steps [(c_lo, exit_carry, rotations)] sorted by c_lo, where the
+    step applies to c_lo <= c < next c_lo; exit_carry -1 means "c + chunk bytes" (no rotation).
+    """
+    m = len(sizes)
+    P = np.cumsum(sizes, dtype=np.int64)
+    total = int(P[-1])
+    Pm1 = np.concatenate(([0], P[:-1]))
+    # after a rotation at j a new file starts at j+1 with 0 bytes: its next rotation index
+    nxt = np.searchsorted(P, Pm1 + limit, side="left")         # for start i: first j>=i with P[j]-P[i-1]>=limit
+    E = np.zeros(m + 1, dtype=np.int64)                          # exit carry when a file starts at i
+    B = np.zeros(m + 1, dtype=np.int64)                          # rotations from start i to chunk end
+    for i in range(m - 1, -1, -1):
+        j = nxt[i]
+        if j >= m:
+            E[i] = total - Pm1[i]
+            B[i] = 0
+        else:
+            E[i] = E[j + 1]
+            B[i] = 1 + B[j + 1]
+    steps = []
+    if total < limit:
+        steps.append((0, -1, 0))
+    # j ranges over messages whose prefix is still below limit at the head, plus the first >= limit
+    head_end = int(np.searchsorted(P, limit, side="left"))
+    for j in range(min(head_end, m - 1), -1, -1):
+        c_lo = max(limit - int(P[j]), 0)
+        if c_lo >= limit:
+            continue
+        step = (c_lo, int(E[j + 1]), int(1 + B[j + 1]))
+        if steps and steps[-1][0] == c_lo:
+            continue
+        if steps and steps[-1][1:] == step[1:]:
+            continue
+        steps.append(step)
+    return steps
+
+
+def _run_chunk(sizes: np.ndarray, limit: int, carry: int) -> np.ndarray:
+    """File index (0-based, local) of each message when the chunk is entered with ``carry``."""
+    P = np.cumsum(sizes, dtype=np.int64)
+    m = len(sizes)
+    seg = np.zeros(m, dtype=np.int64)
+    start, base, f = 0, carry, 0
+    while start < m:
+        before = int(P[start - 1]) if start > 0 else 0
+        j = int(np.searchsorted(P, before + (limit - base), side="left"))
+        if j >= m:
+            seg[start:] = f
+            break
+        seg[start:j + 1] = f
+        f += 1
+        start, base = j + 1, 0
+    return seg
+
+
+def size_segments_exact(df: DataFrame, target: str, order: str, nbytes: str, limit_bytes: int,
+                        out: str = "segment", chunk_span: int = EXACT_CHUNK_SPAN) -> DataFrame:
+    """Exact greedy size rotation (rotate after the write that reaches the limit; the counter
+    restarts at 0, overshoot is not carried), computed in parallel.
+
+    1. Messages are cut per target into chunks of ``chunk_span`` consecutive ``order``
+       values; each chunk (bounded size, sorted within its task) yields a small transfer
+       table: entry carry → exit carry and number of rotations (:func:`_chunk_summary`).
+    2. The driver folds the per-chunk tables in order (one small row per chunk, not per
+       message) to get every chunk's entry carry and files-before count.
+    3. Each chunk is labelled again from its entry carry; file = files-before + local index.
+    """
+    limit = int(limit_bytes)
+    key_type = df.schema[target].dataType
+    c = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(int(chunk_span))).cast("bigint"))
+    parted = c.repartition(target, "_chunk").sortWithinPartitions(target, "_chunk", order)
+
+    summ_schema = T.StructType([T.StructField(target, key_type), T.StructField("_chunk", T.LongType()),
+                                T.StructField("total", T.LongType()),
+                                T.StructField("steps", T.ArrayType(T.ArrayType(T.LongType())))])
+
+    def summarize(batches):
+        for (t, ch), g in _chunks(batches, [target, "_chunk"]):
+            sizes = g[nbytes].to_numpy(dtype=np.int64)
+            yield pd.DataFrame({target: [t], "_chunk": [ch], "total": [int(sizes.sum())],
+                                "steps": [[list(s) for s in _chunk_summary(sizes, limit)]]})
+
+    summaries = parted.select(target, "_chunk", order, nbytes).mapInPandas(summarize, summ_schema)
+    rows = summaries.orderBy(target, "_chunk").collect()   # one row per chunk
+    entries = []
+    cur_t, carry, files = object(), 0, 0
+    for r in rows:
+        if r[target] != cur_t:
+            cur_t, carry, files = r[target], 0, 0
+        entries.append((r[target], r["_chunk"], carry, files))
+        steps = r["steps"]
+        pick = None
+        for c_lo, ex, nb in steps:
+            if c_lo <= carry:
+                pick = (ex, nb)
+        if pick is None:  # cannot happen: the lowest step starts at 0 or the chunk has no rotation
+            raise RuntimeError("no transfer step for entry carry")
+        ex, nb = pick
+        carry = carry + int(r["total"]) if ex == -1 else ex
+        files += nb
+    spark = df.sparkSession
+    ent = spark.createDataFrame(entries, T.StructType([T.StructField(target, key_type), T.StructField("_chunk", T.LongType()),
+                                                       T.StructField("_carry", T.LongType()),
+                                                       T.StructField("_files", T.LongType())]))
+    from eventloom.plans.broadcast import maybe_broadcast
+    labelled_in = parted.join(maybe_broadcast(ent), [target, "_chunk"], "inner") \
+        .sortWithinPartitions(target, "_chunk", order)
+    out_schema = T.StructType(labelled_in.schema.fields + [T.StructField(out, T.LongType())])
+
+    def label(batches):
+        for _, g in _chunks(batches, [target, "_chunk"]):
+            seg = _run_chunk(g[nbytes].to_numpy(dtype=np.int64), limit, int(g["_carry"].iloc[0]))
+            yield g.assign(**{out: seg + int(g["_files"].iloc[0])})
+
+    return labelled_in.mapInPandas(label, out_schema).drop("_chunk", "_carry", "_files")
+
+
+def _chunks(batches, keys):
+    """Yield (key, rows) for consecutive runs of equal ``keys`` in a sorted partition, holding
+    only the current chunk in memory (a chunk is at most ``chunk_span`` rows)."""
+    buf, cur = [], None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        k = pdf[keys].to_numpy()
+        change = np.ones(len(pdf), dtype=bool)
+        change[1:] = (k[1:] != k[:-1]).any(axis=1)
+        starts = np.flatnonzero(change)
+        for si, st in enumerate(starts):
+            en = starts[si + 1] if si + 1 < len(starts) else len(pdf)
+            key = tuple(k[st])
+            if cur is not None and key != cur:
+                yield cur, pd.concat(buf, ignore_index=True)
+                buf = []
+            cur = key
+            buf.append(pdf.iloc[st:en])
+    if buf:
+        yield cur, pd.concat(buf, ignore_index=True)

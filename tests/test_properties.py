@@ -77,3 +77,10 @@ def test_exact_quantiles_both_paths_agree_with_percentile(spark):
         got = {r.g: (r.q50, r.q95) for r in exact_quantiles(df, ["g"], "v", [0.5, 0.95], final_max=fm, bins=16).collect()}
         for g in ref:
             assert abs(got[g][0] - ref[g][0]) < 1e-9 and abs(got[g][1] - ref[g][1]) < 1e-9
+
+
+def test_placeholder_names(spark):
+    df = spark.createDataFrame([("a {{x}} {{y}} {{x}} {{", ), ("none",)], "t string")
+    got = [r.n for r in df.select(TP.placeholder_names(F.col("t")).alias("n")).collect()]
+    assert got == [["x", "y"], []]
+    assert TP.placeholders("{{b}}{{a}}{{b}}") == ["b", "a"]
