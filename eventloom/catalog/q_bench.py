@@ -205,7 +205,7 @@ def received(spark, sf_dir):
     from eventloom.plans.broadcast import maybe_broadcast
     j = li.join(maybe_broadcast(dims), "l_suppkey", "inner")
     t = F.timestamp_diff("MICROSECOND", F.lit("1990-01-01 00:00:00").cast("timestamp_ntz"), F.col("l_shipdate")).cast("double") / 1e6 / 86400.0
-    return j.selectExpr(*REC_EXPRS).withColumn("t", t) if False else j.select(*[F.expr(e) for e in REC_EXPRS], t.alias("t"))
+    return j.select(*[F.expr(e) for e in REC_EXPRS], t.alias("t"))
 
 
 REC_SQL = (f"(SELECT {_duck(REC_EXPRS)}, {T_DAYS} AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey "
