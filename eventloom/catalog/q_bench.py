@@ -282,7 +282,7 @@ def cell_verdict(spark, sf_dir):
 
 
 MATRIX_SQL = (
-    f"WITH v AS ({VERDICT_SQL}), g AS (SELECT lower(r_name) AS workload_id, unnest(range(1, (SELECT max(l_linenumber) FROM lineitem) + 1)) AS run_idx FROM region), "
+    f"WITH v AS ({VERDICT_SQL}), g AS (SELECT lower(r_name) AS workload_id, CAST(unnest(range(1, (SELECT max(l_linenumber) FROM lineitem) + 1)) AS INTEGER) AS run_idx FROM region), "
     "gt AS (SELECT g.*, t.tool FROM g, (VALUES " + ", ".join(f"('{t}')" for t in TOOLS) + ") t(tool)) "
     "SELECT gt.workload_id, gt.run_idx, gt.tool, coalesce(v.status, 'skipped') AS status, "
     f"CASE WHEN v.status IS NULL THEN '{BR.SKIP_REASON}' END AS skip_reason, v.status IS NOT NULL AS has_measurements, "

@@ -50,7 +50,7 @@ def retention(files: DataFrame, target: str, order_desc: Sequence[str], max_file
     """
     keep_n = max(int(max_files) - 1, 0)
     w = Window.partitionBy(target).orderBy(*[F.col(c).desc() for c in order_desc])
-    r = files.withColumn("rank_newest", F.row_number().over(w))
+    r = files.withColumn("rank_newest", F.row_number().over(w).cast("bigint"))
     return r.withColumn("action", F.when(F.col("rank_newest") <= keep_n, "keep").otherwise("delete"))
 
 
