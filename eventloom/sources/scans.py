@@ -21,7 +21,7 @@ DEFAULT_FRAMING = "non-transparent"
 DEFAULT_FACILITY = 1
 DEFAULT_SEVERITY = 6
 DEFAULT_HOSTNAME = "{{hostname}}"
-DEFAULT_APP_NAME = "syslog-generator"
+DEFAULT_APP_NAME = "eventloom"      # our default; no result depends on it
 NIL = "-"
 # ------------------------------------------------------------------------------------------------
 

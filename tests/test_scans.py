@@ -18,7 +18,7 @@ def test_profile_defaults(spark):
     assert t[0].connections == 1 and t[0].framing == "non-transparent" and t[1].connections == 2
     ph = scans.read_profiles(spark, os.path.join(FIX, "profile_two_targets.json")).select(F.explode("phases").alias("p")) \
         .select("p.name", "p.syslog.facility", "p.syslog.app_name", "p.duration_secs").collect()
-    assert [(r.name, r.facility, r.app_name) for r in ph] == [("warmup", 1, "syslog-generator"), ("steady", 1, "syslog-generator")]
+    assert [(r.name, r.facility, r.app_name) for r in ph] == [("warmup", 1, "eventloom"), ("steady", 1, "eventloom")]
     assert ph[1].duration_secs == 0
 
 
