@@ -32,7 +32,7 @@ def delivery_log(spark, sf_dir, with_lost: bool = False):
     r = routing.route_weighted(msgs, t, seq="seq", weight="weight", order="target_idx")
     return r.select("seq", "ts", F.col("app_name").alias("phase"), "target", "transport", "lost",
                     F.when(F.col("app_name") == "error", "error").otherwise("ok").alias("result"),
-                    F.octet_length(fm.frame_lf(F.col("message"))).cast("bigint").alias("bytes"), "latency")
+                    F.octet_length(fm.frame_lf(F.col("message"))).cast("bigint").alias("bytes"), "latency", "message")
 
 
 def delivery_sql(with_lost: bool = False) -> str:
@@ -41,7 +41,7 @@ def delivery_sql(with_lost: bool = False) -> str:
     return (
         f"SELECT r.seq, r.ts, e.event_type AS phase, s.target, CASE WHEN s.target_idx % 2 = 0 THEN 'tcp' ELSE 'udp' END AS transport, "
         f"{lost} AS lost, CASE WHEN e.event_type = 'error' THEN 'error' ELSE 'ok' END AS result, "
-        "CAST(strlen(r.message || chr(10)) AS BIGINT) AS bytes, e.value / 1000.0 AS latency "
+        "CAST(strlen(r.message || chr(10)) AS BIGINT) AS bytes, e.value / 1000.0 AS latency, r.message "
         f"FROM ({SQL_RENDERED}) r JOIN events e ON r.seq = e.event_id + 1 "
         f"JOIN ({_slots_sql(True)}) s ON (r.seq - 1) % s.total >= s.lo AND (r.seq - 1) % s.total < s.lo + s.w {where}")
 
@@ -238,3 +238,17 @@ def metrics_text(spark, sf_dir):
         [("# HELP eventloom_messages_total Messages sent, by transport, phase, target and result.",),
          ("# TYPE eventloom_messages_total counter",)], "line string")
     return head.unionByName(lines)
+
+
+@register("topic_totals",
+          "SELECT 'logs-' || lower(target) AS topic, count(*) AS records, "
+          "CAST(coalesce(sum(CASE WHEN lost THEN NULL ELSE strlen(message) END), 0) AS BIGINT) AS value_bytes "
+          f"FROM ({delivery_sql(True)}) d GROUP BY ALL")
+def topic_totals_q(spark, sf_dir):
+    """Topic records per target topic, lost messages sent as tombstones (NULL value):
+    every record counts, only non-null value bytes add up."""
+    from eventloom.sources import sinks
+    d = delivery_log(spark, sf_dir, with_lost=True)
+    d = d.withColumn("message", F.when(~F.col("lost"), F.col("message")))   # tombstone when lost
+    frame = sinks.topic_frame(d, F.concat(F.lit("logs-"), F.lower("target")))
+    return sinks.topic_totals(frame, ["topic"])

@@ -67,3 +67,19 @@ def topic_options(brokers: str, compression: str = "none", acks: str = "1", ling
 def write_topic(df: DataFrame, options: Mapping[str, str]) -> None:
     """Batch write of a topic frame; needs the Kafka connector on the classpath."""
     df.write.format("kafka").options(**options).save()
+
+
+def read_topic(spark: SparkSession, brokers: str, topic: str, max_offsets_per_trigger: int = 1000,
+               starting_offsets: str = "latest") -> DataFrame:
+    """Streaming read of a topic (needs the Kafka connector on the classpath)."""
+    servers = ",".join(b.strip() for b in (brokers or "").split(",") if b.strip())
+    return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+                 .option("subscribe", topic).option("startingOffsets", starting_offsets)
+                 .option("maxOffsetsPerTrigger", int(max_offsets_per_trigger)).load())
+
+
+def topic_totals(records: DataFrame, group: list[str] | None = None, value: str = "value") -> DataFrame:
+    """Records and value bytes received; a NULL value counts as a record but adds no bytes."""
+    g = group or []
+    return records.groupBy(*g).agg(F.count(F.lit(1)).alias("records"),
+                                   F.coalesce(F.sum(F.octet_length(value)), F.lit(0)).cast("bigint").alias("value_bytes"))
