@@ -269,3 +269,20 @@ def regex_text_q(spark, sf_dir):
     """Text generated from five patterns per event (the last one does not parse → '')."""
     e = _events(spark, sf_dir).select("seq")
     return e.select("seq", *[regex_text(p, SEED, "seq", n).alias(n) for n, p in REGEX_FIELDS.items()])
+
+
+# ---------------------------------------------------------------- per-row template column
+TPL_COLUMN_SQL = ("concat('user={{user_id}} ', CASE WHEN value > 50 THEN 'big ' ELSE '' END, "
+                  "'type={{event_type}} props={{props}} seq={{seq}} unknown={{nope}}')")
+TPL_VALUES = ["user_id", "event_type", "props", "seq"]
+
+
+@register("template_column_render",
+          f"SELECT seq, {TP.sql_render_template_column('tpl', {n: n for n in TPL_VALUES})} AS message "
+          f"FROM (SELECT event_id + 1 AS seq, {TPL_COLUMN_SQL} AS tpl, user_id, event_type, props FROM events) e")
+def template_column_render(spark, sf_dir):
+    """Templates that differ per row (a template column) rendered with the row's values."""
+    e = table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("seq"), F.expr(TPL_COLUMN_SQL).alias("tpl"),
+                                               "user_id", "event_type", "props")
+    vals = {n: F.col(n) for n in TPL_VALUES}
+    return e.select("seq", TP.render_template_column(F.col("tpl"), vals).alias("message"))

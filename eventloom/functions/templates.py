@@ -129,3 +129,27 @@ def sql_pad_to_bytes(body_sql: str, target: int, seed: int, key_sql: str) -> str
 def placeholder_names(template: Column) -> Column:
     """Distinct placeholder names of a template column (templates stored in a table)."""
     return F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{\{(.+?)\}\}"), 1))
+
+
+def render_template_column(template: Column, values: Mapping[str, Column]) -> Column:
+    """Render a template that differs per row (a template column or a joined template table).
+
+    Each known ``{{name}}`` is replaced by its value (NULL → empty) in the order of
+    ``values``; unknown names stay as written. A value that itself contains a later
+    ``{{name}}`` is replaced again (use :func:`pick_template` for a few fixed templates,
+    which is exact).
+    """
+    names = list(values)
+    if not names:
+        return template
+    m = F.map_from_arrays(F.array(*[F.lit(n) for n in names]),
+                          F.array(*[F.coalesce(values[n].cast("string"), F.lit("")) for n in names]))
+    return F.aggregate(F.map_entries(m), template,
+                       lambda acc, e: F.replace(acc, F.concat(F.lit("{{"), e["key"], F.lit("}}")), e["value"]))
+
+
+def sql_render_template_column(template_sql: str, values: Mapping[str, str]) -> str:
+    out = template_sql
+    for n, v in values.items():
+        out = f"replace({out}, '{{{{{n}}}}}', coalesce(CAST({v} AS VARCHAR), ''))"
+    return out
