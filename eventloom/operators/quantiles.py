@@ -22,6 +22,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.plans.broadcast import maybe_broadcast
+from eventloom.plans.lineage import cut
 
 DEFAULT_BINS = 1024
 DEFAULT_FINAL_MAX = 50_000
@@ -29,10 +30,7 @@ STATE_BROADCAST_ROWS = 1_000_000
 
 
 def _cut_lineage(df: DataFrame) -> DataFrame:
-    try:
-        return df.checkpoint(eager=True)
-    except Exception:  # noqa: BLE001 - no checkpoint dir: keep the plan
-        return df
+    return cut(df)
 
 
 def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, *, bins: int = DEFAULT_BINS,

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from eventloom.functions import curves as CV
 from eventloom.plans.broadcast import maybe_broadcast
+from eventloom.plans.lineage import cut
 
 EXPAND_BLOCK = 100_000
 PREFIX_BLOCK = 10_000
@@ -51,7 +52,9 @@ def prefix_sum(df: DataFrame, part: Sequence[str], order: str, value: str, out:
     part = list(part)
     pb = f"_pb{depth}"
     b = df.withColumn(pb, F.floor(F.col(order) / F.lit(block)).cast("bigint"))
-    totals = b.groupBy(*part, pb).agg(F.sum(value).alias("_bs"))
+    # block totals are small (rows / block): materialize them once so the levels above read
+    # them instead of re-running the input; the input itself is scanned twice in total
+    totals = cut(b.groupBy(*part, pb).agg(F.sum(value).alias("_bs")))
     if depth + 1 < max_depth:
         totals = prefix_sum(totals, part, pb, "_bs", "_incl", block, depth + 1, max_depth) \
             .withColumn("_before", F.col("_incl") - F.col("_bs")).drop("_incl", "_bs")
