@@ -53,11 +53,12 @@ def median_runs(spark, sf_dir):
 
 
 @register("latency_percentiles",
-          "SELECT bench, quantile_cont(time_ns_median, 0.5) AS q50, quantile_cont(time_ns_median, 0.95) AS q95, "
-          f"quantile_cont(time_ns_median, 0.99) AS q99 FROM {EST_SQL} GROUP BY bench")
+          "SELECT bench, round(quantile_cont(time_ns_median, 0.5), 9) AS q50, round(quantile_cont(time_ns_median, 0.95), 9) AS q95, "
+          f"round(quantile_cont(time_ns_median, 0.99), 9) AS q99 FROM {EST_SQL} GROUP BY bench")
 def latency_percentiles(spark, sf_dir):
     """Exact interpolated p50/p95/p99 per bench (distributed rank selection)."""
-    return exact_quantiles(estimates(spark, sf_dir), ["bench"], "time_ns_median", [0.5, 0.95, 0.99])
+    q = exact_quantiles(estimates(spark, sf_dir), ["bench"], "time_ns_median", [0.5, 0.95, 0.99])
+    return q.select("bench", *[F.round(c, 9).alias(c) for c in ("q50", "q95", "q99")])  # interpolation: 9 decimals
 
 
 @register("keep_last",
@@ -345,22 +346,22 @@ def report_pivot(spark, sf_dir):
 
 
 @register("cv_by_cell",
-          f"SELECT workload_id, tool, count(*) AS runs, stddev_samp(achieved_msg_per_sec) / avg(achieved_msg_per_sec) * 100.0 AS cv_pct "
+          f"SELECT workload_id, tool, count(*) AS runs, round(stddev_samp(achieved_msg_per_sec) / avg(achieved_msg_per_sec) * 100.0, 9) AS cv_pct "
           f"FROM ({MEAS_SQL}) m WHERE messages > 0 GROUP BY workload_id, tool")
 def cv_by_cell(spark, sf_dir):
     """Run-to-run variation (cv % = stddev / mean · 100) of the achieved rate per workload and tool."""
     m = measures(spark, sf_dir).filter("messages > 0")
     return m.groupBy("workload_id", "tool").agg(F.count(F.lit(1)).alias("runs"),
-                                                (F.stddev_samp("achieved_msg_per_sec") / F.avg("achieved_msg_per_sec") * 100.0).alias("cv_pct"))
+                                                F.round(F.stddev_samp("achieved_msg_per_sec") / F.avg("achieved_msg_per_sec") * 100.0, 9).alias("cv_pct"))
 
 
 @register("achieved_vs_target",
-          f"SELECT m.workload_id, avg(achieved_msg_per_sec) AS achieved, w.target_msg_per_sec AS target FROM ({MEAS_SQL}) m "
+          f"SELECT m.workload_id, round(avg(achieved_msg_per_sec), 9) AS achieved, w.target_msg_per_sec AS target FROM ({MEAS_SQL}) m "
           f"JOIN (SELECT {', '.join(WL_EXPRS)} FROM region) w USING (workload_id) GROUP BY m.workload_id, w.target_msg_per_sec")
 def achieved_vs_target(spark, sf_dir):
     """Mean achieved rate per workload next to its target (dimension lookup, broadcast)."""
     wl = table(spark, sf_dir, "region").selectExpr(*WL_EXPRS)
-    m = measures(spark, sf_dir).groupBy("workload_id").agg(F.avg("achieved_msg_per_sec").alias("achieved"))
+    m = measures(spark, sf_dir).groupBy("workload_id").agg(F.round(F.avg("achieved_msg_per_sec"), 9).alias("achieved"))
     return m.join(F.broadcast(wl), "workload_id", "inner").select("workload_id", "achieved",
                                                                   F.col("target_msg_per_sec").alias("target"))
 

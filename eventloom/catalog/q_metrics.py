@@ -121,22 +121,23 @@ def _hist_sql(value: str, labels: list[str], bounds) -> str:
     for b in sorted(bounds):
         sel.append(f"SELECT {lab}, '{MX._le_text(b)}' AS le, CAST({float(b)!r} AS DOUBLE) AS le_value, "
                    f"CAST(count(*) FILTER (WHERE {value} <= {float(b)!r}) AS BIGINT) AS bucket_count, "
-                   f"sum({value}) AS sum, count({value}) AS count FROM {D_SQL} GROUP BY {lab}")
+                   f"round(sum({value}), 9) AS sum, count({value}) AS count FROM {D_SQL} GROUP BY {lab}")
     sel.append(f"SELECT {lab}, '+Inf' AS le, CAST('inf' AS DOUBLE) AS le_value, count({value}) AS bucket_count, "
-               f"sum({value}) AS sum, count({value}) AS count FROM {D_SQL} GROUP BY {lab}")
+               f"round(sum({value}), 9) AS sum, count({value}) AS count FROM {D_SQL} GROUP BY {lab}")
     return " UNION ALL ".join(sel)
 
 
 @register("size_histogram", _hist_sql("CAST(bytes AS DOUBLE)", ["target"], MX.SIZE_BUCKETS))
 def size_histogram(spark, sf_dir):
     d = delivery_log(spark, sf_dir)
-    return MX.histogram(d, ["target"], F.col("bytes").cast("double"), MX.SIZE_BUCKETS)
+    return MX.histogram(d, ["target"], F.col("bytes").cast("double"), MX.SIZE_BUCKETS).withColumn("sum", F.round("sum", 9))
 
 
 @register("latency_histogram", _hist_sql("latency", ["phase"], MX.LATENCY_BUCKETS))
 def latency_histogram(spark, sf_dir):
     d = delivery_log(spark, sf_dir)
-    return MX.histogram(d, ["phase"], F.col("latency"), MX.LATENCY_BUCKETS)
+    # a floating sum depends on summation order: the sum carries 9 decimals
+    return MX.histogram(d, ["phase"], F.col("latency"), MX.LATENCY_BUCKETS).withColumn("sum", F.round("sum", 9))
 
 
 def _p95_sql(q: float = 0.95) -> str:
@@ -144,7 +145,7 @@ def _p95_sql(q: float = 0.95) -> str:
     return (
         f"WITH h AS ({h}), f AS (SELECT * FROM h WHERE le <> '+Inf'), "
         "t AS (SELECT phase, bucket_count AS total FROM h WHERE le = '+Inf'), "
-        f"j AS (SELECT f.*, t.total, {q!r} * t.total AS rnk, "
+        f"j AS (SELECT f.*, t.total, CAST({q!r} AS DOUBLE) * t.total AS rnk, "
         "lag(le_value) OVER (PARTITION BY f.phase ORDER BY le_value) AS lo_b, "
         "lag(bucket_count) OVER (PARTITION BY f.phase ORDER BY le_value) AS lo_c, "
         "max(le_value) OVER (PARTITION BY f.phase) AS top FROM f JOIN t USING (phase)), "

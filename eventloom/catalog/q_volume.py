@@ -55,10 +55,11 @@ def rate_linear(spark, sf_dir):
                     CV.rate_at(F.col("t"), LINEAR, 0.0, 0).alias("rate_nodur"))
 
 
-@register("rate_sine", f"SELECT seq, {CV.sql_rate('t', SINE)} AS rate FROM ({EVT_SQL}) e")
+# cos() may differ in the last bit between engines: results carry 9 decimals
+@register("rate_sine", f"SELECT seq, round({CV.sql_rate('t', SINE)}, 9) AS rate FROM ({EVT_SQL}) e")
 def rate_sine(spark, sf_dir):
     e = _ev_t(spark, sf_dir)
-    return e.select("seq", CV.rate_at(F.col("t"), SINE, 0, 0).alias("rate"))
+    return e.select("seq", F.round(CV.rate_at(F.col("t"), SINE, 0, 0), 9).alias("rate"))
 
 
 @register("rate_burst", f"SELECT seq, {CV.sql_rate('t', BURST)} AS rate FROM ({EVT_SQL}) e")
@@ -68,12 +69,12 @@ def rate_burst(spark, sf_dir):
 
 
 @register("anomaly_multiplier", f"SELECT seq, {CV.sql_anomaly_multiplier('t', ANOMALIES)} AS mult, "
-                                f"{CV.sql_anomaly_multiplier('t', ANOMALIES)} * {CV.sql_rate('t', SINE)} AS rate FROM ({EVT_SQL}) e")
+                                f"round({CV.sql_anomaly_multiplier('t', ANOMALIES)} * {CV.sql_rate('t', SINE)}, 9) AS rate FROM ({EVT_SQL}) e")
 def anomaly_multiplier(spark, sf_dir):
     """Product of burst (pmod window), slow-drip (first seconds) and loss (×1) at event times."""
     e = _ev_t(spark, sf_dir)
     m = CV.anomaly_multiplier(F.col("t"), ANOMALIES)
-    return e.select("seq", m.alias("mult"), (m * CV.rate_at(F.col("t"), SINE, 0, 0)).alias("rate"))
+    return e.select("seq", m.alias("mult"), F.round(m * CV.rate_at(F.col("t"), SINE, 0, 0), 9).alias("rate"))
 
 
 def event_phases(spark, sf_dir):
