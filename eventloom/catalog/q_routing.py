@@ -190,3 +190,32 @@ def rotate_size_exact(spark, sf_dir):
     s = rotation.size_segments_exact(r.select("seq", "target", "nbytes"), "target", "seq", "nbytes", ROT_SIZE,
                                      chunk_span=EXACT_CHUNK)
     return rotation.file_summary(s, "target", "segment", "nbytes")
+
+
+ROT_INTERVAL_US = 86_400_000_000      # one day
+EXACT_TIME_CHUNK_US = 21_600_000_000  # six-hour chunks (several per target even at small scale)
+
+
+def _interval_exact_sql() -> str:
+    t_us = f"CAST(date_diff('microsecond', TIMESTAMP '{ROT_ORIGIN}', k.ts) AS BIGINT)"
+    routed = ROUTED_SQL.replace("SELECT k.seq, k.ts,", f"SELECT k.seq, k.ts, {t_us} AS t_us,")
+    return (
+        f"WITH RECURSIVE x AS (SELECT target, seq, t_us, nbytes, row_number() OVER (PARTITION BY target ORDER BY t_us, seq) AS rn "
+        f"FROM ({routed}) r), "
+        "w AS (SELECT target, rn, nbytes, t_us AS t0, CAST(0 AS BIGINT) AS segment FROM x WHERE rn = 1 "
+        "UNION ALL SELECT x.target, x.rn, x.nbytes, "
+        f"CASE WHEN x.t_us - w.t0 >= {ROT_INTERVAL_US} THEN x.t_us ELSE w.t0 END, "
+        f"CASE WHEN x.t_us - w.t0 >= {ROT_INTERVAL_US} THEN w.segment + 1 ELSE w.segment END "
+        "FROM w JOIN x ON x.target = w.target AND x.rn = w.rn + 1) "
+        "SELECT target, segment, count(*) AS messages, CAST(sum(nbytes) AS BIGINT) AS bytes FROM w GROUP BY target, segment")
+
+
+@register("rotate_interval_exact", _interval_exact_sql())
+def rotate_interval_exact(spark, sf_dir):
+    """Exact greedy daily rotation per target: a file starts at its first message and a message
+    a day or more after that start opens the next file (clock restarts at the rotation)."""
+    r = routed_events(spark, sf_dir).withColumn(
+        "t_us", F.timestamp_diff("MICROSECOND", F.lit(ROT_ORIGIN).cast("timestamp_ntz"), F.col("ts")))
+    s = rotation.interval_segments_exact(r.select("seq", "target", "nbytes", "t_us"), "target", "t_us", "t_us",
+                                         ROT_INTERVAL_US, chunk_span=EXACT_TIME_CHUNK_US)
+    return rotation.file_summary(s, "target", "segment", "nbytes")

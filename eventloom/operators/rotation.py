@@ -205,3 +205,101 @@ def _chunks(batches, keys):
             buf.append(pdf.iloc[st:en])
     if buf:
         yield cur, pd.concat(buf, ignore_index=True)
+
+
+# ------------------------------------------------------------------ exact greedy interval rotation
+def _interval_summary(ts: np.ndarray, interval: int):
+    """Transfer table for interval rotation over one chunk (``ts`` sorted).
+
+    State = start time t0 of the open file. Before writing message j, if ts_j - t0 >= interval
+    the writer rotates and the new file starts at ts_j. For an entry t0 the first rotation is
+    at j(t0) = first j with ts_j >= t0 + interval; afterwards the run is fixed. Returns steps
+    [(t0_hi, exit_t0, rotations)] for entries t0 <= t0_hi (ascending t0_hi), plus the rule
+    "no rotation, exit = t0" for larger t0.
+    """
+    m = len(ts)
+    nxt = np.searchsorted(ts, ts + interval, side="left")   # after a rotation at j: next rotation index
+    E = np.zeros(m, dtype=np.int64)                          # exit t0 when a file starts at message j
+    B = np.zeros(m, dtype=np.int64)
+    for j in range(m - 1, -1, -1):
+        k = nxt[j]
+        if k >= m:
+            E[j], B[j] = ts[j], 0
+        else:
+            E[j], B[j] = E[k], 1 + B[k]
+    steps = []
+    # entry t0 never exceeds ts[0] (it is a time already seen), so j(t0) lies in the head
+    head_end = int(np.searchsorted(ts, ts[0] + interval, side="left")) if m else 0
+    for j in range(0, min(head_end + 1, m)):
+        step = (int(ts[j] - interval), int(E[j]), int(1 + B[j]))
+        if steps and steps[-1][1:] == step[1:]:
+            steps[-1] = step   # same outcome: widen the region
+        else:
+            steps.append(step)
+    return steps
+
+
+def _run_interval_chunk(ts: np.ndarray, interval: int, t0: int) -> np.ndarray:
+    """File index (0-based, local) of each message when the chunk is entered with file start t0."""
+    m = len(ts)
+    seg = np.zeros(m, dtype=np.int64)
+    start, f = 0, 0
+    while start < m:
+        k = max(int(np.searchsorted(ts, t0 + interval, side="left")), start)   # next rotation
+        seg[start:k] = f
+        if k >= m:
+            break
+        f += 1
+        t0 = int(ts[k])
+        seg[k] = f
+        start = k + 1
+    return seg
+
+
+def interval_segments_exact(df: DataFrame, target: str, order: str, t_micros: str, interval_micros: int,
+                            out: str = "segment", chunk_span: int = EXACT_CHUNK_SPAN) -> DataFrame:
+    """Exact greedy interval rotation per target: a message whose time is at least
+    ``interval_micros`` after the open file's start goes to a new file that starts at that
+    message's time (the first file starts at the target's first message). Times are integer
+    microseconds (exact comparisons). ``order`` must sort messages by time within a target.
+    Same chunk-parallel scheme as :func:`size_segments_exact`.
+    """
+    interval = int(interval_micros)
+    key_type = df.schema[target].dataType
+    c = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(int(chunk_span))).cast("bigint"))
+    parted = c.repartition(target, "_chunk").sortWithinPartitions(target, "_chunk", order)
+    summ_schema = T.StructType([T.StructField(target, key_type), T.StructField("_chunk", T.LongType()),
+                                T.StructField("first_t", T.LongType()),
+                                T.StructField("steps", T.ArrayType(T.ArrayType(T.LongType())))])
+
+    def summarize(batches):
+        for (t, ch), g in _chunks(batches, [target, "_chunk"]):
+            ts = g[t_micros].to_numpy(dtype=np.int64)
+            yield pd.DataFrame({target: [t], "_chunk": [ch], "first_t": [int(ts[0])],
+                                "steps": [[list(map(int, s)) for s in _interval_summary(ts, interval)]]})
+
+    cols = list(dict.fromkeys([target, "_chunk", order, t_micros]))
+    rows = parted.select(*cols).mapInPandas(summarize, summ_schema) \
+        .orderBy(target, "_chunk").collect()   # one row per chunk
+    entries, cur_t, t0, files = [], object(), 0, 0
+    for r in rows:
+        if r[target] != cur_t:
+            cur_t, t0, files = r[target], int(r["first_t"]), 0
+        entries.append((r[target], r["_chunk"], t0, files))
+        hit = next((s for s in r["steps"] if t0 <= s[0]), None)
+        if hit is not None:
+            t0, files = int(hit[1]), files + int(hit[2])
+    spark = df.sparkSession
+    ent = spark.createDataFrame(entries, T.StructType([T.StructField(target, key_type), T.StructField("_chunk", T.LongType()),
+                                                       T.StructField("_t0", T.LongType()),
+                                                       T.StructField("_files", T.LongType())]))
+    from eventloom.plans.broadcast import maybe_broadcast
+    labelled_in = parted.join(maybe_broadcast(ent), [target, "_chunk"], "inner").sortWithinPartitions(target, "_chunk", order)
+    out_schema = T.StructType(labelled_in.schema.fields + [T.StructField(out, T.LongType())])
+
+    def label(batches):
+        for _, g in _chunks(batches, [target, "_chunk"]):
+            seg = _run_interval_chunk(g[t_micros].to_numpy(dtype=np.int64), interval, int(g["_t0"].iloc[0]))
+            yield g.assign(**{out: seg + int(g["_files"].iloc[0])})
+
+    return labelled_in.mapInPandas(label, out_schema).drop("_chunk", "_t0", "_files")

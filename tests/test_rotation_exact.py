@@ -46,3 +46,51 @@ def test_exact_rotation_over_chunks(spark):
     for span in (64, 700, 100000):
         got = rotation.size_segments_exact(df, "target", "seq", "nbytes", 1000, chunk_span=span).collect()
         assert {(r.target, r.seq): r.segment for r in got} == expected, span
+
+
+def _fold_interval(ts, interval):
+    out, seg, t0 = [], 0, None
+    for t in ts:
+        if t0 is None:
+            t0 = t
+        elif t - t0 >= interval:
+            seg, t0 = seg + 1, t
+        out.append(seg)
+    return out
+
+
+def test_interval_summary_matches_fold():
+    import numpy as np
+    rnd = random.Random(5)
+    for _ in range(200):
+        ts = sorted(rnd.choice([0, 5, 10, 25, 70]) + i * rnd.choice([3, 10, 40]) for i in range(rnd.randint(1, 30)))
+        interval = rnd.choice([10, 30, 100])
+        steps = rotation._interval_summary(np.array(ts, dtype=np.int64), interval)
+        for t0 in [ts[0] - d for d in (0, 2, 10, 29, 30, 99, 150)]:
+            # reference: fold with an open file started at t0
+            cur, rot = t0, 0
+            for t in ts:
+                if t - cur >= interval:
+                    cur, rot = t, rot + 1
+            hit = next((s for s in steps if t0 <= s[0]), None)
+            got = (t0, 0) if hit is None else (hit[1], hit[2])
+            assert got == (cur, rot), (ts, interval, t0, steps)
+            seg = rotation._run_interval_chunk(np.array(ts, dtype=np.int64), interval, t0)
+            assert int(seg[-1]) == rot
+
+
+def test_exact_interval_rotation_over_chunks(spark):
+    rnd = random.Random(9)
+    rows, expected = [], {}
+    for t in ("a", "b"):
+        seqs = sorted(rnd.sample(range(1, 4000), 500))
+        ts, acc = [], 0
+        for _ in seqs:
+            acc += rnd.choice([100_000, 500_000, 2_000_000, 7_000_000])
+            ts.append(acc)
+        rows += [(t, q, x) for q, x in zip(seqs, ts)]
+        expected.update({(t, q): g for q, g in zip(seqs, _fold_interval(ts, 10_000_000))})
+    df = spark.createDataFrame(rows, "target string, seq long, t long")
+    for span in (50, 600, 100000):
+        got = rotation.interval_segments_exact(df, "target", "seq", "t", 10_000_000, chunk_span=span).collect()
+        assert {(r.target, r.seq): r.segment for r in got} == expected, span
