@@ -43,9 +43,20 @@ def draw(seed: int, key, salt: str) -> Column:
     return hex_unit(keyed_hex(seed, key, salt), 1, 13)
 
 
+LANE_BITS = 26
+_LANE_MASK = (1 << LANE_BITS) - 1
+
+
+def _pair(hexstr: Column, p: int) -> Column:
+    # 13 hex digits = 52 bits = two lanes; one conv() serves both (CSE shares it in a projection)
+    return F.conv(F.substring(hexstr, 1 + 13 * p, 13), 16, 10).cast("bigint")
+
+
 def lane(hexstr: Column, i: int) -> Column:
-    """The i-th 32-bit uniform lane (i in 0..3) of a keyed hex string."""
-    return hex_unit(hexstr, 1 + 8 * i, 8)
+    """The i-th 26-bit uniform lane (i in 0..3) of a keyed hex string, in [0, 1)."""
+    v = _pair(hexstr, i // 2)
+    bits = v.bitwiseAND(F.lit(_LANE_MASK)) if i % 2 == 0 else F.shiftright(v, LANE_BITS)
+    return bits / F.lit(float(1 << LANE_BITS))
 
 
 def fast_draw(seed: int, key, salt: str) -> Column:
@@ -87,7 +98,9 @@ def sql_draw(seed: int, key_sql: str, salt: str) -> str:
 
 
 def sql_lane(hex_sql: str, i: int) -> str:
-    return sql_hex_unit(hex_sql, 1 + 8 * i, 8)
+    v = f"CAST(concat('0x', substr({hex_sql}, {1 + 13 * (i // 2)}, 13)) AS BIGINT)"
+    bits = f"({v} & {_LANE_MASK})" if i % 2 == 0 else f"({v} >> {LANE_BITS})"
+    return f"({bits} / {float(1 << LANE_BITS)!r})"
 
 
 def sql_int_from_unit(u_sql: str, lo: int, hi: int) -> str:
