@@ -11,6 +11,7 @@ The fast draw uses ``xxhash64`` (about 3x cheaper, Spark-only).
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from typing import Iterable
 
 from pyspark.sql import Column, functions as F
@@ -20,6 +21,27 @@ TWO_32 = 4294967296.0
 TWO_16 = 65536.0
 
 
+_MODE = ["exact"]
+
+
+@contextmanager
+def draw_mode(mode: str):
+    """Build expressions with ``exact`` (MD5, reproducible in SQL engines) or ``fast``
+    (xxhash64, Spark only, several times cheaper) draws. Read at expression-build time on
+    the driver, so a plan never mixes modes by accident."""
+    if mode not in ("exact", "fast"):
+        raise ValueError(mode)
+    _MODE.append(mode)
+    try:
+        yield
+    finally:
+        _MODE.pop()
+
+
+def current_mode() -> str:
+    return _MODE[-1]
+
+
 def _keys(key) -> list[Column]:
     if isinstance(key, (list, tuple)):
         return [F.col(k) if isinstance(k, str) else k for k in key]
@@ -40,9 +62,35 @@ def hex_unit(hexstr: Column, start: int, ndigits: int) -> Column:
 
 def draw(seed: int, key, salt: str) -> Column:
     """Uniform double in [0, 1) with 52 bits, keyed on ``(seed, key, salt)``."""
+    if current_mode() == "fast":
+        return fast_draw(seed, key, salt)
     return hex_unit(keyed_hex(seed, key, salt), 1, 13)
 
 
+class KeyedBits:
+    """Random material for one (seed, key, salt): unit lanes and 32 hex digits."""
+
+    def __init__(self, seed: int, key, salt: str):
+        self.seed, self.key, self.salt = seed, key, salt
+        self.fast = current_mode() == "fast"
+        self._hex = None
+
+    def hex(self) -> Column:
+        if self._hex is None:
+            if self.fast:
+                parts = [F.lpad(F.lower(F.hex(F.xxhash64(F.lit(int(self.seed)), *_keys(self.key), F.lit(f"{self.salt}#h{i}")))), 16, "0")
+                         for i in range(2)]
+                self._hex = F.concat(*parts)
+            else:
+                self._hex = keyed_hex(self.seed, self.key, self.salt)
+        return self._hex
+
+    def unit(self, i: int) -> Column:
+        if self.fast:
+            return fast_draw(self.seed, self.key, f"{self.salt}#{i}")
+        return lane(self.hex(), i)
+
+
 LANE_BITS = 26
 _LANE_MASK = (1 << LANE_BITS) - 1
 

@@ -29,11 +29,11 @@ URL_PATHS = ["/", "/login", "/api/v1/users", "/health", "/static/app.js", "/sear
 FAKERS = ("ipv4", "ipv6", "mac", "uuid", "hostname", "username", "user_agent", "url", "http_status")
 
 
-def _idx(h: Column, lane_no: int, n: int) -> Column:
-    return F.floor(D.lane(h, lane_no) * F.lit(float(n)))
+def _idx(b: "D.KeyedBits", lane_no: int, n: int) -> Column:
+    return F.floor(b.unit(lane_no) * F.lit(float(n)))
 
 
-def ipv4(h: Column) -> Column:
+def ipv4(h) -> Column:
     return F.concat_ws(
         ".",
         (F.lit(1) + _idx(h, 0, 223)).cast("string"),
@@ -43,16 +43,19 @@ def ipv4(h: Column) -> Column:
     )
 
 
-def ipv6(h: Column) -> Column:
+def ipv6(b) -> Column:
+    h = b.hex()
     groups = [F.regexp_replace(F.substring(h, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)]
     return F.concat_ws(":", *groups)
 
 
-def mac(h: Column) -> Column:
+def mac(b) -> Column:
+    h = b.hex()
     return F.concat_ws(":", *[F.substring(h, 1 + 2 * i, 2) for i in range(6)])
 
 
-def uuid4(h: Column) -> Column:
+def uuid4(b) -> Column:
+    h = b.hex()
     variant = F.substring(F.lit("89ab"),
                           (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1), 1)
     return F.concat(
@@ -62,29 +65,29 @@ def uuid4(h: Column) -> Column:
     )
 
 
-def _host(h: Column, a: int, b: int) -> Column:
+def _host(h, a: int, b: int) -> Column:
     return F.concat(D.pick(HOST_WORDS, _idx(h, a, len(HOST_WORDS))), F.lit("-"),
                     F.lpad((F.lit(1) + _idx(h, b, 99)).cast("string"), 2, "0"))
 
 
-def hostname(h: Column) -> Column:
+def hostname(h) -> Column:
     return _host(h, 0, 1)
 
 
-def username(h: Column) -> Column:
+def username(h) -> Column:
     return D.pick(USER_NAMES, _idx(h, 0, len(USER_NAMES)))
 
 
-def user_agent(h: Column) -> Column:
+def user_agent(h) -> Column:
     return D.pick(USER_AGENTS, _idx(h, 0, len(USER_AGENTS)))
 
 
-def url(h: Column) -> Column:
+def url(h) -> Column:
     return F.concat(F.lit("https://"), _host(h, 0, 1), F.lit(".example.com"),
                     D.pick(URL_PATHS, _idx(h, 2, len(URL_PATHS))))
 
 
-def http_status(h: Column) -> Column:
+def http_status(h) -> Column:
     return D.pick([str(s) for s in HTTP_STATUSES], _idx(h, 0, len(HTTP_STATUSES)))
 
 
@@ -100,7 +103,7 @@ def faker(kind: str, seed: int, key, salt: str | None = None) -> Column:
     fn = _BUILDERS.get(kind)
     if fn is None:
         return F.lit("")
-    return fn(D.keyed_hex(seed, key, salt or f"faker.{kind}"))
+    return fn(D.KeyedBits(seed, key, salt or f"faker.{kind}"))
 
 
 # ---------------------------------------------------------------- SQL mirrors (oracle)

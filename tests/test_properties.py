@@ -84,3 +84,22 @@ def test_placeholder_names(spark):
     got = [r.n for r in df.select(TP.placeholder_names(F.col("t")).alias("n")).collect()]
     assert got == [["x", "y"], []]
     assert TP.placeholders("{{b}}{{a}}{{b}}") == ["b", "a"]
+
+
+def test_fast_mode_keyed_and_in_range(spark):
+    from eventloom.functions import fakers as FK
+    from eventloom.functions.draws import draw_mode
+    with draw_mode("fast"):
+        cols = [FK.faker("ipv4", 5, "id").alias("ip"), FK.faker("uuid", 5, "id").alias("u"),
+                FL.string_field(5, "id", "s", 10).alias("s"), D.draw(5, "id", "x").alias("d")]
+        a = spark.range(1, 3001, numPartitions=1).select("id", *cols)
+        b = spark.range(1, 3001, numPartitions=7).repartition(5).select("id", *cols)
+    assert sorted(a.collect()) == sorted(b.collect())
+    rows = a.collect()
+    for r in rows:
+        o = [int(x) for x in r.ip.split(".")]
+        assert 1 <= o[0] <= 223 and 0 <= o[1] <= 255 and 0 <= o[2] <= 255 and 1 <= o[3] <= 254
+        assert len(r.u) == 36 and r.u[14] == "4" and r.u[19] in "89ab"
+        assert len(r.s) == 10 and 0 <= r.d < 1
+    exact = spark.range(1, 3001).select("id", FK.faker("ipv4", 5, "id").alias("ip"))
+    assert sorted(exact.collect()) != sorted(a.select("id", "ip").collect())
