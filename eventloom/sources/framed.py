@@ -71,3 +71,21 @@ def decode_octet(df: DataFrame, key: str, stream: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "pos", "body", "wire_bytes", "error"])
 
     return df.select(key, stream).mapInPandas(run, out_schema)
+
+
+def read_lf_files(spark, path: str) -> DataFrame:
+    """LF-framed capture files, one file = one connection: conn (file), pos, body, bytes.
+
+    Files are read whole (``binaryFile``, at most 2 GB per file) because an unterminated
+    last line is not a frame and only the file's bytes tell where it ends; files are
+    processed in parallel, and the split is a built-in ``split`` + ``posexplode``.
+    """
+    blobs = spark.read.format("binaryFile").load(path).select(
+        F.col("path").alias("conn"), F.decode(F.col("content"), "UTF-8").alias("stream"))
+    return split_lf(blobs, "conn", "stream")
+
+
+def read_octet_files(spark, path: str) -> DataFrame:
+    """Octet-counted capture files (one file = one connection) decoded frame by frame."""
+    blobs = spark.read.format("binaryFile").load(path).select(F.col("path").alias("conn"), F.col("content"))
+    return decode_octet(blobs, "conn", "content")

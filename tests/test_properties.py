@@ -103,3 +103,16 @@ def test_fast_mode_keyed_and_in_range(spark):
         assert len(r.s) == 10 and 0 <= r.d < 1
     exact = spark.range(1, 3001).select("id", FK.faker("ipv4", 5, "id").alias("ip"))
     assert sorted(exact.collect()) != sorted(a.select("id", "ip").collect())
+
+
+def test_capture_file_scans(spark, tmp_path):
+    from eventloom.sources import framed
+    (tmp_path / "lf").mkdir()
+    (tmp_path / "lf" / "c1.log").write_bytes("a\nbé\n\ntail".encode())
+    (tmp_path / "lf" / "c2.log").write_bytes(b"x\n")
+    got = sorted((r.conn.rsplit("/", 1)[-1], r.pos, r.body, r.wire_bytes) for r in framed.read_lf_files(spark, str(tmp_path / "lf")).collect())
+    assert got == [("c1.log", 0, "a", 2), ("c1.log", 1, "bé", 4), ("c1.log", 2, "", 1), ("c2.log", 0, "x", 2)]
+    (tmp_path / "oc").mkdir()
+    (tmp_path / "oc" / "s.bin").write_bytes(b"3 abc5 hello0 zz")
+    rows = sorted((r.pos, r.body, r.wire_bytes, r.error) for r in framed.read_octet_files(spark, str(tmp_path / "oc")).collect())
+    assert rows == [(0, "abc", 5, None), (5, "hello", 7, None), (12, None, None, "octet-counting: implausible length 0")]
