@@ -44,3 +44,20 @@ def test_scan_prunes_columns(spark):
     plan = _physical(E.queries()["fmt_rfc3164"](spark, SF))
     scan = next(l for l in plan.splitlines() if "FileScan parquet" in l)
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,props:string>" in scan
+
+
+def test_rendered_event_is_one_codegen_stage(spark):
+    # Catalyst keeps a lower Project when collapsing would duplicate an expensive expression
+    # (host name, field values used twice); physically it is still one fused stage, no shuffle
+    for name in ["fmt_rfc3164", "fmt_cef", "schema_project", "template_render"]:
+        plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().treeString()
+        stages = {l.split(")")[0].split("(")[-1] for l in plan.splitlines() if l.lstrip(" +-:").startswith("*(")}
+        assert "Exchange" not in plan and len(stages) == 1, (name, plan)
+
+
+def test_lookup_and_dimension_joins_broadcast(spark):
+    for name in ["mapping_lookup", "achieved_vs_target", "stream_route"]:
+        if name == "stream_route":
+            continue
+        plan = _physical(E.queries()[name](spark, SF))
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, name
