@@ -286,3 +286,24 @@ def template_column_render(spark, sf_dir):
                                                "user_id", "event_type", "props")
     vals = {n: F.col(n) for n in TPL_VALUES}
     return e.select("seq", TP.render_template_column(F.col("tpl"), vals).alias("message"))
+
+
+# ---------------------------------------------------------------- large-domain Zipf pick
+from eventloom.operators import picks  # noqa: E402
+
+ZIPF_PARTS_S = 1.1
+
+
+@register("enum_zipf_domain",
+          f"WITH w AS (SELECT p_partkey, 1.0 / pow(CAST(p_partkey + 1 AS DOUBLE), {ZIPF_PARTS_S!r}) AS wt FROM part), "
+          "c AS (SELECT p_partkey, sum(wt) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, wt FROM w), "
+          "t AS (SELECT sum(wt) AS total FROM w), "
+          f"e AS (SELECT event_id + 1 AS seq, {D.sql_draw(SEED, 'event_id + 1', 'part')} * (SELECT total FROM t) AS x FROM events) "
+          "SELECT e.seq, c.p_partkey FROM e JOIN c ON e.x >= c.hi - c.wt AND e.x < c.hi")
+def enum_zipf_domain(spark, sf_dir):
+    """A Zipf(1.1) pick of one part per event over the whole part table (rank = partkey + 1)."""
+    parts = picks.zipf_weights(table(spark, sf_dir, "part").select("p_partkey").withColumn("rank", F.col("p_partkey") + 1),
+                               "rank", ZIPF_PARTS_S)
+    t = picks.pick_table(parts, "p_partkey", "_w")
+    e = _events(spark, sf_dir).select("seq")
+    return picks.pick_by_weight(e, SEED, "seq", "part", t, keep=["seq", "p_partkey"])

@@ -116,3 +116,15 @@ def test_capture_file_scans(spark, tmp_path):
     (tmp_path / "oc" / "s.bin").write_bytes(b"3 abc5 hello0 zz")
     rows = sorted((r.pos, r.body, r.wire_bytes, r.error) for r in framed.read_octet_files(spark, str(tmp_path / "oc")).collect())
     assert rows == [(0, "abc", 5, None), (5, "hello", 7, None), (12, None, None, "octet-counting: implausible length 0")]
+
+
+def test_domain_pick_equals_literal_pick(spark):
+    from eventloom.operators import picks
+    weights = [5.0, 0.0, 2.5, 1.0, 0.0, 7.0, 3.0]
+    dom = spark.createDataFrame([(i, w) for i, w in enumerate(weights)], "idx long, w double")
+    t = picks.pick_table(dom, "idx", "w", buckets=64)
+    msgs = spark.range(1, 5001).withColumnRenamed("id", "seq")
+    got = {r.seq: r.idx for r in picks.pick_by_weight(msgs, 9, "seq", "m", t, buckets=64, keep=["seq", "idx"]).collect()}
+    ref = {r.seq: r.i for r in msgs.select("seq", FL.enum_index(9, "seq", "m", len(weights), "weighted", weights).alias("i")).collect()}
+    assert got == ref
+    assert 1 not in set(got.values()) and 4 not in set(got.values())
