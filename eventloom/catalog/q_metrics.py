@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.catalog import SEED, register, table
-from eventloom.catalog.q_routing import SQL_RENDERED, _slots_sql, region_targets, rendered_events
-from eventloom.catalog.q_volume import ANOMALIES, EVT_SQL, ORIGIN, _ev_t
+from eventloom.catalog.q_routing import SQL_RENDERED, _slots_sql, region_targets
+from eventloom.catalog.q_volume import ANOMALIES, EVT_SQL, _ev_t
 from eventloom.functions import curves as CV
 from eventloom.functions import formats as fm
 from eventloom.operators import loss, metrics as MX, routing
@@ -231,14 +231,10 @@ def _prom_sql() -> str:
 @register("metrics_text", _prom_sql())
 def metrics_text(spark, sf_dir):
     """Prometheus exposition lines (HELP, TYPE, one sample per label set) for messages_total."""
-    c = MX.count_by(delivery_log(spark, sf_dir), ["transport", "phase", "target", "result"])
-    lines = c.select(MX.prometheus_text(c, "eventloom_messages_total", "", "counter",
-                                        ["transport", "phase", "target", "result"]).alias("line"))
-    spark_ = c.sparkSession
-    head = spark_.createDataFrame(
-        [("# HELP eventloom_messages_total Messages sent, by transport, phase, target and result.",),
-         ("# TYPE eventloom_messages_total counter",)], "line string")
-    return head.unionByName(lines)
+    labels = ["transport", "phase", "target", "result"]
+    c = MX.count_by(delivery_log(spark, sf_dir), labels)
+    return MX.prometheus_lines(c, "eventloom_messages_total", "Messages sent, by transport, phase, target and result.",
+                               "counter", labels)
 
 
 @register("topic_totals",

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.catalog import SEED, register, table
-from eventloom.catalog.q_metrics import D_SQL, LOSS_PCT, _hist_sql
+from eventloom.catalog.q_metrics import D_SQL, LOSS_PCT
 from eventloom.catalog.q_routing import region_targets
 from eventloom.functions import formats as fm
 from eventloom.operators import loss, metrics as MX, routing

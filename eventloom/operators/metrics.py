@@ -107,18 +107,23 @@ def loss_ratio(df: DataFrame, labels: Sequence[str], is_error: Column) -> DataFr
     ).withColumn("loss_ratio", F.try_divide(F.col("errors").cast("double"), F.col("messages").cast("double")))
 
 
-def prometheus_text(samples: DataFrame, metric: str, help_text: str, mtype: str,
-                    labels: Sequence[str], value: str = "value", suffix: Column | None = None) -> DataFrame:
-    """Render rows as Prometheus exposition lines: ``name{l="v",…} value``.
+def _esc_label(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")),
+                               F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
 
-    Returns one row per sample line plus the ``# HELP``/``# TYPE`` header rows, with a
-    ``line_no`` ordering column (header first). Label values escape ``\\``, ``"`` and LF.
-    """
-    def esc(c: Column) -> Column:
-        return F.replace(F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")),
-                                   F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    lab = F.concat_ws(",", *[F.concat(F.lit(f'{l}="'), esc(F.col(l)), F.lit('"')) for l in labels]) if labels else F.lit("")
+
+def prometheus_sample(metric: str, labels: Sequence[str], value: str = "value", suffix: Column | None = None) -> Column:
+    """One exposition line per row: ``name{l="v",…} value`` (label values escape ``\\``, ``"``, LF)."""
+    lab = F.concat_ws(",", *[F.concat(F.lit(f'{l}="'), _esc_label(F.col(l)), F.lit('"')) for l in labels]) \
+        if labels else F.lit("")
     name = F.lit(metric) if suffix is None else F.concat(F.lit(metric), suffix)
-    body = F.concat(name, F.when(lab != "", F.concat(F.lit("{"), lab, F.lit("}"))).otherwise(F.lit("")),
+    return F.concat(name, F.when(lab != "", F.concat(F.lit("{"), lab, F.lit("}"))).otherwise(F.lit("")),
                     F.lit(" "), F.col(value).cast("string"))
-    return body
+
+
+def prometheus_lines(samples: DataFrame, metric: str, help_text: str, mtype: str, labels: Sequence[str],
+                     value: str = "value") -> DataFrame:
+    """``# HELP`` / ``# TYPE`` header lines and one sample line per row, as a ``line`` column."""
+    head = samples.sparkSession.createDataFrame([(f"# HELP {metric} {help_text}",), (f"# TYPE {metric} {mtype}",)],
+                                                "line string")
+    return head.unionByName(samples.select(prometheus_sample(metric, labels, value).alias("line")))

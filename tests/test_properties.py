@@ -128,3 +128,10 @@ def test_domain_pick_equals_literal_pick(spark):
     ref = {r.seq: r.i for r in msgs.select("seq", FL.enum_index(9, "seq", "m", len(weights), "weighted", weights).alias("i")).collect()}
     assert got == ref
     assert 1 not in set(got.values()) and 4 not in set(got.values())
+
+
+def test_prometheus_lines_escape_labels(spark):
+    from eventloom.operators import metrics as MX
+    df = spark.createDataFrame([('a"b\\c', 3)], "t string, value long")
+    lines = [r.line for r in MX.prometheus_lines(df, "m_total", "help", "counter", ["t"]).collect()]
+    assert lines == ["# HELP m_total help", "# TYPE m_total counter", 'm_total{t="a\\"b\\\\c"} 3']
