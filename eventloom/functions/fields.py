@@ -31,8 +31,11 @@ I64_MAX = 9223372036854775807
 DATETIME_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 # --------------------------------------------------------------------------------------
 
-_HEX_PER_CHAR = 4          # 16-bit draw per character
-_CHARS_PER_HASH = 32 // _HEX_PER_CHAR
+_SLICE_BITS = 17           # bits per character draw
+_SLICES = 3                # characters per 13-hex-digit (52-bit) chunk: one conv() serves three
+_CHUNKS = 2                # 13-digit chunks used from each 32-digit hash
+_CHARS_PER_HASH = _SLICES * _CHUNKS
+_HEX_BLOCK = 32
 
 
 def _u(seed, key, salt):
@@ -56,18 +59,27 @@ def _block_hex(seed: int, keys: list[Column], salt: str, b) -> Column:
                              b.cast("string")))
 
 
-def _char_at(cs: Column, k: float, h: Column, start) -> Column:
-    v = F.conv(F.substring(h, start, _HEX_PER_CHAR), 16, 10).cast("bigint")
-    return F.substring(cs, (F.lit(1) + F.floor(v * F.lit(k) / F.lit(65536.0))).cast("int"), 1)
+def _chunk_value(h: Column, start) -> Column:
+    return F.conv(F.substring(h, start, 13), 16, 10).cast("bigint")
+
+
+def _char_from(cs: Column, k: float, v: Column, sl) -> Column:
+    if isinstance(sl, Column):   # per-row slice index: v < 2^52, so dividing by 2^(17 s) is exact
+        bits = F.pmod(F.floor(v / F.pow(F.lit(2.0), (sl * _SLICE_BITS).cast("double"))).cast("bigint"),
+                      F.lit(1 << _SLICE_BITS))
+    else:
+        bits = F.shiftright(v, sl * _SLICE_BITS).bitwiseAND(F.lit((1 << _SLICE_BITS) - 1))
+    return F.substring(cs, (F.lit(1) + F.floor(bits * F.lit(k) / F.lit(float(1 << _SLICE_BITS)))).cast("int"), 1)
 
 
 def keyed_text(seed: int, key, salt: str, length, charset: str) -> Column:
     """Random text of ``length`` characters (Column or int) from ``charset``.
 
-    One MD5 per 8 characters: character i reads 4 hex digits (16 bits) of the hash of
-    block ``i div 8``. A literal length is unrolled into plain expressions (codegen, one
-    hash per block shared by common-subexpression elimination); a per-row length uses
-    higher-order functions over the blocks.
+    One MD5 per 6 characters: character i uses block ``i div 6``; within the block two
+    13-hex-digit chunks each give three 17-bit draws (one ``conv`` per three characters).
+    A literal length is unrolled into plain expressions (codegen; a chunk shared by three
+    characters is computed once by common-subexpression elimination); a per-row length
+    uses higher-order functions over the blocks.
     """
     cs = F.lit(charset)
     k = float(len(charset))
@@ -77,17 +89,25 @@ def keyed_text(seed: int, key, salt: str, length, charset: str) -> Column:
         if n <= 0:
             return F.lit("")
         hs = [_block_hex(seed, keys, salt, b) for b in range((n + _CHARS_PER_HASH - 1) // _CHARS_PER_HASH)]
-        return F.concat(*[_char_at(cs, k, hs[i // _CHARS_PER_HASH], (i % _CHARS_PER_HASH) * _HEX_PER_CHAR + 1)
-                          for i in range(n)])
+        out = []
+        for i in range(n):
+            b, r = divmod(i, _CHARS_PER_HASH)
+            ch, sl = divmod(r, _SLICES)
+            out.append(_char_from(cs, k, _chunk_value(hs[b], 1 + 13 * ch), sl))
+        return F.concat(*out)
     n = length.cast("int")
     nblocks = F.greatest(F.ceil(n / F.lit(float(_CHARS_PER_HASH))).cast("int"), F.lit(1))
     blocks = F.transform(F.sequence(F.lit(0), nblocks - 1), lambda b: _block_hex(seed, keys, salt, b))
     hexall = F.array_join(blocks, "")
 
     def chars(h):
-        return F.array_join(F.transform(
-            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-            lambda i: _char_at(cs, k, h, i * _HEX_PER_CHAR + 1)), "")
+        def one(i):
+            b = F.floor(i / _CHARS_PER_HASH).cast("int")
+            r = i - b * _CHARS_PER_HASH
+            ch = F.floor(r / _SLICES).cast("int")
+            sl = r - ch * _SLICES
+            return _char_from(cs, k, _chunk_value(h, b * _HEX_BLOCK + ch * 13 + 1), sl)
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one), "")
 
     text = F.element_at(F.transform(F.array(hexall), chars), 1)
     return F.when(n > 0, text).otherwise(F.lit(""))
@@ -277,9 +297,11 @@ def sql_keyed_text(seed, key_sql, salt, length_sql, charset) -> str:
     k = float(len(charset))
     blocks = (f"array_to_string(list_transform(range(0, greatest(CAST(ceil(({length_sql}) / {float(_CHARS_PER_HASH)!r}) AS BIGINT), 1)), "
               f"lambda b: md5(concat_ws(':', '{int(seed)}', CAST({key_sql} AS VARCHAR), '{salt}', CAST(b AS VARCHAR)))), '')")
+    start = f"CAST((i // {_CHARS_PER_HASH}) * {_HEX_BLOCK} + ((i % {_CHARS_PER_HASH}) // {_SLICES}) * 13 + 1 AS BIGINT)"
+    v = f"CAST(concat('0x', substr({blocks}, {start}, 13)) AS BIGINT)"
+    bits = f"(({v} >> CAST(((i % {_CHARS_PER_HASH}) % {_SLICES}) * {_SLICE_BITS} AS INTEGER)) & {(1 << _SLICE_BITS) - 1})"
     chars = (f"array_to_string(list_transform(range(0, {length_sql}), lambda i: substr('{charset}', "
-             f"CAST(1 + floor(CAST(concat('0x', substr({blocks}, CAST(i * {_HEX_PER_CHAR} + 1 AS BIGINT), {_HEX_PER_CHAR})) AS BIGINT) "
-             f"* {k!r} / 65536.0) AS BIGINT), 1)), '')")
+             f"CAST(1 + floor({bits} * {k!r} / {float(1 << _SLICE_BITS)!r}) AS BIGINT), 1)), '')")
     return f"(CASE WHEN ({length_sql}) > 0 THEN {chars} ELSE '' END)"
 
 

@@ -135,3 +135,11 @@ def test_prometheus_lines_escape_labels(spark):
     df = spark.createDataFrame([('a"b\\c', 3)], "t string, value long")
     lines = [r.line for r in MX.prometheus_lines(df, "m_total", "help", "counter", ["t"]).collect()]
     assert lines == ["# HELP m_total help", "# TYPE m_total counter", 'm_total{t="a\\"b\\\\c"} 3']
+
+
+def test_keyed_text_column_length_equals_literal(spark):
+    df = spark.range(1, 301).select("id", F.lit(13).alias("n"))
+    a = df.select("id", FL.keyed_text(3, "id", "s", 13, FL.ALNUM).alias("t"))
+    b = df.select("id", FL.keyed_text(3, "id", "s", F.col("n"), FL.ALNUM).alias("t"))
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert all(len(r.t) == 13 for r in a.collect())
