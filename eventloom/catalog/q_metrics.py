@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.catalog import SEED, register, table
-from eventloom.catalog.q_routing import SQL_RENDERED, _slots_sql, region_targets
+from eventloom.catalog.q_routing import ROT_INTERVAL, ROT_ORIGIN, SQL_RENDERED, _slots_sql, region_targets
 from eventloom.catalog.q_volume import ANOMALIES, EVT_SQL, _ev_t
 from eventloom.functions import curves as CV
 from eventloom.functions import formats as fm
@@ -249,3 +249,39 @@ def topic_totals_q(spark, sf_dir):
     d = d.withColumn("message", F.when(~F.col("lost"), F.col("message")))   # tombstone when lost
     frame = sinks.topic_frame(d, F.concat(F.lit("logs-"), F.lower("target")))
     return sinks.topic_totals(frame, ["topic"])
+
+
+def event_log(spark, sf_dir):
+    """Delivery events by kind: ``error`` (send failed), ``dropped`` (lost before sending) and
+    ``rotation`` (a new daily file per target after its first), with transport/phase/target."""
+    from eventloom.operators import rotation
+    d = delivery_log(spark, sf_dir, with_lost=True)
+    errors = d.filter((F.col("result") == "error") & ~F.col("lost")).select(
+        F.lit("error").alias("kind"), "transport", "phase", "target")
+    dropped = d.filter("lost").select(F.lit("dropped").alias("kind"), "transport", "phase", "target")
+    sent = d.filter(~F.col("lost")).withColumn("segment", rotation.interval_segment(
+        CV.seconds_since(F.col("ts"), ROT_ORIGIN), ROT_INTERVAL))
+    files = sent.select("transport", "target", "segment").distinct()
+    first = files.groupBy("transport", "target").agg(F.min("segment").alias("_s0"))
+    rotations = files.join(first, ["transport", "target"]).filter(F.col("segment") > F.col("_s0")).select(
+        F.lit("rotation").alias("kind"), "transport", F.lit(None).cast("string").alias("phase"), "target")
+    return errors.unionByName(dropped).unionByName(rotations)
+
+
+_EVLOG_SQL = (
+    f"WITH d AS ({delivery_sql(True)}), "
+    "f AS (SELECT transport, target, CAST(floor(" + CV.sql_seconds_since("ts", ROT_ORIGIN) + f" / {ROT_INTERVAL!r}) AS BIGINT) AS segment "
+    "FROM d WHERE NOT lost GROUP BY ALL), "
+    "s0 AS (SELECT transport, target, min(segment) AS s0 FROM f GROUP BY ALL), "
+    "ev AS (SELECT 'error' AS kind, transport, phase, target FROM d WHERE result = 'error' AND NOT lost "
+    "UNION ALL SELECT 'dropped', transport, phase, target FROM d WHERE lost "
+    "UNION ALL SELECT 'rotation', f.transport, CAST(NULL AS VARCHAR), f.target FROM f JOIN s0 USING (transport, target) "
+    "WHERE f.segment > s0.s0) "
+    "SELECT kind, target, count(*) AS value FROM ev GROUP BY kind, target")
+
+
+@register("event_log_counts", _EVLOG_SQL)
+def event_log_counts(spark, sf_dir):
+    """Counters over an event log with a ``kind`` column (errors, drops, rotations) by
+    (kind, target): the one count_by operator serves every counter family."""
+    return MX.count_by(event_log(spark, sf_dir), ["kind", "target"])
