@@ -13,6 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventloom.operators.schedule import prefix_sum
+from eventloom.plans.lineage import cut
 
 MIB = 1 << 20
 DEFAULT_MAX_FILES = 10
@@ -130,8 +131,8 @@ def size_segments_exact(df: DataFrame, target: str, order: str, nbytes: str, lim
     1. Messages are cut per target into chunks of ``chunk_span`` consecutive ``order``
        values; each chunk (bounded size, sorted within its task) yields a small transfer
        table: entry carry → exit carry and number of rotations (:func:`_chunk_summary`).
-    2. The driver folds the per-chunk tables in order (one small row per chunk, not per
-       message) to get every chunk's entry carry and files-before count.
+    2. A grouped fold per target runs over the chunk summaries in order (one small row per
+       chunk, no message data) to get every chunk's entry carry and files-before count.
     3. Each chunk is labelled again from its entry carry; file = files-before + local index.
     """
     limit = int(limit_bytes)
@@ -150,27 +151,23 @@ def size_segments_exact(df: DataFrame, target: str, order: str, nbytes: str, lim
                                 "steps": [[list(s) for s in _chunk_summary(sizes, limit)]]})
 
     summaries = parted.select(target, "_chunk", order, nbytes).mapInPandas(summarize, summ_schema)
-    rows = summaries.orderBy(target, "_chunk").collect()   # one row per chunk
-    entries = []
-    cur_t, carry, files = object(), 0, 0
-    for r in rows:
-        if r[target] != cur_t:
-            cur_t, carry, files = r[target], 0, 0
-        entries.append((r[target], r["_chunk"], carry, files))
-        steps = r["steps"]
-        pick = None
-        for c_lo, ex, nb in steps:
-            if c_lo <= carry:
-                pick = (ex, nb)
-        if pick is None:  # cannot happen: the lowest step starts at 0 or the chunk has no rotation
-            raise RuntimeError("no transfer step for entry carry")
-        ex, nb = pick
-        carry = carry + int(r["total"]) if ex == -1 else ex
-        files += nb
-    spark = df.sparkSession
-    ent = spark.createDataFrame(entries, T.StructType([T.StructField(target, key_type), T.StructField("_chunk", T.LongType()),
-                                                       T.StructField("_carry", T.LongType()),
-                                                       T.StructField("_files", T.LongType())]))
+    ent_schema = T.StructType([T.StructField(target, key_type), T.StructField("_chunk", T.LongType()),
+                               T.StructField("_carry", T.LongType()), T.StructField("_files", T.LongType())])
+
+    def fold(pdf):
+        # one target's chunk summaries (one small row per chunk), folded in chunk order
+        pdf = pdf.sort_values("_chunk")
+        carry, files, out = 0, 0, []
+        for ch, total, steps in zip(pdf["_chunk"], pdf["total"], pdf["steps"]):
+            out.append((ch, carry, files))
+            ex, nb = [(s[1], s[2]) for s in steps if s[0] <= carry][-1]
+            carry = carry + int(total) if ex == -1 else int(ex)
+            files += int(nb)
+        return pd.DataFrame({target: pdf[target].iloc[0], "_chunk": [o[0] for o in out],
+                             "_carry": [o[1] for o in out], "_files": [o[2] for o in out]})
+
+    # entry states: one small row per chunk, materialized once (the data pass is not repeated)
+    ent = cut(summaries.groupBy(target).applyInPandas(fold, ent_schema))
     from eventloom.plans.broadcast import maybe_broadcast
     labelled_in = parted.join(maybe_broadcast(ent), [target, "_chunk"], "inner") \
         .sortWithinPartitions(target, "_chunk", order)
@@ -279,20 +276,23 @@ def interval_segments_exact(df: DataFrame, target: str, order: str, t_micros: st
                                 "steps": [[list(map(int, s)) for s in _interval_summary(ts, interval)]]})
 
     cols = list(dict.fromkeys([target, "_chunk", order, t_micros]))
-    rows = parted.select(*cols).mapInPandas(summarize, summ_schema) \
-        .orderBy(target, "_chunk").collect()   # one row per chunk
-    entries, cur_t, t0, files = [], object(), 0, 0
-    for r in rows:
-        if r[target] != cur_t:
-            cur_t, t0, files = r[target], int(r["first_t"]), 0
-        entries.append((r[target], r["_chunk"], t0, files))
-        hit = next((s for s in r["steps"] if t0 <= s[0]), None)
-        if hit is not None:
-            t0, files = int(hit[1]), files + int(hit[2])
-    spark = df.sparkSession
-    ent = spark.createDataFrame(entries, T.StructType([T.StructField(target, key_type), T.StructField("_chunk", T.LongType()),
-                                                       T.StructField("_t0", T.LongType()),
-                                                       T.StructField("_files", T.LongType())]))
+    summaries = parted.select(*cols).mapInPandas(summarize, summ_schema)
+    ent_schema = T.StructType([T.StructField(target, key_type), T.StructField("_chunk", T.LongType()),
+                               T.StructField("_t0", T.LongType()), T.StructField("_files", T.LongType())])
+
+    def fold(pdf):
+        pdf = pdf.sort_values("_chunk")
+        t0, files, out = int(pdf["first_t"].iloc[0]), 0, []
+        for ch, steps in zip(pdf["_chunk"], pdf["steps"]):
+            out.append((ch, t0, files))
+            hit = next((s for s in steps if t0 <= s[0]), None)
+            if hit is not None:
+                t0, files = int(hit[1]), files + int(hit[2])
+        return pd.DataFrame({target: pdf[target].iloc[0], "_chunk": [o[0] for o in out],
+                             "_t0": [o[1] for o in out], "_files": [o[2] for o in out]})
+
+    # entry states: one small row per chunk, materialized once (the data pass is not repeated)
+    ent = cut(summaries.groupBy(target).applyInPandas(fold, ent_schema))
     from eventloom.plans.broadcast import maybe_broadcast
     labelled_in = parted.join(maybe_broadcast(ent), [target, "_chunk"], "inner").sortWithinPartitions(target, "_chunk", order)
     out_schema = T.StructType(labelled_in.schema.fields + [T.StructField(out, T.LongType())])

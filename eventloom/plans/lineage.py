@@ -1,7 +1,7 @@
 """Lineage cuts for iterative or multi-level plans.
 
 ``checkpoint()`` writes to the shared folder named by ``spark.checkpoint.dir`` (reliable:
-a lost executor does not lose it). ``localCheckpoint`` is never used.
+a lost executor does not lose it); executor-local checkpoints are never used.
 """
 
 from __future__ import annotations
