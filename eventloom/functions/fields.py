@@ -243,8 +243,14 @@ def field_order(schema: Mapping[str, Mapping[str, Any]]) -> list[list[str]]:
 
 
 def with_fields(df: DataFrame, schema: Mapping[str, Mapping[str, Any]], seed: int, key,
-                ts: str | Column | None = None) -> DataFrame:
-    """Add one string column per schema field (see module doc)."""
+                ts: str | Column | None = None, mode: str | None = None) -> DataFrame:
+    """Add one string column per schema field (see module doc).
+
+    ``mode`` ("exact" or "fast") overrides the current draw mode for these fields.
+    """
+    if mode is not None:
+        with D.draw_mode(mode):
+            return with_fields(df, schema, seed, key, ts)
     tsc = F.col(ts) if isinstance(ts, str) else ts
     out = df
     for level in field_order(schema):

@@ -143,3 +143,14 @@ def test_keyed_text_column_length_equals_literal(spark):
     b = df.select("id", FL.keyed_text(3, "id", "s", F.col("n"), FL.ALNUM).alias("t"))
     assert sorted(a.collect()) == sorted(b.collect())
     assert all(len(r.t) == 13 for r in a.collect())
+
+
+def test_with_fields_mode_argument(spark):
+    from eventloom.functions.draws import draw_mode
+    schema = {"ip": {"type": "faker", "faker": "ipv4"}, "n": {"type": "int", "min": 1, "max": 9}}
+    base = spark.range(1, 201)
+    a = FL.with_fields(base, schema, 1, "id", mode="fast").collect()
+    with draw_mode("fast"):
+        b = FL.with_fields(base, schema, 1, "id").collect()
+    c = FL.with_fields(base, schema, 1, "id").collect()
+    assert sorted(a) == sorted(b) and sorted(a) != sorted(c)
