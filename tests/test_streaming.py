@@ -58,3 +58,22 @@ def test_late_rows_dropped_by_watermark(spark, tmp_path):
     # the late row (v=100) belongs to the first hour, which had closed before it arrived
     assert all(v < 100 for v in totals.values())
     assert sum(totals.values()) <= 61
+
+
+def test_live_messages_stream(spark, tmp_path):
+    from eventloom.streaming.generate import live_messages
+    schema = {"user": {"type": "faker", "faker": "username"}, "code": {"type": "int", "min": 100, "max": 599}}
+    s = live_messages(spark, 500, schema, "user={{user}} code={{code}} seq={{sequence}}", "rfc3164",
+                      loss_percent=5.0, partitions=2, facility=3, severity=4, hostname="live-host", app_name="gen")
+    q = (s.writeStream.format("memory").queryName("live_test").option("checkpointLocation", str(tmp_path / "ck"))
+          .trigger(processingTime="1 second").start())
+    try:
+        deadline = time.time() + 30
+        while time.time() < deadline and spark.table("live_test").count() < 200:
+            time.sleep(1)
+    finally:
+        q.stop()
+    rows = spark.table("live_test").collect()
+    assert len(rows) >= 200
+    for r in rows[:50]:
+        assert r.message.startswith("<28>") and " live-host gen: user=" in r.message and f"seq={r.seq}" in r.message
