@@ -73,7 +73,7 @@ def stream_histogram(spark, sf_dir):
           f"SELECT target, count(*) AS messages, CAST(sum(bytes) AS BIGINT) AS bytes FROM {D_SQL} GROUP BY target")
 def stream_route(spark, sf_dir):
     """Stateless streaming fan-out: render, keyed loss and weighted routing per micro-batch,
-    written per target; counts and bytes read back from the sink."""
+    written to one folder per target (idempotent per batch); counts and bytes read back."""
     d = _stream_delivery(spark, sf_dir).select("seq", "target", "bytes")
-    out = RS.run_to_table(spark, d, ["seq"], "stream-route", output_mode="append")
+    out = RS.run_to_table(spark, d, ["seq"], "stream-route", output_mode="append", partition_by=["target"])
     return out.groupBy("target").agg(F.count(F.lit(1)).alias("messages"), F.sum("bytes").cast("bigint").alias("bytes"))
