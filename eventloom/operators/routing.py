@@ -38,13 +38,16 @@ def route_weighted(msgs: DataFrame, targets: DataFrame, seq: str = "seq", weight
 
     Weights below 1 count as 1 (an all-zero table is rejected by the checks).
     """
-    checked_broadcast(targets.select(order), MAX_TARGETS)
-    slots = weight_slots(targets, weight, order)
-    total = slots.count()  # one scalar; bounded by MAX_SLOTS
-    if total == 0:
+    w = F.greatest(F.coalesce(F.col(weight).cast("bigint"), F.lit(1)), F.lit(1)) if weight else F.lit(1).cast("bigint")
+    n_targets, total = targets.agg(F.count(F.lit(1)), F.sum(w)).first()   # one small job, two bounds
+    total = int(total or 0)
+    if n_targets == 0:
         raise ValueError("no targets")
+    if n_targets > MAX_TARGETS:
+        raise ValueError(f"{n_targets} targets exceed {MAX_TARGETS}")
     if total > MAX_SLOTS:
         raise ValueError(f"total weight {total} exceeds {MAX_SLOTS} slots")
+    slots = weight_slots(targets, weight, order)
     keyed = msgs.withColumn("_slot", F.pmod(F.col(seq).cast("bigint") - 1, F.lit(total)))
     return keyed.join(F.broadcast(slots), "_slot", "inner").drop("_slot")
 
