@@ -185,7 +185,8 @@ def integrity(matrix: DataFrame, key: Column) -> DataFrame:
         .withColumn("ok", F.col("violations") == 0)
 
 
-def fmt_cell(status: Column, skip_reason: Column, error: Column, fail_reasons: Column) -> Column:
+def fmt_cell(status: Column, skip_reason: Column, error: Column, fail_reasons: Column,
+             na_reason: Column | None = None) -> Column:
     """Report text of a cell (reasons cut to 27 + '...' beyond 30; errors 37 + '...' beyond 40)."""
     def cut(x: Column, keep: int, limit: int) -> Column:
         return F.when(F.length(x) > limit, F.concat(F.left(x, F.lit(keep)), F.lit("..."))).otherwise(x)
@@ -194,7 +195,9 @@ def fmt_cell(status: Column, skip_reason: Column, error: Column, fail_reasons: C
              .when(status == STATUS_SKIPPED, F.concat(F.lit("skipped ("), cut(F.coalesce(skip_reason, F.lit("")), 27, 30), F.lit(")")))
              .when(status == STATUS_DRY_RUN, F.lit("dry_run"))
              .when(status == STATUS_FAILED, F.concat(F.lit("failed ("), cut(err, 37, 40), F.lit(")")))
-             .when(status == STATUS_NA, F.lit("n/a ()"))
+             .when(status == STATUS_NA, F.concat(F.lit("n/a ("), cut(F.coalesce(na_reason if na_reason is not None
+                                                                         else F.lit(None).cast("string"), F.lit("")), 27, 30),
+                                                 F.lit(")")))
              .otherwise(status))
 
 

@@ -72,3 +72,10 @@ def test_baseline_thresholds_by_category(spark):
     cat = BR.categorize(F.col("label"), [("contains", "hot_path", "hot_path"), ("prefix", "runtime/", "runtime")])
     got = {r.label: r.verdict for r in BR.compare_to_baseline(base, curr, "label", "v", cat, th).collect()}
     assert got == {"hot_path/a": "REGRESS", "runtime/b": "none", "x": "IMPROVE"}
+
+
+def test_fmt_cell_na_reason(spark):
+    df = spark.createDataFrame([("n_a", "topic tool not installed on this host at all")], "status string, r string")
+    got = df.select(BR.fmt_cell(F.col("status"), F.lit(None).cast("string"), F.lit(None).cast("string"),
+                                F.array().cast("array<string>"), F.col("r")).alias("t")).first().t
+    assert got == "n/a (topic tool not installed on...)"
