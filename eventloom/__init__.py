@@ -7,3 +7,10 @@ small configuration literals (templates, weights, field specs) and size checks.
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value, so the executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
