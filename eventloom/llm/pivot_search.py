@@ -265,9 +265,9 @@ def top_k(vectors: DataFrame, is_query=None, id_col: str = "vec_id", vec_col: st
 
 
 TOP_K_SQL = """
-with v as (select vec_id as id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as q from embeddings
-           where embedding is not null and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-s as (select a.id as query_id, b.id as vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2])) as bigint) as score
+with v as (select vec_id as id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as q from embeddings
+           where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id as query_id, b.id as vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) as bigint) as score
       from v a join v b on a.id <> b.id where a.id % 20 = 0)
 select query_id, cast(rank as integer) as rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20
