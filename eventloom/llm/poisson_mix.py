@@ -78,13 +78,13 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, epochs: float
 #: The same rows in DuckDB SQL.
 MIX_SQL = f"""
 with counts as (select source, count(*) as n from documents group by source),
-rates as (select source, round({EPOCHS} * (select sum(n) from counts) * pow(n, {POWER}) / (select sum(pow(n, {POWER})) from counts) / n, 9) as lambda from counts),
-steps as (select source, lambda, k, sum(ln(greatest(k, 1))) over (partition by source order by k) as log_fact
-          from rates, unnest(range(0, cast(ceil(lambda + 12 * sqrt(lambda) + 40) as bigint) + 1)) as t(k)),
-cdfs as (select source, lambda, k, sum(exp(case when k = 0 then -lambda else k * ln(lambda) - lambda - log_fact end))
+rates as (select source, round({EPOCHS} * (select sum(n) from counts) * pow(n, {POWER}) / (select sum(pow(n, {POWER})) from counts) / n, 9) as lam from counts),
+steps as (select source, lam, k, sum(ln(greatest(k, 1))) over (partition by source order by k) as log_fact
+          from rates, unnest(range(0, cast(ceil(lam + 12 * sqrt(lam) + 40) as bigint) + 1)) as t(k)),
+cdfs as (select source, lam, k, sum(exp(case when k = 0 then -lam else k * ln(lam) - lam - log_fact end))
                 over (partition by source order by k) as cdf from steps),
 drawn as (select d.doc_id, any_value(d.text) as text, any_value(d.lang) as lang, any_value(d.source) as source, any_value(d.n_chars) as n_chars,
-                 any_value(c.lambda) as rate, count(*) filter (c.cdf < (cast('0x' || substr(md5('{SEED}:' || d.doc_id), 1, 13) as bigint) + 0.5) / 4503599627370496.0) as copies
+                 any_value(c.lam) as rate, count(*) filter (c.cdf < (cast('0x' || substr(md5('{SEED}:' || d.doc_id), 1, 13) as bigint) + 0.5) / 4503599627370496.0) as copies
           from documents d join cdfs c on d.source is not distinct from c.source group by d.doc_id)
 select doc_id, text, lang, source, n_chars, copy_no, copies, rate,
        substr(md5('{SEED}-order:' || doc_id || ':' || copy_no), 1, 16) as shuffle_key
