@@ -41,6 +41,8 @@ SKETCH_BITS = 22
 SKETCH_SLICES = 64
 #: Largest boundary considered: C(66, 2) postings for one set of 257 shingles never pay.
 MAX_LIGHT = 64
+#: Lists of so many sets have a leader, with which their members are compared first.
+LONG_LIST = 8
 
 
 def allowed_misses(n):
@@ -65,8 +67,10 @@ def _sketch_rows(batches):
 
     def flush():
         nonlocal counts, wait, waiting
-        got = np.bincount((np.concatenate(wait) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size).astype(np.uint32)
-        counts = got if counts is None else counts + got
+        at = np.sort((np.concatenate(wait) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        counts = np.zeros(size, np.uint32) if counts is None else counts
+        counts[at[starts]] += np.diff(np.append(starts, len(at))).astype(np.uint32)
         wait, waiting = [], 0
 
     for batch in batches:
@@ -76,7 +80,7 @@ def _sketch_rows(batches):
                 seen.add(sid)
                 wait.append(s)
                 waiting += len(s)
-                if waiting > 4_000_000:
+                if waiting > 1_000_000:
                     flush()
     if wait:
         flush()
@@ -84,8 +88,8 @@ def _sketch_rows(batches):
         import zlib
         parts = counts.reshape(SKETCH_SLICES, -1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
-            ["slice", "counters"])
+            [pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()),
+             pa.array([int(p.sum()) for p in parts], pa.int64())], ["slice", "counters", "total"])
 
 
 def _sketch_sums(batches):
@@ -98,28 +102,38 @@ def _sketch_sums(batches):
             c = np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64)
             sums[k] = sums[k] + c if k in sums else c
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
-                                         ["slice", "counters"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary()),
+                                          pa.array([int(x.sum()) for x in sums.values()], pa.int64())], ["slice", "counters", "total"])
 
 
-def frequency_bits(docs: DataFrame, text_col: str):
+def _frequent_bits(limit):
+    """Counters to one bit each."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(c, np.uint64) > limit).tobytes() for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["slice", "bits"])
+    return run
+
+
+def frequency_bits(tables: Tables, docs: DataFrame, text_col: str):
     """One bit for every counter of the sketch over all shingles: well above the mean, so frequent.
-    The sketch has 2^22 counters at any input size: 64 slices reach the driver."""
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(_sketch_rows, "slice int, counters binary")
-    sums = rows.repartition("slice").mapInArrow(_sketch_sums, "slice int, counters binary")
-    counts = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.uint32)
-    for r in sums.toLocalIterator():
-        counts[r[0]] = np.minimum(np.frombuffer(r[1], np.uint64), 0xFFFFFFFF)
-    counts = counts.ravel()
-    load = float(counts.mean())
-    return counts > 4 * load + 32
-
-
-def _signature_rows(frequent, load_cols):
+    The sketch has 2^22 counters at any input size; the driver gets their bits, 512 KB."""
+    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(_sketch_rows, "slice int, counters binary, total long")
+    sums = tables.put("sketch", rows.repartition("slice").mapInArrow(_sketch_sums, "slice int, counters binary, total long"))
+    load = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << SKETCH_BITS)
+    bits = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES // 8), np.uint8)
+    for r in sums.mapInArrow(_frequent_bits(int(4 * load + 32)), "slice int, bits binary").collect():
+        bits[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    tables.drop("sketch")
+    return bits.ravel()
+
+
+def _signature_rows(bits):
     """Rows (id, row key, sid, n, first shingles, pairs of first shingles, frequent shingles among the first)."""
     def run(batches):
         import pyarrow as pa
-        shingler, seen = Shingler(WIDTH), set()
+        shingler, seen, frequent = Shingler(WIDTH), set(), np.unpackbits(bits).astype(bool)
         for batch in batches:
             sids, sizes, lists, pairs, scan = [], [], [], [], []
             for _, s in shingler.sets(batch.column(2)):
@@ -161,51 +175,87 @@ def light_boundary(sets: DataFrame) -> int:
     return at
 
 
-def _blob_rows(batches):
+def may_link(shared: str, n: str, n2: str, boundary: int) -> str:
+    """SQL condition: can sets of n and n2 shingles that share so many of their first ones link? All shingles up
+    to the end of one of the two prefixes are known, so beyond it that set adds at most its rest."""
+    rest = lambda x: f"(({NUM} * {x} + {DEN - 1}) div {DEN} - 1)"
+    need = f"(({NUM} * ({n} + {n2}) + {NUM + DEN - 1}) div {NUM + DEN})"
+    return f"(greatest({n}, {n2}) <= {boundary} or {shared} + greatest({rest(n)}, {rest(n2)}) >= {need})"
+
+
+def _short(s):
+    """Distinct 16-bit remainders of a set's shingles, sorted."""
+    return np.unique((s & np.uint64(0xFFFF)).astype(np.uint16))
+
+
+def _set_rows(batches):
     import pyarrow as pa
     shingler, seen = Shingler(WIDTH), set()
     for batch in batches:
-        sids, blobs = [], []
+        sids, sizes, short, items = [], [], [], []
         for _, s in shingler.sets(batch.column(0)):
             sid = _set_id(s)
             if sid not in seen:
                 seen.add(sid)
-                sids.append(sid), blobs.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(blobs, pa.large_binary()).cast(pa.binary())], ["sid", "items"])
+                sids.append(sid), sizes.append(len(s)), short.append(_short(s).tobytes()), items.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(short, pa.binary()), pa.array(items, pa.binary())],
+                                         ["sid", "size", "short", "items"])
+
+
+def _common(left, right) -> int:
+    both = np.concatenate([left, right])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _may_rows(batches):
+    """Rows (a, b, short sets and sizes) that can still link: remainders that coincide inside a set hide at most
+    size - distinct of its shingles, so the bound is exact."""
+    import pyarrow as pa
+    for batch in batches:
+        a, b = [], []
+        for x, y, left, n, right, n2 in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            left, right = np.frombuffer(left, np.uint16), np.frombuffer(right, np.uint16)
+            most = min(n, n2, _common(left, right) + min(n - len(left), n2 - len(right)))
+            if (NUM + DEN) * most >= NUM * (n + n2):
+                a.append(x), b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _verify_rows(batches):
-    """Rows (a, b, left, right) whose whole sets reach the similarity."""
+    """Rows (a, b, whole sets) that reach the similarity."""
     import pyarrow as pa
     for batch in batches:
-        a, b, keep = [], [], zip(*(batch.column(i).to_pylist() for i in range(4)))
-        for x, y, left, right in keep:
+        a, b = [], []
+        for x, y, left, right in zip(*(batch.column(i).to_pylist() for i in range(4))):
             left, right = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-            both = np.concatenate([left, right])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            if DEN * common >= NUM * (len(both) - common):
+            if (NUM + DEN) * _common(left, right) >= NUM * (len(left) + len(right)):
                 a.append(x), b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _verified(tables: Tables, name: str, pairs: DataFrame, docs: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (a, b) of sids that link. Only texts of sets that occur in a pair are read again and shuffled."""
-    pairs = tables.put(f"{name}-pairs", pairs)
+def _read_sets(tables: Tables, name: str, pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(sid, size, short, items) of the sets in pairs (a, b). Only their texts are read again and shuffled."""
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     # one row of documents for every wanted set
     rows = tables.put(f"{name}-rows", ids.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("row_key").alias("row_key")))
     key = row_key(F.col("id"), F.col("text"))
-    source = docs.select(F.col("id"), F.col(text_col).alias("text"))
-    near, _ = split_by_keys(source, key, rows, "row_key")
+    near, _ = split_by_keys(docs.select("id", "text"), key, rows, "row_key")
     chosen = near.withColumn("row_key", key).join(rows.select("row_key"), "row_key", "left_semi")
-    blobs = tables.put(f"{name}-sets", chosen.select(F.col("text").cast("string")).mapInArrow(_blob_rows, "sid long, items binary").dropDuplicates(["sid"]))
-    left = blobs.select(F.col("sid").alias("a"), F.col("items").alias("left"))
-    right = blobs.select(F.col("sid").alias("b"), F.col("items").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    links = tables.put(f"{name}-links", both.mapInArrow(_verify_rows, "a long, b long"))
-    tables.drop(f"{name}-sets", f"{name}-rows")
-    return links
+    sets = chosen.select("text").mapInArrow(_set_rows, "sid long, size long, short binary, items binary").dropDuplicates(["sid"])
+    return tables.put(f"{name}-sets", sets)
+
+
+def _verified(tables: Tables, name: str, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sids that link: first by the short sets, the rest by the whole ones."""
+    def sides(pairs, col, *more):
+        for side, end in (("a", "1"), ("b", "2")):
+            pairs = pairs.join(sets.select(F.col("sid").alias(side), *[F.col(c).alias(c + end) for c in (col, *more)]), side)
+        return pairs
+    may = sides(pairs.select("a", "b"), "short", "size").select("a", "b", "short1", "size1", "short2", "size2")
+    may = tables.put(f"{name}-may", may.mapInArrow(_may_rows, "a long, b long"))
+    whole = sides(may, "items").select("a", "b", "items1", "items2")
+    return tables.put(f"{name}-links", whole.mapInArrow(_verify_rows, "a long, b long"))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,10 +263,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     tables = Tables(spark, "ngram_join")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    frequent = frequency_bits(docs, "text")
+    bits = frequency_bits(tables, docs, "text")
     keyed = docs.select("id", row_key(F.col("id"), F.col("text")).alias("row_key"), "text")
     id_type = dict(docs.dtypes)["id"]
-    sets = tables.put("sets", keyed.mapInArrow(_signature_rows(frequent, None),
+    sets = tables.put("sets", keyed.mapInArrow(_signature_rows(bits),
                       f"id {id_type}, row_key long, sid long, n long, ones array<long>, twos array<long>, often long"))
     boundary = light_boundary(sets)
     near = -(-NUM * (boundary + 1) // DEN)  # light sets from this size on may link with a heavy one
@@ -227,15 +277,29 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other = lambda f: F.expr(f"{f}(sid) over (partition by key order by n, sid)")
     lists = (post.withColumn("prev", other("lag")).withColumn("next", other("lead"))
              .filter("(prev is not null and prev <> sid) or (next is not null and next <> sid)")
-             .withColumn("prev_n", F.expr("lag(n) over (partition by key order by n, sid)")))
-    lists = tables.put("lists", lists.select("key", "sid", "n", "prev", "prev_n"))
+             .withColumn("prev_n", F.expr("lag(n) over (partition by key order by n, sid)"))
+             .withColumn("members", F.expr("count(*) over (partition by key)")))
+    lists = tables.put("lists", lists.select("key", "sid", "n", "prev", "prev_n", "members"))
     ids = sets.select("sid", "row_key")
 
     # neighbours first: for each set, the one it meets most often
-    met = (lists.filter(f"prev <> sid and {DEN} * prev_n >= {NUM} * n").groupBy("sid", "prev").agg(F.count("*").alias("times"))
-           .groupBy("sid").agg(F.max_by("prev", F.struct("times", "prev")).alias("prev")))
-    first = _verified(tables, "first", met.select(F.col("prev").alias("a"), F.col("sid").alias("b")), docs, ids, "text")
-    roots = tables.put("roots", connected(tables, first, "first-cc"))
+    near_by = (lists.filter(f"prev <> sid and {DEN} * prev_n >= {NUM} * n").groupBy("sid", "n", "prev", "prev_n").agg(F.count("*").alias("times"))
+           .filter(may_link("2 * times", "n", "prev_n", boundary)).groupBy("sid").agg(F.max_by("prev", F.struct("times", "prev")).alias("prev")))
+    near_by = near_by.select(F.col("prev").alias("a"), F.col("sid").alias("b"))
+    # and, in long lists, the leader: the member whose first shingles are in the longest lists. Of many edits of one
+    # text, the text itself leads, even if the edits don't link with one another.
+    long = lists.filter(F.col("members") >= LONG_LIST)
+    weight = long.groupBy("sid", "n").agg((F.sum("members") / F.col("n")).alias("weight")).select(F.col("sid").alias("w_sid"), "weight")
+    led = (long.select("key", "sid", "n").distinct().join(weight, F.col("sid") == F.col("w_sid"))
+           .withColumn("lead", F.expr("first(struct(sid, n)) over (partition by key order by weight desc, sid)"))
+           .filter("lead.sid <> sid").groupBy("sid", "n", "lead").agg(F.count("*").alias("times"))
+           .filter(f"{DEN} * least(n, lead.n) >= {NUM} * greatest(n, lead.n) and " + may_link("2 * times", "n", "lead.n", boundary))
+           .groupBy("sid").agg(F.max_by("lead.sid", F.struct("times", "lead.sid")).alias("lead"))
+           .select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")))
+    met = tables.put("met", near_by.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(led).distinct())
+    links = _verified(tables, "first", met, _read_sets(tables, "first", met, docs, ids))
+    roots = tables.put("roots", connected(tables, links, "first-cc"))
+    tables.drop("first-sets")
 
     # then the pairs of different components in the lists that still span several
     root = F.coalesce("root", "sid").alias("root")
@@ -247,9 +311,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tables.drop("marked")
     right = left.select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     cross = (left.join(right, "key").filter(f"root <> root2 and (n < n2 or (n = n2 and sid < sid2)) and {DEN} * n >= {NUM} * n2")
-             .select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct())
-    second = _verified(tables, "second", cross, docs, ids, "text")
-    linked = connected(tables, first.unionByName(second), "all-cc")
+             .groupBy(F.col("sid").alias("a"), F.col("sid2").alias("b"), "n", "n2", "root", "root2").agg(F.count("*").alias("shared"))
+             .filter(may_link("shared", "n", "n2", boundary)))
+    cross = tables.put("cross", cross)
+    tables.drop("open")
+    sets_in = _read_sets(tables, "cross", cross, docs, ids)
+    # one pair of every two components first: if it links, the others need no check
+    order = F.struct(F.col("shared") / (F.col("n") + F.col("n2")), "a", "b")
+    best = (cross.groupBy(F.least("root", "root2").alias("r1"), F.greatest("root", "root2").alias("r2"))
+            .agg(F.max_by(F.struct("a", "b"), order).alias("pair")).select("pair.a", "pair.b"))
+    best = tables.put("best", best)
+    links = tables.put("links-2", links.unionByName(_verified(tables, "best", best, sets_in)))
+    roots = tables.put("roots-2", connected(tables, links, "best-cc"))
+    of = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
+    rest = (cross.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+            .filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    rest = tables.put("rest", rest)
+    linked = connected(tables, links.unionByName(_verified(tables, "rest", rest, sets_in)), "all-cc")
 
     # smallest document id of every component; sums per set first, as copies of one set may be many
     named = sets.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Work on texts of about this many bytes at a time (a longer text is a piece of its own).
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def mix(x):
