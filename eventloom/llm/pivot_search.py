@@ -91,7 +91,7 @@ def _keyed(dim, pivots, m2, query: bool):
     return run
 
 
-def _blocks(dim, most):
+def _blocks(dim, most, kind):
     """Consecutive rows of one pivot, at most `most` together."""
     def run(batches):
         import pyarrow as pa
@@ -103,7 +103,7 @@ def _blocks(dim, most):
             nonlocal number, ids, vecs, dists
             row = pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([pivot], pa.int32()), pa.array([min(dists)], pa.float64()), pa.array([max(dists)], pa.float64()),
-                 pa.array([len(ids)], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(vecs, np.int64).tobytes()], pa.binary())],
+                 pa.array([len(ids)], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(vecs, kind).tobytes()], pa.binary())],
                 ["block", "pivot", "lo", "hi", "n", "ids", "vecs"])
             number += 1
             ids, vecs, dists = [], [], []
@@ -123,10 +123,10 @@ def _blocks(dim, most):
     return run
 
 
-def _block_table(tables: Tables, name: str, keyed: DataFrame, dim: int, most: int) -> DataFrame:
+def _block_table(tables: Tables, name: str, keyed: DataFrame, dim: int, most: int, kind) -> DataFrame:
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(parts, "pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id")
-    return tables.put(name, ordered.mapInArrow(_blocks(dim, most), "block long, pivot int, lo double, hi double, n int, ids binary, vecs binary"))
+    return tables.put(name, ordered.mapInArrow(_blocks(dim, most, kind), "block long, pivot int, lo double, hi double, n int, ids binary, vecs binary"))
 
 
 def _array(blob, dtype, dim=None):
@@ -163,7 +163,7 @@ def _radius(q, m2, kth):
     return np.where(np.isfinite(kth), np.sqrt(np.maximum(d2, 0)) * (1 + 1e-9) + 1e-6, np.inf)
 
 
-def _expand(dim, pivots, m2, k):
+def _expand(dim, pivots, m2, k, kind):
     """cogroup function: one query block and its annuli, in the order of their bounds."""
     def run(key, queries, annuli):
         import pandas as pd
@@ -171,8 +171,7 @@ def _expand(dim, pivots, m2, k):
         if not len(queries) or not len(annuli):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in schema.items()})
         row = queries.iloc[0]
-        q, ids = _array(row["ids_q"], np.int64), None
-        ids, q = q, _array(row["vecs_q"], np.int64, dim)
+        ids, q = _array(row["ids_q"], np.int64), _array(row["vecs_q"], kind, dim)
         best = Best(q, ids, k)
         start = _array(row["kth"], float) if row["kth"] is not None else np.full(len(ids), -np.inf)
         d = _distances(np.hstack([q.astype(float), np.zeros((len(q), 1))]), pivots)
@@ -183,20 +182,20 @@ def _expand(dim, pivots, m2, k):
                 break
             far = np.maximum(a.lo - d[:, a.pivot], d[:, a.pivot] - a.hi)
             if (far <= reach).any():
-                best.add(_array(a.ids, np.int64), _array(a.vecs, np.int64, dim))
+                best.add(_array(a.ids, np.int64), _array(a.vecs, kind, dim))
         pos, at = np.nonzero(np.isfinite(best.scores))
         return pd.DataFrame({"query_id": ids[pos], "vec_id": best.found[pos, at], "score": best.scores[pos, at].astype(np.int64),
                              "qblock": np.full(len(pos), row["q_of"], np.int64), "pos": pos.astype(np.int64)})
     return run
 
 
-def _reaches(dim, pivots, m2):
+def _reaches(dim, pivots, m2, kind):
     """For each query block and pivot, the range of radii that its k-th scores leave open."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
             for number, ids, vecs, kth in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                q = _array(vecs, np.int64, dim).astype(float)
+                q = _array(vecs, kind, dim).astype(float)
                 d = _distances(np.hstack([q, np.zeros((len(q), 1))]), pivots)
                 r = _radius(q, m2, _array(kth, float) if kth is not None else np.full(len(q), -np.inf))[:, None]
                 p = len(pivots)
@@ -224,14 +223,16 @@ def top_k(vectors: DataFrame, is_query=None, id_col: str = "vec_id", vec_col: st
     norm = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
     dim, m2 = rows.agg(F.max(F.size("v")), F.max(norm)).first()
     dim, m2 = max(1, dim or 0), float(m2 or 0.0)
+    # no component is larger than the largest norm
+    kind = next((t for t in (np.int16, np.int32) if m2 < float(np.iinfo(t).max) ** 2), np.int64)
     sample = [r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
     s = np.zeros((len(sample), dim))
     for i, v in enumerate(sample):
         s[i, :len(v)] = v
     pivots = _pivots(np.hstack([s, np.sqrt(np.maximum(m2 - (s * s).sum(1), 0))[:, None]]), dim, PIVOTS)
     keyed = "id long, v array<long>, pivot int, dist double"
-    index = _block_table(tables, "index", rows.mapInArrow(_keyed(dim, pivots, m2, False), keyed), dim, ANNULUS)
-    queries = _block_table(tables, "queries", rows.filter(is_query).mapInArrow(_keyed(dim, pivots, m2, True), keyed), dim, QUERY_BLOCK)
+    index = _block_table(tables, "index", rows.mapInArrow(_keyed(dim, pivots, m2, False), keyed), dim, ANNULUS, kind)
+    queries = _block_table(tables, "queries", rows.filter(is_query).mapInArrow(_keyed(dim, pivots, m2, True), keyed), dim, QUERY_BLOCK, kind)
     queries = queries.select(F.col("block").alias("qblock"), "pivot", "lo", "hi", "n", F.col("ids").alias("ids_q"), F.col("vecs").alias("vecs_q"))
     annuli = index.select("block", "pivot", "lo", "hi")
 
@@ -241,7 +242,7 @@ def top_k(vectors: DataFrame, is_query=None, id_col: str = "vec_id", vec_col: st
         left = wanted.join(blocks, F.col("q_of") == F.col("qblock")).select("q_of", "chunk_of", "ids_q", "vecs_q", "kth")
         right = pairs.join(index, "block").select("qblock", "chunk", "block", "bound", "pivot", "lo", "hi", "ids", "vecs")
         found = left.groupBy("q_of", "chunk_of").cogroup(right.groupBy("qblock", "chunk")).applyInPandas(
-            _expand(dim, pivots, m2, k), "query_id long, vec_id long, score long, qblock long, pos long")
+            _expand(dim, pivots, m2, k, kind), "query_id long, vec_id long, score long, qblock long, pos long")
         ranked = found.withColumn("rank", F.expr("row_number() over (partition by qblock, pos order by score desc, vec_id)"))
         return tables.put(name, ranked.filter(F.col("rank") <= k))
 
@@ -254,7 +255,7 @@ def top_k(vectors: DataFrame, is_query=None, id_col: str = "vec_id", vec_col: st
     kth = (first.filter(F.col("rank") == k).select("qblock", "pos", F.col("score").cast("double").alias("kth"))
            .join(queries.select("qblock", "n"), "qblock").groupBy("qblock").applyInPandas(_kth_blocks(None), "qblock long, kth binary"))
     blocks = tables.put("blocks", queries.join(kth, "qblock", "left"))
-    reach = blocks.select("qblock", "ids_q", "vecs_q", "kth").mapInArrow(_reaches(dim, pivots, m2), "qblock long, pivot int, near double, far double, dmin double, dmax double")
+    reach = blocks.select("qblock", "ids_q", "vecs_q", "kth").mapInArrow(_reaches(dim, pivots, m2, kind), "qblock long, pivot int, near double, far double, dmin double, dmax double")
     open_pairs = (reach.join(annuli, "pivot").filter("hi >= near and lo <= far")
                   .withColumn("bound", F.greatest(F.col("lo") - F.col("dmax"), F.col("dmin") - F.col("hi"), F.lit(0.0))))
     pairs = tables.put("pairs", open_pairs.withColumn("nr", F.expr("row_number() over (partition by qblock order by bound, block)"))
