@@ -238,7 +238,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = seen.join(many, ["line_id", "check"], "left")
     first_row = F.struct("id", "line_no")
     return out.select(F.col("id").alias(id_col), "line_no", F.coalesce("class_id", "line_id").alias("class_id"),
-                      F.coalesce(F.col("keep.id"), F.col("id")).alias("keep_id"), F.coalesce(F.col("keep.line_no"), F.col("line_no")).alias("keep_line"),
+                      F.when(F.col("keep").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),
+                      F.when(F.col("keep").isNull(), F.col("line_no")).otherwise(F.col("keep.line_no")).alias("keep_line"),
                       F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
                       F.coalesce(~first_row.eqNullSafe(F.col("keep")) & F.col("keep").isNotNull(), F.lit(False)).alias("dropped"))
 

@@ -4,9 +4,9 @@ Categories are predicted one after the other by linear models on a text's words;
 categories also get the probabilities of the earlier ones. In training these probabilities come from
 out-of-fold predictions, so a later model never sees an earlier one's answers on texts that taught it.
 
-Features are the distinct lower-cased words of the whole text, hashed to WORDS columns, each weighed by
-the log ratio of its class-conditional frequencies (words in fewer than MIN_DOCS training texts weigh
-nothing); the models are logistic regressions on them, fitted by full-batch gradient steps in numpy on a
+Features are the distinct lower-cased words of the whole text and their four-letter stretches, hashed to
+COLUMNS columns, each weighed by the log ratio of its class-conditional frequencies (columns in fewer than
+MIN_DOCS training texts weigh nothing); the models are logistic regressions on them, fitted by full-batch gradient steps in numpy on a
 bounded sample of labelled texts. The decision threshold of a category is the one with the best F1 on
 the out-of-fold predictions.
 
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import bound_batches
 
-WORDS = 1 << 18
-#: Labelled texts in the training sample, and the most words (distinct) of one that teach.
-SAMPLE = 6000
-MOST_WORDS = 4000
+COLUMNS = 1 << 18
+#: Words whose columns a task remembers.
+REMEMBER = 200_000
+#: Labelled texts in the training sample, and the most columns of one that teach.
+SAMPLE = 4000
+MOST_COLUMNS = 4000
 MIN_DOCS = 8
 FOLDS = 3
 STEPS = 40
@@ -37,11 +39,29 @@ RIDGE = 1e-4
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_ids(text: str | None):
-    """Sorted distinct columns of a text's words."""
-    import zlib
-    words = set(WORD.findall((text or "").lower()))
-    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in words), np.int64, len(words)))
+class Features:
+    """Columns of a text: its distinct words and the distinct four-letter stretches of them, edges included."""
+
+    def __init__(self):
+        self.memo: dict[str, list[int]] = {}
+
+    def of_word(self, word: str) -> list[int]:
+        import zlib
+        got = self.memo.get(word)
+        if got is None:
+            if len(self.memo) > REMEMBER:
+                self.memo.clear()
+            code = lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass")) % COLUMNS
+            edged = f"^{word}$"
+            got = self.memo[word] = [code(word)] + [code("#" + edged[i:i + 4]) for i in range(len(edged) - 3)]
+        return got
+
+    def __call__(self, text: str | None):
+        """Sorted distinct columns."""
+        found: set[int] = set()
+        for word in set(WORD.findall((text or "").lower())):
+            found.update(self.of_word(word))
+        return np.unique(np.fromiter(found, np.int64, len(found)))
 
 
 def _sigmoid(z):
@@ -65,8 +85,8 @@ def fit_one(rows: Rows, dense, y, use):
     mask = use[rows.owner]
     ids, owner = rows.ids[mask], rows.owner[mask]
     pos, neg = max(1, int(y[use].sum())), max(1, int((1 - y[use]).sum()))
-    with_pos = np.bincount(ids[y[owner] == 1], minlength=WORDS)
-    with_neg = np.bincount(ids[y[owner] == 0], minlength=WORDS)
+    with_pos = np.bincount(ids[y[owner] == 1], minlength=COLUMNS)
+    with_neg = np.bincount(ids[y[owner] == 0], minlength=COLUMNS)
     ratio = np.log((with_pos + 0.5) / (pos + 1)) - np.log((with_neg + 0.5) / (neg + 1))
     ratio[with_pos + with_neg < MIN_DOCS] = 0
     # a log ratio within two standard errors of none says nothing
@@ -76,14 +96,14 @@ def fit_one(rows: Rows, dense, y, use):
     ids, owner = ids[live], owner[live]
     value = ratio[ids]
     n = len(y)
-    w, v, b = np.ones(WORDS) * 0.5, np.zeros(dense.shape[1]), float(np.log(pos / neg))
+    w, v, b = np.ones(COLUMNS) * 0.5, np.zeros(dense.shape[1]), float(np.log(pos / neg))
     target, total = y * use, float(use.sum())
-    momentum = [np.zeros(WORDS), np.zeros(dense.shape[1]), 0.0]
-    size = [np.zeros(WORDS), np.zeros(dense.shape[1]), 0.0]
+    momentum = [np.zeros(COLUMNS), np.zeros(dense.shape[1]), 0.0]
+    size = [np.zeros(COLUMNS), np.zeros(dense.shape[1]), 0.0]
     for step in range(1, STEPS + 1):
         z = np.bincount(owner, weights=w[ids] * value, minlength=n) + dense @ v + b
         g = (_sigmoid(z) * use - target) / total
-        grads = [np.bincount(ids, weights=g[owner] * value, minlength=WORDS) + RIDGE * w, dense.T @ g + RIDGE * v, float(g.sum())]
+        grads = [np.bincount(ids, weights=g[owner] * value, minlength=COLUMNS) + RIDGE * w, dense.T @ g + RIDGE * v, float(g.sum())]
         for k, grad in enumerate(grads):
             momentum[k] = 0.9 * momentum[k] + 0.1 * grad
             size[k] = 0.99 * size[k] + 0.01 * grad * grad
@@ -136,8 +156,10 @@ def scores(chain, lists):
 
 def _word_rows(batches):
     import pyarrow as pa
+    features = Features()
     for batch in batches:
-        lists = [word_ids(t)[:MOST_WORDS] for t in batch.column(0).to_pylist()]
+        # columns are hashes in sorted order, so a cut drops them evenly
+        lists = [features(t)[:MOST_COLUMNS] for t in batch.column(0).to_pylist()]
         arrays = [pa.array([x.astype(np.int32).tobytes() for x in lists], pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays + [batch.column(1), batch.column(2)], ["words", "key", "labels"])
 
@@ -160,12 +182,12 @@ def train(docs: DataFrame, labels: DataFrame, categories, id_col: str = "doc_id"
     return fit_chain(lists, answers, [n for n, _ in categories])
 
 
-def _score_rows(chain, extra):
+def _score_rows(chain):
     def run(batches):
         import pyarrow as pa
+        features = Features()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            lists = [word_ids(t) for t in texts]
+            lists = [features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             p = scores(chain, lists)
             flags = [[bool(len(x) and q[c] >= chain[c][4]) for c in range(len(chain))] for x, q in zip(lists, p)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(flags, pa.list_(pa.bool_()))],
@@ -178,7 +200,7 @@ def score_toxicity(docs: DataFrame, chain, id_col: str = "doc_id", text_col: str
     bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("t"))
-    out = rows.mapInArrow(_score_rows(chain, None), f"key {kind}, p array<double>, flags array<boolean>")
+    out = rows.mapInArrow(_score_rows(chain), f"key {kind}, p array<double>, flags array<boolean>")
     cols = [F.col("key").alias(id_col)]
     for i, c in enumerate(chain):
         cols += [F.col("p")[i].alias(f"p_{c[0]}"), F.col("flags")[i].alias(f"is_{c[0]}")]
@@ -195,8 +217,9 @@ def drop_toxic(docs: DataFrame, chain, category: str, text_col: str = "text") ->
 
     def run(batches):
         import pyarrow as pa
+        features = Features()
         for batch in batches:
-            lists = [word_ids(t) for t in batch.column(place).to_pylist()]
+            lists = [features(t) for t in batch.column(place).to_pylist()]
             p = scores(chain, lists)[:, at]
             yield batch.filter(pa.array([not (len(x) and q >= limit) for x, q in zip(lists, p)], pa.bool_()))
     return docs.mapInArrow(run, docs.schema)
