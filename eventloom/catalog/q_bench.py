@@ -25,7 +25,7 @@ def _duck(exprs):
 
 
 EST_SQL = f"(SELECT {_duck(EST_EXPRS)} FROM lineitem) est"
-FIRST = "CAST(run_idx AS BIGINT) * 1000000000 + pos"
+FIRST = "row(run_idx, pos)"
 
 
 def estimates(spark, sf_dir):
@@ -42,7 +42,7 @@ def _median_sql(src: str, label: str = "label") -> str:
 
 
 def _medians(df):
-    return BR.median_runs(df, "label", VALUES, F.col("run_idx").cast("bigint") * 1000000000 + F.col("pos"), ["bench", "grp"])
+    return BR.median_runs(df, "label", VALUES, F.struct("run_idx", "pos"), ["bench", "grp"])
 
 
 @register("median_runs", _median_sql(EST_SQL))
@@ -66,7 +66,7 @@ def latency_percentiles(spark, sf_dir):
 def keep_last(spark, sf_dir):
     """Last estimate per label (by run, then position) with max_by — a partial aggregate."""
     e = estimates(spark, sf_dir)
-    return e.groupBy("label").agg(F.max_by("time_ns_median", F.col("run_idx").cast("bigint") * 1000000000 + F.col("pos")).alias("last_ns"),
+    return e.groupBy("label").agg(F.max_by("time_ns_median", F.struct("run_idx", "pos")).alias("last_ns"),
                                   F.max("run_idx").alias("last_run"))
 
 

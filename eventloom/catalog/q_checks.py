@@ -25,7 +25,7 @@ TARGET_EXPRS = [
     "CAST((s_suppkey % 5) * 100 AS BIGINT) AS reconnect_max_backoff_ms",
     "round(s_acctbal / 1000.0, 3) AS reconnect_multiplier",
     "CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'logs' END AS kafka_topic",
-    "CASE s_suppkey % 4 WHEN 0 THEN 'gzip' WHEN 1 THEN 'brotli' WHEN 2 THEN 'ZSTD' ELSE NULL END AS kafka_compression",
+    "CASE s_suppkey % 6 WHEN 0 THEN 'gzip' WHEN 1 THEN 'brotli' WHEN 2 THEN ' ZSTD ' WHEN 3 THEN 'No' WHEN 4 THEN '' ELSE NULL END AS kafka_compression",
     "CASE s_suppkey % 5 WHEN 0 THEN '0' WHEN 1 THEN ' all ' WHEN 2 THEN '2' ELSE '1' END AS kafka_acks",
 ]
 PHASE_EXPRS = [

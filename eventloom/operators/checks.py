@@ -20,7 +20,7 @@ VALID_DISTRIBUTIONS = ["round-robin", "broadcast", "weighted"]
 VALID_FRAMINGS = ["non-transparent", "octet-counting", "octet_counting", "octet"]
 VALID_SHUTDOWN_MODES = ["drain", "immediate"]
 VALID_TLS_VERSIONS = ["1.2", "1.3"]
-VALID_TOPIC_COMPRESSIONS = ["none", "gzip", "lz4", "snappy", "zstd"]
+VALID_TOPIC_COMPRESSIONS = ["", "no", "none", "gzip", "lz4", "snappy", "zstd"]
 VALID_TOPIC_ACKS = ["0", "1", "all"]
 MAX_FACILITY = 23
 MAX_SEVERITY = 7
@@ -109,7 +109,7 @@ TARGET_RULES = [
          "reconnect_multiplier < 1.0 OR reconnect_multiplier = CAST('inf' AS DOUBLE))", "reconnect_multiplier"),
     Rule("backoff_max_below_initial", "reconnect_max_backoff_ms < reconnect_initial_backoff_ms", "reconnect_max_backoff_ms"),
     Rule("topic_required", "transport = 'kafka' AND coalesce(kafka_topic, '') = ''", "kafka_topic"),
-    Rule("invalid_topic_compression", f"transport = 'kafka' AND kafka_compression IS NOT NULL AND lower(kafka_compression) NOT IN {_in(VALID_TOPIC_COMPRESSIONS)}",
+    Rule("invalid_topic_compression", f"transport = 'kafka' AND kafka_compression IS NOT NULL AND lower(trim(kafka_compression)) NOT IN {_in(VALID_TOPIC_COMPRESSIONS)}",
          "kafka_compression"),
     Rule("invalid_topic_acks", f"transport = 'kafka' AND kafka_acks IS NOT NULL AND trim(kafka_acks) NOT IN {_in(VALID_TOPIC_ACKS)}",
          "kafka_acks"),

@@ -11,6 +11,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -61,7 +64,11 @@ def prefix_sum(df: DataFrame, part: Sequence[str], order: str, value: str, out:
     else:
         w_blocks = Window.partitionBy(*part).orderBy(pb).rowsBetween(Window.unboundedPreceding, -1)
         totals = totals.withColumn("_before", F.coalesce(F.sum("_bs").over(w_blocks), F.lit(0))).drop("_bs")
-    j = b.join(maybe_broadcast(totals, 5_000_000), part + [pb], "inner")
+    # null keys and null orders are values of their own here, so no row is lost in the join
+    names = {c: f"_t{depth}_{i}" for i, c in enumerate([*part, pb])}
+    totals = totals.withColumnsRenamed(names)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(t)) for c, t in names.items()])
+    j = b.join(maybe_broadcast(totals, 5_000_000), same, "inner").drop(*names.values())
     w_in = Window.partitionBy(*part, pb).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return j.withColumn(out, F.col("_before") + F.sum(value).over(w_in)).drop(pb, "_before")
 

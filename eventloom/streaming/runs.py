@@ -71,11 +71,11 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, keys: Sequence[str], name: str,
-                 output_mode: str = "update", timeout_s: int = 600, partition_by: Sequence[str] = ()) -> DataFrame:
+                 output_mode: str = "update", timeout_s: int | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Run ``stream`` to completion (availableNow) and return its final result table."""
     base = scratch_path(spark, name)
     q = write_batches(stream, f"{base}/out", f"{base}/checkpoint", output_mode, partition_by=partition_by)
-    q.awaitTermination(timeout_s)
+    q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
     if q.isActive:
         q.stop()
         raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
