@@ -202,8 +202,8 @@ def fmt_cell(status: Column, skip_reason: Column, error: Column, fail_reasons: C
 
 
 def report_pivot(matrix: DataFrame, workload: str, tools: Sequence[str], text: Column, order: Mapping[str, int]) -> DataFrame:
-    """workload × tool table of the last run's cell text; '-' where a tool has no cell."""
-    last = matrix.groupBy(workload, "tool").agg(F.max_by(text, F.col("run_idx")).alias("_t"))
-    p = last.groupBy(workload).pivot("tool", list(tools)).agg(F.first("_t"))
+    """workload × tool table of the first run's cell text; '-' where a tool has no cell."""
+    first = matrix.groupBy(workload, "tool").agg(F.min_by(text, F.col("run_idx")).alias("_t"))
+    p = first.groupBy(workload).pivot("tool", list(tools)).agg(F.first("_t"))
     ordc = F.coalesce(F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])[F.col(workload)], F.lit(len(order)))
     return p.select(workload, ordc.alias("row_order"), *[F.coalesce(F.col(t), F.lit("-")).alias(t) for t in tools])
