@@ -23,7 +23,7 @@ DEFAULT_COMMAND = "echo ok"
 PID_MIN, PID_MAX = 1, 65535
 # ----------------------------------------------------------------------------------------
 
-_PH = re.compile(r"\{\{(.+?)\}\}", re.S)
+_PH = re.compile(r"\{\{(.*?)\}\}", re.S)
 
 
 def parse_template(text: str) -> list[tuple[str, str]]:
@@ -33,7 +33,8 @@ def parse_template(text: str) -> list[tuple[str, str]]:
     for m in _PH.finditer(text):
         if m.start() > pos:
             parts.append(("lit", text[pos:m.start()]))
-        parts.append(("ph", m.group(1)))
+        # an empty name is no placeholder: the braces stay
+        parts.append(("ph", m.group(1)) if m.group(1) else ("lit", m.group(0)))
         pos = m.end()
     if pos < len(text):
         parts.append(("lit", text[pos:]))
@@ -128,7 +129,8 @@ def sql_pad_to_bytes(body_sql: str, target: int, seed: int, key_sql: str) -> str
 
 def placeholder_names(template: Column) -> Column:
     """Distinct placeholder names of a template column (templates stored in a table)."""
-    return F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{\{(.+?)\}\}"), 1))
+    names = F.regexp_extract_all(template, F.lit(r"(?s)\{\{(.*?)\}\}"), 1)
+    return F.filter(F.array_distinct(names), lambda n: n != "")
 
 
 def render_template_column(template: Column, values: Mapping[str, Column]) -> Column:

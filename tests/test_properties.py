@@ -154,3 +154,10 @@ def test_with_fields_mode_argument(spark):
         b = FL.with_fields(base, schema, 1, "id").collect()
     c = FL.with_fields(base, schema, 1, "id").collect()
     assert sorted(a) == sorted(b) and sorted(a) != sorted(c)
+
+
+def test_empty_placeholder_stays_and_the_next_one_renders(spark):
+    from eventloom.functions import templates as T
+    df = spark.createDataFrame([("x", "{{}} {{a}} {{b}}")], "a string, t string")
+    row = df.select(T.render_template("{{}} {{a}}", {"a": F.col("a")}).alias("r"), T.placeholder_names(F.col("t")).alias("n")).first()
+    assert row["r"] == "{{}} x" and row["n"] == ["a", "b"]
