@@ -5,7 +5,9 @@ when both have at least MIN_CHARS code points and their edit distance is at most
 of length l is split in TAU + 1 segments; TAU edits leave one of them untouched, so a line of length L
 holds, for some l in L - TAU .. L, a segment of every line of length l that is alike, at a start that the
 lengths bound. The index has a row for every segment, the probe a row for every such substring; both are
-named by a hash of (l, segment number, content), and equal names make candidates. Candidates are
+named by a hash of (l, segment number, content), and equal names make candidates. Every row carries the
+parities of its line's letter and letter-pair counts in 64 bits: an edit flips at most two letter bits and
+four pair bits, so candidates that differ in more are out before their texts are read. The others are
 verified on the whole lines with a bit-parallel edit distance inside a band of TAU diagonals.
 
 Classes are connected components of the alike relation. Of a class, the line that comes first (by
@@ -60,6 +62,19 @@ class Signer:
     def __init__(self, tau: int = TAU):
         self.tau, self.hasher = tau, Hasher(1)
 
+    def parities(self, lines):
+        """Per non-empty line: bit c % 32 of the lower half counts letters c, the upper half letter pairs, each modulo 2."""
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        length = np.array([len(x) for x in lines], np.int64)
+        first = np.cumsum(length) - length
+        one = np.uint64(1)
+        bits = one << (codes & np.uint64(31))
+        pair = mix(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) >> np.uint64(59)
+        inside = np.ones(len(pair), bool)
+        inside[first[1:] - 1] = False  # pairs of two lines
+        bits[:-1] ^= np.where(inside, one << (pair + np.uint64(32)), np.uint64(0))
+        return np.bitwise_xor.reduceat(bits, first)
+
     def signatures(self, lines):
         """(index hashes [n, tau + 1], probe hashes [n, probes] with 0 for none) for lines of over tau letters."""
         n = len(lines)
@@ -88,7 +103,7 @@ class Signer:
 
 
 def _signature_rows(tau: int):
-    """Rows (line hash, line) -> postings (sig, line, len, indexed)."""
+    """Rows (line hash, line) -> postings (sig, line, len, parity, indexed)."""
     def run(batches):
         import pyarrow as pa
         signer, seen = Signer(tau), set()
@@ -99,14 +114,15 @@ def _signature_rows(tau: int):
                 index, probes = signer.signatures(lines)
                 who = np.array(ids, np.int64)
                 size = np.array([len(x) for x in lines], np.int32)
+                parity = signer.parities(lines).view(np.int64)
                 sig = np.concatenate([index, probes], 1)
                 indexed = np.zeros(sig.shape, bool)
                 indexed[:, :index.shape[1]] = True
                 real = sig != 0
-                col = np.broadcast_to(who[:, None], sig.shape)[real]
+                who, size, parity = (np.broadcast_to(x[:, None], sig.shape)[real] for x in (who, size, parity))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(sig[real].view(np.int64)), pa.array(col), pa.array(np.broadcast_to(size[:, None], sig.shape)[real]), pa.array(indexed[real])],
-                    ["sig", "line_id", "len", "indexed"])
+                    [pa.array(sig[real].view(np.int64)), pa.array(who), pa.array(size), pa.array(parity), pa.array(indexed[real])],
+                    ["sig", "line_id", "len", "parity", "indexed"])
 
             for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if h in seen:
@@ -173,6 +189,12 @@ def _verify_rows(tau: int):
     return run
 
 
+def may_be_alike(parity: str, other: str, tau: int) -> str:
+    """SQL condition that lines within tau edits always meet."""
+    flips = f"({parity} ^ {other})"
+    return f"bit_count({flips} & 4294967295L) <= {2 * tau} and bit_count(shiftrightunsigned({flips}, 32)) <= {4 * tau}"
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no from 0, line) of the non-empty trimmed lines."""
     split = F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"))
@@ -192,10 +214,10 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = tables.put("lines", lines.select("id", "line_no", line_key(F.col("line")).alias("line_id"), F.xxhash64(F.lit(1), "line").alias("check"),
                                             F.length("line").alias("len")))
     long_lines = lines.filter(F.length("line") >= min_chars).select(line_key(F.col("line")).alias("line_id"), "line")
-    post = long_lines.mapInArrow(_signature_rows(tau), "sig long, line_id long, len int, indexed boolean")
+    post = long_lines.mapInArrow(_signature_rows(tau), "sig long, line_id long, len int, parity long, indexed boolean")
     order = "over (partition by sig order by len, line_id)"
     lists = (post.withColumn("prev", F.expr(f"lag(line_id) {order}")).withColumn("next", F.expr(f"lead(line_id) {order}"))
-             .withColumn("prev_len", F.expr(f"lag(len) {order}"))
+             .withColumn("prev_len", F.expr(f"lag(len) {order}")).withColumn("prev_parity", F.expr(f"lag(parity) {order}"))
              .filter("(prev is not null and prev <> line_id) or (next is not null and next <> line_id)"))
     lists = tables.put("lists", lists.drop("next"))
 
@@ -211,18 +233,19 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tables.drop(f"{name}-texts", f"{name}-wanted")
         return links
 
-    met = (lists.filter(f"prev <> line_id and len - prev_len <= {tau}").groupBy("line_id", "prev").agg(F.count("*").alias("times"))
+    met = (lists.filter(f"prev <> line_id and len - prev_len <= {tau} and {may_be_alike('parity', 'prev_parity', tau)}").groupBy("line_id", "prev").agg(F.count("*").alias("times"))
            .groupBy("line_id").agg(F.max_by("prev", F.struct("times", "prev")).alias("prev")))
     first = verified(met.select(F.col("prev").alias("a"), F.col("line_id").alias("b")), "first")
     roots = tables.put("roots", connected(tables, first, "first-cc"))
-    marked = tables.put("marked", lists.select("sig", "line_id", "len", "indexed").distinct()
+    marked = tables.put("marked", lists.select("sig", "line_id", "len", "parity", "indexed").distinct()
                         .join(roots.withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id")))
     tables.drop("lists")
     still = marked.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
     open_rows = tables.put("open", marked.join(still, "sig", "left_semi"))
     tables.drop("marked")
-    right = open_rows.filter("indexed").select("sig", F.col("line_id").alias("line2"), F.col("len").alias("len2"), F.col("root").alias("root2"))
+    right = open_rows.filter("indexed").select("sig", F.col("line_id").alias("line2"), F.col("len").alias("len2"), F.col("parity").alias("parity2"), F.col("root").alias("root2"))
     cross = (open_rows.join(right, "sig").filter(f"root <> root2 and len >= len2 and len - len2 <= {tau} and (len <> len2 or line_id <> line2)")
+             .filter(may_be_alike("parity", "parity2", tau))
              .select(F.least("line2", "line_id").alias("a"), F.greatest("line2", "line_id").alias("b")).distinct())
     second = verified(cross, "second")
     classes = connected(tables, first.unionByName(second), "all-cc")

@@ -141,6 +141,8 @@ def test_edit_distance_and_segments():
             long, short = sorted((a, b), key=len, reverse=True)
             index, probes = signer.signatures([long, short])
             assert {*index[0], *probes[0]} & {*index[1]}
+            flips = int(np.bitwise_xor(*signer.parities([long, short])))
+            assert (flips & 0xFFFFFFFF).bit_count() <= 4 and (flips >> 32).bit_count() <= 8
 
 
 def test_line_classes(spark):
