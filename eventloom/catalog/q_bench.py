@@ -227,9 +227,9 @@ def receiver_totals(spark, sf_dir):
     return totals(spark, sf_dir)
 
 
-def _rh(x: str, d: int) -> str:
-    m = float(10 ** d)
-    return f"(CAST(floor(({x}) * {m!r} + 0.5) AS DOUBLE) / {m!r})"
+def _rh(x: str, digits: int) -> str:
+    # printf renders the exact binary value, ties to even
+    return f"CAST(printf('%.{digits}f', CAST({x} AS DOUBLE)) AS DOUBLE)"
 
 
 MEAS_SQL = (

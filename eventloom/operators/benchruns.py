@@ -21,10 +21,30 @@ MAX_REGRESSION_PCT = 5.0
 # -------------------------------------------------------------------------------------------
 
 
-def round_half_up(x: Column, digits: int) -> Column:
-    """floor(x * 10^d + 0.5) / 10^d on the binary value (same result in every engine)."""
-    m = float(10 ** digits)
-    return F.floor(x * F.lit(m) + F.lit(0.5)).cast("double") / F.lit(m)
+def _bound(value: Column, then) -> Column:
+    """then(value), with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def round_half_even(x: Column, digits: int) -> Column:
+    """x to that many digits (0 to 3): the decimal nearest to the exact binary value, ties to the even digit.
+
+    The fraction is taken as an integer of 2^-53, so that ties are decided exactly. Numbers from 2^52 on (and NaN,
+    infinities, null) stay. The result is the double nearest to that decimal while |x| 10^digits < 2^53.
+    """
+    m, half = 10 ** digits, 1 << 52
+
+    def near(x, whole, units, below):
+        n = units * F.lit(m) + F.floor(below)
+        q, rest = whole * F.lit(m) + F.shiftright(n, 53), n.bitwiseAND(F.lit((1 << 53) - 1))
+        more = (rest > half) | ((rest == half) & ((below > F.floor(below)) | (q.bitwiseAND(F.lit(1)) == 1)))
+        rounded = (q + more.cast("long")).cast("double") / F.lit(float(m))
+        return F.when(F.abs(x) < half, F.when(x < 0, -rounded).otherwise(rounded)).otherwise(x)
+
+    # each step is bound once, so that the expression doesn't grow with every use of the one before
+    return _bound(x, lambda x: _bound(F.when(F.abs(x) < half, F.abs(x)).otherwise(F.lit(0.0)), lambda size: _bound(
+        F.floor(size), lambda whole: _bound((size - whole) * F.lit(float(1 << 53)), lambda scaled: _bound(
+            F.floor(scaled), lambda units: near(x, whole, units, (scaled - units) * F.lit(float(m))))))))
 
 
 def median_runs(est: DataFrame, label: str, values: Sequence[str], first_by: Column,
@@ -120,14 +140,14 @@ def cell_measures(totals: DataFrame, target_rate: Column, spec_size: Column) ->
     m = F.col("messages")
     window = F.greatest(F.lit(MIN_WINDOW_SECS), F.col("duration_secs").cast("double"))
     has = m > 0
-    achieved = F.when(has, round_half_up(m / window, 2)).otherwise(F.lit(0.0))
-    rate_pct = F.when(has, round_half_up(F.lit(100.0) * m / window / target_rate, 1)).otherwise(F.lit(0.0))
-    bpm = F.when(has, round_half_up(F.col("bytes") / F.greatest(F.lit(1), m), 2)).otherwise(F.lit(0.0))
-    return (totals.withColumn("window_secs", round_half_up(window, 3))
+    achieved = F.when(has, round_half_even(m / window, 2)).otherwise(F.lit(0.0))
+    rate_pct = F.when(has, round_half_even(F.lit(100.0) * m / window / target_rate, 1)).otherwise(F.lit(0.0))
+    bpm = F.when(has, round_half_even(F.col("bytes") / F.greatest(F.lit(1), m), 2)).otherwise(F.lit(0.0))
+    return (totals.withColumn("window_secs", round_half_even(window, 3))
                   .withColumn("achieved_msg_per_sec", achieved)
                   .withColumn("rate_pct_of_target", rate_pct)
                   .withColumn("actual_bytes_per_msg", bpm)
-                  .withColumn("size_pct_deviation", F.when(has, round_half_up(
+                  .withColumn("size_pct_deviation", F.when(has, round_half_even(
                       F.lit(100.0) * F.abs(F.col("actual_bytes_per_msg") - spec_size) / spec_size, 2)).otherwise(F.lit(0.0))))
 
 

@@ -79,3 +79,14 @@ def test_fmt_cell_na_reason(spark):
     got = df.select(BR.fmt_cell(F.col("status"), F.lit(None).cast("string"), F.lit(None).cast("string"),
                                 F.array().cast("array<string>"), F.col("r")).alias("t")).first().t
     assert got == "n/a (topic tool not installed on...)"
+
+
+def test_round_half_even_is_exact(spark):
+    import random
+    rng = random.Random(18)
+    xs = [0.0, 0.125, 0.375, 1.115, 2.675, 0.5, 1.5, 2.5, -0.125, -1.115, 0.0005, 0.0015, 1e-9, 2.0 ** 60, float("inf"), 94.95, 95.05, 104.95]
+    xs += [rng.uniform(0, 10 ** rng.randint(-4, 9)) for _ in range(3000)] + [rng.randrange(10 ** 6) / 8 for _ in range(500)]
+    xs += [rng.randrange(10 ** 5) / 1000 + 0.0005 for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for r in df.select("x", *[BR.round_half_even(F.col("x"), d).alias(f"d{d}") for d in range(4)]).collect():
+        assert [r[f"d{d}"] for d in range(4)] == [round(r["x"], d) for d in range(4)], r
