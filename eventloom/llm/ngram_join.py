@@ -1,7 +1,7 @@
 """N-gram Jaccard join: size-aware heavy-light set join on word shingles.
 
 Documents link when the Jaccard similarity of their shingle sets is at least 3/4. Equal sets are one
-set (named by a 64-bit set id, `sid`). Every set orders its shingles by (frequent or not, hash); two sets
+set (named by a 64-bit set id, `sid`). Every set orders its shingles by (frequency level, hash); two sets
 that link share at least ceil(3/4 size) shingles, so they share a shingle among the first floor(size/4)+1
 of each, and two shingles among the first floor(size/4)+2.
 
@@ -11,9 +11,9 @@ of each, and two shingles among the first floor(size/4)+2.
   size to link with a heavy one are in those lists, too.
 
 The boundary is the size at which the summed cost, C(prefix, 2) postings for light sets against the
-length of the lists for heavy ones, is least, from counts over all documents. Frequent shingles come
-last in the order, by a fixed-size count sketch over all shingles; a wrong guess there costs time, never
-a link. Candidates are verified on whole sets.
+length of the lists for heavy ones, is least, from counts over all documents. The more frequent shingles
+come last in the order, by levels of a fixed-size count sketch over all shingles; a wrong guess there costs
+time, never a link. Candidates are verified on whole sets.
 
 Links are used for connected components, so pairs inside a component already found need no check:
 first the neighbours in every posting list are verified, then, for lists that still span several
@@ -106,34 +106,39 @@ def _sketch_sums(batches):
                                           pa.array([int(x.sum()) for x in sums.values()], pa.int64())], ["slice", "counters", "total"])
 
 
-def _frequent_bits(limit):
-    """Counters to one bit each."""
+def _frequency_levels(limit):
+    """Counters to four bits each: 0 up to the limit, then one more for every doubling, 15 at most."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(c, np.uint64) > limit).tobytes() for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["slice", "bits"])
+            rows = []
+            for c in batch.column(1).to_pylist():
+                over = np.frombuffer(c, np.uint64) / limit
+                level = np.where(over > 1, np.minimum(15, 1 + np.floor(np.log2(np.maximum(over, 1)))), 0).astype(np.uint8)
+                rows.append((level[::2] << 4 | level[1::2]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["slice", "levels"])
     return run
 
 
-def frequency_bits(tables: Tables, docs: DataFrame, text_col: str):
-    """One bit for every counter of the sketch over all shingles: well above the mean, so frequent.
-    The sketch has 2^22 counters at any input size; the driver gets their bits, 512 KB."""
+def frequency_levels(tables: Tables, docs: DataFrame, text_col: str):
+    """Four bits for every counter of the sketch over all shingles: 0 unless well above the mean.
+    The sketch has 2^22 counters at any input size; the driver gets their levels, 2 MB."""
     rows = docs.select(F.col(text_col).cast("string")).mapInArrow(_sketch_rows, "slice int, counters binary, total long")
     sums = tables.put("sketch", rows.repartition("slice").mapInArrow(_sketch_sums, "slice int, counters binary, total long"))
     load = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << SKETCH_BITS)
-    bits = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES // 8), np.uint8)
-    for r in sums.mapInArrow(_frequent_bits(int(4 * load + 32)), "slice int, bits binary").collect():
-        bits[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    levels = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES // 2), np.uint8)
+    for r in sums.mapInArrow(_frequency_levels(int(4 * load + 32)), "slice int, levels binary").collect():
+        levels[r["slice"]] = np.frombuffer(r["levels"], np.uint8)
     tables.drop("sketch")
-    return bits.ravel()
+    return levels.ravel()
 
 
-def _signature_rows(bits):
+def _signature_rows(levels):
     """Rows (id, row key, sid, n, first shingles, pairs of first shingles, frequent shingles among the first)."""
     def run(batches):
         import pyarrow as pa
-        shingler, seen, frequent = Shingler(WIDTH), set(), np.unpackbits(bits).astype(bool)
+        shingler, seen = Shingler(WIDTH), set()
+        level_of = np.stack([levels >> 4, levels & 15], 1).ravel()
         for batch in batches:
             sids, sizes, lists, pairs, scan = [], [], [], [], []
             for _, s in shingler.sets(batch.column(2)):
@@ -143,9 +148,9 @@ def _signature_rows(bits):
                 if n > 2 and sid not in seen:  # sets of one or two shingles link with equal sets alone
                     seen.add(sid)
                     m = int(allowed_misses(n))
-                    often = frequent[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    s = np.concatenate([s[~often], s[often]])[:m + 2]
-                    heavy = max(0, m + 1 - int((~often).sum()))
+                    level = level_of[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    s = s[np.argsort(level, kind="stable")[:m + 2]]
+                    heavy = max(0, m + 1 - int((level == 0).sum()))
                     one = s[:m + 1].view(np.int64)
                     if n <= MAX_LIGHT:
                         i, j = np.triu_indices(len(s), 1)
@@ -263,10 +268,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     tables = Tables(spark, "ngram_join")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    bits = frequency_bits(tables, docs, "text")
+    levels = frequency_levels(tables, docs, "text")
     keyed = docs.select("id", row_key(F.col("id"), F.col("text")).alias("row_key"), "text")
     id_type = dict(docs.dtypes)["id"]
-    sets = tables.put("sets", keyed.mapInArrow(_signature_rows(bits),
+    sets = tables.put("sets", keyed.mapInArrow(_signature_rows(levels),
                       f"id {id_type}, row_key long, sid long, n long, ones array<long>, twos array<long>, often long"))
     boundary = light_boundary(sets)
     near = -(-NUM * (boundary + 1) // DEN)  # light sets from this size on may link with a heavy one
