@@ -134,33 +134,36 @@ def frequency_levels(tables: Tables, docs: DataFrame, text_col: str):
 
 
 def _signature_rows(levels):
-    """Rows (id, row key, sid, n, first shingles, pairs of first shingles, frequent shingles among the first)."""
+    """Rows (id, row key, sid, n, first shingles, pairs of first shingles, frequent shingles among the first, end).
+    end is where the first shingles end in the common order (level, hash), cut to 63 bits."""
     def run(batches):
         import pyarrow as pa
         shingler, seen = Shingler(WIDTH), set()
         level_of = np.stack([levels >> 4, levels & 15], 1).ravel()
         for batch in batches:
-            sids, sizes, lists, pairs, scan = [], [], [], [], []
+            sids, sizes, lists, pairs, scan, ends = [], [], [], [], [], []
             for _, s in shingler.sets(batch.column(2)):
                 sid, n = _set_id(s), len(s)
                 one = two = ()
-                heavy = 0
+                heavy = end = 0
                 if n > 2 and sid not in seen:  # sets of one or two shingles link with equal sets alone
                     seen.add(sid)
                     m = int(allowed_misses(n))
                     level = level_of[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    s = s[np.argsort(level, kind="stable")[:m + 2]]
+                    first = np.argsort(level, kind="stable")[:m + 2]
+                    end = int(level[first[m]]) << 59 | int(s[first[m]]) >> 5
+                    s = s[first]
                     heavy = max(0, m + 1 - int((level == 0).sum()))
                     one = s[:m + 1].view(np.int64)
                     if n <= MAX_LIGHT:
                         i, j = np.triu_indices(len(s), 1)
                         low, high = np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
                         two = mix(low * np.uint64(0xC2B2AE3D27D4EB4F) + high).view(np.int64)
-                sids.append(sid), sizes.append(n), lists.append(one), pairs.append(two), scan.append(heavy)
+                sids.append(sid), sizes.append(n), lists.append(one), pairs.append(two), scan.append(heavy), ends.append(end)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(lists, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pa.int64())), pa.array(scan, pa.int64())],
-                ["id", "row_key", "sid", "n", "ones", "twos", "often"])
+                 pa.array(lists, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pa.int64())), pa.array(scan, pa.int64()), pa.array(ends, pa.int64())],
+                ["id", "row_key", "sid", "n", "ones", "twos", "often", "end"])
     return run
 
 
@@ -188,6 +191,13 @@ def may_link(shared: str, n: str, n2: str, boundary: int) -> str:
     return f"(greatest({n}, {n2}) <= {boundary} or {shared} + greatest({rest(n)}, {rest(n2)}) >= {need})"
 
 
+def can_reach(ours: str, theirs: str, boundary: int) -> str:
+    """SQL condition: can the two sets of a posting list link? The set whose first shingles end earlier shares with
+    the other at most `ours` or `theirs`, the bound for that set; on equal ends either bound may hold."""
+    bound = f"(case when end < end2 then {ours} when end > end2 then {theirs} else greatest({ours}, {theirs}) end)"
+    return f"(greatest(n, n2) <= {boundary} or {NUM + DEN} * {bound} >= {NUM} * (n + n2))"
+
+
 def _short(s):
     """Distinct 16-bit remainders of a set's shingles, sorted."""
     return np.unique((s & np.uint64(0xFFFF)).astype(np.uint16))
@@ -272,7 +282,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = docs.select("id", row_key(F.col("id"), F.col("text")).alias("row_key"), "text")
     id_type = dict(docs.dtypes)["id"]
     sets = tables.put("sets", keyed.mapInArrow(_signature_rows(levels),
-                      f"id {id_type}, row_key long, sid long, n long, ones array<long>, twos array<long>, often long"))
+                      f"id {id_type}, row_key long, sid long, n long, ones array<long>, twos array<long>, often long, end long"))
     boundary = light_boundary(sets)
     near = -(-NUM * (boundary + 1) // DEN)  # light sets from this size on may link with a heavy one
     light = F.when(F.col("n") <= boundary, F.col("twos")).otherwise(F.array().cast("array<long>"))
@@ -312,12 +322,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         .select("key", "sid", "n", root))
     tables.drop("lists")
     open_keys = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    left = tables.put("open", marked.join(open_keys, "key", "left_semi"))
-    tables.drop("marked")
-    right = left.select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    left = marked.join(open_keys, "key", "left_semi")
+    # a set shares with another component no more than its open first shingles and the rest of its shingles
+    reach = (left.groupBy("sid").agg(F.count("*").alias("keys"))
+             .join(sets.filter(F.size("ones") > 0).select("sid", "end", F.size("ones").alias("firsts")).distinct(), "sid")
+             .select("sid", "end", "firsts", F.least("keys", "firsts").alias("open_firsts")))
+    left = tables.put("open", left.join(reach, "sid").select("key", "sid", "n", "root", "end", (F.col("n") - F.col("firsts")).alias("rest"),
+                                                             (F.col("n") - F.col("firsts") + F.col("open_firsts")).alias("reach")))
+    right = left.select("key", *[F.col(c).alias(c + "2") for c in ("sid", "n", "root", "end", "rest", "reach")])
     cross = (left.join(right, "key").filter(f"root <> root2 and (n < n2 or (n = n2 and sid < sid2)) and {DEN} * n >= {NUM} * n2")
-             .groupBy(F.col("sid").alias("a"), F.col("sid2").alias("b"), "n", "n2", "root", "root2").agg(F.count("*").alias("shared"))
-             .filter(may_link("shared", "n", "n2", boundary)))
+             .filter(can_reach("reach", "reach2", boundary))
+             .groupBy(F.col("sid").alias("a"), F.col("sid2").alias("b"), "n", "n2", "root", "root2", "end", "end2", "rest", "rest2")
+             .agg(F.count("*").alias("shared")).filter(can_reach("(shared + rest)", "(shared + rest2)", boundary))
+             .select("a", "b", "n", "n2", "root", "root2", "shared"))
     cross = tables.put("cross", cross)
     tables.drop("open")
     sets_in = _read_sets(tables, "cross", cross, docs, ids)
