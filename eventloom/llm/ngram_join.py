@@ -43,6 +43,8 @@ SKETCH_SLICES = 64
 MAX_LIGHT = 64
 #: Lists of so many sets have a leader, with which their members are compared first.
 LONG_LIST = 8
+#: Words of 64 bits with the parities of a set's shingles.
+PARITY = [f"parity{i}" for i in range(4)]
 
 
 def allowed_misses(n):
@@ -133,22 +135,29 @@ def frequency_levels(tables: Tables, docs: DataFrame, text_col: str):
     return levels.ravel()
 
 
+def _parity(s):
+    """One bit for each of 256 classes of hashes: is the number of shingles in it odd?"""
+    odd = np.bincount(((s >> np.uint64(20)) & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _signature_rows(levels):
-    """Rows (id, row key, sid, n, first shingles, pairs of first shingles, frequent shingles among the first, end).
+    """Rows (id, row key, sid, n, first shingles, pairs of first shingles, frequent shingles among the first, end, parities).
     end is where the first shingles end in the common order (level, hash), cut to 63 bits."""
     def run(batches):
         import pyarrow as pa
         shingler, seen = Shingler(WIDTH), set()
         level_of = np.stack([levels >> 4, levels & 15], 1).ravel()
         for batch in batches:
-            sids, sizes, lists, pairs, scan, ends = [], [], [], [], [], []
+            sids, sizes, lists, pairs, scan, ends, parities = [], [], [], [], [], [], []
             for _, s in shingler.sets(batch.column(2)):
                 sid, n = _set_id(s), len(s)
                 one = two = ()
-                heavy = end = 0
+                heavy, end, parity = 0, 0, (0,) * len(PARITY)
                 if n > 2 and sid not in seen:  # sets of one or two shingles link with equal sets alone
                     seen.add(sid)
                     m = int(allowed_misses(n))
+                    parity = _parity(s)
                     level = level_of[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     first = np.argsort(level, kind="stable")[:m + 2]
                     end = int(level[first[m]]) << 59 | int(s[first[m]]) >> 5
@@ -159,11 +168,12 @@ def _signature_rows(levels):
                         i, j = np.triu_indices(len(s), 1)
                         low, high = np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
                         two = mix(low * np.uint64(0xC2B2AE3D27D4EB4F) + high).view(np.int64)
-                sids.append(sid), sizes.append(n), lists.append(one), pairs.append(two), scan.append(heavy), ends.append(end)
+                sids.append(sid), sizes.append(n), lists.append(one), pairs.append(two), scan.append(heavy), ends.append(end), parities.append(parity)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(lists, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pa.int64())), pa.array(scan, pa.int64()), pa.array(ends, pa.int64())],
-                ["id", "row_key", "sid", "n", "ones", "twos", "often", "end"])
+                 pa.array(lists, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pa.int64())), pa.array(scan, pa.int64()), pa.array(ends, pa.int64()),
+                 *[pa.array([p[i] for p in parities], pa.int64()) for i in range(len(PARITY))]],
+                ["id", "row_key", "sid", "n", "ones", "twos", "often", "end", *PARITY])
     return run
 
 
@@ -198,6 +208,13 @@ def can_reach(ours: str, theirs: str, boundary: int) -> str:
     return f"(greatest(n, n2) <= {boundary} or {NUM + DEN} * {bound} >= {NUM} * (n + n2))"
 
 
+def parities_allow() -> str:
+    """SQL condition: two sets differ in at least as many shingles as their parities differ in bits, so they share
+    at most half of the rest."""
+    differ = " + ".join(f"bit_count({c} ^ {c}2)" for c in PARITY)
+    return f"{NUM + DEN} * (n + n2 - ({differ})) >= {2 * NUM} * (n + n2)"
+
+
 def _short(s):
     """Distinct 16-bit remainders of a set's shingles, sorted."""
     return np.unique((s & np.uint64(0xFFFF)).astype(np.uint16))
@@ -282,7 +299,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = docs.select("id", row_key(F.col("id"), F.col("text")).alias("row_key"), "text")
     id_type = dict(docs.dtypes)["id"]
     sets = tables.put("sets", keyed.mapInArrow(_signature_rows(levels),
-                      f"id {id_type}, row_key long, sid long, n long, ones array<long>, twos array<long>, often long, end long"))
+                      f"id {id_type}, row_key long, sid long, n long, ones array<long>, twos array<long>, often long, end long, " + ", ".join(f"{c} long" for c in PARITY)))
     boundary = light_boundary(sets)
     near = -(-NUM * (boundary + 1) // DEN)  # light sets from this size on may link with a heavy one
     light = F.when(F.col("n") <= boundary, F.col("twos")).otherwise(F.array().cast("array<long>"))
@@ -325,13 +342,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = marked.join(open_keys, "key", "left_semi")
     # a set shares with another component no more than its open first shingles and the rest of its shingles
     reach = (left.groupBy("sid").agg(F.count("*").alias("keys"))
-             .join(sets.filter(F.size("ones") > 0).select("sid", "end", F.size("ones").alias("firsts")).distinct(), "sid")
-             .select("sid", "end", "firsts", F.least("keys", "firsts").alias("open_firsts")))
-    left = tables.put("open", left.join(reach, "sid").select("key", "sid", "n", "root", "end", (F.col("n") - F.col("firsts")).alias("rest"),
+             .join(sets.filter(F.size("ones") > 0).select("sid", "end", F.size("ones").alias("firsts"), *PARITY).distinct(), "sid")
+             .select("sid", "end", "firsts", *PARITY, F.least("keys", "firsts").alias("open_firsts")))
+    left = tables.put("open", left.join(reach, "sid").select("key", "sid", "n", "root", "end", *PARITY, (F.col("n") - F.col("firsts")).alias("rest"),
                                                              (F.col("n") - F.col("firsts") + F.col("open_firsts")).alias("reach")))
-    right = left.select("key", *[F.col(c).alias(c + "2") for c in ("sid", "n", "root", "end", "rest", "reach")])
+    right = left.select("key", *[F.col(c).alias(c + "2") for c in ("sid", "n", "root", "end", "rest", "reach", *PARITY)])
     cross = (left.join(right, "key").filter(f"root <> root2 and (n < n2 or (n = n2 and sid < sid2)) and {DEN} * n >= {NUM} * n2")
-             .filter(can_reach("reach", "reach2", boundary))
+             .filter(can_reach("reach", "reach2", boundary)).filter(parities_allow())
              .groupBy(F.col("sid").alias("a"), F.col("sid2").alias("b"), "n", "n2", "root", "root2", "end", "end2", "rest", "rest2")
              .agg(F.count("*").alias("shared")).filter(can_reach("(shared + rest)", "(shared + rest2)", boundary))
              .select("a", "b", "n", "n2", "root", "root2", "shared"))
