@@ -12,11 +12,16 @@ requested rank to a value interval in rounds:
 3. stop when an interval holds at most ``final_max`` values (or one distinct value), then
    sort that bounded remainder per (group, rank) and pick the element.
 
-Rounds needed ≈ log_bins(n / final_max); small groups need none.
+Rounds needed ≈ log_bins(n / final_max) on evenly spread values; each round narrows an interval to at most
+1/bins of its width, so the rounds end on any values. There is one path for groups of every size; NULL keys
+are a group of their own, and key columns may have any names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -27,58 +32,75 @@ from eventloom.plans.lineage import cut
 DEFAULT_BINS = 1024
 DEFAULT_FINAL_MAX = 50_000
 STATE_BROADCAST_ROWS = 1_000_000
+#: Infinite values are binned with the largest finite one.
+LARGEST = 1.7976931348623157e308
+
+
+def _keyed(df: DataFrame, keys: Sequence[str], *others) -> DataFrame:
+    """df with keys _key0, _key1, … and the other columns; without keys all rows are one group, 0."""
+    cols = [F.col(f"`{c}`") for c in keys] or [F.lit(0)]
+    return df.select(*[c.alias(f"_key{i}") for i, c in enumerate(cols)], *others)
+
 
+def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on the keys, where NULL equals NULL."""
+    right = right.withColumnsRenamed({c: f"_r{c}" for c in keys})
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in keys])
+    return left.join(right, on).drop(*[f"_r{c}" for c in keys])
 
-def _cut_lineage(df: DataFrame) -> DataFrame:
-    return cut(df)
+
+def _bin(bins: int):
+    """Equal-width bin of _v in [_lo, _hi], monotone in _v; halves, so that the width stays finite."""
+    def half(name):
+        return F.least(F.greatest(F.col(name), F.lit(-LARGEST)), F.lit(LARGEST)) / 2
+    width = half("_hi") - half("_lo")
+    at = F.floor((half("_v") - half("_lo")) / width * F.lit(float(bins)))
+    return F.when(width > 0, F.when(F.col("_v") >= F.col("_hi"), F.lit(bins - 1)).otherwise(F.least(at, F.lit(bins - 1)))) \
+        .otherwise((F.col("_v") > F.col("_lo")).cast("bigint")).cast("int")
 
 
 def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, *, bins: int = DEFAULT_BINS,
-                 final_max: int = DEFAULT_FINAL_MAX, max_rounds: int = 12) -> DataFrame:
+                 final_max: int = DEFAULT_FINAL_MAX) -> DataFrame:
     """Exact ``k``-th smallest ``value`` (0-based ``k``) for each row of ``ranks``.
 
     ``ranks`` has the ``keys`` columns plus ``rank_id`` (any label) and ``k`` (bigint).
-    Returns keys, rank_id, k, ``rank_value`` (double). NULL values are ignored.
+    Returns keys, rank_id, k, ``rank_value`` (double). NULL and NaN values are ignored.
     """
-    keys = list(keys)
-    v = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    stats = v.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("cnt"))
-    state = (ranks.join(stats, keys, "inner").filter((F.col("k") >= 0) & (F.col("k") < F.col("cnt")))
-                  .select(*keys, "rank_id", "k", "lo", "hi", "cnt", F.lit(0).cast("bigint").alias("below")))
-    for _ in range(max_rounds):
-        state = _cut_lineage(state)
-        open_ = state.filter((F.col("cnt") > final_max) & (F.col("hi") > F.col("lo")))
-        if open_.limit(1).count() == 0:
-            break
-        done = state.filter(~((F.col("cnt") > final_max) & (F.col("hi") > F.col("lo"))))
-        j = v.join(maybe_broadcast(open_, STATE_BROADCAST_ROWS), keys, "inner").filter(
-            (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-        b = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(bins))),
-                    F.lit(bins - 1)).cast("int")
-        h = j.groupBy(*keys, "rank_id", "k", "below", b.alias("_b")).agg(
+    names = list(keys)
+    v = _keyed(df, names, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ranks = _keyed(ranks, names, F.col("rank_id").alias("_rank_id"), F.col("k").cast("bigint").alias("_k"))
+    keys = [f"_key{i}" for i in range(len(names) or 1)]
+    of_rank = [*keys, "_rank_id", "_k"]
+    stats = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_cnt"))
+    state = cut(_same_keys(ranks, stats, keys).filter((F.col("_k") >= 0) & (F.col("_k") < F.col("_cnt")))
+                .select(*of_rank, "_lo", "_hi", "_cnt", F.lit(0).cast("bigint").alias("_below")))
+    wide = (F.col("_cnt") > final_max) & (F.col("_hi") > F.col("_lo"))
+    while not state.filter(wide).isEmpty():
+        j = _same_keys(v, maybe_broadcast(state.filter(wide), STATE_BROADCAST_ROWS), keys).filter(
+            (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        h = j.groupBy(*of_rank, "_below", _bin(bins).alias("_b")).agg(
             F.count(F.lit(1)).alias("bc"), F.min("_v").alias("blo"), F.max("_v").alias("bhi"))
         # cumulative counts over the (few) bins of each (group, rank)
-        h = h.groupBy(*keys, "rank_id", "k", "below").agg(
+        h = h.groupBy(*of_rank, "_below").agg(
             F.array_sort(F.collect_list(F.struct("_b", "bc", "blo", "bhi"))).alias("_bins"))
-        target = F.col("k") - F.col("below")
+        target = F.col("_k") - F.col("_below")
         cum = F.transform(F.col("_bins"), lambda e, i: F.struct(
             e["bc"].alias("bc"), e["blo"].alias("blo"), e["bhi"].alias("bhi"),
             F.aggregate(F.slice(F.col("_bins"), 1, i + 1), F.lit(0).cast("bigint"),
                         lambda acc, x: acc + x["bc"]).alias("upto")))
         pick = F.element_at(F.filter(cum, lambda e: e["upto"] > target), 1)
-        nxt = h.select(*keys, "rank_id", "k", pick["blo"].alias("lo"), pick["bhi"].alias("hi"),
-                       pick["bc"].alias("cnt"), (F.col("below") + pick["upto"] - pick["bc"]).alias("below"))
-        state = done.unionByName(nxt)
-    state = _cut_lineage(state)
+        nxt = h.select(*of_rank, pick["blo"].alias("_lo"), pick["bhi"].alias("_hi"),
+                       pick["bc"].alias("_cnt"), (F.col("_below") + pick["upto"] - pick["bc"]).alias("_below"))
+        state = cut(state.filter(~wide).unionByName(nxt))
     # an interval holding one distinct value answers directly, whatever its count
-    flat = state.filter(F.col("hi") == F.col("lo")).select(*keys, "rank_id", "k", F.col("lo").alias("rank_value"))
-    rest = state.filter(F.col("hi") > F.col("lo"))
-    fin = v.join(maybe_broadcast(rest, STATE_BROADCAST_ROWS), keys, "inner").filter(
-        (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-    sel = fin.groupBy(*keys, "rank_id", "k", "below").agg(F.array_sort(F.collect_list("_v")).alias("_vals"))
-    picked = sel.select(*keys, "rank_id", "k",
-                        F.element_at("_vals", (F.col("k") - F.col("below") + 1).cast("int")).alias("rank_value"))
-    return picked.unionByName(flat)
+    flat = state.filter(F.col("_hi") == F.col("_lo")).select(*of_rank, F.col("_lo").alias("_value"))
+    rest = state.filter(F.col("_hi") > F.col("_lo"))
+    fin = _same_keys(v, maybe_broadcast(rest, STATE_BROADCAST_ROWS), keys).filter(
+        (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    sel = fin.groupBy(*of_rank, "_below").agg(F.array_sort(F.collect_list("_v")).alias("_vals"))
+    picked = sel.select(*of_rank, F.element_at("_vals", (F.col("_k") - F.col("_below") + 1).cast("int")).alias("_value"))
+    return picked.unionByName(flat).select(*[F.col(k).alias(c) for k, c in zip(keys, names)], F.col("_rank_id").alias("rank_id"),
+                                           F.col("_k").alias("k"), F.col("_value").alias("rank_value"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], *,
@@ -86,41 +108,30 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     """Exact continuous quantiles (linear interpolation between closest ranks, like
     ``percentile``/``quantile_cont``): one column ``q_<pct>`` per requested q.
 
-    One stats pass gives every group's size. When the largest group is within
-    ``final_max`` (a checked bound), each group's values are sorted in one aggregation;
-    otherwise the ranks go through :func:`select_ranks` narrowing.
+    A stats pass gives every group's size; the two ranks around each quantile go through
+    :func:`select_ranks`.
     """
-    keys = list(keys)
-    clean = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    biggest = counts.agg(F.max("_n")).first()[0] or 0  # one scalar
+    names = list(keys)
+    clean = _keyed(df, names, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    keys = [f"_key{i}" for i in range(len(names) or 1)]
+    counts = cut(clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+
     def pos(q):
         return F.lit(float(q)) * (F.col("_n") - 1).cast("double")
-    if biggest <= final_max:
-        arr = clean.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_a"), F.count(F.lit(1)).alias("_n"))
-        outs = []
-        for q in qs:
-            lo = F.element_at("_a", (F.floor(pos(q)) + 1).cast("int"))
-            hi = F.element_at("_a", (F.ceil(pos(q)) + 1).cast("int"))
-            outs.append((lo + (hi - lo) * (pos(q) - F.floor(pos(q)))).alias(_qname(q)))
-        return arr.select(*keys, *outs)
-    rows = []
-    for i, q in enumerate(qs):
-        rows.append(counts.select(*keys, F.lit(f"{i}_lo").alias("rank_id"), F.floor(pos(q)).cast("bigint").alias("k")))
-        rows.append(counts.select(*keys, F.lit(f"{i}_hi").alias("rank_id"), F.ceil(pos(q)).cast("bigint").alias("k")))
-    ranks = rows[0]
-    for r in rows[1:]:
-        ranks = ranks.unionByName(r)
-    sel = select_ranks(clean, keys, "_v", ranks, final_max=final_max, **kw)
-    wide = sel.groupBy(*keys).agg(*[F.first(F.when(F.col("rank_id") == rid, F.col("rank_value")), ignorenulls=True).alias(rid)
+    wanted = F.explode(F.array(*[F.struct(F.lit(f"{i}_{end}").alias("rank_id"), side(pos(q)).cast("bigint").alias("k"))
+                                 for i, q in enumerate(qs) for end, side in (("lo", F.floor), ("hi", F.ceil))]))
+    ranks = counts.select(*keys, wanted.alias("_rank")).select(*keys, "_rank.rank_id", "_rank.k")
+    sel = select_ranks(clean, keys, "_v", ranks.drop("_rank"), final_max=final_max, **kw)
+    ends = sel.groupBy(*keys).agg(*[F.first(F.when(F.col("rank_id") == rid, F.col("rank_value")), ignorenulls=True).alias(f"_at{rid}")
                                     for i in range(len(qs)) for rid in (f"{i}_lo", f"{i}_hi")])
-    wide = wide.join(counts, keys, "inner")
+    ends = _same_keys(ends, counts, keys)
     outs = []
     for i, q in enumerate(qs):
         frac = pos(q) - F.floor(pos(q))
-        lo, hi = F.col(f"{i}_lo"), F.col(f"{i}_hi")
-        outs.append((lo + (hi - lo) * frac).alias(_qname(q)))
-    return wide.select(*keys, *outs)
+        lo, hi = F.col(f"_at{i}_lo"), F.col(f"_at{i}_hi")
+        # between equal ends (infinite ones, too) there is nothing to interpolate
+        outs.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * frac).alias(_qname(q)))
+    return ends.select(*[F.col(k).alias(c) for k, c in zip(keys, names)], *outs)
 
 
 def _qname(q: float) -> str:

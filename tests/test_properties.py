@@ -69,16 +69,43 @@ def test_template_rules(spark):
     assert got == "x{{zz}}{{}} {{open".replace("x", "xA", 1)
 
 
-def test_exact_quantiles_both_paths_agree_with_percentile(spark):
+def test_exact_quantiles_agree_with_percentile(spark):
     from eventloom.operators.quantiles import exact_quantiles
     df = spark.range(0, 30000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 10007 / 3.0).alias("v"))
     ref = {r.g: (r.a, r.b) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.95).alias("b")).collect()}
-    for fm in (50_000, 500):   # sorted-array path, then rank narrowing (groups of 10 000 > 500)
+    for fm in (50_000, 500):   # without and with narrowing rounds (groups of 10 000 > 500)
         got = {r.g: (r.q50, r.q95) for r in exact_quantiles(df, ["g"], "v", [0.5, 0.95], final_max=fm, bins=16).collect()}
         for g in ref:
             assert abs(got[g][0] - ref[g][0]) < 1e-9 and abs(got[g][1] - ref[g][1]) < 1e-9
 
 
+def test_exact_quantiles_null_groups_odd_names_and_extreme_values(spark):
+    from eventloom.operators.quantiles import exact_quantiles
+    inf = float("inf")
+    groups = {None: [4.0, 1.0, 9.0, 2.0, 7.0, 7.0], "a": [-inf, -1.7e308, 0.0, 1e-300, 1.7e308, inf, inf],
+              "b": [inf, inf, inf, inf, 1.0], "c": [10.0 ** e for e in range(-20, 20, 3)], "d": [3.0]}
+    rows = [(k, k, v) for k, vs in groups.items() for v in [*vs, None, float("nan")]]
+    df = spark.createDataFrame(rows, "k string, lo string, v double")
+    for fm in (3, 50_000):
+        got = {(r["k"], r["lo"]): r["q50"] for r in exact_quantiles(df, ["k", "lo"], "v", [0.5], final_max=fm).collect()}
+        assert len(got) == len(groups)
+        for k, vs in groups.items():
+            vs = sorted(vs)
+            lo, hi = vs[(len(vs) - 1) // 2], vs[len(vs) // 2]
+            assert got[(k, k)] == (lo if lo == hi else lo + (hi - lo) * 0.5)
+    one = exact_quantiles(df.filter("k = 'd' or k is null"), [], "v", [0.0, 1.0], final_max=2).collect()
+    assert [tuple(r) for r in one] == [(1.0, 9.0)]
+
+
+def test_pick_intervals_tile_the_whole_range(spark):
+    from eventloom.operators import picks
+    dom = picks.zipf_weights(spark.range(1, 30_001).withColumnRenamed("id", "rank"), "rank", 1.1)
+    t = picks.pick_table(dom, "rank", "_w", buckets=512)
+    rows = t.select("rank", "_lo", "_hi", "_total").distinct().orderBy("rank").collect()
+    assert len(rows) == 30_000 and rows[0]["_lo"] == 0.0 and rows[-1]["_hi"] == rows[-1]["_total"]
+    assert all(a["_hi"] == b["_lo"] for a, b in zip(rows, rows[1:]))
+
+
 def test_placeholder_names(spark):
     df = spark.createDataFrame([("a {{x}} {{y}} {{x}} {{", ), ("none",)], "t string")
     got = [r.n for r in df.select(TP.placeholder_names(F.col("t")).alias("n")).collect()]
