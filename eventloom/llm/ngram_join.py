@@ -17,7 +17,8 @@ time, never a link. Candidates are verified on whole sets.
 
 Links are used for connected components, so pairs inside a component already found need no check:
 first the neighbours in every posting list are verified, then, for lists that still span several
-components, all pairs from different components.
+components, pairs from different components that two exact bounds allow: what the set whose first shingles end
+earlier can share at most, and the parities of both sets' shingles.
 
 Defined cases: null and empty texts (and white space alone) have an empty set and link with nothing;
 equal sets always link; rows that repeat an id each get a row; other columns are ignored; an empty table
@@ -322,9 +323,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # text, the text itself leads, even if the edits don't link with one another.
     long = lists.filter(F.col("members") >= LONG_LIST)
     weight = long.groupBy("sid", "n").agg((F.sum("members") / F.col("n")).alias("weight")).select(F.col("sid").alias("w_sid"), "weight")
-    led = (long.select("key", "sid", "n").distinct().join(weight, F.col("sid") == F.col("w_sid"))
-           .withColumn("lead", F.expr("first(struct(sid, n)) over (partition by key order by weight desc, sid)"))
-           .filter("lead.sid <> sid").groupBy("sid", "n", "lead").agg(F.count("*").alias("times"))
+    members = long.select("key", "sid", "n").distinct()
+    leads = (members.join(weight, F.col("sid") == F.col("w_sid"))  # the smaller sid on equal weights
+             .groupBy("key").agg(F.max_by(F.struct("sid", "n"), F.struct("weight", F.bitwise_not("sid"))).alias("lead")))
+    led = (members.join(leads, "key").filter("lead.sid <> sid").groupBy("sid", "n", "lead").agg(F.count("*").alias("times"))
            .filter(f"{DEN} * least(n, lead.n) >= {NUM} * greatest(n, lead.n) and " + may_link("2 * times", "n", "lead.n", boundary))
            .groupBy("sid").agg(F.max_by("lead.sid", F.struct("times", "lead.sid")).alias("lead"))
            .select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")))
