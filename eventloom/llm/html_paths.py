@@ -5,9 +5,15 @@ the operator sums text length, punctuation, number of tags and number of blocks,
 text per block and punctuation per block. Ratios are smoothed over the blocks in page order (a window
 of blocks, so that a short paragraph between long ones keeps their weight), the two are fused by their
 product, and paths whose fused score reaches a share of the page's standard deviation are content.
-A container path whose score is content takes its headings and short siblings along. Blocks below tags
-or names that mark menus, headers, footers, sidebars, notices, adverts, forms, comments and the like never
-count, whatever their ratios.
+The window stays on one side of the border of <article> and <main>. A container that owes most of its text
+to content paths takes its short blocks along, content paths what lies below them, and headings stay when
+they stand above content; if the page names its article, short blocks and headings only do so inside it.
+
+Blocks below tags that mark menus, headers, footers, sidebars and forms never count. An element whose class,
+id or role has a whole word that marks notices, adverts, comments and the like (all parts of the word: not
+has-sidebar) doesn't count either, unless it is the page's html, body, main or article, or holds most of
+the text on content paths: then the scores decide. Of a page whose <article> or <main> has content outside
+that element and doesn't hold it, the mark decides (long comments below a short article).
 
 Rules of the text: character references are decoded, white space inside a block is one space, blocks are
 trimmed and joined by one newline in page order.
@@ -20,6 +26,7 @@ their parents; other columns are kept apart.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,13 +48,16 @@ menu breadcrumb breadcrumbs sidebar aside footer masthead topbar header toolbar
 notification alert popup modal overlay newsletter subscribe subscription signup login search social share sharing related recommended
 recommendations comment comments reply replies respond disqus widget pagination pager copyright legal disclaimer tags tagcloud
 complementary contentinfo skip hidden""".split())
+#: Tags of the page itself and of its article: no name marks them.
+UNMARKED = frozenset(("html", "body", "main", "article"))
+NAMED = ("article", "main")
 #: Blocks whose ratios are averaged with a block's own, on either side.
 WINDOW = 2
 #: Share of the standard deviation of the fused scores that a content path needs.
 THRESHOLD = 0.5
 
 TOKEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)")
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "template", "noscript", "iframe")}
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：]")
 CLOSES_P = frozenset("""address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr
@@ -55,47 +65,63 @@ main menu nav ol p pre section table ul""".split())
 
 
 class Block:
-    __slots__ = ("path", "parent", "tag", "parts", "tags", "text", "skipped")
+    __slots__ = ("path", "parent", "tag", "parts", "tags", "text", "marks", "named")
+
+    def __init__(self, stack):
+        self.path = "/".join(x.step for x in stack)
+        self.parent = "/".join(x.step for x in stack[:-1])
+        self.tag = stack[-1].tag if stack else ""
+        self.marks, self.named = (stack[-1].marks, stack[-1].named) if stack else ((), ())
+        self.parts, self.tags, self.text = [], 0, ""  # parts: text, number of the marked inline element it is in (0: none)
+
+    def join(self, ruled_out=lambda mark: False) -> str:
+        from html import unescape
+        s = "".join(x for x, mark in self.parts if not (mark and ruled_out(mark)))
+        return " ".join((unescape(s) if "&" in s else s).split())
+
 
-    def __init__(self, stack, skipped):
-        self.path = "/".join(x[1] for x in stack)
-        self.parent = "/".join(x[1] for x in stack[:-1])
-        self.tag = stack[-1][0] if stack else ""
-        self.parts, self.tags, self.text, self.skipped = [], 0, "", skipped
+class Element:
+    """An open block-level element: marks and named are the numbers of the marked, and of the article and main elements around."""
+    __slots__ = ("tag", "step", "skipped", "marks", "named")
 
+    def __init__(self, tag, step, number, marked, outer):
+        self.tag, self.step = tag, step
+        self.skipped = tag in SKIPPED or bool(outer and outer.skipped)
+        self.marks = (outer.marks if outer else ()) + ((number,) if marked and tag not in UNMARKED else ())
+        self.named = (outer.named if outer else ()) + ((number,) if tag in NAMED else ())
 
+
+@lru_cache(10_000)
 def _step(tag: str, attributes: str) -> tuple[str, bool]:
-    """(path step, is it marked as not content)."""
-    if not attributes or "=" not in attributes:
+    """(path step, does a name mark it as not content)."""
+    if "=" not in attributes:
         return tag, False
-    words = [w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()) if w]
-    return tag + "".join("." + w for w in words[:4]), any(w in MARKED for w in words)
+    values = [(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role")]
+    names = [[w for w in re.split(r"[^a-z0-9]+", name) if w] for v in values for name in v.split()]
+    words = [w for name in names for w in name]
+    return tag + "".join("." + w for w in words[:4]), any(name and MARKED.issuperset(name) for name in names)
 
 
 def blocks(html: str) -> list[Block]:
-    """Text blocks in page order, each with its tag path."""
-    from html import unescape
-
+    """Text blocks in page order, each with its tag path; nothing below skipped tags."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # block-level tags: name, step, skipped
-    inline_skips: list[str] = []
+    stack: list[Element] = []
+    inline_marks: list[tuple[str, int]] = []
     block = None
-    pos, n = 0, len(html)
+    pos, n, number = 0, len(html), 0
 
     def text(piece: str) -> None:
         nonlocal block
-        if not piece:
+        if not piece or stack and stack[-1].skipped:
             return
         if block is None:
-            block = Block(stack, bool(stack and stack[-1][2]))
-        if not inline_skips:
-            block.parts.append(piece)
+            block = Block(stack)
+        block.parts.append((piece, inline_marks[0][1] if inline_marks else 0))
 
     def end() -> None:
         nonlocal block
         if block is not None:
-            s = "".join(block.parts)
-            block.text = " ".join((unescape(s) if "&" in s else s).split())
+            block.text = block.join()
             if block.text:
                 out.append(block)
             block = None
@@ -117,30 +143,31 @@ def blocks(html: str) -> list[Block]:
         tag = m[4].lower()
         if m[3]:
             if tag in INLINE:
-                if inline_skips and inline_skips[-1] == tag:
-                    inline_skips.pop()
+                if inline_marks and inline_marks[-1][0] == tag:
+                    inline_marks.pop()
                 continue
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     end()
-                    inline_skips.clear()
+                    inline_marks.clear()
                     del stack[i:]
                     break
             continue
         if tag in INLINE:
             if block is None:
-                block = Block(stack, bool(stack and stack[-1][2]))
+                block = Block(stack)
             block.tags += 1
             if tag == "br":
                 text(" ")
-            elif _step(tag, m[5])[1]:
-                inline_skips.append(tag)
+            elif tag not in VOID and _step(tag, m[5])[1]:
+                number += 1
+                inline_marks.append((tag, number))
             continue
         end()
-        inline_skips.clear()
-        if tag in CLOSES_P and stack and stack[-1][0] == "p":
+        inline_marks.clear()
+        if tag in CLOSES_P and stack and stack[-1].tag == "p":
             stack.pop()
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] in (
+        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].tag in (
                 {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())):
             stack.pop()
         if tag in VOID or m[5].endswith("/"):
@@ -150,50 +177,103 @@ def blocks(html: str) -> list[Block]:
             pos = close.end() if close else n
             continue
         step, marked = _step(tag, m[5])
-        stack.append((tag, step, marked or tag in SKIPPED or bool(stack and stack[-1][2])))
+        number += 1
+        stack.append(Element(tag, step, number, marked, stack[-1] if stack else None))
     end()
     return out
 
 
-def main_text(html: str | None) -> tuple[str, int]:
-    """(main text, number of content paths)."""
-    if not html:
-        return "", 0
-    found = [b for b in blocks(html) if not b.skipped]
-    if not found:
-        return "", 0
-    length, marks, tags, number = {}, {}, {}, {}
+def content_paths(found: list[Block]) -> set[str]:
+    """Paths whose fused score reaches the threshold."""
+    length, punctuation, tags, number = {}, {}, {}, {}
     for b in found:
         length[b.path] = length.get(b.path, 0) + len(b.text)
-        marks[b.path] = marks.get(b.path, 0) + len(PUNCTUATION.findall(b.text))
+        punctuation[b.path] = punctuation.get(b.path, 0) + len(PUNCTUATION.findall(b.text))
         tags[b.path] = tags.get(b.path, 0) + 1 + b.tags
         number[b.path] = number.get(b.path, 0) + 1
-    ratio = [(length[b.path] / tags[b.path], (1 + marks[b.path]) / number[b.path]) for b in found]
-    sums = [(0.0, 0.0)]
-    for x, y in ratio:
-        sums.append((sums[-1][0] + x, sums[-1][1] + y))
     score: dict[str, float] = {}
-    for i, b in enumerate(found):
-        lo, hi = max(0, i - WINDOW), min(len(found), i + WINDOW + 1)
-        x, y = ((sums[hi][k] - sums[lo][k]) / (hi - lo) for k in (0, 1))
-        score[b.path] = max(score.get(b.path, 0.0), max(x, ratio[i][0]) * max(y, ratio[i][1]))
+    for side in ([b for b in found if b.named], [b for b in found if not b.named]):
+        ratio = [(length[b.path] / tags[b.path], (1 + punctuation[b.path]) / number[b.path]) for b in side]
+        sums = [(0.0, 0.0)]
+        for x, y in ratio:
+            sums.append((sums[-1][0] + x, sums[-1][1] + y))
+        for i, b in enumerate(side):
+            lo, hi = max(0, i - WINDOW), min(len(side), i + WINDOW + 1)
+            x, y = ((sums[hi][k] - sums[lo][k]) / (hi - lo) for k in (0, 1))
+            score[b.path] = max(score.get(b.path, 0.0), max(x, ratio[i][0]) * max(y, ratio[i][1]))
     mean = sum(score.values()) / len(score)
     spread = (sum((s - mean) ** 2 for s in score.values()) / len(score)) ** 0.5
-    content = {p for p, s in score.items() if s >= THRESHOLD * spread}
-    # a heading or a short sibling goes with the container that holds content
-    weight: dict[str, int] = {}
+    return {p for p, s in score.items() if s >= THRESHOLD * spread}
+
+
+def unmarked(found: list[Block]) -> list[Block]:
+    """The blocks without what marks rule out: a mark on most of the text of content paths doesn't count."""
+    if not any(b.marks or any(m for _, m in b.parts) for b in found):
+        return found
+    content = content_paths(found)
+    total, held, around = 0, {}, {}
+    named: dict[int, set[int]] = {}  # article or main that holds content: the marks on all its content
+    for b in found:
+        for m in b.marks:
+            around[m] = b.named if m not in around else tuple(x for x in around[m] if x in b.named)
+        for _, m in b.parts:
+            if m:
+                around.setdefault(m, b.named)
+        if b.path not in content:
+            continue
+        total += len(b.text)
+        for m in b.marks:
+            held[m] = held.get(m, 0) + len(b.text)
+        for x, m in b.parts:
+            if m:
+                held[m] = held.get(m, 0) + len(x)
+        for x in b.named:
+            named[x] = named[x].intersection(b.marks) if x in named else set(b.marks)
+
+    def ruled_out(m: int) -> bool:
+        return 2 * held.get(m, 0) <= total or any(m not in marks and x not in around[m] for x, marks in named.items())
+
+    out = []
+    for b in found:
+        if not any(map(ruled_out, b.marks)):
+            b.text = b.join(ruled_out) if any(m for _, m in b.parts) else b.text
+            if b.text:
+                out.append(b)
+    return out
+
+
+def above(path: str):
+    """The path and all paths it lies below."""
+    while path:
+        yield path
+        path = path.rpartition("/")[0]
+    yield ""
+
+
+def main_text(html: str | None) -> tuple[str, int]:
+    """(main text, number of content paths)."""
+    if not html:
+        return "", 0
+    found = unmarked(blocks(html))
+    if not found:
+        return "", 0
+    content = content_paths(found)
+    direct, owed, over = {}, {}, set()
     for b in found:
+        direct[b.parent] = direct.get(b.parent, 0) + len(b.text)
         if b.path in content:
-            weight[b.parent] = weight.get(b.parent, 0) + len(b.text)
-    main = max(weight, key=lambda p: (weight[p], -len(p)))
-    kept = [b for b in found if b.path in content or b.parent == main or (b.parent + "/").startswith(main + "/") and main]
-    top = main.split("/")
-    anchored = [t for t in ("article", "main") if any(s.split(".")[0] == t for s in top)]
-    if anchored:  # the page names its article: what lies outside is not in it
-        at = next(i for i, s in enumerate(top) if s.split(".")[0] == anchored[0])
-        root = "/".join(top[:at + 1])
-        kept = [b for b in found if b.path == root or b.path.startswith(root + "/")]
-    return "\n".join(b.text for b in kept), len(content)
+            owed[b.parent] = owed.get(b.parent, 0) + len(b.text)
+            over.update(above(b.parent))
+    holders = {p for p, n in owed.items() if 2 * n > direct[p]}
+    # a page that names its article has its headings and short blocks there
+    names = {x for b in found if b.path in content for x in b.named}
+
+    def stays(b: Block) -> bool:
+        if any(p in content for p in above(b.path)):
+            return True
+        return (not names or any(x in names for x in b.named)) and (b.parent in holders or b.tag in HEADINGS and b.parent in over)
+
+    return "\n".join(b.text for b in found if stays(b)), len(content)
 
 
 def _extract(batches):

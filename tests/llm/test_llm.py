@@ -278,6 +278,32 @@ def test_main_text(spark):
     assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_main_text_marks_and_anchors():
+    words = "A sentence of the article, with words; and more of them. " * 6
+    texts = [f"{k} {words}".strip() for k in range(4)]
+    body = "<h1>Head</h1>" + "".join(f"<p>{t}</p>" for t in texts)
+    want = "\n".join(["Head", *texts])
+    for page in (f'<body class="single has-sidebar">{body}</body>', f'<body class="hidden"><div class="no-sidebar">{body}</div>',
+                 f'<article class="post comments-open">{body}</article>', f'<main class="search-result">{body}</main>',
+                 f'<article class="comments">{body}</article>', f'<div id="page" class="site header-fixed">{body}</div>',
+                 f'<div class="content" data-role="header">{body}</div>', f'<div class="content" title="class=menu">{body}</div>',
+                 f'<div class="social">{body}</div>',
+                 f'<article>{body}<div class="comments"><p>{texts[0]}</div></article><div class="comments">{("<p>" + words) * 9}</div>'):
+        assert html_paths.main_text(page)[0] == want, page
+    inline = "".join(f'<p>{t} <span class="share">Share</span></p>' for t in texts)
+    assert html_paths.main_text(inline)[0] == "\n".join(texts)
+    assert html_paths.main_text(f'<p><span class="notice">{texts[0]}</span></p>')[0] == texts[0]
+    box = '<div class="box"><a href=x>a</a> <a href=x>b</a> <a href=x>c</a></div>'
+    two = "".join(f'<article id="part-{k}"><p>{texts[k]}</p><p>{texts[k + 1]}</p></article>' for k in (0, 2))
+    menu = "<ul><li>Home</li><li>About</li></ul>"
+    assert html_paths.main_text(f"<body>{menu}<main>{two}</main>{menu}</body>")[0] == "\n".join(texts)
+    assert html_paths.main_text(f"<body>{menu}{two}{menu}</body>")[0] == "\n".join(texts)
+    far = "".join(f"<section><ul>{'<li><a href=x>x</a></li>' * 9}</ul></section>")
+    assert html_paths.main_text(f"<main><article><h2>Head</h2><p>{texts[0]}</p><p>{texts[1]}</p>{far}</article></main>")[0].split("\n")[:3] == ["Head", *texts[:2]]
+    beside = f"<main><article><p>{texts[0]}</p></article><div><p>{texts[1]}</p></div></main>"
+    assert html_paths.main_text(beside)[0] == "\n".join(texts[:2])
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = queries.table(spark, SF, "labels").limit(0)
