@@ -102,8 +102,18 @@ class Signer:
         return index, np.stack(probes, 1) if probes else np.zeros((n, 0), np.uint64)
 
 
+def repeats(sig):
+    """Marks of the values that occur further left in their row. In a run of one letter a segment and its shifted
+    copies coincide; the index row stands first and stays, so all rows of a line under one name are equal."""
+    order = np.argsort(sig, axis=1, kind="stable")
+    ranked = np.take_along_axis(sig, order, 1)
+    out = np.zeros(sig.shape, bool)
+    np.put_along_axis(out, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
+    return out
+
+
 def _signature_rows(tau: int):
-    """Rows (line hash, line) -> postings (sig, line, len, parity, indexed)."""
+    """Rows (line hash, line) -> postings (sig, line, len, parity, indexed), one for each sig of a line."""
     def run(batches):
         import pyarrow as pa
         signer, seen = Signer(tau), set()
@@ -118,7 +128,7 @@ def _signature_rows(tau: int):
                 sig = np.concatenate([index, probes], 1)
                 indexed = np.zeros(sig.shape, bool)
                 indexed[:, :index.shape[1]] = True
-                real = sig != 0
+                real = (sig != 0) & ~repeats(sig)
                 who, size, parity = (np.broadcast_to(x[:, None], sig.shape)[real] for x in (who, size, parity))
                 return pa.RecordBatch.from_arrays(
                     [pa.array(sig[real].view(np.int64)), pa.array(who), pa.array(size), pa.array(parity), pa.array(indexed[real])],

@@ -176,6 +176,36 @@ def test_line_classes(spark):
     assert kept == sum(want[k] == k for k in want)
 
 
+def test_dotted_lines(spark):
+    rng = random.Random(8)
+    lines = []
+    for fill in ".-_=~*":  # lines that share nothing but the run in their middle; the shortest one is alike with one of the others
+        def parts():
+            return "".join(rng.choice("abcdefgh") for _ in range(6)), "".join(rng.choice("12345678") for _ in range(6))
+        head, tail = parts()
+        lines.append(head + fill * 10 + tail)
+        lines.append(head[:2] + "x" + head[3:] + fill * 10 + tail[:3] + "9" + tail[3:])
+        lines += [h + fill * 10 + t[:3] + "9" + t[3:] for h, t in (parts() for _ in range(8))]
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            if distance(a, b) <= 2:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["keep_id"] for r in line_edit.line_classes(df).collect()}
+    assert got == {i: find(i) for i in range(len(lines))}
+    signer = line_edit.Signer()
+    sig = np.concatenate(signer.signatures(["Methods ............... 12"]), 1)
+    kept = sig[~line_edit.repeats(sig)]
+    assert len(kept) == len(set(sig[0].tolist())) < sig.shape[1] and {*sig[0, :3]} <= {*kept}
+
+
 def test_language_held_out(spark, odd):
     df = queries.table(spark, "/root/testdata/sf0.01", "documents")
     rows = langid.identify(df, langid.one_third()).join(df.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
