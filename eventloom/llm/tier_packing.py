@@ -5,8 +5,9 @@ smallest window that holds it; one longer than all is cut in full longest window
 Tiers are packed from long to short: a window takes its tier's documents best fit first, longest first,
 and what is left of it is filled from the shorter tiers, largest piece that fits first. The last gap of a
 window is filled by cutting a piece, whose rest goes back to its tier, so that only the last sequence of
-a block of documents is padded (to a power of two). Sequences are numbered so that steps
-are balanced: each step group takes sequences worth the same number of tokens.
+a block of documents is padded (to a power of two). Steps are balanced: a task's sequences, block after
+block, fill one step group after the other; none holds more than STEP_TOKENS, and all but a task's last
+one are full up to less than the next sequence's window.
 
 A task packs its own documents in blocks of bounded token count, so nothing is shuffled and no task
 holds more than a block. Every id lies in exactly one piece.
@@ -104,20 +105,32 @@ def pack_block(lengths, tiers=TIERS):
     return pieces, windows
 
 
+def step_groups(windows, group: int, used: int, step_tokens: int = STEP_TOKENS):
+    """Step group of each sequence, going on in `group` of which `used` tokens are taken; then the last group and its tokens."""
+    out = []
+    for window in windows:
+        if used and used + window > step_tokens:
+            group, used = group + 1, 0
+        out.append(group)
+        used += window
+    return out, group, used
+
+
 def _pack_rows(path: str, end_id: int, tiers, block_tokens: int, step_tokens: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
         base = TaskContext.get().partitionId() << 40
         held, total, blocks = [], 0, 0
+        group, used = TaskContext.get().partitionId() << 20, 0
 
         def flush():
-            nonlocal held, total, blocks, base
+            nonlocal held, total, blocks, base, group, used
             id_column = pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c, _, _ in held])
             docs = [(ids, int(b[i]), int(b[i + 1])) for _, ids, b in held for i in range(len(b) - 1)]
             lengths = [e - s for _, s, e in docs]
             pieces, windows = pack_block(lengths, tiers)
-            step = np.cumsum(windows) - np.array(windows)
+            steps, group, used = step_groups(windows, group, used, step_tokens)
             pieces.sort(key=lambda p: (p[3], p[4]))
             doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces))
             crcs = [zlib.crc32(np.ascontiguousarray(docs[d][0][docs[d][1] + s:docs[d][1] + s + n], "<u4").tobytes())
@@ -126,7 +139,7 @@ def _pack_rows(path: str, end_id: int, tiers, block_tokens: int, step_tokens: in
             total_of = np.array(lengths, np.int64)[doc]
             out = pa.RecordBatch.from_arrays(
                 [id_column.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(total_of),
-                 pa.array(base + sequence), pa.array(offset), pa.array(windows[sequence]), pa.array((base >> 20) + step[sequence] // step_tokens)],
+                 pa.array(base + sequence), pa.array(offset), pa.array(windows[sequence]), pa.array(np.array(steps, np.int64)[sequence])],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"])
             base += len(windows)
             held, total, blocks = [], 0, blocks + 1

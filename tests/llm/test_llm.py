@@ -266,6 +266,20 @@ def test_packing_round_trips(docs, odd):
                 assert tuple(x for _, p in sorted(parts) for x in p) == ids[d][0]
 
 
+def test_step_groups_are_balanced(docs):
+    many = docs.crossJoin(docs.sparkSession.range(8)).drop("id").coalesce(1)  # several Arrow batches, so several blocks
+    rows = tier_packing.pack_tiers(many, queries.tokenizer_path(), block_tokens=20_000, step_tokens=16_384)
+    sequences = {r["sequence_id"]: r for r in rows.select("sequence_id", "window", "step_group").distinct().collect()}
+    tokens_of, task_of = Counter(), defaultdict(set)
+    for r in sequences.values():
+        tokens_of[r["step_group"]] += r["window"]
+        task_of[r["sequence_id"] >> 40].add(r["step_group"])
+    assert len(tokens_of) > 10 and max(tokens_of.values()) <= 16_384
+    for task, groups in task_of.items():
+        assert sorted(groups) == list(range(task << 20, (task << 20) + len(groups)))
+        assert all(tokens_of[g] > 16_384 - 4096 for g in groups if g != max(groups))
+
+
 def test_best_fit_never_wastes_an_open_row():
     rng = random.Random(2)
     lengths = [rng.randint(1, 300) for _ in range(500)]
