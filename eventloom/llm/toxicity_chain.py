@@ -28,9 +28,8 @@ from eventloom.llm.common import bound_batches
 COLUMNS = 1 << 18
 #: Words whose columns a task remembers.
 REMEMBER = 200_000
-#: Labelled texts in the training sample, and the most columns of one that teach.
+#: Labelled texts in the training sample; each teaches with all its columns (at most COLUMNS).
 SAMPLE = 4000
-MOST_COLUMNS = 4000
 MIN_DOCS = 8
 FOLDS = 3
 STEPS = 40
@@ -74,7 +73,7 @@ class Rows:
     def __init__(self, lists):
         self.n = np.array([len(x) for x in lists], np.int64)
         self.ids = np.concatenate(lists) if len(lists) else np.zeros(0, np.int64)
-        self.owner = np.repeat(np.arange(len(lists)), self.n)
+        self.owner = np.repeat(np.arange(len(lists), dtype=np.int32), self.n)
 
     def sums(self, weights):
         return np.bincount(self.owner, weights=weights[self.ids], minlength=len(self.n))
@@ -158,8 +157,7 @@ def _word_rows(batches):
     import pyarrow as pa
     features = Features()
     for batch in batches:
-        # columns are hashes in sorted order, so a cut drops them evenly
-        lists = [features(t)[:MOST_COLUMNS] for t in batch.column(0).to_pylist()]
+        lists = [features(t) for t in batch.column(0).to_pylist()]
         arrays = [pa.array([x.astype(np.int32).tobytes() for x in lists], pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays + [batch.column(1), batch.column(2)], ["words", "key", "labels"])
 
@@ -177,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, categories, id_col: str = "doc_id"
     kind = dict(docs.dtypes)[id_col]
     got = texts.mapInArrow(_word_rows, f"words binary, key {kind}, labels array<double>").limit(2 * sample).collect()
     got.sort(key=lambda r: (r["key"], bytes(r["words"])))
-    lists = [np.frombuffer(r["words"], np.int32).astype(np.int64) for r in got]
+    lists = [np.frombuffer(r["words"], np.int32) for r in got]
     answers = np.array([[np.nan if x is None else x for x in r["labels"]] for r in got], float).reshape(len(got), len(categories))
     return fit_chain(lists, answers, [n for n, _ in categories])
 

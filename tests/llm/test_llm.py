@@ -302,6 +302,16 @@ def test_toxicity(spark, odd):
     assert toxicity_chain.drop_toxic(odd, chain, "toxic").columns == odd.columns
 
 
+def test_toxicity_learns_from_whole_texts():
+    import pyarrow as pa
+    text = " ".join("".join(random.Random(i).choices("abcdefghijklmnop", k=9)) for i in range(3000))
+    columns = toxicity_chain.Features()(text)
+    assert len(columns) > 8000
+    batch = pa.RecordBatch.from_arrays([pa.array([text, None]), pa.array([1, 2]), pa.array([[0.0], [1.0]])], ["t", "label_id", "labels"])
+    got = next(toxicity_chain._word_rows([batch])).column(0).to_pylist()
+    assert np.array_equal(np.frombuffer(got[0], np.int32), columns) and got[1] == b""
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies, many of them, on this long notice, really.</div><header><p>Site header, with words.</p></header>
 <!-- ad --><div id="main"><article><h1>Head &amp; line</h1><p>First   paragraph, with <b>bold</b>
