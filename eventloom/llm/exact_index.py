@@ -7,8 +7,8 @@ others keep their smaller local depth, so several slots point to one bucket). Ow
 whole buckets: they chain the different texts that share a key. Texts of keys with more than one row
 are compared byte by byte (grouped on the text itself, with map-side combine).
 
-Defined cases: a null text is the empty text; a null id sorts below all ids; of rows that repeat both
-id and text one is kept; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text is the empty text; a null id sorts below all ids; of rows that repeat
+the largest id one is kept (the largest row key, so texts may differ in A-Z case); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,8 +64,8 @@ def directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[DataFrame,
 
 
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_KEYS) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256, bucket, chain_pos, row_key.
-    Of equal texts (A-Z lower-cased) the row with the largest id stays."""
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256, row_key.
+    Of equal texts (A-Z lower-cased) one row with the largest id stays."""
     spark = docs.sparkSession
     tables = Tables(spark, "exact_index")
     norm = normalised(F.col(text_col))
@@ -82,7 +82,8 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = (index.groupBy("key", "sha", "n_bytes", "id", "row_key").agg(F.count("*").alias("copies")))
     texts = tables.put("texts", texts)
     chains = (texts.groupBy("key", "sha", "n_bytes")
-              .agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+              .agg(F.max(F.struct("id", "row_key")).alias("keep"), F.sum("copies").alias("group_size"))
+              .select("key", "sha", "n_bytes", F.col("keep.id").alias("keep_id"), F.col("keep.row_key").alias("keep_row"), "group_size")
               .withColumn("slot", _slot(depth)).join(slots, "slot"))
     owned = chains.repartition("bucket").withColumn(
         "chain_pos", F.expr("row_number() over (partition by bucket, key order by sha, n_bytes)"))
@@ -100,7 +101,7 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                           F.raise_error(F.lit("different texts share length, 64-bit hash and SHA-256")))
                           .otherwise(F.lit(True))))
     groups = tables.put("groups", proven.filter("group_size > 1 and proof")
-                        .select("key", "sha", "n_bytes", "keep_id", "group_size"))
+                        .select("key", "sha", "n_bytes", "keep_id", "keep_row", "group_size"))
 
     # Hand the group back to its rows; a hot group's row is repeated once for every salt of its rows.
     rows = index.count()
@@ -117,7 +118,7 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     size = F.coalesce(F.col("group_size"), F.lit(1).cast("long"))
     return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"),
-                         (F.col("id").eqNullSafe(keep) & (F.col("copy") == 1)).alias("kept"),
+                         (F.coalesce(F.col("row_key") == F.col("keep_row"), F.lit(True)) & F.col("id").eqNullSafe(keep) & (F.col("copy") == 1)).alias("kept"),
                          F.col("sha").alias("text_sha256"), F.col("row_key"))
 
 

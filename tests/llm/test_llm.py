@@ -102,6 +102,14 @@ def test_exact_copies(odd, docs):
         assert exact_index.drop_copies(df).count() == len(groups)
 
 
+def test_one_row_of_a_repeated_id_stays(spark):
+    rows = [(5, "ABC"), (5, "abc"), (5, "abc"), (4, "Abc"), (None, "X"), (None, "x"), (6, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = exact_index.dedup_exact(df).filter("kept").collect()
+    assert sorted((r["keep_id"] or 0, r["group_size"]) for r in got) == [(0, 2), (5, 4), (6, 1)]
+    assert sorted((i or 0, t.lower()) for i, t in exact_index.drop_copies(df).collect()) == [(0, "x"), (5, "abc"), (6, "one")]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
