@@ -11,6 +11,7 @@ from eventloom.catalog.q_volume import ANOMALIES, EVT_SQL, _ev_t
 from eventloom.functions import curves as CV
 from eventloom.functions import formats as fm
 from eventloom.operators import loss, metrics as MX, routing
+from eventloom.operators.quantiles import exact_quantiles
 from eventloom.sources.messages import events_as_messages
 
 LOSS_PCT = 5.0
@@ -168,7 +169,7 @@ def histogram_p95(spark, sf_dir):
           f"SELECT phase, quantile_cont(latency, 0.95) AS p95 FROM {D_SQL} GROUP BY phase")
 def latency_p95_direct(spark, sf_dir):
     """The direct (exact, interpolated) p95 of latency per phase."""
-    return delivery_log(spark, sf_dir).groupBy("phase").agg(F.percentile("latency", 0.95).alias("p95"))
+    return exact_quantiles(delivery_log(spark, sf_dir), ["phase"], "latency", [0.95]).select("phase", F.col("q95").alias("p95"))
 
 
 WIN_FMT = "yyyy-MM-dd HH:mm:ss"

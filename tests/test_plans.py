@@ -63,3 +63,9 @@ def test_lookup_and_dimension_joins_broadcast(spark):
             continue
         plan = _physical(E.queries()[name](spark, SF))
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, name
+
+
+def test_direct_p95_has_no_percentile_buffer(spark, sf_small):
+    from eventloom.catalog import q_metrics
+    plan = q_metrics.latency_p95_direct(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
