@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import (exact_index, html_paths, langid, line_edit, merkle_manifest, ngram_join, packed_ids, pivot_search, poisson_mix,
+from eventloom.llm import (exact_index, html_paths, langid, level_products, line_edit, merkle_manifest, ngram_join, packed_ids, pivot_search, poisson_mix,
                            tier_packing, toxicity_chain)
 
 TOKENIZER = "word_bpe_49k.json"
@@ -64,12 +64,16 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_chain.score_toxicity(docs, chain).withColumnRenamed("is_toxic", "toxic").withColumn("kept", ~F.col("toxic"))
 
 
+def op11_level_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_products.divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.audit(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_html_paths, op2_ngram_join, op3_exact_index, op4_pivot_search, op5_line_edit, op6_langid,
-                                   op7_poisson_mix, op8_packed_ids, op9_tier_packing, op10_toxicity_chain, op12_merkle_manifest)}
+                                   op7_poisson_mix, op8_packed_ids, op9_tier_packing, op10_toxicity_chain, op11_level_products, op12_merkle_manifest)}
 
 ORACLE_SQL = {
     "op3_exact_index": """
@@ -79,5 +83,6 @@ from n window w as (partition by t)
 """,
     "op4_pivot_search": pivot_search.TOP_K_SQL,
     "op7_poisson_mix": poisson_mix.MIX_SQL,
+    "op11_level_products": level_products.DIVERGENCE_SQL,
     "op12_merkle_manifest": merkle_manifest.AUDIT_SQL,
 }
