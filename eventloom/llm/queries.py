@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import (exact_index, html_paths, langid, level_products, line_edit, merkle_manifest, ngram_join, packed_ids, pivot_search, poisson_mix,
+from eventloom.llm import (exact_index, html_paths, langid, level_products, license_scan, line_edit, merkle_manifest, ngram_join, packed_ids, pivot_search, poisson_mix,
                            tier_packing, toxicity_chain)
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,8 +72,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_html_paths, op2_ngram_join, op3_exact_index, op4_pivot_search, op5_line_edit, op6_langid,
-                                   op7_poisson_mix, op8_packed_ids, op9_tier_packing, op10_toxicity_chain, op11_level_products, op12_merkle_manifest)}
+                                   op7_poisson_mix, op8_packed_ids, op9_tier_packing, op10_toxicity_chain, op11_level_products, op12_merkle_manifest, op13_license_rules)}
 
 ORACLE_SQL = {
     "op3_exact_index": """
