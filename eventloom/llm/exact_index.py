@@ -1,14 +1,18 @@
 """Exact deduplication over an extendible-hash index on shared files, with DataFrame functions only.
 
-Every text has a 64-bit hash key. The index (key, SHA-256, length, id; no texts) is written as a table
-in the shared folder. Its directory has 2^depth slots, one for each prefix of the key; while a bucket
+Every text has a 64-bit hash key. The entries (key, SHA-256, length, id; no texts) are written as a table
+in the shared folder. The directory has 2^depth slots, one for each prefix of the key; while a bucket
 holds more distinct keys than its capacity, the directory doubles and the overfull buckets split (the
-others keep their smaller local depth, so several slots point to one bucket). Owner tasks then take
-whole buckets: they chain the different texts that share a key. Texts of keys with more than one row
-are compared byte by byte (grouped on the text itself, with map-side combine).
+others keep their smaller local depth, so several slots point to one bucket). The directory routes every
+entry to its bucket, and owner tasks take whole buckets: within a bucket, the different texts of a key are
+chained. The texts of a key with more than one row are compared byte by byte (they come to the owner
+grouped on the text itself, with map-side combine), so a chain has one link for each text, with the row that stays
+and the size of the group. Rows find their link by bucket, key and digest; two links of one key that share
+digest and length stop the job.
 
 Defined cases: a null text is the empty text; a null id sorts below all ids; of rows that repeat
-the largest id one is kept (the largest row key, so texts may differ in A-Z case); an empty table gives an empty result; other columns are ignored.
+the largest id one is kept (the largest row key, so texts may differ in A-Z case); a row repeated very
+often is written out by many tasks; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import Tables, fresh, keep_rows, row_key, split_by_keys
+from eventloom.operators.schedule import expand_counts
 
 #: Distinct keys a bucket holds before it splits.
 BUCKET_KEYS = 20_000
@@ -28,6 +33,8 @@ BROADCAST_SLOTS = 1 << 20
 #: A key with at least this share of all rows is hot; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 256
 MAX_DEPTH = 40
+#: Copies of one row that one array may hold.
+COPIES = 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -74,47 +81,42 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = tables.put("index", entries)
     keys = tables.put("keys", index.groupBy("key").agg(F.count("*").alias("n")))
     slots, depth = directory(keys, capacity)
-    slots = tables.put("directory", slots)
+    slots = tables.put("directory", slots.select("slot", "bucket"))
     if slots.count() <= BROADCAST_SLOTS:
         slots = F.broadcast(slots)
 
-    # Owner tasks: whole buckets, with one row for each text by its digest; copies are summed before the shuffle.
-    texts = (index.groupBy("key", "sha", "n_bytes", "id", "row_key").agg(F.count("*").alias("copies")))
-    texts = tables.put("texts", texts)
-    chains = (texts.groupBy("key", "sha", "n_bytes")
-              .agg(F.max(F.struct("id", "row_key")).alias("keep"), F.sum("copies").alias("group_size"))
-              .select("key", "sha", "n_bytes", F.col("keep.id").alias("keep_id"), F.col("keep.row_key").alias("keep_row"), "group_size")
-              .withColumn("slot", _slot(depth)).join(slots, "slot"))
-    owned = chains.repartition("bucket").withColumn(
-        "chain_pos", F.expr("row_number() over (partition by bucket, key order by sha, n_bytes)"))
-    chains = tables.put("chains", owned.drop("slot", "local_depth"))
-
-    # Compare bytes: rows whose key occurs more than once, grouped on the text itself.
+    def routed(df: DataFrame) -> DataFrame:
+        return df.withColumn("slot", _slot(depth)).join(slots, "slot").drop("slot")
+
+    # Links: one for each text of a key that more than one row has, grouped on the text itself.
     shared = keys.filter("n > 1")
-    may_share, _ = split_by_keys(docs.select(F.xxhash64(norm).alias("key"), norm.alias("norm")), F.col("key"), shared, "key")
-    strings = (may_share.groupBy("key", "norm").agg(F.count("*").alias("rows"))
-               .groupBy("key", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("n_bytes"))
-               .agg(F.count("*").alias("strings"), F.sum("rows").alias("rows")))
-    strings = strings.filter("rows > 1 or strings > 1")
-    proven = (chains.join(strings, ["key", "sha", "n_bytes"], "left")
-              .withColumn("proof", F.when((F.col("group_size") > 1) & ((F.col("strings") != 1) | F.col("strings").isNull()),
-                                          F.raise_error(F.lit("different texts share length, 64-bit hash and SHA-256")))
-                          .otherwise(F.lit(True))))
-    groups = tables.put("groups", proven.filter("group_size > 1 and proof")
-                        .select("key", "sha", "n_bytes", "keep_id", "keep_row", "group_size"))
-
-    # Hand the group back to its rows; a hot group's row is repeated once for every salt of its rows.
+    may_share, _ = split_by_keys(docs.select(F.xxhash64(norm).alias("key"), norm.alias("norm"), F.col(id_col).alias("id"),
+                                             row_key(F.col(id_col), F.col(text_col)).alias("row_key")), F.col("key"), shared, "key")
+    links = (may_share.groupBy("key", "norm").agg(F.max(F.struct("id", "row_key")).alias("keep"), F.count("*").alias("group_size"))
+             .select("key", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("n_bytes"), "keep", "group_size"))
+    # Owner tasks: whole buckets; the links of a key form its chain.
+    place = "over (partition by bucket, key order by sha, n_bytes)"
+    chains = (routed(links).repartition("bucket").withColumn("chain_pos", F.expr(f"row_number() {place}"))
+              .withColumn("twin", F.expr(f"lag(struct(sha, n_bytes)) {place} = struct(sha, n_bytes)"))
+              .withColumn("chain_pos", F.when(F.col("twin"), F.raise_error(F.lit("different texts share length, 64-bit hash and SHA-256")).cast("int"))
+                          .otherwise(F.col("chain_pos"))))
+    groups = tables.put("chains", chains.filter("chain_pos > 0 and group_size > 1").select(
+        "bucket", "key", "chain_pos", "sha", "n_bytes", F.col("keep.id").alias("keep_id"), F.col("keep.row_key").alias("keep_row"), "group_size"))
+
+    # Every row looks its link up in its bucket; a hot link is repeated once for every salt of its rows.
+    texts = tables.put("texts", index.groupBy("key", "sha", "n_bytes", "id", "row_key").agg(F.count("*").alias("copies")))
     rows = index.count()
-    hot = (groups.filter(F.col("group_size") >= max(1000, rows * HOT_SHARE))
-           .select("key", "sha", "n_bytes", F.ceil(F.col("group_size") / max(1000, rows * HOT_SHARE)).cast("int").alias("salts")))
-    hot = F.broadcast(hot)
-    on = ["key", "sha", "n_bytes"]
-    salted = (texts.join(hot, on, "left")
+    share = max(1000, rows * HOT_SHARE)
+    on = ["bucket", "key", "sha", "n_bytes"]
+    hot = F.broadcast(groups.filter(F.col("group_size") >= share).select(*on, F.ceil(F.col("group_size") / share).cast("int").alias("salts")))
+    salted = (routed(texts).join(hot, on, "left")
               .withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))).drop("salts"))
     spread = (groups.join(hot, on, "left")
               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts"))
-    joined = salted.join(spread, [*on, "salt"], "left")
-    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    joined = salted.join(spread, [*on, "salt"], "left").select("id", "row_key", "sha", "keep_id", "keep_row", "group_size", "copies")
+    few = joined.filter(F.col("copies") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    many = expand_counts(joined.filter(F.col("copies") > COPIES), "copies", "copy", COPIES)
+    joined = few.unionByName(many.select(*few.columns))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     size = F.coalesce(F.col("group_size"), F.lit(1).cast("long"))
     return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"),

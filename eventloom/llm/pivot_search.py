@@ -12,8 +12,8 @@ equality join on the pivot with a range of radii. The annuli are expanded in the
 search stops when no query of the block can gain from the next one.
 
 Defined cases: vectors that are null, empty of finite numbers or without an id take no part; a shorter
-vector counts as padded with zeros; a row never competes with a query of its own id; rows that repeat id
-and vector count once; ties go to the smaller id; an empty table gives an empty result. Scores beyond
+vector counts as padded with zeros; of all rows only the query's own is no candidate of it, so rows that
+repeat an id or a vector are candidates and queries of their own; ties go to the smaller id; an empty table gives an empty result. Scores beyond
 2^53 are outside the defined range.
 """
 
@@ -36,12 +36,12 @@ CHUNK = 32
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v array<long>) of the vectors that take part: v = floor(scale * x)."""
+    """(id, v array<long>, key) of the vectors that take part: v = floor(scale * x), key a number of the row."""
     x = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
     return (rows.filter(F.col("id").isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False)))
-            .select("id", F.transform(x, lambda e: F.floor(e * F.lit(float(scale)))).alias("v")).distinct())
+            .select("id", F.transform(x, lambda e: F.floor(e * F.lit(float(scale)))).alias("v"), F.monotonically_increasing_id().alias("key")))
 
 
 def _matrix(column, dim: int):
@@ -86,8 +86,8 @@ def _keyed(dim, pivots, m2, query: bool):
             extra = np.zeros(len(v)) if query else np.sqrt(np.maximum(m2 - (v * v).sum(1), 0))
             d = _distances(np.hstack([v, extra[:, None]]), pivots)
             near = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])],
-                                             ["id", "v", "pivot", "dist"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])],
+                                             ["id", "v", "key", "pivot", "dist"])
     return run
 
 
@@ -97,27 +97,28 @@ def _blocks(dim, most, kind):
         import pyarrow as pa
         from pyspark import TaskContext
         number = TaskContext.get().partitionId() << 32
-        ids, vecs, dists, pivot = [], [], [], None
+        ids, keys, vecs, dists, pivot = [], [], [], [], None
 
         def out():
-            nonlocal number, ids, vecs, dists
+            nonlocal number, ids, keys, vecs, dists
             row = pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([pivot], pa.int32()), pa.array([min(dists)], pa.float64()), pa.array([max(dists)], pa.float64()),
-                 pa.array([len(ids)], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(vecs, kind).tobytes()], pa.binary())],
-                ["block", "pivot", "lo", "hi", "n", "ids", "vecs"])
+                 pa.array([len(ids)], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(keys, np.int64).tobytes()], pa.binary()),
+                 pa.array([np.array(vecs, kind).tobytes()], pa.binary())],
+                ["block", "pivot", "lo", "hi", "n", "ids", "keys", "vecs"])
             number += 1
-            ids, vecs, dists = [], [], []
+            ids, keys, vecs, dists = [], [], [], []
             return row
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = _matrix(batch.column(1), dim)
-            for i, p, d, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), v):
+            for i, key, p, d, x in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)), v):
                 if ids and (p != pivot or len(ids) >= most):
                     yield out()
                 pivot = p
-                ids.append(i), vecs.append(x), dists.append(d)
+                ids.append(i), keys.append(key), vecs.append(x), dists.append(d)
         if ids:
             yield out()
     return run
@@ -125,8 +126,8 @@ def _blocks(dim, most, kind):
 
 def _block_table(tables: Tables, name: str, keyed: DataFrame, dim: int, most: int, kind) -> DataFrame:
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(parts, "pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id")
-    return tables.put(name, ordered.mapInArrow(_blocks(dim, most, kind), "block long, pivot int, lo double, hi double, n int, ids binary, vecs binary"))
+    ordered = keyed.repartitionByRange(parts, "pivot", "dist", "id", "key").sortWithinPartitions("pivot", "dist", "id", "key")
+    return tables.put(name, ordered.mapInArrow(_blocks(dim, most, kind), "block long, pivot int, lo double, hi double, n int, ids binary, keys binary, vecs binary"))
 
 
 def _array(blob, dtype, dim=None):
@@ -137,15 +138,15 @@ def _array(blob, dtype, dim=None):
 class Best:
     """The k best (score, id) of every query of a block so far."""
 
-    def __init__(self, queries, ids, k):
-        self.q, self.ids, self.k = queries.astype(float), ids, k
-        n = len(ids)
+    def __init__(self, queries, keys, k):
+        self.q, self.keys, self.k = queries.astype(float), keys, k
+        n = len(keys)
         self.scores = np.full((n, 0), -np.inf)
         self.found = np.zeros((n, 0), np.int64)
 
-    def add(self, ids, vecs):
+    def add(self, ids, keys, vecs):
         s = self.q @ vecs.T.astype(float)
-        s[self.ids[:, None] == ids[None]] = -np.inf
+        s[self.keys[:, None] == keys[None]] = -np.inf
         scores = np.hstack([self.scores, s])
         found = np.hstack([self.found, np.broadcast_to(ids, s.shape)])
         order = np.lexsort((found, -scores), axis=1)[:, :self.k]
@@ -153,7 +154,7 @@ class Best:
 
     def kth(self):
         if self.scores.shape[1] < self.k:
-            return np.full(len(self.ids), -np.inf)
+            return np.full(len(self.keys), -np.inf)
         return self.scores[:, -1]
 
 
@@ -167,12 +168,12 @@ def _expand(dim, pivots, m2, k, kind):
     """cogroup function: one query block and its annuli, in the order of their bounds."""
     def run(key, queries, annuli):
         import pandas as pd
-        schema = {"query_id": "int64", "vec_id": "int64", "score": "int64", "qblock": "int64", "pos": "int64"}
+        schema = {"query_id": "int64", "query_key": "int64", "vec_id": "int64", "score": "int64", "qblock": "int64", "pos": "int64"}
         if not len(queries) or not len(annuli):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in schema.items()})
         row = queries.iloc[0]
-        ids, q = _array(row["ids_q"], np.int64), _array(row["vecs_q"], kind, dim)
-        best = Best(q, ids, k)
+        ids, keys, q = _array(row["ids_q"], np.int64), _array(row["keys_q"], np.int64), _array(row["vecs_q"], kind, dim)
+        best = Best(q, keys, k)
         start = _array(row["kth"], float) if row["kth"] is not None else np.full(len(ids), -np.inf)
         d = _distances(np.hstack([q.astype(float), np.zeros((len(q), 1))]), pivots)
         qf = q.astype(float)
@@ -182,9 +183,9 @@ def _expand(dim, pivots, m2, k, kind):
                 break
             far = np.maximum(a.lo - d[:, a.pivot], d[:, a.pivot] - a.hi)
             if (far <= reach).any():
-                best.add(_array(a.ids, np.int64), _array(a.vecs, kind, dim))
+                best.add(_array(a.ids, np.int64), _array(a.keys, np.int64), _array(a.vecs, kind, dim))
         pos, at = np.nonzero(np.isfinite(best.scores))
-        return pd.DataFrame({"query_id": ids[pos], "vec_id": best.found[pos, at], "score": best.scores[pos, at].astype(np.int64),
+        return pd.DataFrame({"query_id": ids[pos], "query_key": keys[pos], "vec_id": best.found[pos, at], "score": best.scores[pos, at].astype(np.int64),
                              "qblock": np.full(len(pos), row["q_of"], np.int64), "pos": pos.astype(np.int64)})
     return run
 
@@ -230,19 +231,19 @@ def top_k(vectors: DataFrame, is_query=None, id_col: str = "vec_id", vec_col: st
     for i, v in enumerate(sample):
         s[i, :len(v)] = v
     pivots = _pivots(np.hstack([s, np.sqrt(np.maximum(m2 - (s * s).sum(1), 0))[:, None]]), dim, PIVOTS)
-    keyed = "id long, v array<long>, pivot int, dist double"
+    keyed = "id long, v array<long>, key long, pivot int, dist double"
     index = _block_table(tables, "index", rows.mapInArrow(_keyed(dim, pivots, m2, False), keyed), dim, ANNULUS, kind)
     queries = _block_table(tables, "queries", rows.filter(is_query).mapInArrow(_keyed(dim, pivots, m2, True), keyed), dim, QUERY_BLOCK, kind)
-    queries = queries.select(F.col("block").alias("qblock"), "pivot", "lo", "hi", "n", F.col("ids").alias("ids_q"), F.col("vecs").alias("vecs_q"))
+    queries = queries.select(F.col("block").alias("qblock"), "pivot", "lo", "hi", "n", F.col("ids").alias("ids_q"), F.col("keys").alias("keys_q"), F.col("vecs").alias("vecs_q"))
     annuli = index.select("block", "pivot", "lo", "hi")
 
     def search(pairs: DataFrame, blocks: DataFrame, name: str) -> DataFrame:
         """pairs: qblock, chunk, block, bound."""
         wanted = pairs.select(F.col("qblock").alias("q_of"), F.col("chunk").alias("chunk_of")).distinct()
-        left = wanted.join(blocks, F.col("q_of") == F.col("qblock")).select("q_of", "chunk_of", "ids_q", "vecs_q", "kth")
-        right = pairs.join(index, "block").select("qblock", "chunk", "block", "bound", "pivot", "lo", "hi", "ids", "vecs")
+        left = wanted.join(blocks, F.col("q_of") == F.col("qblock")).select("q_of", "chunk_of", "ids_q", "keys_q", "vecs_q", "kth")
+        right = pairs.join(index, "block").select("qblock", "chunk", "block", "bound", "pivot", "lo", "hi", "ids", "keys", "vecs")
         found = left.groupBy("q_of", "chunk_of").cogroup(right.groupBy("qblock", "chunk")).applyInPandas(
-            _expand(dim, pivots, m2, k, kind), "query_id long, vec_id long, score long, qblock long, pos long")
+            _expand(dim, pivots, m2, k, kind), "query_id long, query_key long, vec_id long, score long, qblock long, pos long")
         ranked = found.withColumn("rank", F.expr("row_number() over (partition by qblock, pos order by score desc, vec_id)"))
         return tables.put(name, ranked.filter(F.col("rank") <= k))
 
@@ -261,15 +262,15 @@ def top_k(vectors: DataFrame, is_query=None, id_col: str = "vec_id", vec_col: st
     pairs = tables.put("pairs", open_pairs.withColumn("nr", F.expr("row_number() over (partition by qblock order by bound, block)"))
                        .select("qblock", F.expr(f"cast((nr - 1) div {CHUNK} as int)").alias("chunk"), "block", "bound"))
     found = search(pairs, blocks, "found")
-    best = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)").cast("int"))
+    best = found.withColumn("rank", F.expr("row_number() over (partition by query_key order by score desc, vec_id)").cast("int"))
     return best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 TOP_K_SQL = """
-with v as (select vec_id as id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as q from embeddings
+with v as (select row_number() over () as key, vec_id as id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as q from embeddings
            where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select a.id as query_id, b.id as vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) as bigint) as score
-      from v a join v b on a.id <> b.id where a.id % 20 = 0)
+s as (select a.key, a.id as query_id, b.id as vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) as bigint) as score
+      from v a join v b on a.key <> b.key where a.id % 20 = 0)
 select query_id, cast(rank as integer) as rank, vec_id, score from (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20
+  select *, row_number() over (partition by key order by score desc, vec_id) as rank from s) where rank <= 20
 """

@@ -82,7 +82,8 @@ QUERIES = {f.__name__: f for f in (op1_html_paths, op2_ngram_join, op3_exact_ind
 ORACLE_SQL = {
     "op3_exact_index": """
 with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
-select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
+  row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
 from n window w as (partition by t)
 """,
     "op4_pivot_search": pivot_search.TOP_K_SQL,

@@ -110,20 +110,62 @@ def test_one_row_of_a_repeated_id_stays(spark):
     assert sorted((i or 0, t.lower()) for i, t in exact_index.drop_copies(df).collect()) == [(0, "x"), (5, "abc"), (6, "one")]
 
 
+def test_dedup_comes_from_the_index(spark, monkeypatch):
+    rows = [(i, f"Text {i % 40}") for i in range(400)] + [(7, "same")] * 25
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(exact_index, "COPIES", 4)
+    got = exact_index.dedup_exact(df, capacity=3).collect()
+    assert len(got) == len(rows) and Counter(r["group_size"] for r in got) == {10: 400, 25: 25}
+    assert sum(r["kept"] for r in got) == 41 and sum(r["kept"] for r in got if r["doc_id"] == 7 and r["keep_id"] == 7) == 1
+    whole = exact_index.directory
+    # without half of the directory, rows and links of those slots are lost
+    monkeypatch.setattr(exact_index, "directory", lambda keys, capacity: (lambda s, d: (s.filter("slot % 2 = 0"), d))(*whole(keys, capacity)))
+    assert exact_index.dedup_exact(df, capacity=3).count() < len(rows)
+
+
+def test_exact_copies_equal_the_sql(spark):
+    import duckdb
+    rows = [(5, "ABC"), (5, "abc"), (5, "abc"), (4, "Abc"), (None, "X"), (None, "x"), (6, "one"), (8, None), (9, ""), (9, ""), (1, "Ä"), (2, "ä")]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    named = "doc_id long, text string, key long, bucket int, sha string, n long"
+    df = spark.createDataFrame([(*r, 1, 2, "s", 3) for r in rows], named).repartition(3)
+    got = exact_index.dedup_exact(df).drop("row_key").collect()
+    assert Counter(map(tuple, got)) == Counter(con.sql(queries.ORACLE_SQL["op3_exact_index"]).fetchall())
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
-    rows += [(20, rows[20][1]), (301, None), (302, [1.0, None]), (303, [float("nan")]), (304, [1.0]), (None, [1.0] * 8), (305, rows[7][1]), (340, [])]
-    got = pivot_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    good = {i: [int(np.floor(64 * x)) for x in v] + [0] * (8 - len(v)) for i, v in rows
-            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    for q in (i for i in good if i % 20 == 0):
-        best = sorted((-int(np.dot(good[q], v)), i) for i, v in good.items() if i != q)[:20]
-        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, -s) for s, i in best]
+    # rows that repeat an id, a vector or both are candidates and queries of their own
+    rows += [(20, rows[20][1]), (40, rows[41][1]), (20, rows[20][1]), (301, None), (302, [1.0, None]), (303, [float("nan")]), (304, [1.0]),
+             (None, [1.0] * 8), (305, rows[7][1]), (340, [])]
+    named = "vec_id long, embedding array<double>, key long, pivot string, block int, id long"
+    got = pivot_search.top_k(spark.createDataFrame([(*r, 1, "p", 2, 3) for r in rows], named)).collect()
+    good = [(i, [int(np.floor(64 * x)) for x in v] + [0] * (8 - len(v))) for i, v in rows
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for at, (q, x) in enumerate(good):
+        if q % 20 == 0:
+            best = sorted((-int(np.dot(x, v)), i) for j, (i, v) in enumerate(good) if j != at)[:20]
+            want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    assert Counter(map(tuple, got)) == want
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in pivot_search.top_k(few).collect()] == [(0, 1, 1, 64 * 64 * 11)]
 
 
+def test_top_k_of_repeated_rows_equals_the_sql(spark):
+    import duckdb
+    rng = random.Random(2)
+    rows = [(i % 50, [rng.choice([0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(200)] * 2
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    got = pivot_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter(con.sql(pivot_search.TOP_K_SQL).fetchall())
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
