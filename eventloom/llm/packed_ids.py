@@ -117,7 +117,8 @@ def _rows(path: str, size: int, end_id: int, pad_id: int, block_tokens: int, id_
             held, total = [], 0
 
         for batch, ids, bounds in token_batches(batches, path, end_id, 1):
-            held.append((batch.column(0), ids, bounds))
+            # a copy of the ids: the column would hold on to the texts of its batch
+            held.append((batch.column(0).take(pa.array(np.arange(batch.num_rows))), ids, bounds))
             total += len(ids)
             if total >= block_tokens:
                 yield from flush()
