@@ -252,22 +252,22 @@ def protobuf_encode(spec_spark, sf_dir):
 
 
 # ---------------------------------------------------------------- header fields from templates
-from eventloom.catalog.q_fields import SHOP_SCHEMA, _SHOP_SQL  # noqa: E402
+from eventloom.catalog.q_fields import PARCEL_SCHEMA, _PARCEL_SQL  # noqa: E402
 from eventloom.functions import fields as FL  # noqa: E402
 from eventloom.functions import templates as TP  # noqa: E402
 
 # ---- fixed header templates ------------------------------------------------------------------
 HEADER_TEMPLATES = {"hostname": "{{faker.hostname}}", "app_name": "{{real_app}}-svc", "procid": "{{pid}}",
-                    "msgid": "{{action}}_{{outcome}}", "structured_data": '[shop outcome="{{outcome}}" department="{{department}}"]'}
-BODY_TEMPLATE = "{{department}} {{action}} {{outcome}} {{cents}}"
+                    "msgid": "{{next_step}}_{{reading}}", "structured_data": '[depot name="{{depot}}" lane="{{lane}}"]'}
+BODY_TEMPLATE = "{{depot}} {{lane}} {{reading}} {{grams}}"
 
 
 @register("fmt_header_templates", None)
 def fmt_header_templates(spark, sf_dir):
     """RFC 5424 whose header fields are themselves templates over the event's values."""
     e = table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("seq"), "ts", "event_type")
-    e = FL.with_fields(e, SHOP_SCHEMA, SEED, "seq", ts="ts")
-    vals = {n: F.col(n) for n in SHOP_SCHEMA}
+    e = FL.with_fields(e, PARCEL_SCHEMA, SEED, "seq", ts="ts")
+    vals = {n: F.col(n) for n in PARCEL_SCHEMA}
     vals.update(TP.default_values(SEED, "seq", F.col("seq"), F.col("ts"), F.col("event_type")))
     hdr = {k: TP.render_template(t, vals, SEED, "seq") for k, t in HEADER_TEMPLATES.items()}
     body = TP.render_template(BODY_TEMPLATE, vals, SEED, "seq")
@@ -276,7 +276,7 @@ def fmt_header_templates(spark, sf_dir):
 
 def _hdr_sql():
     from eventloom.functions import draws as D
-    vals = dict(_SHOP_SQL)
+    vals = dict(_PARCEL_SQL)
     vals.update({"sequence": "CAST(seq AS VARCHAR)", "timestamp": "(strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z')",
                  "pid": f"CAST({D.sql_int_from_unit(D.sql_draw(SEED, 'seq', 'pid'), 1, 65535)} AS VARCHAR)",
                  "hostname": "'localhost'", "real_hostname": "'localhost'", "real_command": "'echo ok'",

@@ -133,25 +133,28 @@ def placeholder_names(template: Column) -> Column:
     return F.filter(F.array_distinct(names), lambda n: n != "")
 
 
+#: A template's next token: text up to a closed placeholder or the end, then the placeholder (or nothing).
+_TOKEN = r"(?s)(.*?)(\{\{.*?\}\}|\z)"
+
+
 def render_template_column(template: Column, values: Mapping[str, Column]) -> Column:
     """Render a template that differs per row (a template column or a joined template table).
 
-    Each known ``{{name}}`` is replaced by its value (NULL → empty) in the order of
-    ``values``; unknown names stay as written. A value that itself contains a later
-    ``{{name}}`` is replaced again (use :func:`pick_template` for a few fixed templates,
-    which is exact).
+    The template is cut into tokens once; each token is its text and the value of its placeholder (NULL →
+    empty; unknown names and ``{{}}`` stay as written). Values go in as they are: a value that looks
+    like a placeholder is not expanded.
     """
-    names = list(values)
-    if not names:
-        return template
-    m = F.map_from_arrays(F.array(*[F.lit(n) for n in names]),
-                          F.array(*[F.coalesce(values[n].cast("string"), F.lit("")) for n in names]))
-    return F.aggregate(F.map_entries(m), template,
-                       lambda acc, e: F.replace(acc, F.concat(F.lit("{{"), e["key"], F.lit("}}")), e["value"]))
+    texts, marks = (F.regexp_extract_all(template, F.lit(_TOKEN), F.lit(k)) for k in (1, 2))
+    known = F.map_from_arrays(F.array(*[F.lit("{{" + n + "}}") for n in values]),
+                              F.array(*[F.coalesce(values[n].cast("string"), F.lit("")) for n in values])) if values else None
+
+    def token(text, mark):
+        return F.concat(text, F.coalesce(F.try_element_at(known, mark), mark) if values else mark)
+    return F.when(template.isNotNull(), F.array_join(F.zip_with(texts, marks, token), ""))
 
 
 def sql_render_template_column(template_sql: str, values: Mapping[str, str]) -> str:
-    out = template_sql
-    for n, v in values.items():
-        out = f"replace({out}, '{{{{{n}}}}}', coalesce(CAST({v} AS VARCHAR), ''))"
-    return out
+    texts, marks = (f"regexp_extract_all({template_sql}, '{_TOKEN}', {k})" for k in (1, 2))
+    cases = " ".join(f"WHEN '{{{{{n}}}}}' THEN coalesce(CAST({v} AS VARCHAR), '')" for n, v in values.items())
+    value = f"CASE t[2] {cases} ELSE t[2] END" if values else "t[2]"
+    return f"array_to_string(list_transform(list_zip({texts}, {marks}), lambda t: t[1] || {value}), '')"
