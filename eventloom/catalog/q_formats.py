@@ -231,24 +231,63 @@ def unframe_octet(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- protobuf
-from eventloom.functions.protobuf import encode_protobuf  # noqa: E402
+from eventloom.functions import protobuf as PB  # noqa: E402
 
-# ---- fixed spec: one field of each wire kind ----------------------------------------------
+# ---- fixed spec: one field of each wire kind, an unsigned one above 2^63 ---------------------
 PB_SPEC = {"id": "1:uint:{{vec_id}}", "label": "2:sint:{{label_delta}}", "norm": "3:double:{{norm}}",
            "first": "4:float:{{first}}", "tag": "5:str:vec-{{vec_id}}/{{label}}", "ok": "6:bool:{{ok}}",
-           "n": "7:int:{{dims}}", "raw": "plain {{label}}"}
+           "n": "7:int:{{dims}}", "raw": "plain {{label}}", "far": "17:uint:{{far}}", "below": "18:int:-{{label}}"}
+TOP_UINT = 18446744073709551615
 
 
-@register("protobuf_encode")
-def protobuf_encode(spec_spark, sf_dir):
-    """Protobuf messages from embeddings: uint id, zigzag label delta, double L2 norm,
-    float first component, string tag, bool, int dimension count, auto-numbered string."""
-    e = table(spec_spark, sf_dir, "embeddings")
+def _embedding_messages(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
     norm = F.sqrt(F.aggregate(F.col("embedding"), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     vals = {"vec_id": F.col("vec_id"), "label": F.col("label"), "label_delta": F.col("label") - 5,
             "norm": norm, "first": F.element_at("embedding", 1), "ok": (F.col("label") % 2 == 0).cast("string"),
-            "dims": F.size("embedding")}
-    return e.select("vec_id", encode_protobuf(PB_SPEC, vals).alias("message"))
+            "dims": F.size("embedding"), "far": F.lit(str(TOP_UINT)).cast("decimal(20,0)") - F.col("vec_id")}
+    return e.select("vec_id", PB.encode_protobuf(PB_SPEC, vals).alias("message"))
+
+
+def _protobuf_sql():
+    norm = "sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), lambda a, b: a + b))"
+    parts = {"id": "vec_id", "label": "label - 5", "norm": norm, "first": "embedding[1]", "tag": "('vec-' || vec_id || '/' || label)", "ok": "label % 2 = 0",
+             "n": "len(embedding)", "raw": "('plain ' || label)", "far": f"({TOP_UINT}::HUGEINT - vec_id)", "below": "-label"}
+    fields = " || ".join(PB.sql_field_hex(num, typ, parts[name]) for num, typ, _, name in PB.parse_spec(PB_SPEC))
+    return f"SELECT vec_id, {fields} AS message FROM embeddings"
+
+
+@register("protobuf_encode", _protobuf_sql())
+def protobuf_encode(spark, sf_dir):
+    """Protobuf messages from embeddings, as hex: uint ids (one above 2^63), zigzag label delta, double L2 norm,
+    float first component, string tag, bool, int dimension count, negative int, auto-numbered string."""
+    return _embedding_messages(spark, sf_dir).select("vec_id", F.hex("message").alias("message"))
+
+
+@register("protobuf_decode",
+          f"SELECT vec_id, CAST(vec_id AS DECIMAL(20,0)) AS id, CAST({TOP_UINT}::HUGEINT - vec_id AS DECIMAL(20,0)) AS far, "
+          "'vec-' || vec_id || '/' || label AS tag, 10 AS fields FROM embeddings")
+def protobuf_decode(spark, sf_dir):
+    """The messages of protobuf_encode read back: unsigned values exact up to 2^64-1."""
+    m = _embedding_messages(spark, sf_dir).withColumn("f", PB.decode_protobuf(F.col("message")))
+
+    def one(number):
+        return F.filter("f", lambda x: x["number"] == number)[0]
+    return m.select("vec_id", one(1)["value"].alias("id"), one(17)["value"].alias("far"), F.decode(one(5)["bytes"], "UTF-8").alias("tag"),
+                    F.size("f").alias("fields"))
+
+
+# ---- fixed spec of a protobuf phase: header fields only ---------------------------------------
+PB_HEADER_SPEC = {"host": "1:str:{{hostname}}", "app": "2:str:{{app_name}}", "pid": "3:uint:{{procid}}"}
+
+
+@register("fmt_protobuf", "SELECT seq, " + " || ".join(PB.sql_field_hex(n, t, v) for n, t, v in (
+    (1, "str", "hostname"), (2, "str", "app_name"), (3, "uint", "seq"))) + f" AS message FROM {M_SQL}")
+def fmt_protobuf(spark, sf_dir):
+    """A protobuf phase through the format dispatch, as hex: fields from the message's header."""
+    m = _msgs(spark, sf_dir)
+    out = fm.render("protobuf", F.col("body"), fields=PB_HEADER_SPEC, hostname=F.col("hostname"), app_name=F.col("app_name"), procid=F.col("seq"))
+    return m.select("seq", F.hex(out).alias("message"))
 
 
 # ---------------------------------------------------------------- header fields from templates

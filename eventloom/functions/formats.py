@@ -207,8 +207,16 @@ def wire_bytes(msg, framing: str | None) -> Column:
 
 
 def render(fmt: str, msg, **kw) -> Column:
-    """Dispatch by format name; unknown names render raw."""
+    """Dispatch by format name; unknown names render raw. ``protobuf`` takes its field spec as ``fields``, gives binary,
+    and its templates see hostname, app_name, procid and msgid; the message itself is no field."""
     f = (fmt or "raw").lower()
+    if f == "protobuf":
+        from eventloom.functions.protobuf import encode_protobuf
+        header = {}
+        for k in ("hostname", "app_name", "procid", "msgid"):
+            v = kw.get(k)
+            header[k] = v if isinstance(v, Column) else F.lit("" if v is None else str(v))
+        return encode_protobuf(kw.get("fields") or {}, header)
     if f == "rfc5424":
         return rfc5424(msg, **{k: v for k, v in kw.items() if k in (
             "ts", "facility", "severity", "hostname", "app_name", "procid", "msgid", "structured_data", "bom")})
