@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from eventloom.catalog import SEED, register, table
 from eventloom.functions import fakers as FK
 from eventloom.functions import formats as fm
 from eventloom.functions import sql_formats as sf
+from eventloom.plans.session import ensure_checkpoint_dir
 from eventloom.sources import framed
 from eventloom.sources.messages import SQL_EVENTS_AS_MESSAGES, events_as_messages
 
@@ -209,7 +212,7 @@ def unframe_lf(spark, sf_dir):
 
 _OCT_SQL = (
     "WITH l AS (SELECT doc_id, unnest(parts) AS body, unnest(range(len(parts))) AS idx FROM "
-    "(SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)), "
+    "(SELECT doc_id, string_split(CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || chr(10) || 'tail' ELSE text END, chr(10)) AS parts FROM documents)), "
     "p AS (SELECT *, CAST(coalesce(sum(strlen(CAST(strlen(body) AS VARCHAR)) + 1 + strlen(body)) OVER "
     "(PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos, "
     "min(CASE WHEN strlen(body) = 0 OR strlen(body) > 65535 THEN idx END) OVER (PARTITION BY doc_id) AS bad FROM l) "
@@ -223,13 +226,26 @@ _OCT_SQL = (
 @register("unframe_octet", _OCT_SQL)
 def unframe_octet(spark, sf_dir):
     """Round trip: each document's lines are octet-count framed into one stream (F11), then the
-    stream is decoded frame by frame (stops at an implausible length, as a receiver does)."""
+    stream is decoded frame by frame (stops at an implausible length, as a receiver does: every
+    fifth stream has an empty frame before its last one)."""
     d = table(spark, sf_dir, "documents")
-    blobs = d.select("doc_id", F.array_join(F.transform(F.split(F.col("text"), "\n", -1), lambda l: fm.frame_octet(l)), "")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\n\ntail"))).otherwise(F.col("text"))
+    blobs = d.select("doc_id", F.array_join(F.transform(F.split(text, "\n", -1), lambda l: fm.frame_octet(l)), "")
                      .alias("stream"))
     return framed.decode_octet(blobs, "doc_id", "stream")
 
 
+@register("scan_lf_files",
+          "SELECT body, CAST(strlen(body) AS BIGINT) AS body_bytes, CAST(strlen(body) + 1 AS BIGINT) AS wire_bytes, count(*) AS frames "
+          "FROM (SELECT unnest(string_split(text, chr(10))) AS body FROM documents WHERE text IS NOT NULL) GROUP BY ALL")
+def scan_lf_files(spark, sf_dir):
+    """Texts written as LF-framed capture files in the shared folder and scanned back in byte ranges: how often each frame came."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/captures/{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("text").write.option("lineSep", "\n").text(folder)
+    frames = framed.read_lf_files(spark, folder)
+    return frames.groupBy("body", "body_bytes", "wire_bytes").agg(F.count("*").alias("frames"))
+
+
 # ---------------------------------------------------------------- protobuf
 from eventloom.functions import protobuf as PB  # noqa: E402
 

@@ -1,7 +1,8 @@
 """Framed byte-stream scans: LF (non-transparent) and octet-counting.
 
-A stream is one row (one connection or file). LF splitting is a built-in ``split`` +
-``posexplode``. Octet-counting is a sequential decode inside one stream, so it runs as a
+A stream is one row, or one capture file. LF splitting of a row is a built-in ``split`` +
+``posexplode``; LF capture files are read in byte ranges by Spark's own line reader, so a file of any size
+is read by many tasks. Octet-counting is a sequential decode inside one stream, so it runs as a
 batched Arrow/pandas map: serial within a stream, parallel across streams.
 """
 
@@ -10,9 +11,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 MAX_FRAME = 65535
+#: Frames handed on together: at most so many, and about so many bytes.
+OUT_ROWS, OUT_BYTES = 20_000, 8 << 20
 _HEADER = re.compile(rb"(\d+) ")
 
 
@@ -59,30 +62,50 @@ def decode_octet(df: DataFrame, key: str, stream: str) -> DataFrame:
     key_type = df.schema[key].dataType
     out_schema = T.StructType([T.StructField(key, key_type)] + OCTET_SCHEMA.fields)
 
+    columns = [key, "pos", "body", "wire_bytes", "error"]
+
     def run(batches):
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for k, s in zip(pdf[key], pdf[stream]):
                 if s is None:
                     continue
                 b = s if isinstance(s, (bytes, bytearray)) else s.encode("utf-8")
                 for pos, body, wire, err in decode_octet_bytes(bytes(b)):
                     rows.append((k, pos, None if body is None else body.decode("utf-8", "replace"), wire, err))
-            yield pd.DataFrame(rows, columns=[key, "pos", "body", "wire_bytes", "error"])
+                    held += wire or 0
+                    if held > OUT_BYTES or len(rows) >= OUT_ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return df.select(key, stream).mapInPandas(run, out_schema)
 
 
 def read_lf_files(spark, path: str) -> DataFrame:
-    """LF-framed capture files, one file = one connection: conn (file), pos, body, bytes.
+    """LF-framed capture files, one file = one connection: conn (file), pos, body, body_bytes, wire_bytes.
 
-    Files are read whole (``binaryFile``, at most 2 GB per file) because an unterminated
-    last line is not a frame and only the file's bytes tell where it ends; files are
-    processed in parallel, and the split is a built-in ``split`` + ``posexplode``.
+    Spark's line reader cuts each file into byte ranges (``spark.sql.files.maxPartitionBytes``) and gives
+    a range the lines that start in it. A line's place in its file is the number of lines in the ranges before plus
+    its place in its range, from a table of one row per range. The lines' bytes against the file's
+    size tell whether the last line is unterminated, so no frame, and whether the reader took a byte order mark off.
     """
-    blobs = spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("conn"), F.decode(F.col("content"), "UTF-8").alias("stream"))
-    return split_lf(blobs, "conn", "stream")
+    lines = (spark.read.option("lineSep", "\n").text(path)
+             .select(F.col("_metadata.file_path").alias("conn"), F.col("_metadata.file_block_start").alias("start"),
+                     F.col("_metadata.file_size").alias("size"), F.col("value").alias("body"), F.monotonically_increasing_id().alias("id")))
+    ranges = lines.groupBy("conn", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max("size").alias("size"),
+                                                F.sum(F.octet_length("body") + 1).alias("wire"))
+    before = Window.partitionBy("conn").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("conn")
+    extra = F.sum("wire").over(whole) - F.col("size")  # 1 more for a last line without LF, 3 less for a byte order mark
+    ranges = ranges.select(F.col("conn").alias("r_conn"), F.col("start").alias("r_start"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"),
+                           (F.sum("n").over(whole) - extra.isin(1, -2).cast("int")).alias("frames"), (extra < 0).alias("mark"))
+    body = F.when(F.col("mark") & (F.col("pos") == 0), F.concat(F.lit("\ufeff"), F.col("body"))).otherwise(F.col("body"))
+    return (lines.join(ranges, (F.col("conn") == F.col("r_conn")) & (F.col("start") == F.col("r_start")))
+            .withColumn("pos", F.col("id") + F.col("shift")).filter(F.col("pos") < F.col("frames"))
+            .select("conn", "pos", body.alias("body"))
+            .withColumn("body_bytes", F.octet_length("body").cast("bigint")).withColumn("wire_bytes", F.col("body_bytes") + 1))
 
 
 def read_octet_files(spark, path: str) -> DataFrame:
