@@ -5,9 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import uuid
+
 from eventloom.catalog import register, table
-from eventloom.operators.checks import (PHASE_RULES, PROFILE_RULES, TARGET_RULES, Rule, check, numbered_report,
+from eventloom.operators.checks import (ENTRY_RULES, PHASE_RULES, PROFILE_RULES, TARGET_RULES, Rule, check, numbered_report,
                                         sql_check)
+from eventloom.plans.session import ensure_checkpoint_dir
+from eventloom.sources import scans
 
 # Stand-in profile rows: each expression is valid in Spark SQL and DuckDB alike.
 TARGET_EXPRS = [
@@ -115,6 +119,72 @@ def profile_report(spark, sf_dir):
     return numbered_report(v, "profile", ["subject", "index", "rule"])
 
 
+# ---- profiles with nested entries, one JSON line for each part ---------------------------------
+_NAN = "CAST('NaN' AS DOUBLE)"
+#: Entries of each profile: (path, kind, field, number, text), each expression valid in Spark SQL and DuckDB alike.
+ENTRIES = [
+    ("targets[1].tls_cipher_suites[0]", "cipher", None, None, "CASE WHEN p_size % 2 = 0 THEN 'TLS_AES_256_GCM_SHA384' ELSE 'TLS_RC4' END"),
+    ("targets[1].tls_cipher_suites[1]", "cipher", None, None, "'TLS_AES_128_GCM_SHA256'"),
+    ("targets[1].tls_cipher_suites[2]", "cipher", None, None, "CASE WHEN p_size % 3 = 0 THEN 'tls_aes_128_gcm_sha256' ELSE 'TLS_CHACHA20_POLY1305_SHA256' END"),
+    ("phases[0].template_weights[0]", "weight", None, "1.0", None),
+    ("phases[0].template_weights[1]", "weight", None, "CAST(p_size % 4 AS DOUBLE) - 2.0", None),
+    ("phases[0].template_weights[2]", "weight", None, f"CASE WHEN p_size % 7 = 0 THEN {_NAN} ELSE 0.5 END", None),
+    *[(f"phases[0].cef.{f}", "cef", f, None, f"CASE WHEN p_size % {k} = 0 THEN ' ' ELSE p_brand END")
+      for f, k in (("device_vendor", 3), ("device_product", 4), ("device_version", 5), ("signature_id", 6), ("name", 7))],
+    ("phases[0].load_shape.min_rate", "shape_rate", "min_rate", "CAST(p_size AS DOUBLE) - 20.0", None),
+    ("phases[0].load_shape.max_rate", "shape_rate", "max_rate", f"CASE WHEN p_size % 5 = 0 THEN {_NAN} ELSE 9.0 END", None),
+    ("phases[0].load_shape.period_secs", "shape_period", "period_secs", "CAST(p_size % 3 AS DOUBLE)", None),
+    *[(f"phases[0].anomalies[{k}].{f}", "burst-injection", f, e, None) for k in (0, 2) for f, e in (
+        ("rate_multiplier", f"CAST((p_size + {k}) % 4 AS DOUBLE) - 1.0"), ("interval_secs", f"CAST((p_size + {k}) % 3 AS DOUBLE)"),
+        ("duration_secs", f"CASE WHEN p_size % {k + 2} = 0 THEN CAST('inf' AS DOUBLE) ELSE CAST((p_size + {k}) % 5 AS DOUBLE) - 1.0 END"))],
+    ("phases[0].anomalies[1].rate_divisor", "slow-drip", "rate_divisor", "CAST(p_size % 4 AS DOUBLE)", None),
+    ("phases[0].anomalies[1].duration_secs", "slow-drip", "duration_secs", "CAST(p_size % 2 AS DOUBLE)", None),
+    ("phases[0].anomalies[3].loss_percent", "packet-loss", "loss_percent", "CAST(p_size * 4 AS DOUBLE) - 10.0", None),
+    *[(f"phases[1].leef.{f}", "leef", f, None, f"CASE WHEN p_size % {k} = 1 THEN '' ELSE p_type END")
+      for f, k in (("vendor", 3), ("product", 4), ("version", 5), ("event_id", 6))],
+    *[(f"phases[1].load_shape.{f}", kind, f, f"CAST((p_size + {k}) % 6 AS DOUBLE) - 2.0", None)
+      for k, (f, kind) in enumerate((("base_rate", "shape_rate"), ("burst_rate", "shape_rate"), ("burst_secs", "shape_rate"), ("every_secs", "shape_period")))],
+]
+ENTRY_SQL = " UNION ALL ".join(
+    f"SELECT p_partkey AS profile_id, '{path}' AS path, '{kind}' AS kind, {f"'{f}'" if f else 'NULL'} AS field, "
+    f"{f'CAST({n} AS DOUBLE)' if n else 'CAST(NULL AS DOUBLE)'} AS number, {t or 'NULL'} AS text FROM part" for path, kind, f, n, t in ENTRIES)
+
+
+def _profile_json():
+    """One profile as a JSON column of part, built from the entries' paths."""
+    e = {path: F.expr(n or t) for path, _, _, n, t in ENTRIES}
+
+    def block(prefix, **more):
+        fields = [c.alias(path[len(prefix) + 1:]) for path, c in e.items() if path.startswith(prefix + ".")]
+        return F.struct(*[F.lit(v).alias(k) for k, v in more.items()], *fields)
+
+    def listed(prefix):
+        return F.array(*[e[f"{prefix}[{k}]"] for k in range(3)])
+    anomalies = F.array(*[F.to_json(block(f"phases[0].anomalies[{k}]", type=kind))
+                          for k, kind in enumerate(("burst-injection", "slow-drip", "burst-injection", "packet-loss"))])
+    first = F.struct(F.lit("a").alias("name"), F.lit("cef").alias("format"), F.array(*[F.lit(x) for x in "xyz"]).alias("templates"), F.lit(5).alias("duration_secs"),
+                     listed("phases[0].template_weights").alias("template_weights"), block("phases[0].cef").alias("cef"),
+                     block("phases[0].load_shape", type="sine").alias("load_shape"))
+    second = F.struct(F.lit("b").alias("name"), F.lit("leef").alias("format"), F.array(F.lit("x")).alias("templates"), F.lit(5).alias("duration_secs"),
+                      block("phases[1].leef").alias("leef"), block("phases[1].load_shape", type="burst").alias("load_shape"))
+    targets = F.array(F.struct(F.lit("h:1").alias("address"), F.lit(None).cast("array<string>").alias("tls_cipher_suites")),
+                      F.struct(F.lit("h:2").alias("address"), listed("targets[1].tls_cipher_suites").alias("tls_cipher_suites")))
+    # the anomalies have unlike fields, so they are objects of their own
+    head = F.to_json(first)
+    head = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"anomalies":['), F.array_join(anomalies, ","), F.lit("]}"))
+    return F.concat(F.lit('{"profile_id":"'), F.col("p_partkey").cast("string"), F.lit('","targets":'), F.to_json(targets), F.lit(',"phases":['), head, F.lit(","),
+                    F.to_json(second), F.lit("]}"))
+
+
+@register("profile_entries", sql_check(ENTRY_SQL, "entry", "CAST(profile_id AS VARCHAR) || ':' || path", ENTRY_RULES))
+def profile_entries(spark, sf_dir):
+    """Profiles written as JSON lines, read with their defaults and checked entry by entry: several offenders in
+    one phase, NaN among them, are each reported (no rule on whole targets or phases is broken)."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/profiles/{uuid.uuid4().hex}"
+    table(spark, sf_dir, "part").select(_profile_json().alias("json")).write.text(folder)
+    return scans.profile_violations(scans.read_profiles(spark, folder, lines=True))
+
+
 # ---- fixed table rules ------------------------------------------------------------------------
 LINEITEM_RULES = [
     Rule("quantity_out_of_range", "l_quantity <= 0 OR l_quantity > 50", "l_quantity"),

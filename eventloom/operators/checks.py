@@ -22,6 +22,9 @@ VALID_SHUTDOWN_MODES = ["drain", "immediate"]
 VALID_TLS_VERSIONS = ["1.2", "1.3"]
 VALID_TOPIC_COMPRESSIONS = ["", "no", "none", "gzip", "lz4", "snappy", "zstd"]
 VALID_TOPIC_ACKS = ["0", "1", "all"]
+VALID_CIPHER_SUITES = ["TLS_AES_256_GCM_SHA384", "TLS_AES_128_GCM_SHA256", "TLS_CHACHA20_POLY1305_SHA256", "TLS_ECDHE_ECDSA_WITH_AES_256_GCM_SHA384",
+                       "TLS_ECDHE_ECDSA_WITH_AES_128_GCM_SHA256", "TLS_ECDHE_RSA_WITH_AES_256_GCM_SHA384",
+                       "TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256", "TLS_ECDHE_RSA_WITH_CHACHA20_POLY1305_SHA256"]
 MAX_FACILITY = 23
 MAX_SEVERITY = 7
 MAX_CEF_SEVERITY = 10
@@ -139,3 +142,29 @@ PHASE_RULES = [
     Rule("invalid_loss_percent", "loss_percent IS NOT NULL AND (isnan(loss_percent) OR loss_percent < 0 OR loss_percent > 100)",
          "loss_percent"),
 ]
+
+
+def _not_finite_or(bound: str) -> str:
+    return f"(isnan(number) OR number IN (CAST('inf' AS DOUBLE), CAST('-inf' AS DOUBLE)) OR {bound})"
+
+
+_NUMBER = ("CASE WHEN isnan(number) THEN 'NaN' WHEN number = CAST('inf' AS DOUBLE) THEN 'inf' WHEN number = CAST('-inf' AS DOUBLE) THEN '-inf' "
+           "ELSE CAST(number AS STRING) END")
+#: Rules on single entries of a profile's nested arrays and blocks (one row an entry: kind, field, number, text).
+ENTRY_RULES = [
+    Rule("invalid_cipher_suite", f"kind = 'cipher' AND text NOT IN {_in(VALID_CIPHER_SUITES)}", "text"),
+    Rule("invalid_template_weight", "kind = 'weight' AND (isnan(number) OR number < 0)", _NUMBER),
+    Rule("cef_field_blank", "kind = 'cef' AND trim(coalesce(text, '')) = ''", "field"),
+    Rule("leef_field_blank", "kind = 'leef' AND trim(coalesce(text, '')) = ''", "field"),
+    Rule("invalid_shape_rate", "kind = 'shape_rate' AND (isnan(number) OR number < 0)", _NUMBER),
+    Rule("invalid_shape_period", "kind = 'shape_period' AND (isnan(number) OR number <= 0)", _NUMBER),
+    Rule("invalid_burst_multiplier", f"kind = 'burst-injection' AND field = 'rate_multiplier' AND {_not_finite_or('number <= 0')}", _NUMBER),
+    Rule("invalid_burst_interval", f"kind = 'burst-injection' AND field = 'interval_secs' AND {_not_finite_or('number <= 0')}", _NUMBER),
+    Rule("invalid_burst_duration", f"kind = 'burst-injection' AND field = 'duration_secs' AND {_not_finite_or('number < 0')}", _NUMBER),
+    Rule("invalid_drip_divisor", f"kind = 'slow-drip' AND field = 'rate_divisor' AND {_not_finite_or('number <= 1')}", _NUMBER),
+    Rule("invalid_drip_duration", f"kind = 'slow-drip' AND field = 'duration_secs' AND {_not_finite_or('number <= 0')}", _NUMBER),
+    Rule("invalid_loss_percent", f"kind = 'packet-loss' AND field = 'loss_percent' AND {_not_finite_or('number < 0 OR number > 100')}", _NUMBER),
+]
+#: Phase rules that ENTRY_RULES replace where a profile's nested entries are at hand.
+_BY_ENTRY = {r.name for r in ENTRY_RULES} | {"cef_vendor_blank", "leef_vendor_blank"}
+WHOLE_PHASE_RULES = [r for r in PHASE_RULES if r.name not in _BY_ENTRY]

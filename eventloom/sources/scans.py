@@ -11,6 +11,8 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from eventloom.operators.checks import ENTRY_RULES, PROFILE_RULES, TARGET_RULES, WHOLE_PHASE_RULES, check
+
 # ---- fixed values: profile defaults -----------------------------------------------------------
 DEFAULT_DISTRIBUTION = "round-robin"
 DEFAULT_SHUTDOWN_MODE = "drain"
@@ -29,7 +31,7 @@ PROFILE_DDL = """
 profile_id string, distribution string, broadcast_policy string, on_target_failure string,
 shutdown struct<mode:string, drain_timeout_secs:bigint>,
 targets array<struct<address:string, transport:string, connections:int, weight:int, framing:string,
-  tls_min_protocol_version:string, tls_insecure:boolean, kafka_topic:string, kafka_compression:string,
+  tls_min_protocol_version:string, tls_cipher_suites:array<string>, tls_insecure:boolean, kafka_topic:string, kafka_compression:string,
   kafka_acks:string, file_rotation_size_mb:bigint, file_rotation_interval_secs:bigint,
   file_rotation_max_files:int, reconnect_initial_backoff_ms:bigint, reconnect_max_backoff_ms:bigint,
   reconnect_multiplier:double>>,
@@ -60,13 +62,13 @@ def profile_schema() -> T.StructType:
     return _PROFILE_SCHEMA
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """One row per profile file (JSON documents), unknown fields ignored, defaults filled.
+def read_profiles(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per profile file (JSON documents; ``lines``: one profile a line), unknown fields ignored, defaults filled.
 
     ``profile_id`` defaults to the file path.
     """
     PROFILE_SCHEMA = profile_schema()
-    raw = spark.read.schema(PROFILE_SCHEMA).option("multiLine", "true").json(path) \
+    raw = spark.read.schema(PROFILE_SCHEMA).option("multiLine", str(not lines).lower()).json(path) \
         .withColumn("_file", F.col("_metadata.file_path"))
 
     def target(t):
@@ -113,6 +115,16 @@ def profile_level(profiles: DataFrame) -> DataFrame:
                            F.size("phases").alias("n_phases"))
 
 
+def profile_violations(profiles: DataFrame) -> DataFrame:
+    """Every violation of profiles read by :func:`read_profiles`: subject, index (profile and place), rule, value."""
+    def idx(*parts):
+        return F.concat_ws(":", "profile_id", *[F.col(c).cast("string") for c in parts])
+    return (check(profile_level(profiles), "profile", "profile_id", PROFILE_RULES)
+            .unionByName(check(profile_targets(profiles).drop("tls_cipher_suites"), "target", idx("idx"), TARGET_RULES))
+            .unionByName(check(profile_phases(profiles), "phase", idx("idx"), WHOLE_PHASE_RULES))
+            .unionByName(check(profile_entries(profiles), "entry", idx("path"), ENTRY_RULES)))
+
+
 def profile_targets(profiles: DataFrame) -> DataFrame:
     """One row per target: profile_id, idx (0-based position) and the target's fields."""
     return profiles.select("profile_id", F.posexplode("targets").alias("idx", "t")).select("profile_id", "idx", "t.*")
@@ -138,13 +150,55 @@ def profile_phases(profiles: DataFrame) -> DataFrame:
         F.when(F.col("p.template_weights").isNotNull(), F.size("p.template_weights")).alias("n_template_weights"),
         F.array_min("p.template_weights").alias("min_template_weight"), F.col("p.pad_to_bytes").alias("pad_to_bytes"),
         F.col("p.syslog.facility").alias("facility"), F.col("p.syslog.severity").alias("severity"),
-        F.col("p.cef.device_vendor").alias("cef_vendor"), F.col("p.cef.severity").alias("cef_severity"),
-        F.col("p.leef.vendor").alias("leef_vendor"), rates.alias("shape_rate"), periods.alias("shape_period"),
+        F.when(F.col("p.cef").isNotNull(), F.coalesce("p.cef.device_vendor", F.lit(""))).alias("cef_vendor"), F.col("p.cef.severity").alias("cef_severity"),
+        F.when(F.col("p.leef").isNotNull(), F.coalesce("p.leef.vendor", F.lit(""))).alias("leef_vendor"), rates.alias("shape_rate"), periods.alias("shape_period"),
         pick("burst-injection", "rate_multiplier", F.array_min).alias("burst_multiplier"),
         pick("slow-drip", "rate_divisor", F.array_min).alias("drip_divisor"),
         pick("packet-loss", "loss_percent", F.array_max).alias("loss_percent"))
 
 
+#: Numbers a load shape and an anomaly of each type reads. Fixed values.
+SHAPE_RATES = {"constant": ["rate"], "linear": ["start_rate", "end_rate"], "sine": ["min_rate", "max_rate"], "burst": ["base_rate", "burst_rate", "burst_secs"]}
+SHAPE_PERIODS = {"sine": ["period_secs"], "burst": ["every_secs"]}
+ANOMALY_FIELDS = {"burst-injection": ["rate_multiplier", "interval_secs", "duration_secs"], "slow-drip": ["rate_divisor", "duration_secs"],
+                  "packet-loss": ["loss_percent"]}
+BLOCK_FIELDS = {"cef": ["device_vendor", "device_product", "device_version", "signature_id", "name"], "leef": ["vendor", "product", "version", "event_id"]}
+
+
+def profile_entries(profiles: DataFrame) -> DataFrame:
+    """One row per nested entry that a rule reads: profile_id, path (its place in the profile), kind, field, number, text.
+
+    Arrays are exploded, never folded, so each entry is judged on its own: a second offender or a NaN can't hide
+    behind a minimum.
+    """
+    def entry(path, kind, field=None, number=None, text=None):
+        return F.struct(path.alias("path"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.lit(field).cast("string").alias("field"),
+                        (F.lit(None) if number is None else number).cast("double").alias("number"),
+                        (F.lit(None) if text is None else text).cast("string").alias("text"))
+
+    def at(*parts) -> Column:
+        return F.concat(*[(F.lit(x) if isinstance(x, str) else x.cast("string")) for x in parts])
+
+    t, p, i = F.col("t"), F.col("p"), F.col("i")
+    shape, place = p["load_shape"], at("phases[", i, "]")
+    suites = F.transform(t["tls_cipher_suites"], lambda x, k: entry(at("targets[", i, "].tls_cipher_suites[", k, "]"), "cipher", text=x))
+    weights = F.transform(p["template_weights"], lambda x, k: entry(at(place, ".template_weights[", k, "]"), "weight", number=x))
+
+    def of_anomaly(a, k):
+        fields = [F.when(a["type"] == kind, entry(at(place, ".anomalies[", k, f"].{f}"), kind, f, number=a[f])) for kind, fs in ANOMALY_FIELDS.items() for f in fs]
+        return F.array(*fields)
+    anomalies = F.flatten(F.transform(p["anomalies"], of_anomaly))
+    single = [F.when(shape["type"] == kind, entry(at(place, f".load_shape.{f}"), name, f, number=shape[f]))
+              for name, table in (("shape_rate", SHAPE_RATES), ("shape_period", SHAPE_PERIODS)) for kind, fs in table.items() for f in fs]
+    single += [F.when((p["format"] == kind) & p[kind].isNotNull(), entry(at(place, f".{kind}.{f}"), kind, f, text=p[kind][f]))
+               for kind, fs in BLOCK_FIELDS.items() for f in fs]
+    none = F.array().cast("array<struct<path:string,kind:string,field:string,number:double,text:string>>")
+    of_targets = profiles.select("profile_id", F.posexplode("targets").alias("i", "t")).select("profile_id", F.explode(F.coalesce(suites, none)).alias("e"))
+    of_phases = (profiles.select("profile_id", F.posexplode("phases").alias("i", "p"))
+                 .select("profile_id", F.explode(F.concat(F.coalesce(weights, none), F.coalesce(anomalies, none), F.array(*single))).alias("e")))
+    return of_targets.unionByName(of_phases).filter("e IS NOT NULL").select("profile_id", "e.*")
+
+
 ESTIMATE_SCHEMA = T.StructType([
     T.StructField("bench", T.StringType()), T.StructField("group", T.StringType()), T.StructField("label", T.StringType()),
     T.StructField("time_ns_median", T.DoubleType()), T.StructField("time_ns_lower", T.DoubleType()),

@@ -73,3 +73,39 @@ def test_nested_estimates(spark, tmp_path):
     df = scans.read_nested_estimates(spark, str(tmp_path))
     got = sorted((r.label, r.group, r.time_ns_median, r.time_ns_lower) for r in df.collect())
     assert got == [("faker_ipv4", "faker_ipv4", 88.0, 87.0), ("hot_path/rfc5424_with_faker", "hot_path", 1700.0, 1699.0)]
+
+
+def test_every_offender_of_a_nested_profile_is_reported(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    profile = {"profile_id": "p", "targets": [{"address": "a:1", "tls_cipher_suites": ["TLS_RC4", "TLS_AES_128_GCM_SHA256", "x"]}, {"address": "b:1"}],
+               "phases": [{"name": "one", "format": "cef", "templates": ["t"] * 3, "template_weights": [nan, -1, 2], "duration_secs": 5,
+                           "cef": {"device_vendor": "v", "device_product": " ", "device_version": "", "signature_id": "1"},
+                           "load_shape": {"type": "sine", "min_rate": nan, "max_rate": 3, "period_secs": 0, "every_secs": -1},
+                           "anomalies": [{"type": "burst-injection", "rate_multiplier": 0, "interval_secs": inf, "duration_secs": 0},
+                                         {"type": "slow-drip", "rate_divisor": 1, "duration_secs": 0, "interval_secs": -5},
+                                         {"type": "burst-injection", "rate_multiplier": nan, "interval_secs": 1, "duration_secs": -1},
+                                         {"type": "packet-loss", "loss_percent": 101}, {"type": "packet-loss", "loss_percent": 100}]},
+                          {"name": "two", "format": "leef", "templates": ["t"], "duration_secs": 5, "leef": {"vendor": "v", "product": "p", "version": "\t", "event_id": "e"},
+                           "load_shape": {"type": "burst", "base_rate": -1, "burst_rate": 1, "every_secs": nan, "burst_secs": -2}},
+                          {"name": "three", "format": "raw", "templates": ["t"], "duration_secs": 5, "cef": {"device_vendor": ""}}]}
+    (tmp_path / "p.json").write_text(json.dumps(profile))
+    got = {(r["index"], r.rule, r.value) for r in scans.profile_violations(scans.read_profiles(spark, str(tmp_path))).collect()}
+    one, two = "p:phases[0]", "p:phases[1]"
+    assert got == {
+        ("p:targets[0].tls_cipher_suites[0]", "invalid_cipher_suite", "TLS_RC4"), ("p:targets[0].tls_cipher_suites[2]", "invalid_cipher_suite", "x"),
+        (f"{one}.template_weights[0]", "invalid_template_weight", "NaN"), (f"{one}.template_weights[1]", "invalid_template_weight", "-1.0"),
+        (f"{one}.cef.device_product", "cef_field_blank", "device_product"), (f"{one}.cef.device_version", "cef_field_blank", "device_version"),
+        (f"{one}.cef.name", "cef_field_blank", "name"), (f"{one}.load_shape.min_rate", "invalid_shape_rate", "NaN"),
+        (f"{one}.load_shape.period_secs", "invalid_shape_period", "0.0"), (f"{one}.anomalies[0].rate_multiplier", "invalid_burst_multiplier", "0.0"),
+        (f"{one}.anomalies[0].interval_secs", "invalid_burst_interval", "inf"), (f"{one}.anomalies[1].rate_divisor", "invalid_drip_divisor", "1.0"),
+        (f"{one}.anomalies[1].duration_secs", "invalid_drip_duration", "0.0"), (f"{one}.anomalies[2].rate_multiplier", "invalid_burst_multiplier", "NaN"),
+        (f"{one}.anomalies[2].duration_secs", "invalid_burst_duration", "-1.0"), (f"{one}.anomalies[3].loss_percent", "invalid_loss_percent", "101.0"),
+        (f"{two}.leef.version", "leef_field_blank", "version"), (f"{two}.load_shape.base_rate", "invalid_shape_rate", "-1.0"),
+        (f"{two}.load_shape.every_secs", "invalid_shape_period", "NaN"), (f"{two}.load_shape.burst_secs", "invalid_shape_rate", "-2.0")}
+
+
+def test_profile_violations_of_the_fixtures(spark):
+    def rules(name):
+        return {r.rule for r in scans.profile_violations(scans.read_profiles(spark, os.path.join(FIX, name))).collect()}
+    assert rules("profile_two_targets.json") == set()
+    assert {"invalid_distribution", "empty_address", "invalid_shape_rate", "invalid_shape_period", "invalid_drip_divisor", "invalid_loss_percent"} <= rules("profile_broken.json")
