@@ -148,14 +148,19 @@ def _not_finite_or(bound: str) -> str:
     return f"(isnan(number) OR number IN (CAST('inf' AS DOUBLE), CAST('-inf' AS DOUBLE)) OR {bound})"
 
 
+def _blank(column: str) -> str:
+    """Nothing but white space, or NULL (both dialects trim spaces only)."""
+    return f"translate(coalesce({column}, ''), ' \t\n\r\f\x0b', '') = ''"
+
+
 _NUMBER = ("CASE WHEN isnan(number) THEN 'NaN' WHEN number = CAST('inf' AS DOUBLE) THEN 'inf' WHEN number = CAST('-inf' AS DOUBLE) THEN '-inf' "
            "ELSE CAST(number AS STRING) END")
 #: Rules on single entries of a profile's nested arrays and blocks (one row an entry: kind, field, number, text).
 ENTRY_RULES = [
     Rule("invalid_cipher_suite", f"kind = 'cipher' AND text NOT IN {_in(VALID_CIPHER_SUITES)}", "text"),
     Rule("invalid_template_weight", "kind = 'weight' AND (isnan(number) OR number < 0)", _NUMBER),
-    Rule("cef_field_blank", "kind = 'cef' AND trim(coalesce(text, '')) = ''", "field"),
-    Rule("leef_field_blank", "kind = 'leef' AND trim(coalesce(text, '')) = ''", "field"),
+    Rule("cef_field_blank", f"kind = 'cef' AND {_blank('text')}", "field"),
+    Rule("leef_field_blank", f"kind = 'leef' AND {_blank('text')}", "field"),
     Rule("invalid_shape_rate", "kind = 'shape_rate' AND (isnan(number) OR number < 0)", _NUMBER),
     Rule("invalid_shape_period", "kind = 'shape_period' AND (isnan(number) OR number <= 0)", _NUMBER),
     Rule("invalid_burst_multiplier", f"kind = 'burst-injection' AND field = 'rate_multiplier' AND {_not_finite_or('number <= 0')}", _NUMBER),
