@@ -256,13 +256,13 @@ PB_SPEC = {"id": "1:uint:{{vec_id}}", "label": "2:sint:{{label_delta}}", "norm":
 TOP_UINT = 18446744073709551615
 
 
-def _embedding_messages(spark, sf_dir):
+def _embedding_messages(spark, sf_dir, encode):
     e = table(spark, sf_dir, "embeddings")
     norm = F.sqrt(F.aggregate(F.col("embedding"), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     vals = {"vec_id": F.col("vec_id"), "label": F.col("label"), "label_delta": F.col("label") - 5,
             "norm": norm, "first": F.element_at("embedding", 1), "ok": (F.col("label") % 2 == 0).cast("string"),
             "dims": F.size("embedding"), "far": F.lit(str(TOP_UINT)).cast("decimal(20,0)") - F.col("vec_id")}
-    return e.select("vec_id", PB.encode_protobuf(PB_SPEC, vals).alias("message"))
+    return e.select("vec_id", encode(PB_SPEC, vals).alias("message"))
 
 
 def _protobuf_sql():
@@ -277,15 +277,15 @@ def _protobuf_sql():
 def protobuf_encode(spark, sf_dir):
     """Protobuf messages from embeddings, as hex: uint ids (one above 2^63), zigzag label delta, double L2 norm,
     float first component, string tag, bool, int dimension count, negative int, auto-numbered string."""
-    return _embedding_messages(spark, sf_dir).select("vec_id", F.hex("message").alias("message"))
+    return _embedding_messages(spark, sf_dir, PB.encode_protobuf).select("vec_id", F.hex("message").alias("message"))
 
 
 @register("protobuf_decode",
           f"SELECT vec_id, CAST(vec_id AS DECIMAL(20,0)) AS id, CAST({TOP_UINT}::HUGEINT - vec_id AS DECIMAL(20,0)) AS far, "
           "'vec-' || vec_id || '/' || label AS tag, 10 AS fields FROM embeddings")
 def protobuf_decode(spark, sf_dir):
-    """The messages of protobuf_encode read back: unsigned values exact up to 2^64-1."""
-    m = _embedding_messages(spark, sf_dir).withColumn("f", PB.decode_protobuf(F.col("message")))
+    """The messages of protobuf_encode, encoded column by column and read back: unsigned values exact up to 2^64-1."""
+    m = _embedding_messages(spark, sf_dir, PB.encode_protobuf_columns).withColumn("f", PB.decode_protobuf(F.col("message")))
 
     def one(number):
         return F.filter("f", lambda x: x["number"] == number)[0]

@@ -5,10 +5,12 @@ A spec maps field names to ``"num:type:template"``, ``"num:template"`` or ``"tem
 uint/uint32/uint64, sint/sint32/sint64 (zigzag), bool/boolean, double/f64, float/f32;
 anything else is a string. Fields are written in ascending field number.
 
-Texts are parsed by Spark expressions; one Arrow function per message then encodes whole columns (varints
-from a matrix of seven-bit groups, floats as their bytes) and joins the fields. Unsigned values go through
-``decimal(20,0)``, so all of 0 .. 2^64-1 is encoded. Unparsable numbers and numbers out of range encode 0;
-booleans are true for ``1``/``true``/``yes``. :func:`decode_protobuf` reads messages back.
+Texts are parsed by Spark expressions. :func:`encode_protobuf` builds the message from built-ins (varints from
+unsigned shifts, the raw bits of floats through ``java_method``, one hex string turned into binary), so a
+plan stays in the JVM. :func:`encode_protobuf_columns` gives the same bytes from one Arrow function per message that
+encodes whole columns (varints from a matrix of seven-bit groups, floats as their bytes) and has a deterministic
+plan. Unsigned values go through ``decimal``, so all of 0 .. 2^64-1 is encoded. Unparsable numbers and
+numbers out of range encode 0; booleans are true for ``1``/``true``/``yes``. :func:`decode_protobuf` reads messages back.
 """
 
 from __future__ import annotations
@@ -121,9 +123,48 @@ def _parsed(value: Column, typ: str) -> Column:
     return F.shiftleft(v, 1).bitwiseXOR(F.shiftright(v, 63)) if typ == "sint" else v
 
 
+def _hex_byte(x: Column) -> Column:
+    return F.lpad(F.hex(x), 2, "0")
+
+
+def varint_hex(v: Column) -> Column:
+    """Hex of the unsigned LEB128 varint of the 64 bits of a bigint."""
+    v = v.cast("bigint")
+    parts = []
+    for k in range(10):
+        # shifts are taken mod 64 by the JVM, so the 10th byte never has a continuation
+        cont = (F.shiftrightunsigned(v, 7 * (k + 1)) != 0) if k < 9 else F.lit(False)
+        byte = F.shiftrightunsigned(v, 7 * k).bitwiseAND(F.lit(127)) + F.when(cont, F.lit(128)).otherwise(F.lit(0))
+        present = F.lit(True) if k == 0 else (F.shiftrightunsigned(v, 7 * k) != 0)
+        parts.append(F.when(present, _hex_byte(byte)))
+    return F.concat_ws("", *parts)
+
+
+def field_hex(num: int, typ: str, value: Column) -> Column:
+    tag = varint_bytes((num << 3) | WIRE_TYPE[typ]).hex().upper()
+    v = _parsed(value, typ)
+    if typ in ("str", "bytes"):
+        payload = F.concat(varint_hex(F.octet_length(v)), F.hex(F.encode(v, "UTF-8")))
+    elif typ in ("double", "float"):
+        kind, call, width = ("java.lang.Double", "doubleToRawLongBits", 8) if typ == "double" else ("java.lang.Float", "floatToRawIntBits", 4)
+        bits = F.call_function("java_method", F.lit(kind), F.lit(call), v).cast("bigint")
+        payload = F.concat(*[_hex_byte(F.shiftrightunsigned(bits, 8 * k).bitwiseAND(F.lit(255))) for k in range(width)])
+    else:
+        payload = varint_hex(v)
+    return F.concat(F.lit(tag), payload)
+
+
 def encode_protobuf(spec: Mapping[str, str], values: Mapping[str, Column], seed: int | None = None, key=None) -> Column:
     """Binary protobuf message for each row; an empty spec gives empty bytes."""
     fields = parse_spec(spec)
+    if not fields:
+        return F.lit(b"").cast("binary")
+    return F.unhex(F.concat(*[field_hex(num, typ, render_template(tmpl, values, seed, key)) for num, typ, tmpl, _ in fields]))
+
+
+def encode_protobuf_columns(spec: Mapping[str, str], values: Mapping[str, Column], seed: int | None = None, key=None) -> Column:
+    """The bytes of :func:`encode_protobuf`, encoded column by column in an Arrow function."""
+    fields = parse_spec(spec)
     if not fields:
         return F.lit(b"").cast("binary")
     heads = [(num, typ) for num, typ, _, _ in fields]

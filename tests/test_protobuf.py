@@ -5,7 +5,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from eventloom.functions.protobuf import encode_protobuf, parse_spec
+from eventloom.functions.protobuf import encode_protobuf, encode_protobuf_columns, parse_spec
 
 
 def _varint(b, i):
@@ -54,7 +54,9 @@ def test_round_trip(spark):
     spec = {"s": "1:str:{{s}}", "si": "2:sint:{{si}}", "d": "3:double:{{d}}", "f": "4:float:{{f}}",
             "b": "5:bool:{{b}}", "bad": "6:int:{{bad}}", "u": "7:uint:{{u}}", "neg": "8:int:-1"}
     vals = {c: F.col(c) for c in df.columns}
-    got = {r.k: dict(decode(bytes(r.m))) for r in df.select("k", encode_protobuf(spec, vals).alias("m")).collect()}
+    rows = df.select("k", encode_protobuf(spec, vals).alias("m"), encode_protobuf_columns(spec, vals).alias("c")).collect()
+    assert all(bytes(r.m) == bytes(r.c) for r in rows)
+    got = {r.k: dict(decode(bytes(r.m))) for r in rows}
     assert got[1] == {1: "héllo", 2: 5, 3: 2.5, 4: 0.25, 5: 1, 6: 0, 7: 300, 8: (1 << 64) - 1}
     assert got[2][1] == "" and got[2][2] == (1 << 64) - 2 and math.copysign(1, got[2][3]) == -1 and math.isnan(got[2][4]) and got[2][5] == 1
     assert got[2][6] == 0 and got[2][7] == (1 << 64) - 1
