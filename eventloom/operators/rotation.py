@@ -55,12 +55,46 @@ def retention(files: DataFrame, target: str, order_desc: Sequence[str], max_file
     return r.withColumn("action", F.when(F.col("rank_newest") <= keep_n, "keep").otherwise("delete"))
 
 
-# ------------------------------------------------------------------ exact greedy size rotation
+# ------------------------------------------------------------------ exact greedy rotation
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
 import pandas as pd  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 EXACT_CHUNK_SPAN = 1 << 20
+#: Values of a chunk that a task holds at once while it summarizes.
+PART_ROWS = 1 << 17
+#: Chunk summaries that one merge joins.
+FAN = 64
+_FAR = np.iinfo(np.int64).max
+
+
+def _ends(jump: np.ndarray):
+    """Where each chain i -> jump[i] ends (jump[i] == i) and its number of steps, by pointer doubling."""
+    hops = (jump != np.arange(len(jump))).astype(np.int64)
+    while True:
+        twice = jump[jump]
+        if np.array_equal(twice, jump):
+            return jump, hops
+        hops, jump = hops + hops[jump], twice
+
+
+def _visited(jump: np.ndarray, start: int) -> np.ndarray:
+    """The places of the chain from ``start``; every round doubles the known part."""
+    at = np.array([start], dtype=np.int64)
+    while True:
+        more = np.unique(np.concatenate((at, jump[at])))
+        if len(more) == len(at):
+            return at
+        at, jump = more, jump[jump]
+
+
+def _size_jumps(sizes: np.ndarray, limit: int):
+    """Bytes before each message (and at the end), and where the file after the one starting at i starts."""
+    before = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    full = np.searchsorted(before[1:], before[:-1] + limit, side="left")   # message that fills a file starting at i
+    m = len(sizes)
+    return before, np.append(np.where(full < m, full + 1, np.arange(m)), m)
 
 
 def _chunk_summary(sizes: np.ndarray, limit: int):
@@ -71,140 +105,39 @@ def _chunk_summary(sizes: np.ndarray, limit: int):
     run is fixed. Returns steps [(c_lo, exit_carry, rotations)] sorted by c_lo, where the
     step applies to c_lo <= c < next c_lo; exit_carry -1 means "c + chunk bytes" (no rotation).
     """
+    before, jump = _size_jumps(sizes, limit)
+    total = int(before[-1])
+    end, hops = _ends(jump)
+    # the first rotation is after a message whose prefix is below the limit, or after the first one at it
+    j = np.arange(min(int(np.searchsorted(before[1:], limit, side="left")), len(sizes) - 1), -1, -1)
+    lo = np.maximum(limit - before[j + 1], 0)
+    j, lo = j[lo < limit], lo[lo < limit]
+    exits, turns = total - before[end[j + 1]], hops[j + 1] + 1
+    last = _last_of_equal(lo)                                     # empty messages: the earliest reaches the limit
+    lo, exits, turns = lo[last], exits[last], turns[last]
+    steps = [(0, -1, 0)] if total < limit else []
+    return steps + [tuple(s) for s in zip(*(a.tolist() for a in _merged(lo, exits, turns)))]
+
+
+def _run_chunk(sizes: np.ndarray, limit: int, carry: int):
+    """File index (0-based, local) of each message when the chunk is entered with ``carry``, the
+    number of rotations and the carry at its end."""
+    before, jump = _size_jumps(sizes, limit)
     m = len(sizes)
-    P = np.cumsum(sizes, dtype=np.int64)
-    total = int(P[-1])
-    Pm1 = np.concatenate(([0], P[:-1]))
-    # after a rotation at j a new file starts at j+1 with 0 bytes: its next rotation index
-    nxt = np.searchsorted(P, Pm1 + limit, side="left")         # for start i: first j>=i with P[j]-P[i-1]>=limit
-    E = np.zeros(m + 1, dtype=np.int64)                          # exit carry when a file starts at i
-    B = np.zeros(m + 1, dtype=np.int64)                          # rotations from start i to chunk end
-    for i in range(m - 1, -1, -1):
-        j = nxt[i]
-        if j >= m:
-            E[i] = total - Pm1[i]
-            B[i] = 0
-        else:
-            E[i] = E[j + 1]
-            B[i] = 1 + B[j + 1]
-    steps = []
-    if total < limit:
-        steps.append((0, -1, 0))
-    # j ranges over messages whose prefix is still below limit at the head, plus the first >= limit
-    head_end = int(np.searchsorted(P, limit, side="left"))
-    for j in range(min(head_end, m - 1), -1, -1):
-        c_lo = max(limit - int(P[j]), 0)
-        if c_lo >= limit:
-            continue
-        step = (c_lo, int(E[j + 1]), int(1 + B[j + 1]))
-        if steps and steps[-1][0] == c_lo:
-            continue
-        if steps and steps[-1][1:] == step[1:]:
-            continue
-        steps.append(step)
-    return steps
-
-
-def _run_chunk(sizes: np.ndarray, limit: int, carry: int) -> np.ndarray:
-    """File index (0-based, local) of each message when the chunk is entered with ``carry``."""
-    P = np.cumsum(sizes, dtype=np.int64)
-    m = len(sizes)
-    seg = np.zeros(m, dtype=np.int64)
-    start, base, f = 0, carry, 0
-    while start < m:
-        before = int(P[start - 1]) if start > 0 else 0
-        j = int(np.searchsorted(P, before + (limit - base), side="left"))
-        if j >= m:
-            seg[start:] = f
-            break
-        seg[start:j + 1] = f
-        f += 1
-        start, base = j + 1, 0
-    return seg
-
+    j = int(np.searchsorted(before[1:], limit - carry, side="left"))
+    if j >= m:
+        return np.zeros(m, dtype=np.int64), 0, carry + int(before[-1])
+    starts = _visited(jump, j + 1)
+    mark = np.zeros(m + 1, dtype=np.int64)
+    mark[starts] = 1
+    return np.cumsum(mark[:m]), len(starts), int(before[-1] - before[starts[-1]])
 
-def size_segments_exact(df: DataFrame, target: str, order: str, nbytes: str, limit_bytes: int,
-                        out: str = "segment", chunk_span: int = EXACT_CHUNK_SPAN) -> DataFrame:
-    """Exact greedy size rotation (rotate after the write that reaches the limit; the counter
-    restarts at 0, overshoot is not carried), computed in parallel.
 
-    1. Messages are cut per target into chunks of ``chunk_span`` consecutive ``order``
-       values; each chunk (bounded size, sorted within its task) yields a small transfer
-       table: entry carry → exit carry and number of rotations (:func:`_chunk_summary`).
-    2. A grouped fold per target runs over the chunk summaries in order (one small row per
-       chunk, no message data) to get every chunk's entry carry and files-before count.
-    3. Each chunk is labelled again from its entry carry; file = files-before + local index.
-    """
-    limit = int(limit_bytes)
-    key_type = df.schema[target].dataType
-    c = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(int(chunk_span))).cast("bigint"))
-    parted = c.repartition(target, "_chunk").sortWithinPartitions(target, "_chunk", order)
+def _interval_jumps(ts: np.ndarray, interval: int):
+    after = np.searchsorted(ts, ts + interval, side="left")
+    return np.where(after < len(ts), after, np.arange(len(ts)))
 
-    summ_schema = T.StructType([T.StructField(target, key_type), T.StructField("_chunk", T.LongType()),
-                                T.StructField("total", T.LongType()),
-                                T.StructField("steps", T.ArrayType(T.ArrayType(T.LongType())))])
 
-    def summarize(batches):
-        for (t, ch), g in _chunks(batches, [target, "_chunk"]):
-            sizes = g[nbytes].to_numpy(dtype=np.int64)
-            yield pd.DataFrame({target: [t], "_chunk": [ch], "total": [int(sizes.sum())],
-                                "steps": [[list(s) for s in _chunk_summary(sizes, limit)]]})
-
-    summaries = parted.select(target, "_chunk", order, nbytes).mapInPandas(summarize, summ_schema)
-    ent_schema = T.StructType([T.StructField(target, key_type), T.StructField("_chunk", T.LongType()),
-                               T.StructField("_carry", T.LongType()), T.StructField("_files", T.LongType())])
-
-    def fold(pdf):
-        # one target's chunk summaries (one small row per chunk), folded in chunk order
-        pdf = pdf.sort_values("_chunk")
-        carry, files, out = 0, 0, []
-        for ch, total, steps in zip(pdf["_chunk"], pdf["total"], pdf["steps"]):
-            out.append((ch, carry, files))
-            ex, nb = [(s[1], s[2]) for s in steps if s[0] <= carry][-1]
-            carry = carry + int(total) if ex == -1 else int(ex)
-            files += int(nb)
-        return pd.DataFrame({target: pdf[target].iloc[0], "_chunk": [o[0] for o in out],
-                             "_carry": [o[1] for o in out], "_files": [o[2] for o in out]})
-
-    # entry states: one small row per chunk, materialized once (the data pass is not repeated)
-    ent = cut(summaries.groupBy(target).applyInPandas(fold, ent_schema))
-    from eventloom.plans.broadcast import maybe_broadcast
-    labelled_in = parted.join(maybe_broadcast(ent), [target, "_chunk"], "inner") \
-        .sortWithinPartitions(target, "_chunk", order)
-    out_schema = T.StructType(labelled_in.schema.fields + [T.StructField(out, T.LongType())])
-
-    def label(batches):
-        for _, g in _chunks(batches, [target, "_chunk"]):
-            seg = _run_chunk(g[nbytes].to_numpy(dtype=np.int64), limit, int(g["_carry"].iloc[0]))
-            yield g.assign(**{out: seg + int(g["_files"].iloc[0])})
-
-    return labelled_in.mapInPandas(label, out_schema).drop("_chunk", "_carry", "_files")
-
-
-def _chunks(batches, keys):
-    """Yield (key, rows) for consecutive runs of equal ``keys`` in a sorted partition, holding
-    only the current chunk in memory (a chunk is at most ``chunk_span`` rows)."""
-    buf, cur = [], None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        k = pdf[keys].to_numpy()
-        change = np.ones(len(pdf), dtype=bool)
-        change[1:] = (k[1:] != k[:-1]).any(axis=1)
-        starts = np.flatnonzero(change)
-        for si, st in enumerate(starts):
-            en = starts[si + 1] if si + 1 < len(starts) else len(pdf)
-            key = tuple(k[st])
-            if cur is not None and key != cur:
-                yield cur, pd.concat(buf, ignore_index=True)
-                buf = []
-            cur = key
-            buf.append(pdf.iloc[st:en])
-    if buf:
-        yield cur, pd.concat(buf, ignore_index=True)
-
-
-# ------------------------------------------------------------------ exact greedy interval rotation
 def _interval_summary(ts: np.ndarray, interval: int):
     """Transfer table for interval rotation over one chunk (``ts`` sorted).
 
@@ -214,43 +147,221 @@ def _interval_summary(ts: np.ndarray, interval: int):
     [(t0_hi, exit_t0, rotations)] for entries t0 <= t0_hi (ascending t0_hi), plus the rule
     "no rotation, exit = t0" for larger t0.
     """
+    end, hops = _ends(_interval_jumps(ts, interval))
+    # an entry t0 is never after ts[0] (it is a time already seen), so j(t0) lies in the head
+    j = np.arange(min(int(np.searchsorted(ts, ts[0] + interval, side="left")) + 1, len(ts)))
+    j = j[::-1]                                                   # of equal times the earliest is where the writer rotates
+    j = j[_last_of_equal(ts[j])]
+    lo, exits, turns = _merged(interval - ts[j], ts[end[j]], hops[j] + 1)
+    return [(-x, e, r) for x, e, r in zip(*(a[::-1].tolist() for a in (lo, exits, turns)))]
+
+
+def _last_of_equal(values: np.ndarray) -> np.ndarray:
+    return np.append(values[1:] != values[:-1], True)[:len(values)]
+
+
+def _merged(lo: np.ndarray, exits: np.ndarray, turns: np.ndarray):
+    """Steps without those that repeat the outcome before them."""
+    new = np.append(True, (exits[1:] != exits[:-1]) | (turns[1:] != turns[:-1]))[:len(lo)]
+    return lo[new], exits[new], turns[new]
+
+
+def _run_interval(ts: np.ndarray, interval: int, t0: int):
     m = len(ts)
-    nxt = np.searchsorted(ts, ts + interval, side="left")   # after a rotation at j: next rotation index
-    E = np.zeros(m, dtype=np.int64)                          # exit t0 when a file starts at message j
-    B = np.zeros(m, dtype=np.int64)
-    for j in range(m - 1, -1, -1):
-        k = nxt[j]
-        if k >= m:
-            E[j], B[j] = ts[j], 0
-        else:
-            E[j], B[j] = E[k], 1 + B[k]
-    steps = []
-    # entry t0 never exceeds ts[0] (it is a time already seen), so j(t0) lies in the head
-    head_end = int(np.searchsorted(ts, ts[0] + interval, side="left")) if m else 0
-    for j in range(0, min(head_end + 1, m)):
-        step = (int(ts[j] - interval), int(E[j]), int(1 + B[j]))
-        if steps and steps[-1][1:] == step[1:]:
-            steps[-1] = step   # same outcome: widen the region
-        else:
-            steps.append(step)
-    return steps
+    k = int(np.searchsorted(ts, t0 + interval, side="left"))
+    if k >= m:
+        return np.zeros(m, dtype=np.int64), 0, t0
+    starts = _visited(_interval_jumps(ts, interval), k)
+    mark = np.zeros(m, dtype=np.int64)
+    mark[starts] = 1
+    return np.cumsum(mark), len(starts), int(ts[starts[-1]])
 
 
 def _run_interval_chunk(ts: np.ndarray, interval: int, t0: int) -> np.ndarray:
     """File index (0-based, local) of each message when the chunk is entered with file start t0."""
-    m = len(ts)
-    seg = np.zeros(m, dtype=np.int64)
-    start, f = 0, 0
-    while start < m:
-        k = max(int(np.searchsorted(ts, t0 + interval, side="left")), start)   # next rotation
-        seg[start:k] = f
-        if k >= m:
-            break
-        f += 1
-        t0 = int(ts[k])
-        seg[k] = f
-        start = k + 1
-    return seg
+    return _run_interval(ts, interval, t0)[0]
+
+
+# A run of messages as a step function of its entry state x: (lo, exits, turns, shift, floor). From lo[i] up to
+# lo[i + 1] the state after the run is exits[i], after turns[i] rotations; below lo[0] nothing rotates and the
+# state after it is x + shift. No entry is below floor. Sizes: x = carried bytes. Intervals: x = -(file start).
+def _size_step(sizes: np.ndarray, limit: int):
+    steps = np.array([s for s in _chunk_summary(sizes, limit) if s[1] >= 0], dtype=np.int64).reshape(-1, 3)
+    return steps[:, 0], steps[:, 1], steps[:, 2], int(sizes.sum()), 0
+
+
+def _interval_step(ts: np.ndarray, interval: int):
+    steps = np.array(_interval_summary(ts, interval), dtype=np.int64).reshape(-1, 3)[::-1]
+    return -steps[:, 0], -steps[:, 1], steps[:, 2], 0, -int(ts[0])
+
+
+def _apply(step, x: np.ndarray):
+    lo, exits, turns, shift, _ = step
+    at = np.searchsorted(lo, x, side="right")
+    return np.append(0, exits)[at] * (at > 0) + (x + shift) * (at == 0), np.append(0, turns)[at]
+
+
+def _compose(f, g):
+    """The run f followed by the run g."""
+    lo, exits, turns, shift, floor = f
+    after, more = _apply(g, exits)
+    head = g[0] - shift < (lo[0] if len(lo) else _FAR)              # entries that f lets through unrotated
+    if len(lo) and lo[0] <= floor:
+        head = np.zeros(len(g[0]), dtype=bool)
+    h_lo = np.maximum(g[0][head] - shift, floor)
+    last = _last_of_equal(h_lo)                                     # of those below the floor the last holds
+    return (*_merged(np.concatenate((h_lo[last], lo)), np.concatenate((g[1][head][last], after)),
+                     np.concatenate((g[2][head][last], turns + more))), shift + g[3], floor)
+
+
+def _runs(batch: pa.RecordBatch):
+    """(key, chunk, first row, row after the last) of the runs of equal (key, chunk) in a sorted batch."""
+    key = batch.column("_key").to_numpy(zero_copy_only=False)
+    chunk = batch.column("_chunk").to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+        yield key[a], int(chunk[a]), a, b
+
+
+_NODE = "_key string, _node bigint, lo array<bigint>, exits array<bigint>, turns array<bigint>, shift bigint, floor bigint"
+_ENTRY = "_key string, _node bigint, _entry bigint, _files bigint"
+
+
+def _step_rows(rows) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["_key", "_node", "lo", "exits", "turns", "shift", "floor"])
+
+
+def _steps(pdf: pd.DataFrame):
+    """The nodes of one parent in order, with their step functions."""
+    cols = pdf.sort_values("_node")[["_node", "lo", "exits", "turns", "shift", "floor"]]
+    for node, lo, exits, turns, shift, floor in cols.itertuples(index=False, name=None):
+        yield node, (np.asarray(lo, dtype=np.int64), np.asarray(exits, dtype=np.int64),
+                     np.asarray(turns, dtype=np.int64), int(shift), int(floor))
+
+
+def _entries(nodes: DataFrame) -> DataFrame:
+    """Entry state and files before of every chunk: summaries are merged FAN at a time up to one node a key,
+    then each node's entry goes down to its children. No task sees more than FAN summaries of a key at once."""
+    span = nodes.agg(F.min("_node"), F.max("_node")).first()
+    width = span[1] - span[0] + 1 if span[0] is not None else 1
+    level = nodes.withColumn("_node", F.col("_node") - F.lit(span[0] or 0))
+
+    def merge(pdf):
+        whole = None
+        for _, step in _steps(pdf):
+            whole = step if whole is None else _compose(whole, step)
+        return _step_rows([(pdf["_key"].iloc[0], pdf["_parent"].iloc[0], *whole)])
+
+    def spread(pdf):
+        x, files, out = int(pdf["_entry"].iloc[0]), int(pdf["_files"].iloc[0]), []
+        for node, step in _steps(pdf):
+            out.append((node, x, files))
+            after, more = _apply(step, np.array([x], dtype=np.int64))
+            x, files = int(after[0]), files + int(more[0])
+        return pd.DataFrame({"_key": pdf["_key"].iloc[0], "_node": [o[0] for o in out],
+                             "_entry": [o[1] for o in out], "_files": [o[2] for o in out]})
+
+    levels = []
+    while width > 1:
+        level = level.withColumn("_parent", F.floor(F.col("_node") / F.lit(FAN)).cast("bigint"))
+        levels.append(level)
+        level = cut(level.groupBy("_key", "_parent").applyInPandas(merge, _NODE))
+        width = -(-width // FAN)
+    entry = level.select("_key", "_node", F.col("floor").alias("_entry"), F.lit(0).cast("bigint").alias("_files"))
+    for level in reversed(levels):
+        down = level.join(entry.withColumnRenamed("_node", "_parent"), ["_key", "_parent"])
+        entry = cut(down.groupBy("_key", "_parent").applyInPandas(spread, _ENTRY))
+    return entry.select("_key", (F.col("_node") + F.lit(span[0] or 0)).alias("_chunk"), "_entry", "_files")
+
+
+def _exact_segments(df: DataFrame, target: str, order: str, value: Column, out: str, chunk_span: int, step_of, run,
+                    to_state) -> DataFrame:
+    """Greedy segments in three passes: summarize chunks, find every chunk's entry, label messages.
+
+    The entries travel as one marker row in front of their chunk, through the shuffle that the label pass needs
+    anyway, so there is no join with the messages. A task works on one Arrow batch of a chunk at a time.
+    """
+    text = F.col(f"`{target}`").cast("string")
+    keyed = df.select("*", F.when(text.isNull(), "").otherwise(F.concat(F.lit("="), text)).alias("_key"),
+                      F.floor(F.col(f"`{order}`") / F.lit(int(chunk_span))).cast("bigint").alias("_chunk"), value.alias("_value"),
+                      F.lit(None).cast("bigint").alias("_entry"), F.lit(None).cast("bigint").alias("_files"))
+
+    def summarize(batches):
+        at, whole, held, n = None, None, [], 0
+
+        def folded():
+            step = step_of(np.concatenate(held))
+            return step if whole is None else _compose(whole, step)
+
+        for batch in batches:
+            value_of = batch.column("_value").to_numpy(zero_copy_only=False)
+            for key, chunk, a, b in _runs(batch) if len(batch) else ():
+                if at != (key, chunk):
+                    if held:
+                        whole = folded()
+                    if whole is not None:
+                        yield pa.RecordBatch.from_pandas(_step_rows([(*at, *whole)]), schema=node_type, preserve_index=False)
+                    at, whole, held, n = (key, chunk), None, [], 0
+                held.append(value_of[a:b].copy())
+                n += b - a
+                if n >= PART_ROWS:
+                    whole, held, n = folded(), [], 0
+        if held:
+            whole = folded()
+        if whole is not None:
+            yield pa.RecordBatch.from_pandas(_step_rows([(*at, *whole)]), schema=node_type, preserve_index=False)
+
+    longs = pa.list_(pa.int64())
+    node_type = pa.schema([("_key", pa.string()), ("_node", pa.int64()), ("lo", longs), ("exits", longs),
+                           ("turns", longs), ("shift", pa.int64()), ("floor", pa.int64())])
+    by = ["_key", "_chunk"]
+    slim = keyed.select(*by, F.col(f"`{order}`").alias("_order"), "_value").repartition(*by).sortWithinPartitions(*by, "_order", "_value")
+    entries = _entries(cut(slim.select(*by, "_value").mapInArrow(summarize, _NODE)))
+
+    marked = keyed.unionByName(entries, allowMissingColumns=True).repartition(*by) \
+        .sortWithinPartitions(*by, F.col("_entry").asc_nulls_last(), F.col(f"`{order}`"), "_value")
+    kept = df.schema.fields
+    result = T.StructType(kept + [T.StructField(out, T.LongType())])
+
+    def label(batches):
+        state = files = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            entry = batch.column("_entry")
+            marker = entry.is_valid().to_numpy(zero_copy_only=False)
+            value_of = batch.column("_value").fill_null(0).to_numpy(zero_copy_only=False)
+            segment = np.zeros(len(batch), dtype=np.int64)
+            for _, _, a, b in _runs(batch):
+                if marker[a]:
+                    state, files, a = to_state(entry[a].as_py()), batch.column("_files")[a].as_py(), a + 1
+                if a < b:
+                    local, turned, state = run(value_of[a:b], state)
+                    segment[a:b] = files + local
+                    files += turned
+            whole = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(segment)],
+                                               names=[*(f.name for f in kept), out])
+            yield whole.filter(pa.array(~marker))
+
+    return marked.mapInArrow(label, result)
+
+
+def size_segments_exact(df: DataFrame, target: str, order: str, nbytes: str, limit_bytes: int,
+                        out: str = "segment", chunk_span: int = EXACT_CHUNK_SPAN) -> DataFrame:
+    """Exact greedy size rotation (rotate after the write that reaches the limit; the counter
+    restarts at 0, overshoot is not carried), computed in parallel.
+
+    Messages are cut per target into chunks of ``chunk_span`` consecutive ``order`` values (not NULL). Each chunk
+    becomes a step function "entry carry → exit carry and rotations", found by pointer doubling; step functions
+    are composed in a merge tree and every chunk's entry is sent down it again; then the chunks are labelled.
+    Rows of equal ``order`` are written from small to large. A NULL size counts as 0; NULL targets are one target.
+    """
+    limit = int(limit_bytes)
+    if limit < 1:
+        raise ValueError("the size limit must be at least one byte")
+    size = F.coalesce(F.col(f"`{nbytes}`").cast("bigint"), F.lit(0).cast("bigint"))
+    return _exact_segments(df, target, order, size, out, chunk_span, lambda v: _size_step(v, limit),
+                           lambda v, carry: _run_chunk(v, limit, carry), lambda x: x)
 
 
 def interval_segments_exact(df: DataFrame, target: str, order: str, t_micros: str, interval_micros: int,
@@ -258,48 +369,11 @@ def interval_segments_exact(df: DataFrame, target: str, order: str, t_micros: st
     """Exact greedy interval rotation per target: a message whose time is at least
     ``interval_micros`` after the open file's start goes to a new file that starts at that
     message's time (the first file starts at the target's first message). Times are integer
-    microseconds (exact comparisons). ``order`` must sort messages by time within a target.
-    Same chunk-parallel scheme as :func:`size_segments_exact`.
+    microseconds (exact comparisons, not NULL). ``order`` must sort messages by time within a target.
+    Same merge tree as :func:`size_segments_exact`.
     """
     interval = int(interval_micros)
-    key_type = df.schema[target].dataType
-    c = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(int(chunk_span))).cast("bigint"))
-    parted = c.repartition(target, "_chunk").sortWithinPartitions(target, "_chunk", order)
-    summ_schema = T.StructType([T.StructField(target, key_type), T.StructField("_chunk", T.LongType()),
-                                T.StructField("first_t", T.LongType()),
-                                T.StructField("steps", T.ArrayType(T.ArrayType(T.LongType())))])
-
-    def summarize(batches):
-        for (t, ch), g in _chunks(batches, [target, "_chunk"]):
-            ts = g[t_micros].to_numpy(dtype=np.int64)
-            yield pd.DataFrame({target: [t], "_chunk": [ch], "first_t": [int(ts[0])],
-                                "steps": [[list(map(int, s)) for s in _interval_summary(ts, interval)]]})
-
-    cols = list(dict.fromkeys([target, "_chunk", order, t_micros]))
-    summaries = parted.select(*cols).mapInPandas(summarize, summ_schema)
-    ent_schema = T.StructType([T.StructField(target, key_type), T.StructField("_chunk", T.LongType()),
-                               T.StructField("_t0", T.LongType()), T.StructField("_files", T.LongType())])
-
-    def fold(pdf):
-        pdf = pdf.sort_values("_chunk")
-        t0, files, out = int(pdf["first_t"].iloc[0]), 0, []
-        for ch, steps in zip(pdf["_chunk"], pdf["steps"]):
-            out.append((ch, t0, files))
-            hit = next((s for s in steps if t0 <= s[0]), None)
-            if hit is not None:
-                t0, files = int(hit[1]), files + int(hit[2])
-        return pd.DataFrame({target: pdf[target].iloc[0], "_chunk": [o[0] for o in out],
-                             "_t0": [o[1] for o in out], "_files": [o[2] for o in out]})
-
-    # entry states: one small row per chunk, materialized once (the data pass is not repeated)
-    ent = cut(summaries.groupBy(target).applyInPandas(fold, ent_schema))
-    from eventloom.plans.broadcast import maybe_broadcast
-    labelled_in = parted.join(maybe_broadcast(ent), [target, "_chunk"], "inner").sortWithinPartitions(target, "_chunk", order)
-    out_schema = T.StructType(labelled_in.schema.fields + [T.StructField(out, T.LongType())])
-
-    def label(batches):
-        for _, g in _chunks(batches, [target, "_chunk"]):
-            seg = _run_interval_chunk(g[t_micros].to_numpy(dtype=np.int64), interval, int(g["_t0"].iloc[0]))
-            yield g.assign(**{out: seg + int(g["_files"].iloc[0])})
-
-    return labelled_in.mapInPandas(label, out_schema).drop("_chunk", "_t0", "_files")
+    if interval < 1:
+        raise ValueError("the interval must be at least one microsecond")
+    return _exact_segments(df, target, order, F.col(f"`{t_micros}`").cast("bigint"), out, chunk_span,
+                           lambda v: _interval_step(v, interval), lambda v, t0: _run_interval(v, interval, t0), lambda x: -x)

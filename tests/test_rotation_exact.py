@@ -94,3 +94,43 @@ def test_exact_interval_rotation_over_chunks(spark):
     for span in (50, 600, 100000):
         got = rotation.interval_segments_exact(df, "target", "seq", "t", 10_000_000, chunk_span=span).collect()
         assert {(r.target, r.seq): r.segment for r in got} == expected, span
+
+
+def test_merge_tree_matches_fold(spark, monkeypatch):
+    """Hundreds of small chunks, several levels, a NULL target, NULL and empty messages, times that repeat."""
+    monkeypatch.setattr(rotation, "FAN", 3)
+    rnd = random.Random(21)
+    rows, expected = [], {}
+    for t in ("a", None):
+        seqs = list(range(1, 400))
+        sizes = [rnd.choice([None, 0, 3, 20, 90, 400]) for _ in seqs]
+        rows += [(t, q, s, 2 ** 60 + q) for q, s in zip(seqs, sizes)]
+        expected.update({(t, q): g for q, g in zip(seqs, _fold([s or 0 for s in sizes], 250))})
+    df = spark.createDataFrame(rows, "target string, seq long, nbytes long, wide long")
+    for span in (2, 5, 1000):
+        got = rotation.size_segments_exact(df, "target", "seq", "nbytes", 250, chunk_span=span).collect()
+        assert {(r.target, r.seq): r.segment for r in got} == expected, span
+        assert all(r.wide == 2 ** 60 + r.seq for r in got) and len(got) == len(rows)
+    times = sorted(rnd.choice([0, 1, 1, 2, 9]) + i for i in range(300))
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(times)], "target string, seq long, t long")
+    want = dict(enumerate(_fold_interval(times, 7)))
+    got = rotation.interval_segments_exact(df, "target", "seq", "t", 7, chunk_span=4).collect()
+    assert {r.seq: r.segment for r in got} == want
+    assert rotation.size_segments_exact(df.limit(0), "target", "seq", "t", 7).count() == 0
+
+
+def test_compose_matches_longer_run():
+    import numpy as np
+    rnd = random.Random(8)
+    for _ in range(300):
+        sizes = np.array([rnd.choice([0, 1, 2, 30, 7]) for _ in range(rnd.randint(3, 30))], dtype=np.int64)
+        limit = rnd.choice([5, 17, 64, 100])
+        a, b = sorted(rnd.sample(range(1, len(sizes)), 2)) if len(sizes) > 3 else (1, 2)
+        parts = [rotation._size_step(p, limit) for p in (sizes[:a], sizes[a:b], sizes[b:])]
+        whole = rotation._size_step(sizes, limit)
+        left = rotation._compose(rotation._compose(parts[0], parts[1]), parts[2])
+        right = rotation._compose(parts[0], rotation._compose(parts[1], parts[2]))
+        x = np.arange(limit)
+        for made in (left, right):
+            assert all((p == q).all() for p, q in zip(rotation._apply(made, x), rotation._apply(whole, x)))
+            assert len(made[0]) <= len(sizes) + 1
