@@ -61,7 +61,8 @@ def median_runs(est: DataFrame, label: str, values: Sequence[str], first_by: Col
     wide = med.groupBy(label).pivot("metric", list(values)).agg(F.first("q50"))
     meta = est.groupBy(label).agg(F.count(F.lit(1)).alias("n_samples"),
                                   *[F.min_by(c, first_by).alias(c) for c in first_cols])
-    return wide.join(meta, label, "inner").select(
+    meta = meta.withColumnRenamed(label, "_label")
+    return wide.join(meta, F.col(f"`{label}`").eqNullSafe(F.col("_label"))).select(
         label, *first_cols, *[F.col(v).cast("bigint").alias(v) for v in values],
         "n_samples")
 

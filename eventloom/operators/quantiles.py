@@ -4,13 +4,14 @@
 the rows) would sit in one task's memory. :func:`select_ranks` instead narrows each
 requested rank to a value interval in rounds:
 
-1. per (group, rank) keep an interval ``[lo, hi]`` and the number of values below it;
+1. per group keep the intervals ``[lo, hi]`` that hold wanted ranks, each with its ranks and the
+   number of values below it (at first one interval with all ranks of the group);
 2. histogram the in-interval values into ``bins`` equal-width bins (a partial/final
-   aggregate: one small row per bin), find the bin holding the rank, and take that bin's
+   aggregate: one small row per bin), find the bins holding the ranks, and take a bin's
    actual min/max as the next interval (the bin function is monotone in the value, so
    "in bin b" and "within [min_b, max_b]" are the same rows);
 3. stop when an interval holds at most ``final_max`` values (or one distinct value), then
-   sort that bounded remainder per (group, rank) and pick the element.
+   sort that bounded remainder once per interval and pick the elements.
 
 Rounds needed ≈ log_bins(n / final_max) on evenly spread values; each round narrows an interval to at most
 1/bins of its width, so the rounds end on any values. There is one path for groups of every size; NULL keys
@@ -59,78 +60,88 @@ def _bin(bins: int):
         .otherwise((F.col("_v") > F.col("_lo")).cast("bigint")).cast("int")
 
 
-def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, *, bins: int = DEFAULT_BINS,
-                 final_max: int = DEFAULT_FINAL_MAX) -> DataFrame:
-    """Exact ``k``-th smallest ``value`` (0-based ``k``) for each row of ``ranks``.
-
-    ``ranks`` has the ``keys`` columns plus ``rank_id`` (any label) and ``k`` (bigint).
-    Returns keys, rank_id, k, ``rank_value`` (double). NULL and NaN values are ignored.
-    """
-    names = list(keys)
-    v = _keyed(df, names, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    ranks = _keyed(ranks, names, F.col("rank_id").alias("_rank_id"), F.col("k").cast("bigint").alias("_k"))
-    keys = [f"_key{i}" for i in range(len(names) or 1)]
-    of_rank = [*keys, "_rank_id", "_k"]
-    stats = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_cnt"))
-    state = cut(_same_keys(ranks, stats, keys).filter((F.col("_k") >= 0) & (F.col("_k") < F.col("_cnt")))
-                .select(*of_rank, "_lo", "_hi", "_cnt", F.lit(0).cast("bigint").alias("_below")))
+def _narrow(v: DataFrame, keys: Sequence[str], state: DataFrame, bins: int, final_max: int) -> DataFrame:
+    """keys, _rank, _value of every rank in ``state``: one row for each interval (keys, _lo, _hi, the number _cnt of
+    values in it and _below under it) with all _ranks that lie in it, so an interval's values are read once."""
+    span = [*keys, "_lo", "_hi"]
+    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     wide = (F.col("_cnt") > final_max) & (F.col("_hi") > F.col("_lo"))
     while not state.filter(wide).isEmpty():
-        j = _same_keys(v, maybe_broadcast(state.filter(wide), STATE_BROADCAST_ROWS), keys).filter(
-            (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        h = j.groupBy(*of_rank, "_below", _bin(bins).alias("_b")).agg(
-            F.count(F.lit(1)).alias("bc"), F.min("_v").alias("blo"), F.max("_v").alias("bhi"))
-        # cumulative counts over the (few) bins of each (group, rank)
-        h = h.groupBy(*of_rank, "_below").agg(
-            F.array_sort(F.collect_list(F.struct("_b", "bc", "blo", "bhi"))).alias("_bins"))
-        target = F.col("_k") - F.col("_below")
+        open_ = state.filter(wide)
+        h = _same_keys(v, maybe_broadcast(open_.select(*span), STATE_BROADCAST_ROWS), keys).filter(inside) \
+            .groupBy(*span, _bin(bins).alias("_b")).agg(F.count(F.lit(1)).alias("bc"), F.min("_v").alias("blo"), F.max("_v").alias("bhi"))
+        # cumulative counts over the (few) bins of each interval
+        h = h.groupBy(*span).agg(F.sort_array(F.collect_list(F.struct("_b", "bc", "blo", "bhi"))).alias("_bins"))
         cum = F.transform(F.col("_bins"), lambda e, i: F.struct(
             e["bc"].alias("bc"), e["blo"].alias("blo"), e["bhi"].alias("bhi"),
             F.aggregate(F.slice(F.col("_bins"), 1, i + 1), F.lit(0).cast("bigint"),
                         lambda acc, x: acc + x["bc"]).alias("upto")))
-        pick = F.element_at(F.filter(cum, lambda e: e["upto"] > target), 1)
-        nxt = h.select(*of_rank, pick["blo"].alias("_lo"), pick["bhi"].alias("_hi"),
-                       pick["bc"].alias("_cnt"), (F.col("_below") + pick["upto"] - pick["bc"]).alias("_below"))
+        h = _same_keys(open_, h.select(*span, cum.alias("_cum")), span).withColumn("_rank", F.explode("_ranks"))
+        pick = F.element_at(F.filter("_cum", lambda e: e["upto"] > F.col("_rank.k") - F.col("_below")), 1)
+        nxt = h.withColumn("_pick", pick).groupBy(
+            *keys, F.col("_pick.blo").alias("_lo"), F.col("_pick.bhi").alias("_hi"), F.col("_pick.bc").alias("_cnt"),
+            (F.col("_below") + F.col("_pick.upto") - F.col("_pick.bc")).alias("_below")).agg(F.collect_list("_rank").alias("_ranks"))
         state = cut(state.filter(~wide).unionByName(nxt))
     # an interval holding one distinct value answers directly, whatever its count
-    flat = state.filter(F.col("_hi") == F.col("_lo")).select(*of_rank, F.col("_lo").alias("_value"))
-    rest = state.filter(F.col("_hi") > F.col("_lo"))
-    fin = _same_keys(v, maybe_broadcast(rest, STATE_BROADCAST_ROWS), keys).filter(
-        (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    sel = fin.groupBy(*of_rank, "_below").agg(F.array_sort(F.collect_list("_v")).alias("_vals"))
-    picked = sel.select(*of_rank, F.element_at("_vals", (F.col("_k") - F.col("_below") + 1).cast("int")).alias("_value"))
-    return picked.unionByName(flat).select(*[F.col(k).alias(c) for k, c in zip(keys, names)], F.col("_rank_id").alias("rank_id"),
-                                           F.col("_k").alias("k"), F.col("_value").alias("rank_value"))
-
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], *,
-                    final_max: int = DEFAULT_FINAL_MAX, **kw) -> DataFrame:
+    flat = state.filter(F.col("_hi") == F.col("_lo")).select(*keys, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_value"))
+    rest = state.filter(F.col("_hi") > F.col("_lo")).select(*span, "_below", "_ranks")
+    fin = _same_keys(v, maybe_broadcast(rest, STATE_BROADCAST_ROWS), keys).filter(inside)
+    sel = fin.groupBy(*span, "_below").agg(F.sort_array(F.collect_list("_v")).alias("_vals"), F.first("_ranks").alias("_ranks"))
+    at = (F.col("_rank.k") - F.col("_below") + 1).cast("int")
+    picked = sel.withColumn("_rank", F.explode("_ranks")).select(*keys, "_rank", F.element_at("_vals", at).alias("_value"))
+    return picked.unionByName(flat)
+
+
+def _values(df: DataFrame, names: Sequence[str], value: str):
+    """Values by _key0, _key1, …, those names, and for each group its smallest, largest and number of values."""
+    v = _keyed(df, names, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    keys = [f"_key{i}" for i in range(len(names) or 1)]
+    return v, keys, v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_cnt"))
+
+
+def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame, *, bins: int = DEFAULT_BINS,
+                 final_max: int = DEFAULT_FINAL_MAX) -> DataFrame:
+    """Exact ``k``-th smallest ``value`` (0-based ``k``) for each row of ``ranks``.
+
+    ``ranks`` has the ``keys`` columns plus ``rank_id`` (any label) and ``k`` (bigint).
+    Returns keys, rank_id, k, ``rank_value`` (double). NULL and NaN values are ignored.
+    """
+    names = list(keys)
+    v, keys, stats = _values(df, names, value)
+    asked = _keyed(ranks, names, F.struct("rank_id", F.col("k").cast("bigint").alias("k")).alias("_rank"))
+    state = _same_keys(asked, stats, keys).filter((F.col("_rank.k") >= 0) & (F.col("_rank.k") < F.col("_cnt"))) \
+        .groupBy(*keys, "_lo", "_hi", "_cnt").agg(F.collect_list("_rank").alias("_ranks")) \
+        .withColumn("_below", F.lit(0).cast("bigint"))
+    out = _narrow(v, keys, cut(state), bins, final_max)
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, names)], "_rank.rank_id", "_rank.k", F.col("_value").alias("rank_value"))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], *, bins: int = DEFAULT_BINS,
+                    final_max: int = DEFAULT_FINAL_MAX) -> DataFrame:
     """Exact continuous quantiles (linear interpolation between closest ranks, like
     ``percentile``/``quantile_cont``): one column ``q_<pct>`` per requested q.
 
-    A stats pass gives every group's size; the two ranks around each quantile go through
-    :func:`select_ranks`.
+    One stats pass gives every group's size and with it the two ranks around each quantile; all ranks of a group
+    start in one interval.
     """
     names = list(keys)
-    clean = _keyed(df, names, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    keys = [f"_key{i}" for i in range(len(names) or 1)]
-    counts = cut(clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-
-    def pos(q):
-        return F.lit(float(q)) * (F.col("_n") - 1).cast("double")
-    wanted = F.explode(F.array(*[F.struct(F.lit(f"{i}_{end}").alias("rank_id"), side(pos(q)).cast("bigint").alias("k"))
-                                 for i, q in enumerate(qs) for end, side in (("lo", F.floor), ("hi", F.ceil))]))
-    ranks = counts.select(*keys, wanted.alias("_rank")).select(*keys, "_rank.rank_id", "_rank.k")
-    sel = select_ranks(clean, keys, "_v", ranks.drop("_rank"), final_max=final_max, **kw)
-    ends = sel.groupBy(*keys).agg(*[F.first(F.when(F.col("rank_id") == rid, F.col("rank_value")), ignorenulls=True).alias(f"_at{rid}")
-                                    for i in range(len(qs)) for rid in (f"{i}_lo", f"{i}_hi")])
-    ends = _same_keys(ends, counts, keys)
+    v, keys, stats = _values(df, names, value)
+
+    def pos(q, n):
+        return F.lit(float(q)) * (n - 1).cast("double")
+    wanted = F.array(*[F.struct(F.lit(f"{i}_{end}").alias("rank_id"), side(pos(q, F.col("_cnt"))).cast("bigint").alias("k"),
+                                F.col("_cnt").alias("n"))
+                       for i, q in enumerate(qs) for end, side in (("lo", F.floor), ("hi", F.ceil))])
+    state = cut(stats.select("*", F.lit(0).cast("bigint").alias("_below"), wanted.alias("_ranks")))
+    ends = _narrow(v, keys, state, bins, final_max).groupBy(*keys).agg(F.first("_rank.n").alias("_n"), *[
+        F.first(F.when(F.col("_rank.rank_id") == rid, F.col("_value")), ignorenulls=True).alias(f"_at{rid}")
+        for i in range(len(qs)) for rid in (f"{i}_lo", f"{i}_hi")])
     outs = []
     for i, q in enumerate(qs):
-        frac = pos(q) - F.floor(pos(q))
+        at = pos(q, F.col("_n"))
         lo, hi = F.col(f"_at{i}_lo"), F.col(f"_at{i}_hi")
         # between equal ends (infinite ones, too) there is nothing to interpolate
-        outs.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * frac).alias(_qname(q)))
+        outs.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (at - F.floor(at))).alias(_qname(q)))
     return ends.select(*[F.col(k).alias(c) for k, c in zip(keys, names)], *outs)
 
 
