@@ -25,7 +25,7 @@ from operator import and_
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from eventloom.plans.broadcast import maybe_broadcast
 from eventloom.plans.lineage import cut
@@ -70,17 +70,13 @@ def _narrow(v: DataFrame, keys: Sequence[str], state: DataFrame, bins: int, fina
         open_ = state.filter(wide)
         h = _same_keys(v, maybe_broadcast(open_.select(*span), STATE_BROADCAST_ROWS), keys).filter(inside) \
             .groupBy(*span, _bin(bins).alias("_b")).agg(F.count(F.lit(1)).alias("bc"), F.min("_v").alias("blo"), F.max("_v").alias("bhi"))
-        # cumulative counts over the (few) bins of each interval
-        h = h.groupBy(*span).agg(F.sort_array(F.collect_list(F.struct("_b", "bc", "blo", "bhi"))).alias("_bins"))
-        cum = F.transform(F.col("_bins"), lambda e, i: F.struct(
-            e["bc"].alias("bc"), e["blo"].alias("blo"), e["bhi"].alias("bhi"),
-            F.aggregate(F.slice(F.col("_bins"), 1, i + 1), F.lit(0).cast("bigint"),
-                        lambda acc, x: acc + x["bc"]).alias("upto")))
-        h = _same_keys(open_, h.select(*span, cum.alias("_cum")), span).withColumn("_rank", F.explode("_ranks"))
-        pick = F.element_at(F.filter("_cum", lambda e: e["upto"] > F.col("_rank.k") - F.col("_below")), 1)
-        nxt = h.withColumn("_pick", pick).groupBy(
-            *keys, F.col("_pick.blo").alias("_lo"), F.col("_pick.bhi").alias("_hi"), F.col("_pick.bc").alias("_cnt"),
-            (F.col("_below") + F.col("_pick.upto") - F.col("_pick.bc")).alias("_below")).agg(F.collect_list("_rank").alias("_ranks"))
+        # the window runs over the bins of one interval, at most ``bins`` rows
+        h = h.withColumn("_upto", F.sum("bc").over(Window.partitionBy(*span).orderBy("_b")))
+        h = _same_keys(h, open_.select(*span, "_below", "_ranks"), span) \
+            .withColumn("_under", F.col("_below") + F.col("_upto") - F.col("bc"))
+        nxt = h.select(*keys, F.col("blo").alias("_lo"), F.col("bhi").alias("_hi"), F.col("bc").alias("_cnt"), F.col("_under").alias("_below"),
+                       F.filter("_ranks", lambda r: (r["k"] >= F.col("_under")) & (r["k"] < F.col("_under") + F.col("bc"))).alias("_ranks")) \
+            .filter(F.size("_ranks") > 0)
         state = cut(state.filter(~wide).unionByName(nxt))
     # an interval holding one distinct value answers directly, whatever its count
     flat = state.filter(F.col("_hi") == F.col("_lo")).select(*keys, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_value"))
