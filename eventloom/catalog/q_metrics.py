@@ -238,6 +238,27 @@ def metrics_text(spark, sf_dir):
                                "counter", labels)
 
 
+def _hist_text_sql() -> str:
+    lab = "'target=\"' || target || '\"'"
+    name = "eventloom_message_bytes"
+    parts = [f"SELECT '' AS labels, -2 AS pos, '# HELP {name} Bytes of a message.' AS line",
+             f"SELECT '', -1, '# TYPE {name} histogram'"]
+    for i, b in enumerate([*sorted(MX.SIZE_BUCKETS), None]):
+        le, cond = ("+Inf", "TRUE") if b is None else (MX._le_text(b), f"bytes <= {b!r}")
+        parts.append(f"SELECT {lab}, {i}, '{name}_bucket{{' || {lab} || ',le=\"{le}\"}} ' || count(*) FILTER (WHERE {cond}) FROM {D_SQL} GROUP BY target")
+    n = len(MX.SIZE_BUCKETS) + 1
+    for i, (suffix, value) in enumerate((("sum", "CAST(sum(bytes) AS BIGINT)"), ("count", "count(*)"))):
+        parts.append(f"SELECT {lab}, {n + i}, '{name}_{suffix}{{' || {lab} || '}} ' || {value} FROM {D_SQL} GROUP BY target")
+    return " UNION ALL ".join(parts)
+
+
+@register("histogram_text", _hist_text_sql())
+def histogram_text(spark, sf_dir):
+    """The message-size histogram as exposition text: HELP, TYPE, _bucket, _sum and _count lines with their places."""
+    hist = MX.histogram(delivery_log(spark, sf_dir), ["target"], F.col("bytes"), MX.SIZE_BUCKETS)
+    return MX.histogram_lines(hist, "eventloom_message_bytes", "Bytes of a message.", ["target"])
+
+
 @register("topic_totals",
           "SELECT 'logs-' || lower(target) AS topic, count(*) AS records, "
           "CAST(coalesce(sum(CASE WHEN lost THEN NULL ELSE strlen(message) END), 0) AS BIGINT) AS value_bytes "

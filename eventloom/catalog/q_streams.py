@@ -12,6 +12,7 @@ from eventloom.catalog.q_routing import region_targets
 from eventloom.functions import formats as fm
 from eventloom.operators import loss, metrics as MX, routing
 from eventloom.sources.messages import events_as_messages
+from eventloom.sources.sinks import scratch_path
 from eventloom.streaming import runs as RS
 
 WATERMARK = "2 hours"
@@ -27,7 +28,7 @@ def _stream_delivery(spark, sf_dir):
                                            hostname=F.col("hostname"), app_name=F.col("app_name")))
     r = routing.route_weighted(m, region_targets(spark, sf_dir), seq="seq", weight="weight", order="target_idx")
     return r.select("seq", RS.event_time_utc(F.col("ts")).alias("et"), F.col("app_name").alias("phase"), "target",
-                    F.octet_length(fm.frame_lf(F.col("message"))).cast("bigint").alias("bytes"), "latency")
+                    F.octet_length(fm.frame_lf(F.col("message"))).cast("bigint").alias("bytes"), "latency", "message")
 
 
 @register("stream_sliding_rate",
@@ -77,3 +78,44 @@ def stream_route(spark, sf_dir):
     d = _stream_delivery(spark, sf_dir).select("seq", "target", "bytes")
     out = RS.run_to_table(spark, d, ["seq"], "stream-route", output_mode="append", partition_by=["target"])
     return out.groupBy("target").agg(F.count(F.lit(1)).alias("messages"), F.sum("bytes").cast("bigint").alias("bytes"))
+
+
+@register("stream_fanout",
+          "SELECT target, count(*) AS messages, CAST(sum(bytes) AS BIGINT) AS bytes, min(message) AS first_message, "
+          f"max(message) AS last_message FROM {D_SQL} GROUP BY target")
+def stream_fanout(spark, sf_dir):
+    """The routed messages themselves, written by a stream to one folder for each target under a commit table, read back."""
+    base = scratch_path(spark, "stream-fanout")
+    q = RS.write_committed(_stream_delivery(spark, sf_dir), f"{base}/out", f"{base}/checkpoint")
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return RS.read_committed(spark, f"{base}/out").groupBy("target").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum(F.octet_length("message") + 1).cast("bigint").alias("bytes"),
+        F.min("message").alias("first_message"), F.max("message").alias("last_message"))
+
+
+def _stream_p95_sql(q: float = 0.95) -> str:
+    bounds = sorted(MX.LATENCY_BUCKETS)
+    counts = ", ".join(f"count(*) FILTER (WHERE latency <= {b!r}) AS c{i}" for i, b in enumerate(bounds))
+    cases = []
+    for i, b in enumerate(bounds):
+        lo, below = (repr(bounds[i - 1]), f"CAST(c{i - 1} AS DOUBLE)") if i else ("0.0", "CAST(0 AS DOUBLE)")
+        lo, hi = f"CAST({lo} AS DOUBLE)", f"CAST({b!r} AS DOUBLE)"
+        cases.append(f"WHEN c{i} >= rnk THEN CASE WHEN c{i} = {below} THEN {hi} ELSE {lo} + ({hi} - {lo}) * (rnk - {below}) / (CAST(c{i} AS DOUBLE) - {below}) END")
+    return (f"WITH d AS (SELECT ts, phase, latency FROM {D_SQL}), "
+            f"b AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS w, phase, count(latency) AS messages, {counts} FROM d WHERE latency IS NOT NULL GROUP BY ALL), "
+            f"r AS (SELECT *, CAST({q!r} AS DOUBLE) * messages AS rnk FROM b) "
+            f"SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, phase, messages, CASE {' '.join(cases)} ELSE CAST({bounds[-1]!r} AS DOUBLE) END AS p95 "
+            "FROM r WHERE w + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '2 hours' FROM d)")
+
+
+@register("stream_p95", _stream_p95_sql())
+def stream_p95(spark, sf_dir):
+    """p95 of latency from buckets for every 6-hour window that the watermark closed, per phase, by two chained stateful
+    steps in one stream; equal to ``histogram_p95`` of the window's rows."""
+    d = _stream_delivery(spark, sf_dir).withWatermark("et", WATERMARK)
+    p95 = RS.window_quantile(d, "et", ["phase"], F.col("latency"), MX.LATENCY_BUCKETS, "6 hours", 0.95)
+    p95 = p95.select(F.date_format(RS.to_utc_ntz(F.col("window_start")), "yyyy-MM-dd HH:mm:ss").alias("window_start"), "phase",
+                     F.col("messages").cast("bigint").alias("messages"), F.col("quantile").alias("p95"))
+    return RS.run_to_table(spark, p95, ["window_start", "phase"], "stream-p95", output_mode="append")

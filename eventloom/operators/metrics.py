@@ -61,10 +61,10 @@ def histogram_quantile(hist: DataFrame, labels: Sequence[str], q: float) -> Data
     arr = hist.groupBy(*labels).agg(
         F.array_sort(F.collect_list(F.when(F.col("le") != "+Inf", F.struct("le_value", "bucket_count")))).alias("_bs"),
         F.max(F.when(F.col("le") == "+Inf", F.col("bucket_count"))).alias("_total"))
-    return arr.select(*labels, _quantile_from_buckets(F.col("_bs"), F.col("_total"), q).alias("quantile"))
+    return arr.select(*labels, quantile_from_buckets(F.col("_bs"), F.col("_total"), q).alias("quantile"))
 
 
-def _quantile_from_buckets(bs: Column, total: Column, q: float) -> Column:
+def quantile_from_buckets(bs: Column, total: Column, q: float) -> Column:
     rank = F.lit(float(q)) * total
     n = F.size(bs)
     # index (1-based) of the first bucket with cumulative count >= rank; 0 when none
@@ -127,3 +127,30 @@ def prometheus_lines(samples: DataFrame, metric: str, help_text: str, mtype: str
     head = samples.sparkSession.createDataFrame([(f"# HELP {metric} {help_text}",), (f"# TYPE {metric} {mtype}",)],
                                                 "line string")
     return head.unionByName(samples.select(prometheus_sample(metric, labels, value).alias("line")))
+
+
+def histogram_lines(hist: DataFrame, metric: str, help_text: str, labels: Sequence[str], sum_text: Column | None = None) -> DataFrame:
+    """A histogram family as exposition text: ``labels`` (the rendered label set), ``pos`` and ``line``, a row a line.
+
+    The text is the lines by (labels, pos): HELP and TYPE (empty labels, pos -2 and -1), then for each label set its
+    ``_bucket`` lines by ascending bound, ``_sum`` and ``_count``. ``hist`` is a result of :func:`histogram`; a NULL
+    label is empty text, ``sum_text`` the sum as text.
+    """
+    sum_text = F.col("sum").cast("string") if sum_text is None else sum_text
+    sets = hist.groupBy(*labels).agg(F.sort_array(F.collect_list(F.struct("le_value", "le", "bucket_count"))).alias("_bs"),
+                                     F.first(sum_text).alias("_sum"), F.first("count").cast("string").alias("_count"))
+    named = F.concat_ws(",", *[F.concat(F.lit(f'{l}="'), _esc_label(F.coalesce(F.col(l).cast("string"), F.lit(""))), F.lit('"'))
+                               for l in labels])
+    tail = F.when(F.lit(bool(labels)), F.concat(F.lit("{"), named, F.lit("} "))).otherwise(F.lit(" "))
+    start = F.concat(F.lit(f"{metric}_bucket{{"), named, F.lit(',le="' if labels else 'le="'))
+    lines = F.concat(F.transform("_bs", lambda b: F.concat(start, b["le"], F.lit('"} '), b["bucket_count"].cast("string"))),
+                     F.array(F.concat(F.lit(f"{metric}_sum"), tail, F.col("_sum")), F.concat(F.lit(f"{metric}_count"), tail, F.col("_count"))))
+    body = sets.select(named.alias("labels"), F.posexplode(lines).alias("pos", "line"))
+    head = hist.sparkSession.createDataFrame([("", -2, f"# HELP {metric} {help_text}"), ("", -1, f"# TYPE {metric} histogram")],
+                                             "labels string, pos int, line string")
+    return head.unionByName(body)
+
+
+def write_text_block(lines: DataFrame, path: str) -> None:
+    """Write the lines of :func:`histogram_lines` in text order; the part files in name order are the text."""
+    lines.orderBy("labels", "pos").select("line").write.mode("overwrite").option("lineSep", "\n").text(path)
