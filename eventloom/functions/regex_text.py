@@ -6,6 +6,10 @@ alternation picks a branch uniformly; a repeat picks its count uniformly in
 ``[min, max]`` with open maxima capped at ``min + 16``; anchors and look-arounds emit
 nothing; a pattern that does not parse (or uses back-references) gives ``''``.
 
+Classes have a grammar of their own: ``\\p{Lu}``, ``\\PL``, ``[[:alpha:]]``, ``[[:^digit:]]``, nested classes and
+the set operators ``&&``, ``--``, ``~~`` (equal rank, from left to right, weaker than listing). Each class becomes
+its code-point ranges before the rest of the pattern is parsed; ``(?<name>…)``, ``\\x{…}`` and ``\\z`` work, too.
+
 Each choice is a keyed draw salted with the node's path and the repeat iteration, so the
 text depends only on (seed, key, field). Small fixed repeats are unrolled into plain
 expressions; others use ``transform`` over the repeat count.
@@ -76,22 +80,137 @@ def _complement(ranges):
 
 
 @functools.lru_cache(maxsize=None)
-def _category_ranges(cat: str):
-    """Unicode digit / word / space sets (Unicode TR18 definitions, as the ``regex`` module
-    implements them) as code-point ranges, built once per process."""
-    pattern = {"digit": r"\d+", "word": r"\w+", "space": r"\s+"}[cat]
-    chars = "".join(chr(c) for c in range(MAX_CODE_POINT + 1) if not SURROGATES[0] <= c <= SURROGATES[1])
+def _matching(pattern: str):
+    """Code-point ranges of the characters that match a Unicode set (``\\d``, ``\\p{Greek}``), built once per process."""
+    import regex
+    low, high = (range(SURROGATES[0]), range(SURROGATES[1] + 1, MAX_CODE_POINT + 1))
     try:
-        import regex as _rx
-        spans = [(m.start(), m.end() - 1) for m in _rx.finditer(pattern, chars, flags=_rx.V1)]
-    except ImportError:  # pragma: no cover
-        spans = [(m.start(), m.end() - 1) for m in re.finditer(pattern, chars)]
-    out = []
-    for lo, hi in spans:  # positions → code points (the surrogate gap shifts later positions)
-        def cp(i):
-            return i if i < SURROGATES[0] else i + (SURROGATES[1] - SURROGATES[0] + 1)
-        out.append((cp(lo), cp(hi)))
-    return tuple(_minus_surrogates(_merge(out)))
+        wanted = regex.compile(f"(?:{pattern})+", flags=regex.V1)
+    except regex.error as wrong:
+        raise Unsupported(pattern) from wrong
+    return tuple((part.start + m.start(), part.start + m.end() - 1)
+                 for part in (low, high) for m in wanted.finditer("".join(map(chr, part))))
+
+
+def _category_ranges(cat: str):
+    """Unicode digit / word / space sets (Unicode TR18 definitions, as the ``regex`` module implements them)."""
+    return _matching({"digit": r"\d", "word": r"\w", "space": r"\s"}[cat])
+
+
+# ---- fixed values: POSIX classes (ASCII) and the escapes of single characters ------------------------
+POSIX = {
+    "alnum": ((48, 57), (65, 90), (97, 122)), "alpha": ((65, 90), (97, 122)), "ascii": ((0, 127),), "blank": ((9, 9), (32, 32)),
+    "cntrl": ((0, 31), (127, 127)), "digit": ((48, 57),), "graph": ((33, 126),), "lower": ((97, 122),), "print": ((32, 126),),
+    "punct": ((33, 47), (58, 64), (91, 96), (123, 126)), "space": ((9, 13), (32, 32)), "upper": ((65, 90),),
+    "word": ((48, 57), (65, 90), (95, 95), (97, 122)), "xdigit": ((48, 57), (65, 70), (97, 102)),
+}
+CONTROLS = {"n": 10, "t": 9, "r": 13, "f": 12, "v": 11, "a": 7, "0": 0}
+# ----------------------------------------------------------------------------------------------------------
+_HEX = re.compile(r"\\(?:[xuU]\{([0-9A-Fa-f]{1,8})\}|x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8}))")
+_PROPERTY = re.compile(r"\\([pP])(?:\{(\^?)([^{}]+)\}|([A-Z]))")
+_POSIX_NAME = re.compile(r"\[:(\^?)([a-z]+):\]")
+
+
+def _escape(text: str, i: int):
+    """The set that the escape at ``i`` stands for, and the place after it; None for escapes of other kinds."""
+    if hit := _HEX.match(text, i):
+        point = int(next(g for g in hit.groups() if g), 16)
+        if point > MAX_CODE_POINT:
+            raise Unsupported(hit.group())
+        return [(point, point)], hit.end()
+    if hit := _PROPERTY.match(text, i):
+        found = list(_matching(f"\\p{{{hit.group(3) or hit.group(4)}}}"))
+        return (_complement(found) if (hit.group(1) == "P") != bool(hit.group(2)) else found), hit.end()
+    kind = text[i + 1:i + 2]
+    if kind and kind in "dDwWsS":
+        found = list(_matching("\\" + kind.lower()))
+        return (found if kind.islower() else _complement(found)), i + 2
+    return None
+
+
+def _joined(left, op: str, right):
+    """left op right as sets of ranges."""
+    if op == "":
+        return right
+    both = _complement(_complement(left) + _complement(right))
+    if op == "&&":
+        return both
+    if op == "--":
+        return _complement(_complement(left) + _merge(right))
+    return _complement(_complement(left + right) + both)
+
+
+def _class_at(text: str, i: int):
+    """The set of the class that opens at ``i``, and the place after its bracket."""
+    negated = text.startswith("^", i + 1)
+    i += 2 if negated else 1
+    left, op, listed, first = [], "", [], True
+    while True:
+        if i >= len(text):
+            raise Unsupported("open class")
+        if text[i] == "]" and not first:
+            found = _joined(left, op, _merge(listed))
+            return (_complement(found) if negated else _merge(found)), i + 1
+        if text[i:i + 2] in ("&&", "--", "~~"):
+            left, op, listed, i = _joined(left, op, _merge(listed)), text[i:i + 2], [], i + 2
+        elif named := _POSIX_NAME.match(text, i):
+            if named.group(2) not in POSIX:
+                raise Unsupported(named.group())
+            found = list(POSIX[named.group(2)])
+            listed, i = listed + (_complement(found) if named.group(1) else found), named.end()
+        elif text[i] == "[":
+            found, i = _class_at(text, i)
+            listed = listed + found
+        else:
+            found, i = _member(text, i)
+            if len(found) == 1 and found[0][0] == found[0][1] and text[i:i + 1] == "-" and text[i + 1:i + 2] not in ("]", "-", ""):
+                end, i = _member(text, i + 1)
+                if len(end) != 1 or end[0][0] != end[0][1] or end[0][0] < found[0][0]:
+                    raise Unsupported("range")
+                found = [(found[0][0], end[0][0])]
+            listed = listed + found
+        first = False
+
+
+def _member(text: str, i: int):
+    if text[i] != "\\":
+        return [(ord(text[i]), ord(text[i]))], i + 1
+    if found := _escape(text, i):
+        return found
+    kind = text[i + 1:i + 2]
+    if kind in CONTROLS:
+        return [(CONTROLS[kind], CONTROLS[kind])], i + 2
+    if not kind or kind.isalnum():
+        raise Unsupported(f"escape {kind}")
+    return [(ord(kind), ord(kind))], i + 2
+
+
+def _spelled(ranges) -> str:
+    """A class of the standard syntax for the ranges (none at all: the class without members)."""
+    listed = "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in _merge(ranges))
+    return f"[{listed}]" if listed else f"[^\\U00000000-\\U{MAX_CODE_POINT:08x}]"
+
+
+def _standard(pattern: str) -> str:
+    """The pattern with its classes, properties and code points spelled in the standard parser's syntax."""
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == "[":
+            found, i = _class_at(pattern, i)
+            out.append(_spelled(found))
+        elif pattern[i] == "\\":
+            hit = _escape(pattern, i)
+            if hit and pattern[i + 1] in "pPxuU":
+                out.append(_spelled(hit[0]) if pattern[i + 1] in "pP" else re.escape(chr(hit[0][0][0])))
+                i = hit[1]
+            else:
+                out.append("\\Z" if pattern[i:i + 2] == "\\z" else pattern[i:i + 2])
+                i += 2
+        else:
+            named = pattern.startswith("(?<", i) and pattern[i + 3:i + 4] not in ("=", "!", "")
+            out.append("(?P<" if named else pattern[i])
+            i += 3 if named else 1
+    return "".join(out)
 
 
 _CATS = {
@@ -260,7 +379,7 @@ def _has_repeat(items) -> bool:
 def regex_text(pattern: str, seed: int, key, name: str) -> Column:
     """Text matching ``pattern`` for each row (``''`` for an unsupported/bad pattern)."""
     try:
-        tree = _P.parse(pattern)
+        tree = _P.parse(_standard(pattern))
         return _Compiler(seed, D._keys(key), name).seq(list(tree), "r", [])
-    except (re.error, Unsupported, Exception):  # noqa: BLE001 - any parse problem → ''
+    except (re.error, Unsupported, OverflowError):
         return F.lit("")

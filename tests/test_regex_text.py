@@ -27,3 +27,21 @@ def test_deterministic(spark, sf_small):
     a = E.queries()["regex_text"](spark, sf_small).repartition(3)
     b = E.queries()["regex_text"](spark, sf_small)
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_class_sets_equal_the_unicode_engine():
+    from eventloom.functions import regex_text as RT
+    sample = [chr(c) for c in (*range(0x250), *range(0x370, 0x400), 0x4E00, 0x1F600, 0x10FFFF)]
+    for mine, theirs in [(r"[\p{Lu}\d]", r"[\p{Lu}\d]"), (r"[[:alpha:]]", "[A-Za-z]"), (r"[[:^space:]&&[:ascii:]]", r"[\x00-\x08\x0e-\x1f!-\x7f]"),
+                         (r"[a-z&&[^aeiou]]", r"[a-z--[aeiou]]"), (r"[\w--[\d_]--a]", r"[\w--[\d_a]]"), (r"[a-f~~d-k]", "[a-cg-k]"),
+                         (r"[^\p{L}\n-]", r"[^\p{L}\n\-]"), (r"[]a]", r"[\]a]"), (r"\p{^Greek}", r"\P{Greek}"), (r"[a-c&&x]", r"(?!)")]:
+        got = re.compile(RT._standard(mine), flags=re.V0)
+        want = re.compile(theirs, flags=re.V1)
+        assert [bool(got.fullmatch(c)) for c in sample] == [bool(want.fullmatch(c)) for c in sample], mine
+
+
+def test_unknown_sets_give_empty_text(spark):
+    from eventloom.functions.regex_text import regex_text
+    row = spark.range(1).select(*[regex_text(p, 1, "id", "f").alias(f"c{i}") for i, p in enumerate(
+        [r"\p{Nonsense}", "[[:wrong:]]", "[a", "[z-a]", r"[\q]", r"(a)\1"])]).first()
+    assert set(row) == {""}
