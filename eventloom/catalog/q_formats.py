@@ -246,6 +246,28 @@ def scan_lf_files(spark, sf_dir):
     return frames.groupBy("body", "body_bytes", "wire_bytes").agg(F.count("*").alias("frames"))
 
 
+PIECE = 16_000          # characters of a frame at most (64 000 bytes)
+OCTET_SCAN_RANGE = 1 << 17
+
+
+@register("scan_octet_files",
+          f"SELECT body, CAST(strlen(body) AS BIGINT) AS body_bytes, CAST(strlen(CAST(strlen(body) AS VARCHAR)) + 1 + strlen(body) AS BIGINT) AS wire_bytes, "
+          f"count(*) AS frames FROM (SELECT substr(text, CAST(1 + {PIECE} * i AS BIGINT), {PIECE}) || chr(10) AS body FROM "
+          f"(SELECT text, unnest(range(greatest(1, CAST(ceil(length(text) / {PIECE}.0) AS BIGINT)))) AS i FROM documents WHERE text IS NOT NULL)) GROUP BY ALL")
+def scan_octet_files(spark, sf_dir):
+    """Texts in frames of at most ``PIECE`` characters (each with a line end), written as octet-counted capture files
+    in the shared folder and scanned back in byte ranges: how often each frame came."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/captures/{uuid.uuid4().hex}"
+    text = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("text")
+    last = F.greatest(F.ceil(F.length("text") / F.lit(float(PIECE))), F.lit(1)).cast("int") - 1
+    piece = text.select("text", F.explode(F.sequence(F.lit(0), last)).alias("i")).select(F.substring("text", F.lit(1) + F.col("i") * PIECE, F.lit(PIECE)).alias("piece"))
+    framed_lines = piece.select(F.concat((F.octet_length("piece") + 1).cast("string"), F.lit(" "), F.col("piece")).alias("value"))
+    framed_lines.write.option("lineSep", "\n").text(folder)      # the line end is the last byte of each body
+    frames = framed.read_octet_files(spark, f"{folder}/part-*", OCTET_SCAN_RANGE)
+    return frames.groupBy("body").agg(F.count("*").alias("frames"), F.first("wire_bytes").alias("wire_bytes")) \
+        .select("body", F.octet_length("body").cast("bigint").alias("body_bytes"), "wire_bytes", "frames")
+
+
 # ---------------------------------------------------------------- protobuf
 from eventloom.functions import protobuf as PB  # noqa: E402
 

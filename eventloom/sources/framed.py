@@ -2,21 +2,33 @@
 
 A stream is one row, or one capture file. LF splitting of a row is a built-in ``split`` +
 ``posexplode``; LF capture files are read in byte ranges by Spark's own line reader, so a file of any size
-is read by many tasks. Octet-counting is a sequential decode inside one stream, so it runs as a
-batched Arrow/pandas map: serial within a stream, parallel across streams.
+is read by many tasks. Octet-counting decodes a row's stream in one batched pandas map; a capture file is cut into
+byte ranges too: each range maps the places where it may be entered to the place where it is left, and these
+maps, joined in a merge tree, say where every range's first frame starts.
 """
 
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from eventloom.plans.lineage import cut
+
 MAX_FRAME = 65535
+#: Digits of a length at most; a longer run of digits is no header.
+MAX_DIGITS = 4096
+#: Bytes of a capture file that one range holds; the least that a range may hold (no frame is longer).
+OCTET_RANGE, LEAST_RANGE = 4 << 20, 1 << 17
+#: Range maps that one merge joins, and partitions that ranges are spread over at most.
+RANGE_FAN, RANGE_TASKS = 64, 20_000
 #: Frames handed on together: at most so many, and about so many bytes.
 OUT_ROWS, OUT_BYTES = 20_000, 8 << 20
-_HEADER = re.compile(rb"(\d+) ")
+_HEADER = re.compile(rb"(\d{1,%d}) " % MAX_DIGITS)
 
 
 def split_lf(df: DataFrame, key: str, stream: str) -> DataFrame:
@@ -29,15 +41,15 @@ def split_lf(df: DataFrame, key: str, stream: str) -> DataFrame:
                       (F.octet_length("body") + 1).cast("bigint").alias("wire_bytes")))
 
 
-def decode_octet_bytes(buf: bytes):
-    """Yield (pos, body_bytes | None, wire_bytes | None, error | None) for one stream.
+def decode_octet_bytes(buf: bytes, stop: int | None = None):
+    """Yield (pos, body_bytes | None, wire_bytes | None, error | None) for one stream, of the frames that start before ``stop``.
 
-    ``LEN SP body`` repeated; LEN must be 1..65535, otherwise an error row ends the
-    stream; an incomplete tail (or a non-header) stays undecoded.
+    ``LEN SP body`` repeated; LEN (at most ``MAX_DIGITS`` digits) must be 1..65535, otherwise an error row ends
+    the stream; an incomplete tail (or a non-header) stays undecoded.
     """
     pos = 0
     n = len(buf)
-    while pos < n:
+    while pos < (n if stop is None else min(n, stop)):
         m = _HEADER.match(buf, pos)
         if not m:
             return
@@ -57,28 +69,30 @@ OCTET_SCHEMA = T.StructType([
     T.StructField("wire_bytes", T.LongType()), T.StructField("error", T.StringType())])
 
 
+def _frame_parts(streams, columns):
+    """Decoded streams (key, position of the stream's first byte, bytes, stop) as frames in bounded parts."""
+    rows, held = [], 0
+    for key, at, buf, stop in streams:
+        for pos, body, wire, err in decode_octet_bytes(buf, stop):
+            rows.append((key, at + pos, None if body is None else body.decode("utf-8", "replace"), wire, err))
+            held += wire or 0
+            if held > OUT_BYTES or len(rows) >= OUT_ROWS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
 def decode_octet(df: DataFrame, key: str, stream: str) -> DataFrame:
     """Decode octet-counted streams: key, pos (byte offset), body, wire_bytes, error."""
     key_type = df.schema[key].dataType
     out_schema = T.StructType([T.StructField(key, key_type)] + OCTET_SCHEMA.fields)
-
-    columns = [key, "pos", "body", "wire_bytes", "error"]
+    columns = out_schema.names
 
     def run(batches):
         for pdf in batches:
-            rows, held = [], 0
-            for k, s in zip(pdf[key], pdf[stream]):
-                if s is None:
-                    continue
-                b = s if isinstance(s, (bytes, bytearray)) else s.encode("utf-8")
-                for pos, body, wire, err in decode_octet_bytes(bytes(b)):
-                    rows.append((k, pos, None if body is None else body.decode("utf-8", "replace"), wire, err))
-                    held += wire or 0
-                    if held > OUT_BYTES or len(rows) >= OUT_ROWS:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows, held = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+            yield from _frame_parts(((k, 0, bytes(s) if isinstance(s, (bytes, bytearray)) else s.encode("utf-8"), None)
+                                     for k, s in zip(pdf[key], pdf[stream]) if s is not None), columns)
 
     return df.select(key, stream).mapInPandas(run, out_schema)
 
@@ -108,7 +122,140 @@ def read_lf_files(spark, path: str) -> DataFrame:
             .withColumn("body_bytes", F.octet_length("body").cast("bigint")).withColumn("wire_bytes", F.col("body_bytes") + 1))
 
 
-def read_octet_files(spark, path: str) -> DataFrame:
-    """Octet-counted capture files (one file = one connection) decoded frame by frame."""
-    blobs = spark.read.format("binaryFile").load(path).select(F.col("path").alias("conn"), F.col("content"))
-    return decode_octet(blobs, "conn", "content")
+def _read_range(path: str, start: int, end: int) -> bytes:
+    """Bytes [start, end) of a file named as Spark names it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        files, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        files, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", quote(path, safe=":/@")))
+    with files.open_input_file(name) as file:
+        return file.read_at(end - start, start)
+
+
+def _range_map(buf: bytes, own: int, left: int, heads: int):
+    """Where a range may be entered and where it is left: (entries, exits), places from the range's start.
+
+    ``own`` bytes of ``buf`` are the range, ``left`` bytes of the file follow its start. Entries are the headers
+    that start before ``heads``; an exit is the first frame start at or after ``own``, -1 where the stream ends before.
+    """
+    w = np.frombuffer(buf, dtype=np.uint8)
+    digit = (w >= 48) & (w <= 57)
+    other = np.append(np.flatnonzero(~digit), len(w)).astype(np.int32)
+    at = np.flatnonzero(digit[:own]).astype(np.int32)
+    space = other[np.searchsorted(other, at)]                       # the first byte after the run of digits
+    header = (space < len(w)) & (space - at <= MAX_DIGITS)
+    header[header] = w[space[header]] == 32
+    at, space = at[header], space[header]
+    length = np.zeros(len(at), dtype=np.int32)
+    for place in range(5):
+        inside = space - 1 - place >= at
+        length[inside] += (w[space[inside] - 1 - place].astype(np.int32) - 48) * 10 ** place
+    nonzero = np.append(0, np.cumsum(digit & (w > 48), dtype=np.int32))
+    small = nonzero[np.maximum(space - 5, at)] == nonzero[at]       # nothing but zeros before the last five digits
+    after = space.astype(np.int64) + 1 + length
+    whole = small & (length > 0) & (length <= MAX_FRAME) & (after <= left)
+    if not len(at):
+        return at.astype(np.int64), at.astype(np.int64)
+    following = np.minimum(np.searchsorted(at, after), len(at) - 1).astype(np.int32)
+    goes_on = whole & (at[following] == after)                      # another header of this range stands there
+    jump = np.where(goes_on, following, np.arange(len(at), dtype=np.int32))
+    while True:                                                     # pointer doubling
+        twice = jump[jump]
+        if np.array_equal(twice, jump):
+            break
+        jump = twice
+    exits = np.where(whole & (after >= own), after, -1)[jump]
+    head = at < heads
+    return at[head].astype(np.int64), exits[head]
+
+
+def _leave(entries, exits, x: np.ndarray) -> np.ndarray:
+    """Exits for the entries x (-1 where x is no entry)."""
+    entries, exits = np.asarray(entries, dtype=np.int64), np.asarray(exits, dtype=np.int64)
+    if not len(entries):
+        return np.full(len(x), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(entries, x), len(entries) - 1)
+    return np.where(entries[at] == x, exits[at], -1)
+
+
+_RANGE_MAP = "conn string, node bigint, entries array<bigint>, exits array<bigint>"
+_RANGE_ENTRY = "conn string, node bigint, entry bigint"
+
+
+def _range_entries(maps: DataFrame, width: int) -> DataFrame:
+    """Start of the first frame in every range but those that no frame starts in: maps are joined ``RANGE_FAN`` at a
+    time up to one of each file, then each node's entry goes down to its children."""
+    def merge(pdf):
+        rows = list(pdf.sort_values("node")[["entries", "exits"]].itertuples(index=False, name=None))
+        x = np.asarray(rows[0][1], dtype=np.int64)
+        for entries, exits in rows[1:]:
+            x = _leave(entries, exits, x)
+        return pd.DataFrame({"conn": [pdf["conn"].iloc[0]], "node": [pdf["parent"].iloc[0]], "entries": [rows[0][0]], "exits": [x]})
+
+    def spread(pdf):
+        x, out = np.array([pdf["entry"].iloc[0]], dtype=np.int64), []
+        for node, entries, exits in pdf.sort_values("node")[["node", "entries", "exits"]].itertuples(index=False, name=None):
+            if x[0] < 0:
+                break
+            out.append((pdf["conn"].iloc[0], node, int(x[0])))
+            x = _leave(entries, exits, x)
+        return pd.DataFrame(out, columns=["conn", "node", "entry"])
+
+    levels, level = [], maps
+    while width > 1:
+        level = level.withColumn("parent", F.floor(F.col("node") / F.lit(RANGE_FAN)).cast("bigint"))
+        levels.append(level)
+        width = -(-width // RANGE_FAN)
+        if width > 1:
+            level = cut(level.groupBy("conn", "parent").applyInPandas(merge, _RANGE_MAP))
+    entry = levels[-1].select("conn", F.lit(0).cast("bigint").alias("parent"), F.lit(0).cast("bigint").alias("entry")).distinct()
+    for level in reversed(levels):
+        down = level.join(entry, ["conn", "parent"])
+        entry = cut(down.groupBy("conn", "parent").applyInPandas(spread, _RANGE_ENTRY)).withColumnRenamed("node", "parent")
+    return entry.withColumnRenamed("parent", "node")
+
+
+def read_octet_files(spark, path: str, range_bytes: int = OCTET_RANGE) -> DataFrame:
+    """Octet-counted capture files (one file = one connection): conn (file), pos (byte offset), body, wire_bytes, error.
+
+    A file is read in ranges of ``range_bytes`` by many tasks, twice where it has more than one: first for the
+    places where each range may be entered and is left, then, with every range's entry known, for its frames. A frame
+    belongs to the range that it starts in. The driver learns the number of ranges only. The workers read
+    through Arrow's file systems (local or shared folders, HDFS, S3). Empty files give no row.
+    """
+    step = int(range_bytes)
+    if step < LEAST_RANGE:
+        raise ValueError(f"a range holds at least {LEAST_RANGE} bytes")
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("conn"), F.col("length").alias("size")).filter("size > 0")
+    ranges = files.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / F.lit(step)).cast("bigint"))).alias("node"))
+    count, last = ranges.agg(F.count("*"), F.max("node")).first()
+    tasks = min(max(count, 1), RANGE_TASKS)
+
+    def summarize(batches):
+        for pdf in batches:
+            for conn, size, node in zip(pdf["conn"], pdf["size"], pdf["node"]):
+                start = int(node) * step
+                own = min(step, size - start)
+                buf = _read_range(conn, start, min(size, start + own + MAX_DIGITS + 1))
+                entries, exits = _range_map(buf, own, size - start, 1 if node == 0 else MAX_FRAME + MAX_DIGITS + 1)
+                yield pd.DataFrame({"conn": [conn], "node": [node], "entries": [entries + start],
+                                    "exits": [np.where(exits < 0, -1, exits + start)]})
+
+    def decode(batches):
+        for pdf in batches:
+            def streams():
+                for conn, size, node, entry in zip(pdf["conn"], pdf["size"], pdf["node"], pdf["entry"]):
+                    end = min(size, (int(node) + 1) * step)
+                    yield conn, entry, _read_range(conn, entry, min(size, end + MAX_FRAME + MAX_DIGITS + 1)), end - entry
+            yield from _frame_parts(streams(), columns)
+
+    schema = T.StructType([T.StructField("conn", T.StringType())] + OCTET_SCHEMA.fields)
+    columns = schema.names
+    one = ranges.filter(F.col("size") <= step).withColumn("entry", F.lit(0).cast("bigint"))
+    if (last or 0) > 0:
+        many = ranges.filter(F.col("size") > step)
+        maps = cut(many.repartition(tasks, "conn", "node").mapInPandas(summarize, _RANGE_MAP))
+        entries = _range_entries(maps, int(last) + 1)
+        one = one.unionByName(many.join(entries, ["conn", "node"]).filter(F.col("entry") < F.col("size")))
+    return one.repartition(tasks, "conn", "node").mapInPandas(decode, schema)
