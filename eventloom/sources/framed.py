@@ -24,8 +24,8 @@ MAX_FRAME = 65535
 MAX_DIGITS = 4096
 #: Bytes of a capture file that one range holds; the least that a range may hold (no frame is longer).
 OCTET_RANGE, LEAST_RANGE = 4 << 20, 1 << 17
-#: Range maps that one merge joins, and partitions that ranges are spread over at most.
-RANGE_FAN, RANGE_TASKS = 64, 20_000
+#: Range maps that one merge joins; bytes of ranges that one task reads, and tasks at most.
+RANGE_FAN, TASK_BYTES, MOST_TASKS = 64, 16 << 20, 20_000
 #: Frames handed on together: at most so many, and about so many bytes.
 OUT_ROWS, OUT_BYTES = 20_000, 8 << 20
 _HEADER = re.compile(rb"(\d{1,%d}) " % MAX_DIGITS)
@@ -230,7 +230,7 @@ def read_octet_files(spark, path: str, range_bytes: int = OCTET_RANGE) -> DataFr
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("conn"), F.col("length").alias("size")).filter("size > 0")
     ranges = files.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / F.lit(step)).cast("bigint"))).alias("node"))
     count, last = ranges.agg(F.count("*"), F.max("node")).first()
-    tasks = min(max(count, 1), RANGE_TASKS)
+    tasks = max(min(count, max(spark.sparkContext.defaultParallelism, min(count * step // TASK_BYTES, MOST_TASKS))), 1)
 
     def summarize(batches):
         for pdf in batches:
