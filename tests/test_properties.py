@@ -1,5 +1,6 @@
 """Invariants of the keyed operators: determinism, partition independence, ranges, pads."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import draws as D
@@ -188,3 +189,32 @@ def test_empty_placeholder_stays_and_the_next_one_renders(spark):
     df = spark.createDataFrame([("x", "{{}} {{a}} {{b}}")], "a string, t string")
     row = df.select(T.render_template("{{}} {{a}}", {"a": F.col("a")}).alias("r"), T.placeholder_names(F.col("t")).alias("n")).first()
     assert row["r"] == "{{}} x" and row["n"] == ["a", "b"]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_weighted_route_of_any_weights(spark, monkeypatch, small):
+    """Slots of a target follow each other, for weights from 0 to thousands of millions and more targets than are broadcast."""
+    monkeypatch.setattr(routing, "MAX_TARGETS", 10_000 if small else 3)
+    weights = [3, 5_000_000_000, None, 1, 0, 1, 250, -4, 1, 1] + [1] * 40 + [700]
+    targets = spark.createDataFrame([(f"t{i:03d}", f"k{i:03d}", w) for i, w in enumerate(weights)], "target string, rank string, weight long")
+    owners, at = [], 0
+    for i, w in enumerate(weights):
+        at += max(w or 1, 1)
+        owners.append((at, f"t{i:03d}"))
+    seqs = [*range(-5, 10), *(at + d for d in range(-800, 5)), 5_000_000_002, 5_000_000_003, 5_000_000_004, 5_000_000_005, 7 * at + 4]
+    msgs = spark.createDataFrame([(s,) for s in seqs], "seq long")
+    got = {r.seq: r.target for r in routing.route_weighted(msgs, targets, order="rank").collect()}
+    assert got == {s: next(t for end, t in owners if (s - 1) % at < end) for s in seqs}
+
+
+@pytest.mark.parametrize("block, most", [(1000, 10_000), (7, 10_000), (7, 3)])
+def test_fan_out_reaches_every_target(spark, monkeypatch, block, most):
+    monkeypatch.setattr(routing, "FAN_BLOCK", block)
+    monkeypatch.setattr(routing, "MAX_TARGETS", most)
+    targets = spark.createDataFrame([(f"t{i % 30}", i % 3) for i in range(60)], "target string, zone int")   # each twice
+    msgs = spark.range(50).select(F.col("id").alias("seq"))
+    got = routing.route_broadcast(msgs, targets)
+    assert got.columns == ["seq", "target", "zone"]
+    counts = {(r.seq, r.target): r["count"] for r in got.groupBy("seq", "target").count().collect()}
+    assert len(counts) == 50 * 30 and set(counts.values()) == {2}
+    assert routing.route_broadcast(msgs, targets.filter("zone > 5")).collect() == []
