@@ -93,7 +93,7 @@ def q_route_broadcast(spark, sf_dir):
 
 # ------------------------------------------------------------------ rotation / retention / sinks
 from eventloom.functions import curves as CV  # noqa: E402
-from eventloom.operators import rotation  # noqa: E402
+from eventloom.operators import retire, rotation  # noqa: E402
 from eventloom.sources import sinks  # noqa: E402
 
 ROT_ORIGIN = "2024-01-01 00:00:00"
@@ -146,6 +146,20 @@ def retention_q(spark, sf_dir):
     return rotation.retention(files, "target", ["segment"], MAX_FILES)
 
 
+@register("retention_applied",
+          f"SELECT target, segment, messages, bytes FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY segment DESC) AS newest "
+          f"FROM ({ROT_INTERVAL_SQL}) f) WHERE newest <= {MAX_FILES - 1}")
+def retention_applied(spark, sf_dir):
+    """Daily files per target written to the shared folder, older ones deleted by the journalled job: what is left, read back."""
+    folder, journal = sinks.scratch_path(spark, "retire"), sinks.scratch_path(spark, "retire-journal")
+    r = routed_events(spark, sf_dir).withColumn("segment", rotation.interval_segment(F.col("t"), ROT_INTERVAL))
+    r.select("target", "segment", "message").repartition("target", "segment").write.partitionBy("target", "segment") \
+        .option("lineSep", "\n").text(folder)
+    retire.retire(spark, folder, journal, MAX_FILES)
+    left = sinks.read_lines(spark, folder).withColumn("nbytes", (F.octet_length("message") + 1).cast("bigint"))
+    return rotation.file_summary(left.withColumn("segment", F.col("segment").cast("bigint")), "target", "segment", "nbytes")
+
+
 @register("topic_frame",
           f"SELECT 'logs-' || lower(target) AS topic, CAST(NULL AS BLOB) AS key, encode(message) AS value FROM ({ROUTED_SQL}) r")
 def topic_frame_q(spark, sf_dir):

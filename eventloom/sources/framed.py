@@ -10,14 +10,13 @@ maps, joined in a merge tree, say where every range's first frame starts.
 from __future__ import annotations
 
 import re
-from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from eventloom.plans.lineage import cut
+from eventloom.sources.paths import located
 
 MAX_FRAME = 65535
 #: Digits of a length at most; a longer run of digits is no header.
@@ -124,11 +123,7 @@ def read_lf_files(spark, path: str) -> DataFrame:
 
 def _read_range(path: str, start: int, end: int) -> bytes:
     """Bytes [start, end) of a file named as Spark names it."""
-    scheme, _, rest = path.partition(":")
-    if scheme == "file":
-        files, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    else:
-        files, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", quote(path, safe=":/@")))
+    files, name = located(path)
     with files.open_input_file(name) as file:
         return file.read_at(end - start, start)
 
