@@ -33,4 +33,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> None:
     from eventloom.catalog import (  # noqa: F401
-        q_fields, q_formats, q_volume, q_routing, q_metrics, q_checks, q_bench, q_streams)
+        q_fields, q_formats, q_volume, q_routing, q_metrics, q_checks, q_bench, q_streams, q_scans)

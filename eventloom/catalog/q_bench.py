@@ -346,6 +346,35 @@ def report_pivot(spark, sf_dir):
     return BR.report_pivot(m, "workload_id", TOOLS, txt, WORKLOAD_ORDER)
 
 
+@register("throughput_pivot",
+          f"WITH m AS ({MATRIX_SQL}), c AS ({MEAS_SQL}), l AS (SELECT m.workload_id, m.tool, "
+          "arg_min(CASE WHEN m.status = 'completed' THEN printf('%.1f msg/s', c.achieved_msg_per_sec) ELSE '-' END, m.run_idx) AS txt "
+          "FROM m LEFT JOIN c USING (workload_id, run_idx, tool) GROUP BY ALL) "
+          "SELECT workload_id, " + "CASE workload_id " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WORKLOAD_ORDER.items())
+          + f" ELSE {len(WORKLOAD_ORDER)} END AS row_order, "
+          + ", ".join(f"coalesce(max(txt) FILTER (WHERE tool = '{t}'), '-') AS {t}" for t in TOOLS) + " FROM l GROUP BY workload_id")
+def throughput_pivot(spark, sf_dir):
+    """workload × tool table of the first run's throughput, of completed cells only."""
+    m = matrix(spark, sf_dir)
+    txt = BR.throughput_text(F.col("status"), F.col("achieved_msg_per_sec"), F.col("messages"), F.col("bytes"))
+    return BR.report_pivot(m, "workload_id", TOOLS, txt, WORKLOAD_ORDER)
+
+
+#: Statuses changed after the runs: every third run called completed, of the others every fifth skipped.
+MIXED = "CASE WHEN run_idx % 3 = 0 THEN 'completed' WHEN run_idx % 5 = 0 THEN 'skipped' ELSE status END"
+
+
+@register("integrity_violations",
+          "SELECT count(*) FILTER (WHERE b) AS violations, min(CASE WHEN b THEN k END) AS first_offender, count(*) FILTER (WHERE b) = 0 AS ok "
+          "FROM (SELECT workload_id || '/' || tool || '/' || CAST(run_idx AS VARCHAR) AS k, "
+          "(mixed = 'completed' AND NOT has_measurements) OR (mixed IN ('skipped', 'n_a') AND has_measurements) AS b "
+          f"FROM (SELECT *, {MIXED} AS mixed FROM ({MATRIX_SQL}) m)) x")
+def integrity_violations(spark, sf_dir):
+    """The integrity check over a matrix whose statuses were changed after the runs."""
+    k = F.concat_ws("/", "workload_id", "tool", F.col("run_idx").cast("string"))
+    return BR.integrity(matrix(spark, sf_dir).withColumn("status", F.expr(MIXED)), k)
+
+
 @register("cv_by_cell",
           f"SELECT workload_id, tool, count(*) AS runs, round(stddev_samp(achieved_msg_per_sec) / avg(achieved_msg_per_sec) * 100.0, 9) AS cv_pct "
           f"FROM ({MEAS_SQL}) m WHERE messages > 0 GROUP BY workload_id, tool")

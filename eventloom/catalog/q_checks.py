@@ -216,6 +216,28 @@ def table_checks(spark, sf_dir):
     return check(li, "lineitem", idx, LINEITEM_RULES).unionByName(check(o, "orders", "o_orderkey", ORDERS_RULES))
 
 
+#: Narrower limits, which many rows of the tables break.
+STRICT_LINE_RULES = [
+    Rule("large_quantity", "l_quantity > 45", "l_quantity"),
+    Rule("high_discount", "l_discount > 0.08", "l_discount"),
+    Rule("late_return", "l_returnflag = 'R' AND l_shipdate >= '1998-01-01'", "l_shipdate IS NULL"),
+]
+STRICT_ORDER_RULES = [
+    Rule("price_over_300k", "o_totalprice > 300000", "o_orderstatus"),
+    Rule("unranked_priority", "substr(o_orderpriority, 3) = 'NOT SPECIFIED'", "o_orderpriority"),
+]
+
+
+@register("table_violations",
+          sql_check("SELECT * FROM lineitem", "lineitem", "CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR)", STRICT_LINE_RULES)
+          + " UNION ALL " + sql_check("SELECT * FROM orders", "orders", "o_orderkey", STRICT_ORDER_RULES))
+def table_violations(spark, sf_dir):
+    """Every row of lineitem and orders that breaks narrower limits, one result row for each broken rule."""
+    idx = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return check(table(spark, sf_dir, "lineitem"), "lineitem", idx, STRICT_LINE_RULES) \
+        .unionByName(check(table(spark, sf_dir, "orders"), "orders", "o_orderkey", STRICT_ORDER_RULES))
+
+
 # ---------------------------------------------------------------- workload spec agreement
 # ---- fixed values: the four benchmark workload specs and the length tolerance ----------------
 WORKLOAD_SPECS = [

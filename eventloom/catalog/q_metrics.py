@@ -134,6 +134,25 @@ def size_histogram(spark, sf_dir):
     return MX.histogram(d, ["target"], F.col("bytes").cast("double"), MX.SIZE_BUCKETS).withColumn("sum", F.round("sum", 9))
 
 
+@register("topic_bytes_histogram", _hist_sql("CAST(strlen(message) AS DOUBLE)", ["target"], MX.TOPIC_BYTES_BUCKETS))
+def topic_bytes_histogram(spark, sf_dir):
+    """Payload bytes of topic records (messages without framing) by target."""
+    size = F.octet_length("message").cast("double")
+    return MX.histogram(delivery_log(spark, sf_dir), ["target"], size, MX.TOPIC_BYTES_BUCKETS).withColumn("sum", F.round("sum", 9))
+
+
+@register("topic_latency_histogram", _hist_sql("latency", ["target"], MX.TOPIC_LATENCY_BUCKETS))
+def topic_latency_histogram(spark, sf_dir):
+    """Latency of topic records by target."""
+    return MX.histogram(delivery_log(spark, sf_dir), ["target"], F.col("latency"), MX.TOPIC_LATENCY_BUCKETS).withColumn("sum", F.round("sum", 9))
+
+
+@register("drain_histogram", _hist_sql("latency * 100.0", ["transport"], MX.DRAIN_BUCKETS))
+def drain_histogram(spark, sf_dir):
+    """Drain times by transport; a message's latency in hundredths of a second stands in for one drain."""
+    return MX.histogram(delivery_log(spark, sf_dir), ["transport"], F.col("latency") * 100.0, MX.DRAIN_BUCKETS).withColumn("sum", F.round("sum", 9))
+
+
 @register("latency_histogram", _hist_sql("latency", ["phase"], MX.LATENCY_BUCKETS))
 def latency_histogram(spark, sf_dir):
     d = delivery_log(spark, sf_dir)

@@ -43,6 +43,17 @@ def stream_sliding_rate(spark, sf_dir):
     return out.withColumn("rate", F.col("n") / F.lit(3600.0))
 
 
+@register("stream_counters",
+          "SELECT strftime(time_bucket(INTERVAL '15 minutes', ts), '%Y-%m-%d %H:%M:%S') AS window_start, phase, target, count(*) AS messages, "
+          f"CAST(sum(bytes) AS BIGINT) AS bytes FROM {D_SQL} GROUP BY ALL")
+def stream_counters(spark, sf_dir):
+    """Messages and bytes of every 15-minute tumbling window, per phase and target, kept as streaming state."""
+    d = _stream_delivery(spark, sf_dir).withWatermark("et", WATERMARK)
+    agg = d.groupBy(F.window("et", "15 minutes").alias("w"), "phase", "target").agg(F.count(F.lit(1)).alias("messages"), F.sum("bytes").alias("bytes"))
+    agg = agg.select(F.date_format(RS.to_utc_ntz(F.col("w.start")), "yyyy-MM-dd HH:mm:ss").alias("window_start"), "phase", "target", "messages", "bytes")
+    return RS.run_to_table(spark, agg, ["window_start", "phase", "target"], "stream-counters")
+
+
 def _stream_hist_sql():
     bounds = sorted(MX.LATENCY_BUCKETS)
     parts = []

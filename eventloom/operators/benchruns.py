@@ -222,6 +222,15 @@ def fmt_cell(status: Column, skip_reason: Column, error: Column, fail_reasons: C
              .otherwise(status))
 
 
+def throughput_text(status: Column, rate: Column, messages: Column, received: Column) -> Column:
+    """Throughput text of a cell: its rate with one digit, else its messages, else its bytes; '-' unless it is completed."""
+    def shown(x: Column, unit: str) -> Column:
+        return F.concat(x.cast("string"), F.lit(f" {unit}"))
+    some = F.coalesce(shown(round_half_even(rate, 1).cast("decimal(20,1)"), "msg/s"), shown(messages.cast("bigint"), "msg"),
+                      shown(received.cast("bigint"), "B"), F.lit("-"))
+    return F.when(status == STATUS_COMPLETED, some).otherwise(F.lit("-"))
+
+
 def report_pivot(matrix: DataFrame, workload: str, tools: Sequence[str], text: Column, order: Mapping[str, int]) -> DataFrame:
     """workload × tool table of the first run's cell text; '-' where a tool has no cell."""
     first = matrix.groupBy(workload, "tool").agg(F.min_by(text, F.col("run_idx")).alias("_t"))

@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 # ---- fixed values: histogram bucket bounds used by the reference's metric families ----
 SIZE_BUCKETS = [16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0, 65536.0]
 LATENCY_BUCKETS = [0.000005, 0.00001, 0.00005, 0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0]
+DRAIN_BUCKETS = [0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 15.0, 30.0, 60.0]
+TOPIC_LATENCY_BUCKETS = [0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
+TOPIC_BYTES_BUCKETS = [64.0, 256.0, 1024.0, 4096.0, 16384.0, 65536.0, 262144.0, 1048576.0]
 DEFAULT_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 # -----------------------------------------------------------------------------------------
 
