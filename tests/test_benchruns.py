@@ -90,3 +90,13 @@ def test_round_half_even_is_exact(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     for r in df.select("x", *[BR.round_half_even(F.col("x"), d).alias(f"d{d}") for d in range(4)]).collect():
         assert [r[f"d{d}"] for d in range(4)] == [round(r["x"], d) for d in range(4)], r
+
+
+def test_throughput_text_and_pivot(spark):
+    rows = [("w", 1, "a", "completed", 12.25, 7, 8), ("w", 2, "a", "completed", 99.0, 7, 8), ("w", 1, "b", "completed", None, 7, 8),
+            ("v", 1, "a", "completed", None, None, 8), ("v", 1, "b", "completed", None, None, None), ("u", 1, "a", "failed", 5.0, 7, 8), ("u", 2, "a", "completed", 5.0, 7, 8),
+            ("x", 1, "b", "completed", 1234567.96, 1, 1)]
+    m = spark.createDataFrame(rows, "w string, run_idx int, tool string, status string, rate double, messages long, received long")
+    text = BR.throughput_text(F.col("status"), F.col("rate"), F.col("messages"), F.col("received"))
+    got = {r.w: (r.row_order, r.a, r.b) for r in BR.report_pivot(m, "w", ["a", "b"], text, {"w": 0, "v": 1}).collect()}
+    assert got == {"w": (0, "12.2 msg/s", "7 msg"), "v": (1, "8 B", "-"), "u": (2, "-", "-"), "x": (2, "-", "1234568.0 msg/s")}
