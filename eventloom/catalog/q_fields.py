@@ -259,10 +259,15 @@ REGEX_FIELDS = {
 }
 
 
+def _spread_seqs(spark, sf_dir):
+    """The events' seq dealt evenly over the cores: the table is small for its rows (few row groups), the work of a row is large."""
+    return _events(spark, sf_dir).select("seq").repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 @register("regex_text")
 def regex_text_q(spark, sf_dir):
     """Text generated from five patterns per event (the last one does not parse → '')."""
-    e = _events(spark, sf_dir).select("seq")
+    e = _spread_seqs(spark, sf_dir)
     return e.select("seq", *[regex_text(p, SEED, "seq", n).alias(n) for n, p in REGEX_FIELDS.items()])
 
 
@@ -280,7 +285,7 @@ REGEX_SETS = {
 @register("regex_sets", " UNION ALL ".join(f"SELECT '{n}' AS field, count(*) AS messages, count(*) AS matched FROM events" for n in REGEX_SETS))
 def regex_sets(spark, sf_dir):
     """Texts of patterns with properties, POSIX classes and set operators: every text matches (Spark's matcher counts)."""
-    e = _events(spark, sf_dir).select("seq")
+    e = _spread_seqs(spark, sf_dir)
     fields = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), regex_text(p, SEED, "seq", n).rlike(f"^(?:{same})\\z").alias("hit"))
                                  for n, (p, same) in REGEX_SETS.items()]))
     return e.select(fields.alias("f")).groupBy("f.field").agg(F.count(F.lit(1)).alias("messages"), F.count_if("f.hit").alias("matched"))

@@ -67,6 +67,17 @@ def draw(seed: int, key, salt: str) -> Column:
     return hex_unit(keyed_hex(seed, key, salt), 1, 13)
 
 
+def key_prefix(seed: int, key) -> Column:
+    """What the exact draws of one seed and key hash in front of their salts."""
+    return F.concat_ws(":", F.lit(str(int(seed))), *[k.cast("string") for k in _keys(key)])
+
+
+def draw_after(prefix: Column, more: Iterable[Column], salt: str) -> Column:
+    """:func:`draw` for the keys of a :func:`key_prefix` made once a row and further keys that are never null."""
+    parts = [x for k in more for x in (F.lit(":"), k.cast("string"))]
+    return hex_unit(F.md5(F.concat(prefix, *parts, F.lit(f":{salt}"))), 1, 13)
+
+
 class KeyedBits:
     """Random material for one (seed, key, salt): unit lanes and 32 hex digits."""
 

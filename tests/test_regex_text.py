@@ -45,3 +45,34 @@ def test_unknown_sets_give_empty_text(spark):
     row = spark.range(1).select(*[regex_text(p, 1, "id", "f").alias(f"c{i}") for i, p in enumerate(
         [r"\p{Nonsense}", "[[:wrong:]]", "[a", "[z-a]", r"[\q]", r"(a)\1"])]).first()
     assert set(row) == {""}
+
+
+def _slow_text(pattern, key, salt):
+    """One class, repeated: the text by plain Python from the same hashes."""
+    import hashlib
+    lo, hi, chars = pattern
+
+    def draw(*parts):
+        return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2 ** 52
+    n = lo + int(draw(5, key, f"{salt}/r.0#n") * (hi - lo + 1)) if hi > lo else lo
+    return "".join(chars[int(draw(5, key, j, f"{salt}/r.0*.0") * len(chars))] for j in range(1, n + 1))
+
+
+def test_each_draw_stands_once(spark):
+    from eventloom.functions.regex_text import regex_text
+    wide = [chr(c) for c in (*range(0x21, 0x80), *range(0x400, 0xD800), *range(0xE000, 0x10000), *range(0x1F600, 0x1F700))]
+    cases = {"[a-f]{0,5}": (0, 5, "abcdef"), "[x-z]{3}": (3, 3, "xyz"), "[0-9]{2,40}": (2, 18, "0123456789"),
+             r"[\x{21}-\x{7F}\x{400}-\x{FFFF}\x{1F600}-\x{1F6FF}]{1,4}": (1, 4, wide)}
+    df = spark.range(200).select("id", *[regex_text(p, 5, "id", "f").alias(f"c{i}") for i, p in enumerate(cases)],
+                                 regex_text("(ab|c|[0-9])", 5, "id", "f").alias("branch"))
+    for row in df.collect():
+        assert [row[f"c{i}"] for i in range(len(cases))] == [_slow_text(p, row["id"], "f") for p in cases.values()]
+    # draws by field: a count and a character for the first, a character for the second, ...; one for the branch and one for its digit
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 2 + 1 + 2 + 2 + 2
+
+
+def test_few_row_groups_feed_all_cores(spark, sf_small):
+    import __spark_entry__ as E
+    tasks = E.queries()["regex_text"](spark, sf_small).rdd.glom().map(len).collect()
+    assert len(tasks) >= 4 and min(tasks) > 0
