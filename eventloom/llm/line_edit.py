@@ -21,6 +21,8 @@ first; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,7 @@ MIN_CHARS = 20
 PIECE_CHARS = 2_000_000
 #: Line hashes a task remembers so as not to emit a line twice.
 REMEMBER = 500_000
+BLANKS = " \t\r"
 
 
 def segments(length, tau: int = TAU):
@@ -205,11 +208,17 @@ def may_be_alike(parity: str, other: str, tau: int) -> str:
     return f"bit_count({flips} & 4294967295L) <= {2 * tau} and bit_count(shiftrightunsigned({flips}, 32)) <= {4 * tau}"
 
 
+def trimmed(line: Column) -> Column:
+    """line without the BLANKS at its ends. trim with a set walks the whole line; most lines have no blank at an end."""
+    blank = functools.reduce(Column.__or__, [end(b) for b in BLANKS for end in (line.startswith, line.endswith)])
+    return F.when(blank, F.trim(line, F.lit(BLANKS))).otherwise(line)
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no from 0, line) of the non-empty trimmed lines."""
     split = F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"))
     rows = docs.select(F.col(id_col).alias("id"), split.alias("line_no", "line"))
-    return rows.withColumn("line", F.trim(F.col("line"), F.lit(" \t\r"))).filter("line <> ''")
+    return rows.withColumn("line", trimmed(F.col("line"))).filter("line <> ''")
 
 
 def line_key(line: Column) -> Column:

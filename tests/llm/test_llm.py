@@ -226,6 +226,15 @@ def test_line_classes(spark):
     assert kept == sum(want[k] == k for k in want)
 
 
+def test_line_ends(spark):
+    texts = ["", " ", "\t \r", "a", " a", "a\r", "\r\t a b \t", "a \u00a0", "\u00a0 a", "\u00e9 \t", "\x0ba\x0c", "a\tb", "\r", "\u2028 \U0001F600 "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [None])], "id long, text string").withColumn("got", line_edit.trimmed(queries.F.col("text")))
+    rows = df.collect()
+    assert {r["id"]: r["got"] for r in rows} == {i: None if t is None else t.strip(" \t\r") for i, t in enumerate(texts + [None])}
+    plan = line_edit.lines_of(df, "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") == plan.count("CASE WHEN (") > 0  # the set trim, which walks the whole line, only behind a look at its ends
+
+
 def test_dotted_lines(spark):
     rng = random.Random(8)
     lines = []
